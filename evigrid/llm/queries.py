@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import decontaminate, tokens
+from evigrid.llm import decontaminate, quality, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = quality.judged(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -26,7 +32,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_decontamination, op9_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_token_counts, op7_decontamination, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
