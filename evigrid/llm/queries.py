@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import decontaminate, quality, shards, simhash, tokens
+from evigrid.llm import decontaminate, quality, shards, simhash, substrings, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,8 +39,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_token_counts, op5_simhash, op7_decontamination, op9_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_token_counts, op5_simhash, op7_decontamination, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
