@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import decontaminate, quality, shards, simhash, substrings, tokens
+from evigrid.llm import bytedup, decontaminate, quality, shards, simhash, substrings, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op3_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -44,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_token_counts, op5_simhash, op7_decontamination, op9_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op7_decontamination, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
