@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import bytedup, decontaminate, quality, shards, simhash, substrings, tokens
+from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, shards, simhash, substrings, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +35,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fitted(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.scored(docs, model)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -48,7 +58,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op7_decontamination, op9_bpe, op10_substring_dedup)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op6_html_text, op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
