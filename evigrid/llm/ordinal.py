@@ -123,7 +123,7 @@ def fitted(docs: DataFrame, ratings: DataFrame, grades: int = 3, most_rated: int
     return fit(np.repeat(np.arange(len(got)), size), feature, got.column("grade").to_numpy().astype(np.int64), grades)
 
 
-def scored(docs: DataFrame, model: Model, target: int = 2, cutoff: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, model: Model, target: int = 2, cutoff: float = 0.4) -> DataFrame:
     """``(doc_id, expected_grade, tail_probability, kept)`` of every row.
 
     ``tail_probability`` is P(grade >= target); a row is kept from ``cutoff`` on. A null

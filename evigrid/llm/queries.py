@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, shards, simhash, substrings, tokens
+from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, shards, simhash, sql, substrings, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
