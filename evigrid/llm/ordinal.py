@@ -86,7 +86,7 @@ def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, r
         g = np.bincount(feature, (dhi - dlo)[text] * value, 1 << BITS) + l2 * now
         gt = np.array([dlo[grade == k + 1].sum() - dhi[grade == k].sum() for k in range(grades - 1)])
         gfree = np.concatenate([[gt.sum()], np.cumsum(gt[::-1])[::-1][1:] * np.exp(free[1:])])
-        free = free - 2.0 * gfree
+        free = free - np.clip(2.0 * gfree / np.concatenate([[1.0], np.maximum(1.0, np.exp(2 * free[1:]))]), -0.1, 0.1)
         new = now - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
