@@ -105,12 +105,12 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
             again, lead = spans.flags(span_hash(prefix_sums(data), start, start + width), doc[run])
             again = _confirmed(data, start, again, lead, width)
             local = start - first[run] + origin[run]
-            rows = [(int(d) % n, 1, d, t, s) for d, t, s in zip(*spans.flag_rows(doc[run][again], tag[run][again], local[again]))]
+            rows = [(k, 1, blob) for k, blob in spans.flag_blobs(doc[run][again], tag[run][again], local[again], n)]
             open_ = np.flatnonzero(np.bincount(run, ~again, len(first)) > 0)
             for k, at in spans.split_by(spans.bucket(anchor[open_], n), n):
                 at = open_[at]
                 place, _ = _spread(first[at], last[at] + width - 1)
-                rows.append((k, 0, None, None, _packed(data[place], doc[at], tag[at], origin[at], last[at] - first[at])))
+                rows.append((k, 0, _packed(data[place], doc[at], tag[at], origin[at], last[at] - first[at])))
             return spans.rows_batch(rows)
 
         for b in batches:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.arrays import blocks
+from evigrid.llm.arrays import blocks, mix
 from evigrid.plans.lineage import partitions, written
 
 U = np.uint64
@@ -178,25 +178,30 @@ def flags(window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
-def flag_rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[list, list, list]:
-    """One row for each document: its flagged starts, as int32."""
+def flag_blobs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Flags packed by document bucket, one blob each: documents, their counts, all starts."""
     order = np.lexsort((start, tag, doc))
-    doc, tag, start = doc[order], tag[order], start[order].astype("<i4")
-    if not len(doc):
-        return [], [], []
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-    ends = np.append(first[1:], len(doc))
-    return doc[first].tolist(), tag[first].tolist(), [start[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist())]
+    doc, tag, start = doc[order].astype("<i8"), tag[order].astype("<i2"), start[order].astype("<i4")
+    out = []
+    for k, at in split_by(bucket(mix(doc.view(U)), n), n):
+        d, t = doc[at], tag[at]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+        size = np.diff(np.append(first, len(d))).astype("<i4")
+        head = np.array([len(first), len(d)], "<i4")
+        out.append((k, b"".join(x.tobytes() for x in (head, d[first], t[first], size, start[at]))))
+    return out
 
 
-#: Rows between passes: kind 0 has windows still to be settled, kind 1 the flags of one document.
-ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("blob", pa.binary())])
-ROWS_DDL = "bucket int, kind int, doc_id long, tag int, blob binary"
-FLAGS_DDL = "doc_id long, tag int, starts binary"
+def _flags_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d, n = np.frombuffer(blob, "<i4", 2).tolist()
+    doc, tag = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<i2", d, 8 + 8 * d)
+    size, start = np.frombuffer(blob, "<i4", d, 8 + 10 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d)
+    return np.repeat(doc, size), np.repeat(tag, size), start
 
 
-def settled_batch(doc: list, tag: list, starts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
+#: Rows between passes: kind 0 has windows still to be settled, kind 1 flags of a document bucket.
+ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+ROWS_DDL = "bucket int, kind int, blob binary"
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,25 +209,48 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """``(doc_id, tag, starts)`` from rows of ``ROWS``: ``judge`` flags the windows of one bucket."""
+    """``(doc_id, tag, starts)``, one row a flagged document, from rows of ``ROWS``: ``judge``
+    flags the windows of one bucket. Flags travel in blobs by document bucket, so that their
+    number follows the tasks and not the documents times the tasks."""
     spark = rows.sparkSession
+    n = partitions(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            got = flag_blobs(*(np.concatenate(x) for x in zip(*parts)), n) if parts else []
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["k", "blob"])
+
+        parts: list[tuple[np.ndarray, ...]] = []
         for _, got in by_bucket(batches):
-            known = [r for r in got if r[1] == 1]
-            yield settled_batch([r[2] for r in known], [r[3] for r in known], [r[4] for r in known])
-            open_ = [r[4] for r in got if r[1] == 0]
+            parts += [_flags_of(r[2]) for r in got if r[1] == 1]
+            open_ = [r[2] for r in got if r[1] == 0]
             if open_:
-                yield settled_batch(*flag_rows(*judge(open_)))
+                parts.append(judge(open_))
+            if sum(len(p[0]) for p in parts) >= 2 * FLUSH:
+                yield out(parts)
+                parts = []
+        yield out(parts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in by_bucket(batches):
+            doc, tag, start = (np.concatenate(x) for x in zip(*(_flags_of(r[1]) for r in got)))
+            order = np.lexsort((start, tag, doc))
+            doc, tag, start = doc[order], tag[order], start[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
+            ends = np.append(first[1:], len(doc))
+            for i in range(0, len(first), 10_000):
+                f, e = first[i : i + 10_000], ends[i : i + 10_000]
+                starts = [start[x:y].tobytes() for x, y in zip(f.tolist(), e.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f].astype(np.int32)), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
 
-    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(run, FLAGS_DDL)
+    flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k int, blob binary")
+    return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(gather, "doc_id long, tag int, starts binary")
 
 
 def with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, tag, text, ...``) with all their flagged starts, null where there are none."""
-    each = found.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts"))  # at most the windows of one text
-    return docs.join(each, ["doc_id", "tag"], "left")
+    return docs.join(found, ["doc_id", "tag"], "left")
 
 
-def starts_of(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(blobs), "<i4")).astype(np.int64) if blobs else np.zeros(0, np.int64)
+def starts_of(blob: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(blob, "<i4")).astype(np.int64) if blob else np.zeros(0, np.int64)

@@ -61,10 +61,10 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
         def out() -> pa.RecordBatch:
             h, doc, tag, start = (np.concatenate([x[k] for x in held]) for k in range(4))
             again, _ = spans.flags(h, doc)
-            rows = [(int(d) % n, 1, d, t, s) for d, t, s in zip(*spans.flag_rows(doc[again], tag[again], start[again]))]
+            rows = [(k, 1, blob) for k, blob in spans.flag_blobs(doc[again], tag[again], start[again], n)]
             h, doc, tag, start = h[~again], doc[~again], tag[~again], start[~again]
             for k, at in spans.split_by(spans.bucket(h, n), n):
-                rows.append((k, 0, None, None, _packed(h[at], doc[at], tag[at], start[at])))
+                rows.append((k, 0, _packed(h[at], doc[at], tag[at], start[at])))
             return spans.rows_batch(rows)
 
         for b in batches:
