@@ -39,9 +39,8 @@ def matches(text: Column, kind: str) -> Column:
 def entities(df: DataFrame, text: str, key: list[str], kinds: tuple[str, ...] = tuple(PATTERNS), context: bool = True) -> DataFrame:
     """``(*key, type, value, rank, pos, context)`` of every entity of every text; a null text has none."""
     t = F.coalesce(F.col(text), F.lit(""))
-    each = F.flatten(
-        F.array(*(F.transform(matches(t, k), lambda v, i, n=n, k=k: F.struct(F.lit(k).alias("type"), v.alias("value"), F.lit(n).alias("rank"), i.alias("pos"))) for n, k in enumerate(kinds)))
-    )
+    named = lambda n, k: lambda v, i: F.struct(F.lit(k).alias("type"), v.alias("value"), F.lit(n).alias("rank"), i.alias("pos"))
+    each = F.flatten(F.array(*(F.transform(matches(t, k), named(n, k)) for n, k in enumerate(kinds))))
     out = df.select(*key, F.col(text).alias("_t"), F.inline(each)) if context else df.select(*key, F.inline(each))
     if not context:
         return out
