@@ -11,6 +11,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = " \t\n\r\f\x0b"
 
@@ -31,7 +32,7 @@ def email(c: Column) -> Column:
     return _or_empty(_squeeze(F.regexp_replace(F.lower(strip(c)), "^mailto:", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _idna(s: pd.Series) -> pd.Series:
     def one(v: str | None) -> str | None:
         try:
@@ -81,7 +82,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ip(s: pd.Series) -> pd.Series:
     def one(v: str | None) -> str | None:
         for x in (v, v[1 : v.find("]")] if v and v.startswith("[") and "]" in v else None):
