@@ -164,10 +164,21 @@ BY_TYPE = {
 }
 
 
-def normalize(kind: Column, value: Column) -> Column:
-    """The normal form of ``value`` for its entity type; of unknown types, the trimmed value."""
+def native_ip(c: Column) -> Column:
+    """``ip`` without IPv6 compression: no Python in the plan."""
+    s = strip(c)
+    return _or_empty(F.when(s.rlike(rf"^{IPV4}(?::[^:]*)?$"), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s))
+
+
+def normalize(kind: Column, value: Column, native: bool = False) -> Column:
+    """The normal form of ``value`` for its entity type; of unknown types, the trimmed value.
+
+    With ``native`` the two cases that need Python (labels beyond ASCII, IPv6) stay as they
+    are, which lets the expression stand inside array functions.
+    """
     k, out = F.lower(strip(kind)), None
     for f, names in BY_TYPE.items():
+        f = {domain: ascii_domain, ip: native_ip}.get(f, f) if native else f
         hit = k.isin(*names)
         out = F.when(hit, f(value)) if out is None else out.when(hit, f(value))
     return out.otherwise(_or_empty(strip(value)))

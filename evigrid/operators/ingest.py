@@ -70,7 +70,7 @@ def validated(envelopes: DataFrame, now: Column) -> DataFrame:
 
 def sanitized(envelopes: DataFrame) -> DataFrame:
     """Trimmed strings, a lower-case target type, and normal forms of all entities."""
-    entity = lambda e: e.withField("type", F.lower(F.trim(e["type"]))).withField("normalized_value", normalize(e["type"], e["raw_value"]))
+    entity = lambda e: e.withField("type", F.lower(F.trim(e["type"]))).withField("normalized_value", normalize(e["type"], e["raw_value"], native=True))
     return envelopes.withColumns({"entities": F.transform("entities", entity), "target": F.trim("target"), "target_type": F.lower(F.trim("target_type"))})
 
 
