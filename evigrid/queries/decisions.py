@@ -115,7 +115,7 @@ def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.state_differences(state("seq % 10 <> 1"), state("identity_id % 7 > 0")).select("identity_id", "difference")
 
 
-@query("""WITH c AS (SELECT o_custkey AS id, epoch_us(o_orderdate) * 1000000 + o_orderkey AS m, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS deleted FROM orders),
+@query("""WITH c AS (SELECT o_custkey AS id, (epoch_us(o_orderdate) // 1000000) * 100000000 + o_orderkey AS m, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS deleted FROM orders),
 g AS (SELECT id, max(m) FILTER (deleted) AS gone FROM c GROUP BY id) SELECT id, arg_max(priority, m) FILTER (priority IS NOT NULL) AS priority, arg_max(price, m) FILTER (price IS NOT NULL) AS price FROM c JOIN g USING (id) WHERE gone IS NULL OR m > gone GROUP BY id""")
 def latest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M6: partial updates and deletes as change rows, the state as their latest view."""
