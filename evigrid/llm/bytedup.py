@@ -24,8 +24,9 @@ from evigrid.llm.arrays import blocks, covered, prefix_sums, span_hash
 U = np.uint64
 WIDTH = 50
 K = 20
-#: Starts that a map task settles at once, and those a shard task sorts at once.
-FLUSH = 3_000_000
+#: Starts and bytes that a map task settles at once; its arrays take some 100 bytes for each.
+FLUSH, HELD = 1_000_000, 6 << 20
+BLOCK = 1 << 20
 
 
 def _runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -115,12 +116,12 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
 
         for b in batches:
             ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for i, j, data, offs in blocks(b.column(2)):
+            for i, j, data, offs in blocks(b.column(2), BLOCK):
                 anchor, text, first, last, _ = _runs(data, offs, width)
                 keep = spans.marked(anchor, filter_, bits)
                 anchor, text, first, last = anchor[keep], text[keep], first[keep], last[keep]
                 held.append((data, anchor, ids[i:j][text].astype(np.int64), tags[i:j][text].astype(np.int32), first - offs[text], first, last))
-                if sum(len(x[0]) for x in held) >= 16 << 20 or sum(int((x[6] - x[5]).sum()) for x in held) >= FLUSH:
+                if sum(len(x[0]) for x in held) >= HELD or sum(int((x[6] - x[5]).sum()) for x in held) >= FLUSH:
                     yield out()
                     held = []
         if held:

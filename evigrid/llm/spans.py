@@ -96,7 +96,7 @@ def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -
             return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "once", "more"])
 
         for b in batches:
-            for i, j, data, offs in blocks(b.column(0)):
+            for i, j, data, offs in blocks(b.column(0), 1 << 20):
                 h, text = anchors(data, offs)
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
