@@ -161,7 +161,8 @@ def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Da
             for i, j, data, offs in blocks(b.column(2)):
                 start, end, text = words(data, offs)
                 h = rolling(span_hash(prefix_sums(data), start, end), run)
-                keep = text[: len(h)] == text[run - 1 :][: len(h)]
+                line = np.cumsum(data == 10)[start] if len(start) else start  # a run stays inside its block
+                keep = (text[: len(h)] == text[run - 1 :][: len(h)]) & (line[: len(h)] == line[run - 1 :][: len(h)])
                 t, place = text[: len(h)][keep] + i, rank_in_text(text)[: len(h)][keep]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), b.column(1).take(pa.array(t)), pa.array(h[keep].view(np.int64)), pa.array(place.astype(np.int32))], names=["host", "key", "head", "place"])
 
@@ -186,5 +187,9 @@ def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["host", "rest", "unique"])
 
     cut = texts.mapInArrow(unique_runs, "host string, rest string, unique string")
-    text = F.coalesce("text", "unique", "rest", F.lit(""))
-    return read.join(cut, ["host", "rest"], "left").select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    # Pages with a main region are done; only the others meet what was cut, so that no text of
+    # the former is shuffled.
+    done = read.where("text IS NOT NULL").select("page_id", "url", "text")
+    others = read.where("text IS NULL").join(cut, ["host", "rest"], "left")
+    both = done.union(others.select("page_id", "url", F.coalesce("unique", "rest", F.lit(""))))
+    return both.withColumn("n_chars", F.length("text").cast("long"))
