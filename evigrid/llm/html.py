@@ -120,9 +120,12 @@ class _Blocks(HTMLParser):
 
 def page_blocks(html: str | None) -> list[tuple[int, str]]:
     """``(kind, text)`` of the blocks of a page, in page order."""
-    p = _Blocks()
+    p, html = _Blocks(), html or ""
+    last = html.rfind("<")
+    if last >= 0 and ">" not in html[last:] and re.match(r"<[A-Za-z/!]", html[last:]):
+        html = html[:last]  # a tag that the page's end cuts off
     try:
-        p.feed(html or "")
+        p.feed(html)
         p.close()
     except AssertionError:  # a broken declaration; what was read stands
         pass
