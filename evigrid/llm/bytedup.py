@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evigrid.llm import spans
-from evigrid.llm.arrays import blocks, covered, prefix_sums, span_hash
+from evigrid.llm.arrays import blocks, covered, mix, prefix_sums, span_hash
 
 U = np.uint64
 WIDTH = 50
@@ -54,7 +54,8 @@ def _runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, .
         return np.zeros(0, U), none, none, none, sums
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(first[1:], len(start)) - 1
-    return h[place[first]], text[first], start[first], start[last] + 1, sums
+    # Least hashes crowd at the low end; scrambled again they spread over the buckets.
+    return mix(h[place[first]] ^ U(0x5851F42D4C957F2D)), text[first], start[first], start[last] + 1, sums
 
 
 def minimizers(width: int):
