@@ -27,6 +27,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "word_length": ("word_chars / n_words", (7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0)),
 }
 RISK, DELTA = 0.02, 0.1
+#: Strata whose cutoffs are broadcast, at most.
+MOST_STRATA = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -124,7 +126,9 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     own = [*COUNTS, "n_echo_words", "base_failed", "kept", "stratum", "_words", "_hashes"]
     docs = docs.select(*(c for c in docs.columns if c not in own))
     counted = written(with_counts(docs), "counted")
-    cuts = cutoffs(counted, labels, stratum, risk, delta)
+    cuts = written(cutoffs(counted, labels, stratum, risk, delta), "cutoffs")
+    if cuts.count() <= MOST_STRATA:  # a few numbers each; else the join is a shuffled one
+        cuts = F.broadcast(cuts)
     over = F.lit(False)
     for r, (ratio, _) in RULES.items():
         over = over | F.coalesce(F.expr(ratio) > F.col(f"cut_{r}"), F.lit(False))
