@@ -63,3 +63,14 @@ def test_kernels(spark):
     assert one(spark, "0xde0b6b3a7640000", kernels.wei_to_eth) == 1.0
     assert one(spark, "bc1qxyz", kernels.crypto_currency) == "BTC"
     assert one(spark, "02:00:5e:00:00:01", lambda c: F.struct(*kernels.mac_flags(c))) == ("02:00:5e", True, False)
+
+
+def test_plugin_kernels(spark):
+    from evigrid.functions import plugins
+
+    r = one(spark, "User-agent: *\nDisallow: /a\nallow: /b\nDisallow: /c\nSitemap: https://x/s.xml", plugins.robots)
+    assert (r.disallow, r.allow, r.sitemaps, r.n_disallow) == (["/a", "/c"], ["/b"], ["https://x/s.xml"], 2)
+    assert one(spark, "*.b.com\na.com\n\nB.com", plugins.certificates) == ["a.com", "b.com"]
+    r = one(spark, "2024-01-20", lambda c: plugins.tls(c.cast("date"), F.lit("2024-01-01").cast("date")))
+    assert (r.days_remaining, r.expired, r.expires_soon) == (19, False, True)
+    assert plugins.levels({"dns": set(), "bgp": {"dns"}, "geo": {"bgp", "dns"}}) == {"dns": 0, "bgp": 1, "geo": 2}
