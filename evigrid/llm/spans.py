@@ -178,25 +178,37 @@ def flags(window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
-def flag_blobs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Flags packed by document bucket, one blob each: documents, their counts, all starts."""
+def ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Flagged starts (or ranges of them) as ``(doc, tag, start, size)``, ranges that touch as one, in order."""
+    size = np.ones(len(start), np.int64) if size is None else size.astype(np.int64)
     order = np.lexsort((start, tag, doc))
-    doc, tag, start = doc[order].astype("<i8"), tag[order].astype("<i2"), start[order].astype("<i4")
+    doc, tag, start, size = doc[order].astype("<i8"), tag[order].astype("<i2"), start[order].astype(np.int64), size[order]
+    if not len(doc):
+        return doc, tag, start.astype("<i4"), size.astype("<i4")
+    end = start + size
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > end[:-1])]))
+    end = np.maximum.reduceat(end, first)
+    return doc[first], tag[first], start[first].astype("<i4"), (end - start[first]).astype("<i4")
+
+
+def flag_blobs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int, size: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """Flags packed by document bucket, one blob each: documents, their counts, all ranges of starts."""
+    doc, tag, start, size = ranges(doc, tag, start, size)
     out = []
     for k, at in split_by(bucket(mix(doc.view(U)), n), n):
         d, t = doc[at], tag[at]
         first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-        size = np.diff(np.append(first, len(d))).astype("<i4")
+        count = np.diff(np.append(first, len(d))).astype("<i4")
         head = np.array([len(first), len(d)], "<i4")
-        out.append((k, b"".join(x.tobytes() for x in (head, d[first], t[first], size, start[at]))))
+        out.append((k, b"".join(x.tobytes() for x in (head, d[first], t[first], count, start[at], size[at]))))
     return out
 
 
-def _flags_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flags_of(blob: bytes) -> tuple[np.ndarray, ...]:
     d, n = np.frombuffer(blob, "<i4", 2).tolist()
     doc, tag = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<i2", d, 8 + 8 * d)
-    size, start = np.frombuffer(blob, "<i4", d, 8 + 10 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d)
-    return np.repeat(doc, size), np.repeat(tag, size), start
+    count, start, size = np.frombuffer(blob, "<i4", d, 8 + 10 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d + 4 * n)
+    return np.repeat(doc, count), np.repeat(tag, count), start, size
 
 
 #: Rows between passes: kind 0 has windows still to be settled, kind 1 flags of a document bucket.
@@ -217,7 +229,8 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            got = flag_blobs(*(np.concatenate(x) for x in zip(*parts)), n) if parts else []
+            doc, tag, start, size = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+            got = flag_blobs(doc, tag, start, n, size)
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["k", "blob"])
 
         parts: list[tuple[np.ndarray, ...]] = []
@@ -225,7 +238,7 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
             parts += [_flags_of(r[2]) for r in got if r[1] == 1]
             open_ = [r[2] for r in got if r[1] == 0]
             if open_:
-                parts.append(judge(open_))
+                parts.append(ranges(*judge(open_)))
             if sum(len(p[0]) for p in parts) >= 2 * FLUSH:
                 yield out(parts)
                 parts = []
@@ -233,14 +246,13 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in by_bucket(batches):
-            doc, tag, start = (np.concatenate(x) for x in zip(*(_flags_of(r[1]) for r in got)))
-            order = np.lexsort((start, tag, doc))
-            doc, tag, start = doc[order], tag[order], start[order]
+            doc, tag, start, size = ranges(*(np.concatenate(x) for x in zip(*(_flags_of(r[1]) for r in got))))
+            pairs = np.stack([start, size], axis=1)
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
             ends = np.append(first[1:], len(doc))
             for i in range(0, len(first), 10_000):
                 f, e = first[i : i + 10_000], ends[i : i + 10_000]
-                starts = [start[x:y].tobytes() for x, y in zip(f.tolist(), e.tolist())]
+                starts = [pairs[x:y].tobytes() for x, y in zip(f.tolist(), e.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f].astype(np.int32)), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
 
     flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k int, blob binary")
@@ -253,4 +265,8 @@ def with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def starts_of(blob: bytes | None) -> np.ndarray:
-    return np.unique(np.frombuffer(blob, "<i4")).astype(np.int64) if blob else np.zeros(0, np.int64)
+    """The starts in a document's ranges."""
+    if not blob:
+        return np.zeros(0, np.int64)
+    start, size = np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64).T
+    return np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
