@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -43,7 +44,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
+    """64-bit polynomial hashes of byte ranges; equal bytes have equal hashes wherever they stand.
+
+    Unequal ones may too (certain regular strings of two letters do, from 1,024 bytes on): for
+    callers that compare the bytes, or to whom a collision only means more work.
+    """
     return mix((sums[end] - sums[start]) * _inverse[start])
 
 
@@ -103,6 +108,21 @@ def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = PLAIN) -> tup
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first half, second half, text number, place in the text)`` of every word: its XXH3 hash
+    of 128 bits. Words are told apart byte by byte inside the block; each distinct one is hashed once."""
+    start, end, text = words(data, offs)
+    if not len(start):
+        none = np.zeros(0, U)
+        return none, none, text, text
+    joined = data[PLAIN[data]]
+    bounds = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(joined)]).dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), U).reshape(-1, 2)
+    return both[which, 0], both[which, 1], text, rank_in_text(text)
+
+
 def rank_in_text(text: np.ndarray) -> np.ndarray:
     """Position of each word within its text; ``text`` is ascending."""
     if not len(text):

@@ -1,16 +1,18 @@
 """Byte-level BPE over batches: pre-tokens, a trie of the distinct ones, and their last tokens.
 
-A text is cut into pre-tokens; equal ones are encoded once. Their prefixes form a
-trie, and what a prefix encodes to is known from its *last token* alone: the
-encoding of a prefix is that of a shorter prefix plus one token, and just one
-token fits (the merges would not join or split it with the token before). Every
-node of the trie is solved once, a depth at a time, for all words that share it.
+A text is cut into pre-tokens; equal ones (compared byte by byte) are encoded once. Their
+prefixes form a trie, and what a prefix encodes to is known from its *last token* alone:
+the encoding of a prefix is that of a shorter prefix plus one token, and just one token
+fits (the merges would not join or split it with the token before). The trie is walked
+depth first, in the order of the sorted words, and every node is solved once.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,41 +20,14 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from evigrid.llm.arrays import mix, prefix_sums, span_hash
-
-U = np.uint64
-#: Longer pre-tokens (rulers, base64) are given to the library as they are.
-LONGEST = 48
-#: Encodings of distinct pre-tokens that a worker keeps from block to block, at most.
-MEMORY = 1_000_000
+#: Encodings that a worker keeps from block to block, and the longest pre-token kept; beyond it starts afresh.
+MEMORY, KEPT = 1_000_000, 64
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 9
-#: Ranges in which this module's character classes are known to be the library's.
+#: Ranges in which this module's character classes are known to be the library's; texts with
+#: other characters are cut by the library's own pre-tokenizer.
 KNOWN = ((0x0, 0x557), (0x2000, 0x208E), (0x20A0, 0xA7CD), (0xAC00, 0xD7A3))
 
 
-class Lookup:
-    """64-bit keys to small numbers, by open addressing, for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = (1 << max(4, int(len(keys) * 8).bit_length())) - 1
-        self.keys, self.values = np.zeros(self.mask + 1, U), np.full(self.mask + 1, -1, np.int32)
-        for k, v in zip(keys.tolist(), values.tolist()):
-            i = k & self.mask
-            while self.values[i] >= 0:
-                i = (i + 1) & self.mask
-            self.keys[i], self.values[i] = k, v
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys & U(self.mask)).astype(np.int64)
-        out = self.values[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & self.mask
-            out[open_] = self.values[at[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != keys[open_])]
-        return out
-
-
 def _byte_of_char() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use for bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,25 +35,18 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((a.astype(U) << U(32)) | b.astype(U))
-
-
 @dataclass
 class Pieces:
-    """Distinct pre-tokens of a block and where they occur. ``word`` numbers the distinct ones."""
+    """The pre-tokens of a block: ``distinct`` ones, and the number of the one (``word``) and
+    of the text at each place, in text order."""
 
     word: np.ndarray
     text: np.ndarray
-    key: np.ndarray
-    data: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    special: np.ndarray
+    distinct: list[bytes]
 
 
 class Vocabulary:
-    """A ``tokenizers`` file with a byte-level BPE model, as arrays."""
+    """A ``tokenizers`` file with a byte-level BPE model."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -98,35 +66,30 @@ class Vocabulary:
             raw[i] = bytes(to_byte[c] for c in piece)
         for content, i in self.special.items():
             raw[i] = content.encode()
-        self.raw = raw
-        self.lengths = np.array([len(x) for x in raw], np.int64)
+        self.sizes = [len(x) for x in raw]
+        self.lengths = np.array(self.sizes, np.int64)
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        left = np.array([model["vocab"][a] for a, _ in merges], np.int64)
-        right = np.array([model["vocab"][b] for _, b in merges], np.int64)
-        made = np.array([model["vocab"][a + b] for a, b in merges], np.int64)
-        self.when = np.full(size, -1, np.int64)
-        self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        for i in range(len(merges) - 1, -1, -1):  # the earliest merge that makes a token is the one that does
-            self.left[made[i]], self.right[made[i]], self.when[made[i]] = left[i], right[i], i
-        first = np.full(size, -1, np.int64)
-        first[made] = made
-        self.rank = Lookup(_pair_key(left, right), np.arange(len(merges)))
-        self.sound = np.array([len(x) > 0 for x in raw])
-        self.sound[list(self.special.values())] = False
-        joined = np.flatnonzero(self.when >= 0)
-        fits = self.apart(self.left[joined], self.right[joined], self.when[joined])
-        for t, ok in sorted(zip(joined.tolist(), fits.tolist()), key=lambda x: self.when[x[0]]):
-            self.sound[t] = ok and self.sound[self.left[t]] and self.sound[self.right[t]]
-        good = np.flatnonzero(self.sound)
-        sums = prefix_sums(self.bytes)
-        self.token = Lookup(span_hash(sums, self.starts[good], self.starts[good] + self.lengths[good]), good)
-        self.longest = int(self.lengths[good].max())
-        self.known, self.known_ids, self.known_offs = np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.step: dict[tuple[int, int], int] = {}
+        self.when, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        for i, (a, b) in enumerate(merges):
+            x, y, made = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
+            self.step.setdefault((x, y), i)
+            if self.when[made] < 0:  # the earliest merge that makes a token is the one that does
+                self.left[made], self.right[made], self.when[made] = x, y, i
+        sound = [bool(x) and self.when[i] < 0 for i, x in enumerate(raw)]
+        for t in sorted((t for t in range(size) if self.when[t] >= 0), key=self.when.__getitem__):
+            x, y = self.left[t], self.right[t]
+            sound[t] = sound[x] and sound[y] and self._apart(x, y, self.when[t])
+        for i in self.special.values():
+            sound[i] = False
+        self.token = {raw[i]: i for i in range(size) if sound[i]}
+        lengths = sorted({len(x) for x in self.token}, key=lambda k: (abs(k - 2.6), k))
         # Exactly one last token fits a prefix, so lengths may be tried in any order: likely ones first.
-        self.tries = sorted(range(1, self.longest + 1), key=lambda k: (abs(k - 2.6), k))
-        self.tries_to = [max((i + 1 for i, k in enumerate(self.tries) if k <= d), default=0) for d in range(self.longest + 1)]
+        self.tries = [[k for k in lengths if k <= end] for end in range(max(lengths) + 1)]
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.known = self._specials()
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         for low, high in KNOWN:
             chars = "".join(map(chr, range(low, high + 1)))
@@ -134,40 +97,38 @@ class Vocabulary:
             for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
                 self.kind[[ord(c) for c in regex.findall(pattern, chars)]] = kind
 
-    def apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    def _specials(self) -> dict[bytes, bytes]:
+        """An ordinary pre-token never has the bytes of a special string: those are cut out before."""
+        return {content.encode(): array("I", [i]).tobytes() for content, i in self.special.items()}
+
+    def _apart(self, a: int, b: int, before: int = 1 << 40) -> bool:
         """Whether tokens ``a`` and ``b`` stay side by side: no merge across their border comes
         before the merges that make them (and before step ``before``). Undoes the latest merge
         at the border again and again, and looks whether what meets there would have merged."""
-        a, b = a.copy(), b.copy()
-        limit = np.full(len(a), 1 << 40, np.int64) if before is None else before.copy()
-        ok, live = np.ones(len(a), bool), np.arange(len(a))
-        while len(live):
-            x, y = a[live], b[live]
-            step = self.rank.get(_pair_key(x, y)).astype(np.int64)
-            bad = (step >= 0) & (step < limit[live])
-            ok[live[bad]] = False
-            live, x, y = live[~bad], x[~bad], y[~bad]
-            wx, wy = self.when[x], self.when[y]
-            undo_left = wx > wy
-            some = (wx >= 0) | (wy >= 0)
+        while True:
+            if self.step.get((a, b), before) < before:
+                return False
+            x, y = self.when[a], self.when[b]
+            if x < 0 and y < 0:
+                return True
             # A merge at a place further left comes first among equal steps: on the right side
-            # the border pair wins a tie with the merge that made y, on the left side it does not.
-            limit[live] = np.where(undo_left, wx, wy + 1)
-            a[live] = np.where(undo_left, self.right[x], x)
-            b[live] = np.where(undo_left, y, self.left[y])
-            live = live[some]
-        return ok
+            # the border pair wins a tie with the merge that made b, on the left side it does not.
+            if x > y:
+                before, a = x, self.right[a]
+            else:
+                before, b = y + 1, self.left[b]
 
     def cuts(self, block: bytes, offs: np.ndarray) -> Pieces:
         """The pre-tokens of the texts of a block, as the library's pre-tokenizer makes them."""
-        chars = np.frombuffer(block.decode().encode("utf-32-le"), np.uint32)
+        text_of_block = block.decode()
+        chars = np.frombuffer(text_of_block.encode("utf-32-le"), np.uint32)
         width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
         at = np.concatenate([[0], np.cumsum(width)])
         edge = np.searchsorted(at, offs)
         n, kind = len(chars), self.kind[chars]
         odd = np.unique(np.searchsorted(edge, np.flatnonzero(kind == UNKNOWN), "right") - 1)
         if self.cut:
-            low = block.decode() if any(s.encode() in block for s in self.special) else ""
+            low = text_of_block if any(s.encode() in block for s in self.special) else ""
             odd = np.union1d(odd, [np.searchsorted(edge, m.start(), "right") - 1 for m in self.cut.finditer(low)]).astype(np.int64)
         last = np.zeros(n + 1, bool)
         last[edge] = True
@@ -197,129 +158,96 @@ class Vocabulary:
             after = q + 1 + take
             start[after[after < n]] = True
         begin = np.flatnonzero(start)
-        finish = np.append(begin[1:], n)
         text = np.searchsorted(edge, begin, "right") - 1
-        data = np.frombuffer(block, np.uint8)
-        b, e = at[begin], at[finish]
-        special = np.full(len(b), -1, np.int64)
+        bounds = np.append(at[begin], len(block)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(block)])
+        if len(odd):
+            ours = ~np.isin(text, odd)
+            theirs = [(piece, t) for t in odd.tolist() for piece in self._slow(block[offs[t] : offs[t + 1]].decode())]
+            pieces = pa.concat_arrays([pieces.filter(pa.array(ours)), pa.array([p for p, _ in theirs], pa.large_binary())])
+            text = np.concatenate([text[ours], np.array([t for _, t in theirs], np.int64)])
+        coded = pieces.dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(odd):
-            keep = ~np.isin(text, odd)
-            parts, extra = [block], []
-            where = len(block)
-            for t in odd.tolist():
-                for piece, sid in self._slow(block[offs[t] : offs[t + 1]].decode()):
-                    parts.append(piece)
-                    extra.append((where, where + len(piece), t, sid))
-                    where += len(piece)
-            extra = np.array(extra, np.int64).reshape(-1, 4)
-            b, e = np.concatenate([b[keep], extra[:, 0]]), np.concatenate([e[keep], extra[:, 1]])
-            text, special = np.concatenate([text[keep], extra[:, 2]]), np.concatenate([special[keep], extra[:, 3]])
             order = np.argsort(text, kind="stable")
-            b, e, text, special = b[order], e[order], text[order], special[order]
-            data = np.frombuffer(b"".join(parts), np.uint8)
-        key = span_hash(prefix_sums(data), b, e)
-        key = np.where(special >= 0, special.astype(U), key)
-        key, which, word = np.unique(key, return_index=True, return_inverse=True)
-        return Pieces(word, text, key, data, b[which], e[which], special[which])
+            word, text = word[order], text[order]
+        return Pieces(word, text, coded.dictionary.to_pylist())
 
-    def _slow(self, text: str):
+    def _slow(self, text: str) -> Iterator[bytes]:
         """Pre-tokens from the library itself, around special strings."""
         at = 0
         for m in [*(self.cut.finditer(text) if self.cut else ()), None]:
             part = text[at : m.start() if m else len(text)]
             for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(part):
-                yield part[i:j].encode(), -1
+                yield part[i:j].encode()
             if m:
-                yield m[0].encode(), self.special[m[0]]
+                yield m[0].encode()
                 at = m.end()
 
-    def encode(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    def _walk(self, words: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
+        """For each of the sorted words the last token and the number of tokens of each prefix.
+
+        The two lists are the path from the root of the trie to the word: what it shares with
+        the word before stays, the rest is solved anew. They change with the next word.
+        """
+        token, fits, tries = self.token, self.fits, self.tries
+        last, count, before = [-1], [0], b""
+        for w in words:
+            same = min(len(w), len(before))
+            if w[:same] != before[:same]:
+                same = next(i for i in range(same) if w[i] != before[i])
+            del last[same + 1 :], count[same + 1 :]
+            for end in range(same + 1, len(w) + 1):
+                for k in tries[end] if end < len(tries) else tries[-1]:
+                    t = token.get(w[end - k : end])
+                    if t is None:
+                        continue
+                    if k == end:
+                        break
+                    pair = last[end - k], t
+                    ok = fits.get(pair)
+                    if ok is None:
+                        ok = fits[pair] = self._apart(*pair)
+                    if ok:
+                        break
+                else:
+                    raise ValueError("a byte is missing in the vocabulary")
+                last.append(t)
+                count.append(count[end - k] + 1)
+            before = w
+            yield last, count
+        if len(fits) > 4 * MEMORY:
+            fits.clear()
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Number of tokens of each of the distinct pre-tokens; no ids are made."""
+        special = {s.encode() for s in self.special}
+        order = sorted(set(words) - special)
+        found = dict.fromkeys(special, 1)
+        for w, (_, count) in zip(order, self._walk(order)):
+            found[w] = count[len(w)]
+        return [found[w] for w in words]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of the distinct pre-tokens."""
-        n = len(p.start)
-        length = p.end - p.start
-        counts = np.ones(n, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word, place from the end, id)
-        at = np.minimum(np.searchsorted(self.known, p.key), max(0, len(self.known) - 1))
-        known = (self.known[at] == p.key) if len(self.known) else np.zeros(n, bool)
-        known &= p.special < 0
-        if known.any():
-            w, at = np.flatnonzero(known), at[known]
-            counts[w] = size = self.known_offs[at + 1] - self.known_offs[at]
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            found.append((np.repeat(w, size), np.repeat(size, size) - 1 - place, self.known_ids[np.repeat(self.known_offs[at], size) + place]))
-        plain = np.flatnonzero((p.special < 0) & (length <= LONGEST) & ~known)
-        for i in range(0, len(plain), 150_000):
-            self._trie(p, plain[i : i + 150_000], length, counts, found)
-        rest = np.flatnonzero((p.special < 0) & (length > LONGEST))
-        for w in rest.tolist():
-            ids = np.array(self.library.encode(p.data[p.start[w] : p.end[w]].tobytes().decode(), add_special_tokens=False).ids, np.int64)
-            counts[w] = len(ids)
-            found.append((np.full(len(ids), w), np.arange(len(ids))[::-1], ids))
-        given = np.flatnonzero(p.special >= 0)
-        found.append((given, np.zeros(len(given), np.int64), p.special[given]))
-        offs = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.zeros(offs[-1], np.uint32)
-        for w, back, token in found:
-            ids[offs[w + 1] - 1 - back] = token
-        self._remember(p, plain, ids, offs)
-        return ids, offs
-
-    def _remember(self, p: Pieces, ws: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> None:
-        """Keeps encodings for the worker's next blocks, as long as there is room."""
-        if not len(ws) or len(self.known) + len(ws) > MEMORY:
-            return
-        size = np.diff(offs)[ws]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        keys = np.concatenate([self.known, p.key[ws]])
-        flat = np.concatenate([self.known_ids, ids[np.repeat(offs[ws], size) + place]])
-        size = np.concatenate([np.diff(self.known_offs), size])
-        start = np.cumsum(size) - size
-        order = np.argsort(keys)
-        size = size[order]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        self.known, self.known_ids = keys[order], flat[np.repeat(start[order], size) + place]
-        self.known_offs = np.concatenate([[0], np.cumsum(size)])
-
-    def _trie(self, p: Pieces, ws: np.ndarray, length: np.ndarray, counts: np.ndarray, found: list) -> None:
-        n, size = len(ws), length[ws]
-        order = np.argsort(-size, kind="stable")
-        ws, size = ws[order], size[order]
-        deep = int(size[0]) if n else 0
-        sums = prefix_sums(p.data)
-        begin = p.start[ws]
-        node = np.zeros((deep + 1, n), np.int32)  # trie node of each word's prefix, by depth
-        last: list[np.ndarray] = [np.zeros(1, np.int64)]  # last token of each node, by depth
-        for d in range(1, deep + 1):
-            m = int(np.searchsorted(-size, -d, "right"))
-            key = span_hash(sums, begin[:m], begin[:m] + d)
-            _, one, which = np.unique(key, return_index=True, return_inverse=True)
-            node[d, :m] = which
-            state, open_ = np.full(len(one), -1, np.int64), np.arange(len(one))
-            for k in self.tries[: self.tries_to[min(d, self.longest)]]:
-                if k > d:
-                    continue
-                r = one[open_]
-                token = self.token.get(span_hash(sums, begin[r] + d - k, begin[r] + d)).astype(np.int64)
-                hit = np.flatnonzero(token >= 0)
-                if k < d and len(hit):
-                    hit = hit[self.apart(last[d - k][node[d - k, r[hit]]], token[hit])]
-                state[open_[hit]] = token[hit]
-                open_ = np.delete(open_, hit)
-                if not len(open_):
-                    break
-            last.append(state)
-        at, live, back = size.copy(), np.arange(n), 0
-        total = np.zeros(n, np.int64)
-        while len(live):
-            token = np.empty(len(live), np.int64)
-            for d in np.unique(at[live]).tolist():
-                here = at[live] == d
-                token[here] = last[d][node[d, live[here]]]
-            found.append((ws[live], np.full(len(live), back), token))
-            total[live] += 1
-            at[live] -= self.lengths[token]
-            live, back = live[at[live] > 0], back + 1
-        counts[ws] = total
+        known = self.known
+        if len(known) > MEMORY:
+            known = self.known = self._specials()
+        new = sorted(w for w in words if w not in known)
+        for w, (last, count) in zip(new, self._walk(new)):
+            at, k = len(w), count[len(w)]
+            out = array("I", bytes(4 * k))
+            while at:
+                k -= 1
+                out[k] = last[at]
+                at -= self.sizes[last[at]]
+            known[w] = out.tobytes()
+        parts = [known[w] for w in words]
+        for w in new:
+            if len(w) > KEPT:
+                del known[w]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids, as the library's decoder turns them into text."""
@@ -343,7 +271,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def as_ids(v: Vocabulary, p: Pieces, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a block, end to end, with offsets."""
-    ids, offs = v.encode(p)
+    ids, offs = v.encode(p.distinct)
     size = np.diff(offs)[p.word]
     ends = np.cumsum(size)
     flat = np.repeat(offs[p.word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)

@@ -4,14 +4,13 @@ Any string of ``width`` bytes holds ``width - K + 1`` substrings of K bytes; the
 with the least hash is its anchor, so equal strings have equal anchors wherever they
 stand. The suffixes whose first ``width`` bytes have one anchor form a shard entry: a
 run of neighbouring starts and the bytes they reach over. Entries with an anchor that
-occurs in one document only are never moved. A task sorts the suffixes of its shard by
-their first ``width`` bytes and settles each run of equal ones.
+occurs in one document only are never moved. A task groups the suffixes of its shard by a
+hash of their first ``width`` bytes, compares those bytes and settles each group of equal ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,15 +72,20 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[run] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), run
 
 
-def _confirmed(data: np.ndarray, start: np.ndarray, again: np.ndarray, lead: np.ndarray, width: int) -> np.ndarray:
-    """``again`` where the bytes really are those of the first of the run."""
+def _again(data: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """For each start: whether the same ``width`` bytes start in a smaller doc."""
+    if not len(start):
+        return np.zeros(0, bool)
     view = np.lib.stride_tricks.sliding_window_view(data, width)
-    out = again.copy()
-    at = np.flatnonzero(again)
-    for i in range(0, len(at), 100_000):
-        x = at[i : i + 100_000]
-        out[x] = (view[start[x]] == view[start[lead[x]]]).all(axis=1)
-    return out
+
+    def equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), bool)
+        for i in range(0, len(x), 100_000):
+            at = slice(i, i + 100_000)
+            out[at] = (view[start[x[at]]] == view[start[y[at]]]).all(axis=1)
+        return out
+
+    return spans.flags(span_hash(prefix_sums(data), start, start + width), doc, equal)
 
 
 def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS) -> DataFrame:
@@ -94,7 +98,6 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
     bitmap = spans.shared_filter(docs, minimizers(width), bits)
 
     def settle_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = bitmap.value if bitmap is not None else None
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -104,8 +107,7 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
             anchor, doc, tag, origin = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
             first, last = (np.concatenate([x[k] + b for x, b in zip(held, base)]) for k in (5, 6))
             start, run = _spread(first, last)
-            again, lead = spans.flags(span_hash(prefix_sums(data), start, start + width), doc[run])
-            again = _confirmed(data, start, again, lead, width)
+            again = _again(data, start, doc[run], width)
             local = start - first[run] + origin[run]
             rows = [(k, 1, blob) for k, blob in spans.flag_blobs(doc[run][again], tag[run][again], local[again], n)]
             open_ = np.flatnonzero(np.bincount(run, ~again, len(first)) > 0)
@@ -119,9 +121,9 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
             ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, j, data, offs in blocks(b.column(2), BLOCK):
                 anchor, text, first, last, _ = _runs(data, offs, width)
-                keep = spans.marked(anchor, filter_, bits)
+                keep = bitmap.marked(anchor)
                 anchor, text, first, last = anchor[keep], text[keep], first[keep], last[keep]
-                held.append((data, anchor, ids[i:j][text].astype(np.int64), tags[i:j][text].astype(np.int32), first - offs[text], first, last))
+                held.append((data, anchor, ids[i:j][text].astype(np.int64), tags[i:j][text].astype(np.int64), first - offs[text], first, last))
                 if sum(len(x[0]) for x in held) >= HELD or sum(int((x[6] - x[5]).sum()) for x in held) >= FLUSH:
                     yield out()
                     held = []
@@ -133,27 +135,24 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
         ends = np.cumsum(size + width - 1)
         first = ends - (size + width - 1)
         start, run = _spread(first, first + size)
-        again, lead = spans.flags(span_hash(prefix_sums(data), start, start + width), doc[run])
-        again = _confirmed(data, start, again, lead, width)
+        again = _again(data, start, doc[run], width)
         return doc[run][again], tag[run][again], (start - first[run] + origin[run])[again]
 
     return spans.settle(docs.mapInArrow(settle_own, spans.ROWS_DDL), judge)
 
 
 def _packed(data: np.ndarray, doc: np.ndarray, tag: np.ndarray, origin: np.ndarray, size: np.ndarray) -> bytes:
-    text = zlib.compress(data.tobytes(), 1)
-    head = np.array([len(doc), len(text)], "<i4")
-    return b"".join(x.tobytes() for x in (head, doc.astype("<i8"), tag.astype("<i2"), origin.astype("<i4"), size.astype("<i4"))) + text
+    """Entries with their bytes; a document's entries stand together, so that its id compresses."""
+    raw = b"".join(x.tobytes() for x in (doc.astype("<i8"), tag.astype("<i8"), origin.astype("<i4"), size.astype("<i4"), data))
+    return np.array([len(doc), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, _ = np.frombuffer(blob, "<i4", 2).tolist()
-    at, out = 8, []
-    for kind, width in (("<i8", 8), ("<i2", 2), ("<i4", 4), ("<i4", 4)):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * width
-    doc, tag, origin, size = out
-    return np.frombuffer(zlib.decompress(blob[at:]), np.uint8), doc, tag, origin.astype(np.int64), size.astype(np.int64)
+    n, length = np.frombuffer(blob, "<i8", 2).tolist()
+    raw = pa.decompress(blob[16:], length, codec="zstd", asbytes=True)
+    doc, tag = np.frombuffer(raw, "<i8", 2 * n).reshape(2, n)
+    origin, size = np.frombuffer(raw, "<i4", 2 * n, 16 * n).reshape(2, n).astype(np.int64)
+    return np.frombuffer(raw, np.uint8, -1, 24 * n), doc, tag, origin, size
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS) -> DataFrame:
@@ -161,9 +160,11 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
 
     A byte goes if a string of ``width`` bytes covers it that also starts in a document
     with a smaller doc_id, judged on the input; ``n_spans`` counts the maximal removed
-    runs. A null text is empty; texts shorter than ``width`` lose nothing. Rows with a
-    null doc_id lose nothing and take nothing. Repeated rows are treated alike and do
-    not count against each other. Other columns are not looked at.
+    runs. A null text is empty; texts shorter than ``width`` lose nothing; very long texts
+    are treated whole, in a block of their own. Rows with a null doc_id lose nothing and
+    take nothing. Repeated rows are treated alike and do not count against each other; rows
+    that repeat a doc_id with another text are told apart by a 64-bit hash of the text. An
+    empty table gives no rows. Other columns are not looked at.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,18 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
-Patterns are the windows of the benchmark items. A block is two words; the shift
-table says how far the search may jump when a block ends the current position,
-suffix-hash buckets give the few windows that end in a block, and comparing the
-words confirms. Items shorter than a window are patterns of their own length;
-each length has its own tables.
+Patterns are the windows of the benchmark items. A block is two words; the shift table says
+by its hash how far the search may jump when the block ends the current position, suffix-hash
+buckets give the few windows that end in such a block, and comparing the bytes confirms.
+Items shorter than a window are patterns of their own length; each length has its own tables.
+The tables are flat arrays over the text of the items, with a bound on their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrid.llm.arrays import blocks
+from evigrid.plans.lineage import written
 
 #: Lower-cases A-Z and blanks everything but digits, letters and non-ASCII bytes.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Benchmark bytes in one set of tables; a larger benchmark is searched in several passes.
-MOST_BYTES = 32 << 20
+#: Bytes of built tables that are broadcast at once; a larger benchmark is searched in several passes.
+MOST_BYTES = 64 << 20
+#: Built bytes for each word besides its own: start, length and item of a window, 16 slots of shifts, 8 bytes of buckets.
+PER_WORD = 36
+#: Windows of an item that stay together; a longer item is cut into pieces that overlap by a window less a word.
+PIECE = 4096
 
 
 def fold_words(text: bytes) -> list[bytes]:
@@ -32,55 +38,123 @@ def fold_words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Tables:
-    """Shift and bucket tables for patterns of one length."""
+    """Shift and bucket tables for patterns of one length: ``data`` has the pieces, words joined by blanks."""
 
     width: int
-    shift: dict = field(default_factory=dict)
-    bucket: dict = field(default_factory=dict)
-
-    def add(self, words: list[bytes], item: int) -> None:
-        b = min(2, self.width)
-        for end in range(b, self.width + 1):
-            block = tuple(words[end - b : end])
-            jump = self.width - end
-            if jump < self.shift.get(block, 1 << 30):
-                self.shift[block] = jump
-        self.bucket.setdefault(tuple(words[self.width - b :]), {}).setdefault(tuple(words), set()).add(item)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
+    data: bytes
+    items: list[str]
+    shift: bytes
+    bucket: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+
+    @classmethod
+    def of(cls, width: int, pieces: list[tuple[str, bytes]]) -> Tables:
+        """From ``(item, words joined by blanks)``."""
+        items = sorted({i for i, _ in pieces})
+        number = {i: k for k, i in enumerate(items)}
+        block = min(2, width)
+        at, data, starts, sizes, owner, ends, hashes, jumps = 0, [], [], [], [], [], [], []
+        for item, text in pieces:
+            words = text.split(b" ")
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            begin = at + np.cumsum(lengths + 1) - lengths - 1
+            h = np.fromiter((crc32(b" ".join(words[j - block + 1 : j + 1])) for j in range(block - 1, len(words))), np.uint32, len(words) - block + 1)
+            n = len(words) - width + 1
+            starts.append(begin[:n])
+            sizes.append(begin[width - 1 :] + lengths[width - 1 :] - begin[:n])
+            owner.append(np.full(n, number[item]))
+            ends.append(h[width - block :])
+            hashes.append(h)
+            # The first window with the block has it nearest to its end.
+            jumps.append(np.maximum(width - block - np.arange(len(h)), 0))
+            data.append(text + b" ")
+            at += len(text) + 1
+        hashes, jumps, ends = (np.concatenate(x) for x in (hashes, jumps, ends))
+        shift = np.full(1 << max(4, int(8 * len(ends)).bit_length()), width - block + 1, np.uint8)
+        np.minimum.at(shift, hashes & np.uint32(len(shift) - 1), jumps.astype(np.uint8))
+        n = 1 << max(3, len(ends).bit_length())
+        slot = ends & np.uint32(n - 1)
+        order = np.argsort(slot, kind="stable")
+        bucket = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=n))]).astype(np.uint32)
+        start, size, item = (np.concatenate(x)[order].astype(np.uint32) for x in (starts, sizes, owner))
+        return cls(width, b"".join(data), items, shift.tobytes(), bucket, start, size, item)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.data) + len(self.shift) + sum(x.nbytes for x in (self.bucket, self.start, self.size, self.item))
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """``(start, items)`` of every occurrence."""
-        width, shift, bucket = self.width, self.shift, self.bucket
-        b = min(2, width)
-        skip, at, n = width - b + 1, width, len(words)
+        width, shift, mask, slots = self.width, self.shift, len(self.shift) - 1, len(self.bucket) - 2
+        block, at, n = min(2, width), width, len(words)
         while at <= n:
-            block = tuple(words[at - b : at])
-            jump = shift.get(block, skip)
+            h = crc32(b" ".join(words[at - block : at]))
+            jump = shift[h & mask]
             if jump:
                 at += jump
                 continue
-            items = bucket[block].get(tuple(words[at - width : at]))
-            if items:
-                yield at - width, items
+            low, high = self.bucket[h & slots], self.bucket[(h & slots) + 1]
+            if low < high:
+                text = b" ".join(words[at - width : at])
+                found = []
+                for k in range(low, high):
+                    s = self.start[k]
+                    if self.size[k] == len(text) and self.data[s : int(s) + len(text)] == text:
+                        found.append(self.items[self.item[k]])
+                if found:
+                    yield at - width, found
             at += 1
 
 
-def build(items: list[tuple[object, bytes]], window: int) -> list[Tables]:
-    by_width: dict[int, Tables] = {}
-    for item, text in items:
-        words = fold_words(text)
-        width = min(window, len(words))
-        for i in range(len(words) - width + 1 if width else 0):
-            by_width.setdefault(width, Tables(width)).add(words[i : i + width], item)
-    return [by_width[w] for w in sorted(by_width)]
-
-
-def _chunks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, bytes]]]:
-    """The benchmark in parts of about ``most`` bytes, a part at a time on the driver."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // most))
-    part = F.pmod(F.xxhash64("text"), F.lit(n))
+def build(pieces: list[tuple[str, int, bytes]]) -> list[Tables]:
+    """Tables of ``(item, width, words joined by blanks)``, one set for each width."""
+    by_width: dict[int, list[tuple[str, bytes]]] = {}
+    for item, width, text in pieces:
+        by_width.setdefault(width, []).append((item, text))
+    return [Tables.of(w, by_width[w]) for w in sorted(by_width)]
+
+
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """``(item, width, piece binary, built long)``: the words of every item in pieces of bounded
+    size, and a bound on the bytes of their tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = fold_words(text.encode())
+                width = min(window, len(words))
+                for i in range(0, len(words) - width + 1 if words else 0, PIECE):
+                    part = words[i : i + PIECE + width - 1]
+                    joined = b" ".join(part)
+                    rows.append((item, width, joined, len(joined) + 1 + PER_WORD * len(part) + 256))
+                if len(rows) >= 1000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item", "width", "piece", "built"])
+
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInArrow(run, "item string, width int, piece binary, built long").distinct()
+
+
+def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str, int, bytes]]]:
+    """The pieces in parts whose tables take at most ``most`` bytes (or one piece, of bounded size),
+    a part at a time on the driver."""
+    pieces = written(_pieces(benchmark, window), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("built"), F.lit(0))).first()[0]
+    n = max(1, -(-total // most))
+    part = F.pmod(F.xxhash64("item", "piece"), F.lit(n))
+    while n > 1 and pieces.groupBy(part).agg(F.sum("built").alias("b"), F.count("*").alias("n")).where((F.col("b") > most) & (F.col("n") > 1)).limit(1).count():
+        n += max(1, n // 4)
+        part = F.pmod(F.xxhash64("item", "piece"), F.lit(n))
     for k in range(n):
-        yield [(r[0], bytes(r[1])) for r in benchmark.where(part == k).select("item_id", F.encode("text", "UTF-8")).toLocalIterator()]
+        yield [(r[0], r[1], bytes(r[2])) for r in pieces.where(part == k).select("item", "width", "piece").toLocalIterator()]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -88,21 +162,26 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_by
 
     Gives ``(*keep, text, n_words, starts array<int>, ends array<int>, items array<string>)``
     for each row of ``docs``: word ranges covered by windows (merged, in order) and the
-    distinct ids of their items, sorted as strings. A null text has no words; items that
-    are null, or have no words, match nothing; a null item_id is not an item; repeated
-    items with one id count once. The tables are broadcast only in parts of ``most_bytes``
-    of benchmark text; each further part is one more pass over the same rows, never a
-    shuffle.
+    distinct ids of their items, sorted as strings. A null or empty text has no words; very
+    long texts and items are searched whole; items that are null, or have no words, match
+    nothing; a null item_id is not an item; repeated items with one id count once. Repeated
+    rows give repeated results; an empty table of either kind gives no rows or no marks.
+
+    Tables are broadcast in parts of at most ``most_bytes`` as built. Each further part is one
+    more pass over the rows, which are written in between so that one part is held at a time.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     marks = "starts array<int>, ends array<int>, items array<string>"
     types = {c: docs.schema[c].dataType.simpleString() for c in (*keep, text_col)}
     out = docs.select(*keep, F.col(text_col).alias("text"))
     schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "text string, n_words long, " + marks
     k = len(keep)
-    for number, part in enumerate(_chunks(items, most_bytes)):
-        tables = spark.sparkContext.broadcast(build(part, window))
+    before = None
+    for number, part in enumerate(_parts(benchmark, window, most_bytes)):
+        if before is not None:
+            out = written(out, "searched")
+            before.unpersist()
+        before = tables = spark.sparkContext.broadcast(build(part))
 
         def run(batches: Iterator[pa.RecordBatch], tables=tables, again=number > 0) -> Iterator[pa.RecordBatch]:
             machines = tables.value
@@ -118,12 +197,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_by
                             for at, its in t.find(words):
                                 mask = np.zeros(len(words), bool) if mask is None else mask
                                 mask[at : at + t.width] = True
-                                ids |= its
+                                ids.update(its)
                         if again and len(b.column(k + 2)[i + r]):
                             mask = np.zeros(len(words), bool) if mask is None else mask
                             for x, y in zip(b.column(k + 2)[i + r].as_py(), b.column(k + 3)[i + r].as_py()):
                                 mask[x:y] = True
-                        names_found = {str(x) for x in ids} | (set(b.column(k + 4)[i + r].as_py()) if again else set())
+                        names_found = ids | (set(b.column(k + 4)[i + r].as_py()) if again else set())
                         edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).tolist() if mask is not None else []
                         n_words.append(len(words))
                         starts.append(edges[::2])

@@ -1,11 +1,13 @@
-"""Main text of web pages: structure first, a host's repeated token runs second.
-
-A page becomes blocks of text, each of the main region (article, main), of the
-page's furniture (menus, headers, footers, adverts, forms, comments), or open. Where
-a page has a main region its blocks are the text. Elsewhere the open blocks are, less
-what a *host suffix array* shows to be boilerplate: the token streams of a host's pages
-are its suffixes, sorted in shards by the hash of their first ``RUN`` tokens; a run
-that several distinct pages share has a common prefix of that length, and is removed.
+"""Main text of web pages: structure gives the token streams, a host's repeated runs are cut out.
+
+A page becomes blocks of text, each of the main region (article, main), of the page's
+furniture (menus, headers, footers, adverts, forms, comments), or open. The blocks of the
+main region, or of a page without one the open ones, are its token stream. All suffixes of
+the streams of a host form its *host suffix array*, which is dealt over tasks by the first
+``RUN`` tokens of the suffixes: suffixes that begin alike are neighbours there, and their
+common prefix has at least that length. Where neighbours come from ``PAGES`` distinct pages
+the prefix is boilerplate and what it covers is removed; runs that overlap add up to longer
+ones. Only suffixes near an anchor that two pages share are dealt at all.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.arrays import blocks, covered, prefix_sums, rank_in_text, rolling, span_hash, words
+from evigrid.llm import spans
+from evigrid.llm.arrays import blocks, covered, mix, rolling, word_hashes
 from evigrid.plans.lineage import written
 
-#: Tokens of a run that counts as long, and distinct pages of a host that make it boilerplate.
-RUN, PAGES = 8, 3
+U = np.uint64
+#: Tokens of a run that counts as long, distinct pages of a host that make it boilerplate, and
+#: tokens of an anchor: every run has one, that with the least hash.
+RUN, PAGES, ANCHOR = 8, 3, 4
 
 # HTML element names and the words sites use for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +46,19 @@ WORDS = frozenset(
 )
 #: An open element that ends where one of these starts.
 CLOSES = {"li": {"li"}, "p": BLOCK, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-SPLIT = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
-OPEN, MAIN, CHROME = 0, 1, 2
+#: Parts of a class name that say nothing by themselves: ``comment-list`` and ``site-footer`` are furniture, ``with-sidebar`` is not.
+NEUTRAL = frozenset("area bar block box container content global inner item items left list outer page panel right section site slot sticky the top unit wrap wrapper".split())
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+OPEN, MAIN, CHROME, NESTED = 0, 1, 2, 3
+
+
+def _by_name(attrs: dict[str, str | None]) -> bool:
+    """Whether a class or the id names page furniture, by the whole name."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = [x.lower() for x in PARTS.split(name) if x]
+        if name.lower() in WORDS or (not WORDS.isdisjoint(parts) and all(x in WORDS or x in NEUTRAL for x in parts)):
+            return True
+    return False
 
 
 def _is_furniture(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool:
@@ -50,27 +66,19 @@ def _is_furniture(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool
         return True
     if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower()):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    for name in SPLIT.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
-        low = name.lower()
-        if low in WORDS or any(part in WORDS for part in low.split("-")):
-            return True
-    return False
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower()))
 
 
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, main
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, silent, furniture (2: by its name alone), main
         self.out: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.kind = OPEN
 
-    def _state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+    def _state(self) -> tuple[bool, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, False)
 
     def _end(self) -> None:
         line = " ".join("".join(self.text).split())
@@ -95,9 +103,13 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         silent, chrome, main = self._state()
-        chrome = chrome or _is_furniture(tag, dict(attrs), main)
-        is_main = tag in ("article", "main") or (dict(attrs).get("role") or "").lower() in ("main", "article")
-        self.stack.append((tag, silent or tag in SILENT, chrome, main or (is_main and not chrome)))
+        found = dict(attrs)
+        is_main = tag in ("article", "main") or (found.get("role") or "").lower() in ("main", "article")
+        if chrome != 1 and _is_furniture(tag, found, main):
+            chrome = 1
+        elif not chrome and tag not in ("html", "body", "main") and _by_name(found):
+            chrome = 2
+        self.stack.append((tag, silent or tag in SILENT, chrome, main or (is_main and chrome != 1)))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -111,7 +123,8 @@ class _Blocks(HTMLParser):
         silent, chrome, main = self._state()
         if silent:
             return
-        kind = CHROME if chrome else MAIN if main else OPEN
+        # An article inside what only its name makes furniture counts where the page has no other.
+        kind = (NESTED if main and chrome == 2 else CHROME) if chrome else MAIN if main else OPEN
         if kind != self.kind:
             self._end()
             self.kind = kind
@@ -133,66 +146,106 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
     return p.out
 
 
-def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> DataFrame:
+def stream(html: str | None) -> str:
+    """The blocks of a page that may be its main text, a line each."""
+    found = page_blocks(html)
+    size = {k: sum(len(t) for x, t in found if x == k) for k in (MAIN, NESTED, OPEN)}
+    kind = MAIN if size[MAIN] else NESTED if size[NESTED] > size[OPEN] else OPEN
+    return "\n".join(t for k, t in found if k == kind)
+
+
+def _suffixes(data: np.ndarray, offs: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """``(text, place, anchor, first half, second half)`` of every suffix with ``run`` tokens. The first
+    token of each text is its host, which is in no suffix and in all hashes."""
+    a, b, text, place = word_hashes(data, offs)
+    n = len(a) - run + 1
+    if n <= 0:
+        return text[:0], place[:0], a[:0], a[:0], a[:0]
+    host = a[np.flatnonzero(place == 0)][np.cumsum(place == 0) - 1]
+    size = min(ANCHOR, run)
+    short = mix(rolling(a, size) ^ host[: len(a) - size + 1])
+    anchor = short[:n].copy()
+    for k in range(1, run - size + 1):
+        np.minimum(anchor, short[k : k + n], out=anchor)
+    good = np.flatnonzero((text[:n] == text[run - 1 :]) & (place[:n] > 0))
+    # Least hashes crowd at the low end; scrambled again they spread over the buckets.
+    return text[good], place[good] - 1, mix(anchor[good] ^ U(0x5851F42D4C957F2D)), mix(rolling(a, run) ^ host[:n])[good], mix(rolling(b, run) ^ host[:n])[good]
+
+
+def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, bits: int = spans.FILTER_BITS) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row.
 
     White space inside a block is one space, blocks are joined by a line feed, character
-    references are decoded. A null or empty page has an empty text; broken markup is read
-    as far as it goes. Repeated rows give repeated results; null ids and urls pass through
-    (pages without a host are one host); other columns are not looked at. Pages with equal
-    html count once for what is boilerplate.
+    references are decoded. Runs of ``run`` tokens or more that ``least_pages`` distinct pages
+    of the host have are removed. They may cross blocks, but take less than ``run`` tokens from
+    a block only if they cover all of it, so that a story keeps its first words. A page that would lose four fifths of its
+    tokens or more is itself a near copy of others, not boilerplate, and stays whole. Pages with equal text count
+    once.
+
+    A null or empty page has an empty text; broken markup is read as far as it goes; very long
+    pages are read whole. Repeated rows give repeated results; an empty table gives none; null
+    ids and urls pass through (pages without a host are one host); other columns are not looked
+    at. Runs are told apart by 128 bits of hash, pages by 128 bits of SHA-256.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, rest = [], []
-            for html in b.column(3).to_pylist():
-                found = page_blocks(html)
-                main = [t for k, t in found if k == MAIN]
-                text.append("\n".join(main) if main else None)
-                rest.append(None if main else "\n".join(t for k, t in found if k == OPEN))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(text, pa.string()), pa.array(rest, pa.string())], names=["page_id", "url", "host", "key", "text", "rest"])
+            text = pa.array([stream(x.as_py()) for x in b.column(3)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], text], names=["page_id", "url", "host", "text"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), "html", F.xxhash64("url", "html").alias("key"))
+    host = F.concat(F.lit("//"), F.regexp_replace(host, r"[\x20\x09-\x0D]+", "-"))
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    read = written(rows.mapInArrow(parse, f"page_id {kind['page_id']}, url {kind['url']}, host string, key long, text string, rest string"), "pages")
-    open_ = read.where("rest <> ''").dropDuplicates(["host", "rest"]).select("host", "key", "rest")
+    read = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parse, f"page_id {kind['page_id']}, url {kind['url']}, host string, text string")
+    read = written(read.withColumn("key", F.unhex(F.substring(F.sha2(F.concat_ws("\n", "host", "text"), 256), 1, 32))), "pages")
+    streams = read.where("text <> ''").select("key", F.concat_ws("\n", "host", "text").alias("text"))
+
+    def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, _, anchor, *_ = _suffixes(data, offs, run)
+        return anchor, text
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bitmap = spans.shared_filter(streams, anchors, bits)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in blocks(b.column(2)):
-                start, end, text = words(data, offs)
-                h = rolling(span_hash(prefix_sums(data), start, end), run)
-                line = np.cumsum(data == 10)[start] if len(start) else start  # a run stays inside its block
-                keep = (text[: len(h)] == text[run - 1 :][: len(h)]) & (line[: len(h)] == line[run - 1 :][: len(h)])
-                t, place = text[: len(h)][keep] + i, rank_in_text(text)[: len(h)][keep]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), b.column(1).take(pa.array(t)), pa.array(h[keep].view(np.int64)), pa.array(place.astype(np.int32))], names=["host", "key", "head", "place"])
-
-    suffix = open_.mapInArrow(suffixes, "host string, key long, head long, place int")
-    common = suffix.select("host", "head", "key").distinct().groupBy("host", "head").count().where(F.col("count") >= least_pages)
-    hits = suffix.join(common.select("host", "head"), ["host", "head"], "left_semi").groupBy("host", "key").agg(F.collect_list("place").alias("places"))
-    texts = open_.join(hits, ["host", "key"]).select("host", "rest", "places")
+            for i, j, data, offs in blocks(b.column(1), 1 << 20):
+                text, place, anchor, x, y = _suffixes(data, offs, run)
+                keep = bitmap.marked(anchor)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(text[keep] + i)), *(pa.array(v[keep].view(np.int64)) for v in (x, y)), pa.array(place[keep].astype(np.int32))], names=["key", "x", "y", "place"]
+                )
+
+    suffixes = streams.mapInArrow(shared, "key binary, x long, y long, place int")
+    common = suffixes.select("x", "y", "key").distinct().groupBy("x", "y").count().where(F.col("count") >= least_pages)
+    hits = suffixes.distinct().join(common.select("x", "y"), ["x", "y"], "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
 
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lines = [line.split(" ") for line in text.split("\n")]
-                mask = covered(np.array(places, np.int64), run, sum(map(len, lines))).tolist()
-                at, kept = 0, []
-                for line in lines:
-                    left = [w for w, m in zip(line, mask[at : at + len(line)]) if not m]
-                    at += len(line)
-                    if left:
-                        kept.append(" ".join(left))
-                out.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["host", "rest", "unique"])
-
-    cut = texts.mapInArrow(unique_runs, "host string, rest string, unique string")
-    # Pages with a main region are done; only the others meet what was cut, so that no text of
-    # the former is shuffled.
-    done = read.where("text IS NOT NULL").select("page_id", "url", "text")
-    others = read.where("text IS NULL").join(cut, ["host", "rest"], "left")
-    both = done.union(others.select("page_id", "url", F.coalesce("unique", "rest", F.lit(""))))
-    return both.withColumn("n_chars", F.length("text").cast("long"))
+            out = [cut(text, places, run) for text, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    both = read.join(hits, "key", "left").select("page_id", "url", "text", "places")
+    done = both.mapInArrow(unique_runs, f"page_id {kind['page_id']}, url {kind['url']}, text string")
+    return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def cut(text: str, places: list[int] | None, run: int) -> str:
+    """``text`` without the tokens that runs at ``places`` cover, unless that is four fifths of it."""
+    if not places:
+        return text
+    lines = [line.split(" ") for line in text.split("\n")]
+    n = sum(map(len, lines))
+    mask = covered(np.array(places, np.int64), run, n)
+    if 5 * int(mask.sum()) >= 4 * n:
+        return text
+    at, kept = 0, []
+    for line in lines:
+        gone = mask[at : at + len(line)]
+        at += len(line)
+        if not gone.all():
+            edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+            for i, j in zip(edges[::2], edges[1::2]):
+                if j - i < run:  # the end of a run from the block before, or the start of one into the next
+                    gone[i:j] = False
+            kept.append(" ".join(w for w, m in zip(line, gone.tolist()) if not m))
+    return "\n".join(kept)

@@ -104,7 +104,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fitted(docs: DataFrame, ratings: DataFrame, grades: int = 3, most_rated: int = MOST_RATED) -> Model:
     """The model of at most ``most_rated`` rated documents. The sample's features, not its
-    texts, come to the driver: they are bounded by it."""
+    texts, come to the driver: they are bounded by it. Ids may be of any type; of rows that
+    repeat an id the least text counts (nulls last)."""
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,8 @@ def fitted(docs: DataFrame, ratings: DataFrame, grades: int = 3, most_rated: int
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["doc_id", "grade", "features"])
 
     # The chosen ids are at most most_rated rows of 12 bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, features array<int>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<int>")
     got = rows.toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
     size = np.diff(lists.offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
@@ -127,8 +129,9 @@ def scored(docs: DataFrame, model: Model, target: int = 2, cutoff: float = 0.4)
     """``(doc_id, expected_grade, tail_probability, kept)`` of every row.
 
     ``tail_probability`` is P(grade >= target); a row is kept from ``cutoff`` on. A null
-    or empty text has no words and the shape of an empty text. Repeated rows are scored
-    alike; null ids pass through; other columns are not looked at.
+    or empty text has no words and the shape of an empty text; very long texts are read
+    whole. Repeated rows are scored alike; an empty table gives no rows; null ids pass
+    through; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
 

@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Every rule compares one ratio of a document with a cutoff of its stratum (the
-language). Cutoffs come from a fixed grid. A cutoff is allowed where the labelled
-good documents of the stratum show, by an exact binomial bound, that it rejects at
-most ``risk`` of them; the level ``delta`` is shared by all tests (Bonferroni:
-strata x rules x grid). The lowest allowed cutoff is taken, and a rule without one
-rejects nothing.
+Every rule compares one ratio of a document with a cutoff. The cutoffs of all rules move
+together from loose to strict in fixed steps, the *levels*; a document falls at the first level
+at which any rule rejects it. For each stratum (the language) the levels are tried in order on
+its labelled good documents: a level is allowed while an exact binomial bound shows that all
+rules together reject at most ``risk`` of them. Levels are a fixed sequence that ends with the
+first one not shown, so they need no correction among themselves; strata share ``delta``
+(Bonferroni). With probability ``1 - delta`` no stratum loses more than ``risk`` of its good
+documents to the rules. A stratum without an allowed level rejects nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from evigrid.plans.lineage import written
 
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 8
-#: Rule -> (ratio over the counts below, grid of cutoffs).
-RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / word_chars", (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3)),
-    "dup_lines": ("n_dup_lines / n_words", (0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3)),
-    "echoes": ("n_echo_words / n_words", (0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7)),
-    "word_length": ("word_chars / n_words", (7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0)),
+#: Rule -> (ratio over the counts below, its loosest and its strictest cutoff).
+RULES: dict[str, tuple[str, float, float]] = {
+    "symbols": ("n_symbols / word_chars", 0.4, 0.001),
+    "dup_lines": ("n_dup_lines / n_words", 0.3, 0.002),
+    "echoes": ("n_echo_words / n_words", 0.8, 0.01),
+    "word_length": ("word_chars / n_words", 12.0, 5.0),
 }
-RISK, DELTA = 0.02, 0.1
-#: Strata whose cutoffs are broadcast, at most.
+LEVELS = 32
+RISK, DELTA = 0.01, 0.05
+#: Strata whose levels are broadcast, at most.
 MOST_STRATA = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -91,47 +94,60 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), zero, step)["s"]).otherwise(F.exp(first))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``(stratum, cut_<rule>...)``: the lowest allowed cutoff of each rule, null where none is.
+def cutoffs(rule: str) -> list[float]:
+    """Of each level, loose to strict, in equal ratios."""
+    _, loose, strict = RULES[rule]
+    return [round(loose * (strict / loose) ** (i / (LEVELS - 1)), 6) for i in range(LEVELS)]
 
-    ``labels`` has ``doc_id`` and ``quality``; null labels are left out, and a document
-    with several labels is good if one of them says so. Documents that the base rule
-    rejects take no part: the bound is on what the method itself rejects.
-    """
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_good")).where("_good = 1")
-    rows = counted.where(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [(r, c) for r, (_, grid) in RULES.items() for c in grid]
-    n = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(
-        F.count("*").alias("n"), *(F.count_if(F.expr(RULES[r][0]) > c).alias(f"k{i}") for i, (r, c) in enumerate(tests))
-    )
-    each = F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests))))
-    share = delta / len(tests) / F.count("*").over(Window.partitionBy("cutoff", "rule"))
-    tried = n.select("stratum", "n", each).withColumn("share", share)
-    held = tried.where((F.col("k") <= F.col("n") * risk) & (_tail(F.col("n"), F.col("k"), risk) <= F.col("share")))
-    return held.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+
+def fall() -> Column:
+    """The first level at which a rule rejects the document; ``LEVELS``: none does."""
+
+    def first(rule: str) -> Column:
+        ratio = F.expr(RULES[rule][0])
+        return F.size(F.filter(F.array(*map(F.lit, cutoffs(rule))), lambda c: c >= ratio))
+
+    return F.when(F.col("n_words") > 0, F.least(*map(first, RULES))).otherwise(LEVELS)
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``.
+def allowed(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """``(stratum, level)``: the strictest allowed level of each stratum that has one.
+
+    ``counted`` has ``doc_id``, ``stratum``, the counts and ``fall``. ``labels`` has ``doc_id`` and
+    ``quality``; null labels are left out, and a document with several labels is good if one of
+    them says so. Documents that the base rule rejects take no part: the bound is on what the
+    method itself rejects.
+    """
+    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1")
+    rows = counted.where(~base_failed()).select("doc_id", "stratum", "fall").join(good, "doc_id", "left_semi")
+    n = rows.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("fall") <= i).alias(f"k{i}") for i in range(LEVELS)))
+    each = F.inline(F.array(*(F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k")) for i in range(LEVELS))))
+    share = delta / F.count("*").over(Window.partitionBy("level"))  # a row a stratum in each level
+    tried = n.select("stratum", "n", each).withColumn("share", share)
+    # Stricter levels reject no less, so what holds at a level holds at all looser ones.
+    held = tried.where((F.col("k") <= F.col("n") * risk) & (_tail(F.col("n"), F.col("k"), risk) <= F.col("share")))
+    return held.groupBy("stratum").agg(F.max("level").alias("level"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``(row, *COUNTS, base_failed, kept)`` of every row: ``row`` is a struct of the columns named
+    in ``keep`` (all by default), whatever their names.
 
-    ``docs`` needs ``doc_id``, ``text`` and the stratum; other columns come along, under
-    their names unless those are among the ones added, which then win. A null stratum is
-    a stratum of its own; one without enough good labels rejects nothing. Empty tables
-    give empty results; repeated rows are judged alike.
+    ``docs`` needs ``doc_id``, ``text`` and the stratum. A null text has no words, lines or symbols
+    and fails the base rule, as an empty one does; very long texts are counted whole. A null
+    stratum counts as an empty one; a stratum without enough good labels rejects nothing. Empty tables
+    give empty results; repeated rows are judged alike; null ids have no label.
     """
-    own = [*COUNTS, "n_echo_words", "base_failed", "kept", "stratum", "_words", "_hashes"]
-    docs = docs.select(*(c for c in docs.columns if c not in own))
-    counted = written(with_counts(docs), "counted")
-    cuts = written(cutoffs(counted, labels, stratum, risk, delta), "cutoffs")
-    if cuts.count() <= MOST_STRATA:  # a few numbers each; else the join is a shuffled one
-        cuts = F.broadcast(cuts)
-    over = F.lit(False)
-    for r, (ratio, _) in RULES.items():
-        over = over | F.coalesce(F.expr(ratio) > F.col(f"cut_{r}"), F.lit(False))
-    found = counted.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts, "stratum", "left")
+    row = F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns)))
+    own = docs.select(row.alias("row"), "doc_id", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), "text")
+    counted = written(with_counts(own).drop("text").withColumn("fall", fall()), "counted")
+    levels = written(allowed(counted, labels, risk, delta), "levels")
+    if levels.count() <= MOST_STRATA:  # a number each; else the join is a shuffled one
+        levels = F.broadcast(levels)
     failed = base_failed()
-    return found.select(*docs.columns, *COUNTS, failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+    found = counted.join(levels, "stratum", "left")
+    return found.select("row", *COUNTS, failed.alias("base_failed"), (~failed & ~F.coalesce(F.col("fall") <= F.col("level"), F.lit(False))).alias("kept"))

@@ -18,9 +18,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = quality.judged(docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return found.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def op3_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

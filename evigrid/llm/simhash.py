@@ -25,7 +25,8 @@ U = np.uint64
 SEED = 42
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Tables up to this size are compared row by row; larger ones are cut by five exact sub-segments first.
+#: Tables up to this size are compared row by row; larger ones are cut first, into tables of radius + 1
+#: sub-segments of the whole fingerprint: of these one is equal in every linked pair.
 TABLE = 4096
 
 
@@ -62,8 +63,8 @@ def _near(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints, a node at a time."""
     n = len(fp)
     if n > TABLE:
-        width, a, b = 13, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in range(5):
+        width, a, b = -(-64 // (radius + 1)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(radius + 1):
             value = (fp >> U(s * width)) & U((1 << width) - 1)
             order = np.argsort(value, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
@@ -193,7 +194,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     doc_id that links reach, the row's own included. Rows without words have fingerprint
     zero and are linked like any others. Repeated rows give repeated results. A null
     doc_id takes part in the links but is no component's least id, unless its component
-    has none but null ids: then the component is null. An empty table gives no rows.
+    has none but null ids: then the component is null. An empty table gives no rows; very
+    long texts are read whole; other columns are not looked at.
     """
     each = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
     fps = each.groupBy("fp").agg(F.min(id_col).alias("least"))
@@ -202,15 +204,3 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = each.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one with its least doc_id (of repeated
-    ids, the least text); columns as they came. Rows with a null doc_id in a component
-    that has an id go; where there is none, one of them stays."""
-    found = near_duplicates(docs, size, radius).select("doc_id", F.col("component_id").alias("_c"), F.col("fingerprint").alias("_f")).distinct()
-    first = found.where("doc_id <=> _c").groupBy("doc_id").agg(F.min("_f").alias("_f"))
-    rows = docs.join(first.select(F.col("doc_id").alias("_d")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    best = rows.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("_r"))
-    return best.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"_r.`{c}`").alias(c) for c in docs.columns))

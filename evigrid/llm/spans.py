@@ -11,13 +11,14 @@ Both span operators (words, bytes) work in the same three passes over the texts:
    leaves it once per task and not once per row.
 3. Flags go back to their texts, which are shuffled once.
 
-If more anchors are shared than the bitmap can hold, pass 2 takes every window as
-marked: more to shuffle, the same result.
+The bitmap has 16 bits for each shared anchor, up to 2^``FILTER_BITS`` in all; beyond, it says
+yes more and more often: more to shuffle in pass 2, the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from evigrid.llm.arrays import blocks, mix
 from evigrid.plans.lineage import partitions, written
 
 U = np.uint64
-#: Size of the broadcast bitmap, 2^28 bits are 32 MB; it is used up to one shared anchor in 16 bits.
-FILTER_BITS = 28
+#: Most bits of the broadcast bitmap (128 MB), and bits for each shared anchor below that.
+FILTER_BITS = 30
 LOAD = 16
 #: Anchors that a task gathers before it hands them on.
 FLUSH = 2_000_000
@@ -40,7 +41,7 @@ Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(doc_id, tag, text)``; the tag tells rows that repeat a doc_id with another text apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text_col), F.lit(32768)).cast("int").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def buckets_of(spark) -> int:
@@ -73,11 +74,23 @@ def _fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return h[first], np.logical_or.reduceat(many, first) | (size > 1)
 
 
-def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -> Broadcast | None:
-    """Bitmap of the anchor hashes (their low ``bits``) that two documents share.
+@dataclass
+class Filter:
+    """A broadcast bitmap of the low ``bits`` of hashes."""
 
-    None if there are too many for the bitmap. Only 6 bytes of each hash are moved,
-    once per task and distinct hash; a false share only marks more than is needed.
+    bits: int
+    shared: Broadcast
+
+    def marked(self, h: np.ndarray) -> np.ndarray:
+        slot = h & U((1 << self.bits) - 1)
+        return (self.shared.value[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -> Filter:
+    """Bitmap of the anchor hashes that two documents share, of at most 2^``bits`` bits.
+
+    Only 6 bytes of each hash are moved, once per task and distinct hash; a false share
+    only marks more than is needed.
     """
     spark = texts.sparkSession
     n = buckets_of(spark)
@@ -123,31 +136,25 @@ def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -
 
     dealt = texts.select("text").mapInArrow(gather, "bucket int, once binary, more binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     slots = written(dealt.mapInArrow(meet, "slot long"), "shared")
-    if slots.count() > (1 << bits) // LOAD:
-        return None
-    chunk = 1 << 16  # bits of one row of the bitmap
+    bits = min(bits, max(3, (slots.count() * LOAD).bit_length()))
+    chunk = 1 << min(bits, 16)  # bits of one row of the bitmap
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
         for b in batches:
             slot = b.column(0).to_numpy(zero_copy_only=False)
-            for k in np.unique(slot // chunk).tolist():
-                maps.setdefault(k, np.zeros(chunk, bool))[slot[slot // chunk == k] % chunk] = True
+            which = slot // chunk
+            for k, at in split_by(which, int(which.max()) + 1 if len(which) else 0):
+                maps.setdefault(k, np.zeros(chunk, bool))[slot[at] % chunk] = True
         if maps:
             yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()], pa.binary())], names=["k", "bits"])
 
     full = np.zeros((1 << bits) // 8, np.uint8)
-    packed = slots.repartitionByRange(max(1, min(16, partitions(spark))), "slot").sortWithinPartitions("slot").mapInArrow(pack, "k long, bits binary")
+    low_bits = slots.select(F.col("slot").bitwiseAND((1 << bits) - 1).alias("slot"))
+    packed = low_bits.repartitionByRange(max(1, min(16, partitions(spark))), "slot").mapInArrow(pack, "k long, bits binary")
     for r in packed.toLocalIterator():  # at most 2^bits / 2^16 rows, and a few at the borders of ranges
         full[r[0] * chunk // 8 : (r[0] + 1) * chunk // 8] |= np.frombuffer(r[1], np.uint8)
-    return spark.sparkContext.broadcast(full)
-
-
-def marked(h: np.ndarray, bitmap: np.ndarray | None, bits: int = FILTER_BITS) -> np.ndarray:
-    if bitmap is None:
-        return np.ones(len(h), bool)
-    slot = h & U((1 << bits) - 1)
-    return (bitmap[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
+    return Filter(bits, spark.sparkContext.broadcast(full))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -164,25 +171,29 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, rows
 
 
-def flags(window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: whether a smaller doc has an equal window, and the entry that is first."""
-    if not len(window):
-        return np.zeros(0, bool), np.zeros(0, np.int64)
-    order = np.lexsort((doc, window))
-    w = window[order]
-    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    lead = np.repeat(order[first], np.diff(np.append(first, len(w))))
-    out, of = np.empty(len(w), bool), np.empty(len(w), np.int64)
-    out[order] = doc[order] > doc[lead]
-    of[order] = lead
-    return out, of
+def flags(window: np.ndarray, doc: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each entry: whether a smaller doc has an equal window. ``window`` has their hashes;
+    ``equal`` tells for two arrays of entries which of the windows really are equal. What only
+    shares its hash with the first of a run is looked at again without those that equal it."""
+    out, left = np.zeros(len(window), bool), np.arange(len(window))
+    while len(left):
+        order = left[np.lexsort((doc[left], window[left]))]
+        w = window[order]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        lead = np.repeat(order[first], np.diff(np.append(first, len(w))))
+        same = order == lead
+        others = np.flatnonzero(~same)
+        same[others] = equal(order[others], lead[others])
+        out[order] = same & (doc[order] > doc[lead])
+        left = order[~same]
+    return out
 
 
 def ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Flagged starts (or ranges of them) as ``(doc, tag, start, size)``, ranges that touch as one, in order."""
     size = np.ones(len(start), np.int64) if size is None else size.astype(np.int64)
     order = np.lexsort((start, tag, doc))
-    doc, tag, start, size = doc[order].astype("<i8"), tag[order].astype("<i2"), start[order].astype(np.int64), size[order]
+    doc, tag, start, size = doc[order].astype("<i8"), tag[order].astype("<i8"), start[order].astype(np.int64), size[order]
     if not len(doc):
         return doc, tag, start.astype("<i4"), size.astype("<i4")
     end = start + size
@@ -206,8 +217,8 @@ def flag_blobs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int, size
 
 def _flags_of(blob: bytes) -> tuple[np.ndarray, ...]:
     d, n = np.frombuffer(blob, "<i4", 2).tolist()
-    doc, tag = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<i2", d, 8 + 8 * d)
-    count, start, size = np.frombuffer(blob, "<i4", d, 8 + 10 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d), np.frombuffer(blob, "<i4", n, 8 + 14 * d + 4 * n)
+    doc, tag, count = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<i8", d, 8 + 8 * d), np.frombuffer(blob, "<i4", d, 8 + 16 * d)
+    start, size = np.frombuffer(blob, "<i4", n, 8 + 20 * d), np.frombuffer(blob, "<i4", n, 8 + 20 * d + 4 * n)
     return np.repeat(doc, count), np.repeat(tag, count), start, size
 
 
@@ -253,10 +264,10 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
             for i in range(0, len(first), 10_000):
                 f, e = first[i : i + 10_000], ends[i : i + 10_000]
                 starts = [pairs[x:y].tobytes() for x, y in zip(f.tolist(), e.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f].astype(np.int32)), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f], pa.int64()), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
 
     flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k int, blob binary")
-    return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(gather, "doc_id long, tag int, starts binary")
+    return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(gather, "doc_id long, tag long, starts binary")
 
 
 def with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:

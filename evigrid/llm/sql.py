@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from evigrid.llm.quality import DELTA, RISK, RULES
+from evigrid.llm.quality import DELTA, LEVELS, RISK, RULES, cutoffs
 
 _BLANK = r"'[\x20\x09-\x0D]+'"
 _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), {_BLANK}), lambda x: x <> '')"
 
 
 def _quality() -> str:
-    tests = [(r, ratio, c) for r, (ratio, grid) in RULES.items() for c in grid]
-    each = " UNION ALL ".join(
-        f"SELECT stratum, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (CAST({ratio.split(' / ')[0]} AS DOUBLE) / {ratio.split(' / ')[1]} > {c}::DOUBLE) AS k FROM good GROUP BY stratum"
-        for r, ratio, c in tests
-    )
-    over = " OR ".join(f"coalesce(CAST({ratio.split(' / ')[0]} AS DOUBLE) / {ratio.split(' / ')[1]} > cut_{r}, false)" for r, (ratio, _) in RULES.items())
-    cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)
+    falls = ", ".join(f"len(list_filter({cutoffs(r)}::DOUBLE[], lambda c: c >= {ratio.replace(' / ', '::DOUBLE / ')}))" for r, (ratio, _, _) in RULES.items())
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
@@ -28,13 +22,14 @@ c AS (SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_strin
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_echo_words
   FROM d JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-good AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
-tests AS ({each}),
-bound AS (SELECT *, {DELTA} / {len(tests)} / count(*) OVER (PARTITION BY rule, cutoff) AS share,
+f AS (SELECT *, CASE WHEN n_words > 0 THEN least({falls}) ELSE {LEVELS} END AS fall FROM b),
+good AS (SELECT * FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+tests AS (SELECT stratum, level, count(*) AS n, count(*) FILTER (fall <= level) AS k FROM good, range({LEVELS}) AS r(level) GROUP BY stratum, level),
+bound AS (SELECT *, {DELTA} / count(*) OVER (PARTITION BY level) AS share,
   list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) AS tail FROM tests),
-cuts AS (SELECT stratum, {cuts} FROM bound WHERE k <= n * {RISK} AND tail <= share GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept
-FROM b LEFT JOIN cuts USING (stratum)"""
+levels AS (SELECT stratum, max(level) AS level FROM bound WHERE k <= n * {RISK} AND tail <= share GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(fall <= level, false) AS kept
+FROM f LEFT JOIN levels USING (stratum)"""
 
 
 ORACLE = {
