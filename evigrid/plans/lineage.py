@@ -1,8 +1,8 @@
 """Cutting lineage with tables that every executor can read again.
 
 Iterative operators and results that are read more than once are written as
-Parquet below ``spark.checkpoint.dir``. The folder is the cluster's shared one;
-only where no such setting exists (tests, notebooks) a temporary one is made.
+Parquet below the shared checkpoint folder, in one folder for each application.
+``clear`` removes that folder, once nothing made from its tables is read any more.
 """
 
 from __future__ import annotations
@@ -16,25 +16,36 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the session's, or one of our own if it has none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for cut lineage: ``spark.checkpoint.dir``, or the one that was given to the
+    context; only where there is neither (tests, notebooks) a temporary one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="evigrid-")
-        spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/evigrid-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written once and read back, so that later plans start from files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evigrid/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application wrote to cut lineage."""
+    jvm, path = spark._jvm, _folder(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions; sized by whoever knows the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
