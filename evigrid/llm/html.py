@@ -185,7 +185,7 @@ def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, bits:
     A null or empty page has an empty text; broken markup is read as far as it goes; very long
     pages are read whole. Repeated rows give repeated results; an empty table gives none; null
     ids and urls pass through (pages without a host are one host); other columns are not looked
-    at. Runs are told apart by 128 bits of hash, pages by 128 bits of SHA-256.
+    at. Runs and pages are told apart by 128 bits of hash.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,49 +193,101 @@ def main_texts(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, bits:
             text = pa.array([stream(x.as_py()) for x in b.column(3)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], text], names=["page_id", "url", "host", "text"])
 
+    spark = pages.sparkSession
+    n = spans.buckets_of(spark)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     host = F.concat(F.lit("//"), F.regexp_replace(host, r"[\x20\x09-\x0D]+", "-"))
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     read = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parse, f"page_id {kind['page_id']}, url {kind['url']}, host string, text string")
-    read = written(read.withColumn("key", F.unhex(F.substring(F.sha2(F.concat_ws("\n", "host", "text"), 256), 1, 32))), "pages")
-    streams = read.where("text <> ''").select("key", F.concat_ws("\n", "host", "text").alias("text"))
+    read = written(read.select("*", F.xxhash64("host", "text").alias("doc_id"), F.xxhash64(F.lit(1), "host", "text").alias("tag")), "pages")
+    streams = read.where("text <> ''").select("doc_id", "tag", F.concat_ws("\n", "host", "text").alias("text"))
 
     def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text, _, anchor, *_ = _suffixes(data, offs, run)
         return anchor, text
 
-    bitmap = spans.shared_filter(streams, anchors, bits)
+    shared = spans.shared_filter(streams, anchors, bits, least_pages)
+
+    def settle_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            found = [np.concatenate([x[k] for x in held]) for k in range(5)]
+            many, few = _common(*found[:4], least_pages)
+            rows = [(k, 1, blob) for k, blob in spans.flag_blobs(*(x[many] for x in found[2:]), n)]
+            # Of a run that is common here as many pages go on as show it: others may have it too.
+            left = [x[~many | few] for x in found]
+            rows += [(k, 0, spans.packed_windows(*(x[at] for x in left))) for k, at in spans.split_by(spans.bucket(left[0], n), n)]
+            return spans.rows_batch(rows)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in blocks(b.column(1), 1 << 20):
+            ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for i, j, data, offs in blocks(b.column(2), 1 << 20):
                 text, place, anchor, x, y = _suffixes(data, offs, run)
-                keep = bitmap.marked(anchor)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(text[keep] + i)), *(pa.array(v[keep].view(np.int64)) for v in (x, y)), pa.array(place[keep].astype(np.int32))], names=["key", "x", "y", "place"]
-                )
-
-    suffixes = streams.mapInArrow(shared, "key binary, x long, y long, place int")
-    common = suffixes.select("x", "y", "key").distinct().groupBy("x", "y").count().where(F.col("count") >= least_pages)
-    hits = suffixes.distinct().join(common.select("x", "y"), ["x", "y"], "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
+                keep = shared.marked(anchor)
+                t = text[keep]
+                held.append((x[keep], y[keep], ids[i:j][t], tags[i:j][t], place[keep]))
+                if sum(len(h[0]) for h in held) >= spans.FLUSH:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    def judge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, doc, tag, start = (np.concatenate(v) for v in zip(*map(spans.unpacked_windows, blobs)))
+        many, _ = _common(x, y, doc, tag, least_pages)
+        return doc[many], tag[many], start[many]
+
+    hits = written(spans.settle(streams.mapInArrow(settle_own, spans.ROWS_DDL), judge), "runs")
+    touched = spans.bitmap(hits.select(F.col("doc_id").alias("slot")), bits)
+
+    def split(wanted: bool):
+        def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                marks = touched.marked(b.column(0).to_numpy(zero_copy_only=False).view(U))
+                yield b.filter(pa.array(marks == wanted))
+
+        return run_
 
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [cut(text, places, run) for text, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            out = [cut(text, spans.starts_of(blob), run) for text, blob in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    both = read.join(hits, "key", "left").select("page_id", "url", "text", "places")
-    done = both.mapInArrow(unique_runs, f"page_id {kind['page_id']}, url {kind['url']}, text string")
+    # Pages that no run touches stay where they are; only the others meet their runs.
+    rows, ddl = read.select("doc_id", "tag", "page_id", "url", "text"), f"doc_id long, tag long, page_id {kind['page_id']}, url {kind['url']}, text string"
+    whole = rows.mapInArrow(split(False), ddl).select("page_id", "url", "text")
+    both = rows.mapInArrow(split(True), ddl).join(hits, ["doc_id", "tag"], "left").select("page_id", "url", "text", "starts")
+    done = whole.union(both.mapInArrow(unique_runs, f"page_id {kind['page_id']}, url {kind['url']}, text string"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def cut(text: str, places: list[int] | None, run: int) -> str:
+def _common(x: np.ndarray, y: np.ndarray, doc: np.ndarray, tag: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry whether its run (``x``, ``y``) is on ``least`` distinct pages, and whether it is the
+    first entry of one of that many pages."""
+    if not len(x):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order = np.lexsort((tag, doc, y, x))
+    x, y, doc, tag = x[order], y[order], doc[order], tag[order]
+    new_run = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    new_page = new_run | np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    first = np.flatnonzero(new_run)
+    size = np.diff(np.append(first, len(x)))
+    page = np.cumsum(new_page)
+    page -= np.repeat(page[first], size)  # the page's number in its run
+    many, few = np.empty(len(x), bool), np.empty(len(x), bool)
+    many[order] = np.repeat(np.maximum.reduceat(page, first) + 1 >= least, size)
+    few[order] = new_page & (page < least)
+    return many, few
+
+
+def cut(text: str, places: np.ndarray, run: int) -> str:
     """``text`` without the tokens that runs at ``places`` cover, unless that is four fifths of it."""
-    if not places:
+    if not len(places):
         return text
     lines = [line.split(" ") for line in text.split("\n")]
     n = sum(map(len, lines))
-    mask = covered(np.array(places, np.int64), run, n)
+    mask = covered(places, run, n)
     if 5 * int(mask.sum()) >= 4 * n:
         return text
     at, kept = 0, []

@@ -62,16 +62,15 @@ def split_by(which: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[i:j]
 
 
-def _fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and whether each came from two documents or more."""
-    h, many = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+def _fold(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the number of documents they came from, counted up to ``least``."""
+    h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    if not len(h):
+        return h, n
     order = np.argsort(h)
-    h, many = h[order], many[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    if not len(first):
-        return h, many
-    size = np.diff(np.append(first, len(h)))
-    return h[first], np.logical_or.reduceat(many, first) | (size > 1)
+    h, n = h[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.minimum(np.add.reduceat(n, first), least).astype(np.uint8)
 
 
 @dataclass
@@ -86,27 +85,28 @@ class Filter:
         return (self.shared.value[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -> Filter:
-    """Bitmap of the anchor hashes that two documents share, of at most 2^``bits`` bits.
+def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS, least: int = 2) -> Filter:
+    """Bitmap of the anchor hashes that ``least`` documents or more share, of at most 2^``bits`` bits.
 
-    Only 6 bytes of each hash are moved, once per task and distinct hash; a false share
-    only marks more than is needed.
+    Only 4 bytes of each hash are moved beside its bucket, once per task and distinct hash, in
+    runs by their count; a false share only marks more than is needed.
     """
     spark = texts.sparkSession
     n = buckets_of(spark)
-    low = U((1 << 48) - 1)
+    low = U((1 << 32) - 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def out() -> pa.RecordBatch:
-            h, many = _fold(parts)
-            which, six = bucket(h, n), (h & low).view(np.uint8).reshape(-1, 8)[:, :6]
+            h, count = _fold(parts, least)
+            which, four = bucket(h, n), (h & low).astype("<u4")
             rows = []
             for k, at in split_by(which, n):
-                rows.append((k, np.ascontiguousarray(six[at[~many[at]]]).tobytes(), np.ascontiguousarray(six[at[many[at]]]).tobytes()))
-            ks, once, more = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "once", "more"])
+                at = at[np.argsort(count[at], kind="stable")]
+                rows.append((k, np.bincount(count[at], minlength=least + 1).astype("<u4").tobytes() + four[at].tobytes()))
+            ks, blobs = zip(*rows) if rows else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
             for i, j, data, offs in blocks(b.column(0), 1 << 20):
@@ -114,7 +114,7 @@ def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
-                parts.append(_fold([(h[new], np.zeros(int(new.sum()), bool))]))
+                parts.append(_fold([(h[new], np.ones(int(new.sum()), np.uint8))], least))
                 held += len(parts[-1][0])
                 if held >= FLUSH:
                     yield out()
@@ -122,20 +122,22 @@ def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS) -
         if parts:
             yield out()
 
-    def wide(blob: bytes) -> np.ndarray:
-        six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-        out = np.zeros((len(six), 8), np.uint8)
-        out[:, :6] = six
-        return out.view(U).ravel()
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
-            parts = [(wide(x), np.full(len(x) // 6, flag)) for r in rows for x, flag in ((r[1], False), (r[2], True))]
-            h, many = _fold(parts)
-            yield pa.RecordBatch.from_arrays([pa.array((h[many] & U((1 << bits) - 1)).astype(np.int64))], names=["slot"])
+            parts = []
+            for _, blob in rows:
+                counts = np.frombuffer(blob, "<u4", least + 1)
+                parts.append((np.frombuffer(blob, "<u4", -1, 4 * (least + 1)), np.repeat(np.arange(least + 1, dtype=np.uint8), counts)))
+            h, count = _fold(parts, least)
+            yield pa.RecordBatch.from_arrays([pa.array(h[count >= least].astype(np.int64))], names=["slot"])
+
+    dealt = texts.select("text").mapInArrow(gather, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    return bitmap(written(dealt.mapInArrow(meet, "slot long"), "shared"), bits)
+
 
-    dealt = texts.select("text").mapInArrow(gather, "bucket int, once binary, more binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    slots = written(dealt.mapInArrow(meet, "slot long"), "shared")
+def bitmap(slots: DataFrame, bits: int = FILTER_BITS) -> Filter:
+    """The broadcast bitmap of the hashes in ``slot``, of which the lowest bits count."""
+    spark = slots.sparkSession
     bits = min(bits, max(3, (slots.count() * LOAD).bit_length()))
     chunk = 1 << min(bits, 16)  # bits of one row of the bitmap
 
@@ -222,6 +224,28 @@ def _flags_of(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(doc, count), np.repeat(tag, count), start, size
 
 
+def packed_windows(h: np.ndarray, low: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> bytes:
+    """Windows in document order: a short table of documents, then hashes and starts."""
+    order = np.lexsort((start, tag, doc))
+    h, low, doc, tag, start = h[order], low[order], doc[order], tag[order], start[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
+    size = np.diff(np.append(first, len(doc)))
+    head = np.array([len(first), len(h)], "<i8")
+    parts = (head, doc[first].astype("<i8"), tag[first].astype("<i8"), h.astype("<u8"), low.astype("<u8"), start.astype("<i4"), size.astype("<i4"))
+    return b"".join(x.tobytes() for x in parts)
+
+
+def unpacked_windows(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Hashes (two halves), documents, tags and starts."""
+    d, n = np.frombuffer(blob, "<i8", 2).tolist()
+    at, out = 16, []
+    for kind, count, width in (("<i8", d, 8), ("<i8", d, 8), ("<u8", n, 8), ("<u8", n, 8), ("<i4", n, 4), ("<i4", d, 4)):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += count * width
+    doc, tag, h, low, start, size = out
+    return h, low, np.repeat(doc, size), np.repeat(tag, size), start
+
+
 #: Rows between passes: kind 0 has windows still to be settled, kind 1 flags of a document bucket.
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 ROWS_DDL = "bucket int, kind int, blob binary"

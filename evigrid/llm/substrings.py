@@ -68,7 +68,7 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
             rows = [(k, 1, blob) for k, blob in spans.flag_blobs(doc[again], tag[again], start[again], n)]
             h, low, doc, tag, start = h[~again], low[~again], doc[~again], tag[~again], start[~again]
             for k, at in spans.split_by(spans.bucket(h, n), n):
-                rows.append((k, 0, _packed(h[at], low[at], doc[at], tag[at], start[at])))
+                rows.append((k, 0, spans.packed_windows(h[at], low[at], doc[at], tag[at], start[at])))
             return spans.rows_batch(rows)
 
         for b in batches:
@@ -98,29 +98,8 @@ def _again(h: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return spans.flags(h, doc, lambda x, y: low[x] == low[y])
 
 
-def _packed(h: np.ndarray, low: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> bytes:
-    """Entries in document order: a short table of documents, then hashes and starts."""
-    order = np.lexsort((start, tag, doc))
-    h, low, doc, tag, start = h[order], low[order], doc[order], tag[order], start[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-    size = np.diff(np.append(first, len(doc)))
-    head = np.array([len(first), len(h)], "<i8")
-    parts = (head, doc[first].astype("<i8"), tag[first].astype("<i8"), h.astype("<u8"), low.astype("<u8"), start.astype("<i4"), size.astype("<i4"))
-    return b"".join(x.tobytes() for x in parts)
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    d, n = np.frombuffer(blob, "<i8", 2).tolist()
-    at, out = 16, []
-    for kind, count, width in (("<i8", d, 8), ("<i8", d, 8), ("<u8", n, 8), ("<u8", n, 8), ("<i4", n, 4), ("<i4", d, 4)):
-        out.append(np.frombuffer(blob, kind, count, at))
-        at += count * width
-    doc, tag, h, low, start, size = out
-    return h, low, np.repeat(doc, size), np.repeat(tag, size), start
-
-
 def _judge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, low, doc, tag, start = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
+    h, low, doc, tag, start = (np.concatenate(x) for x in zip(*map(spans.unpacked_windows, blobs)))
     again = _again(h, low, doc)
     return doc[again], tag[again], start[again]
 
