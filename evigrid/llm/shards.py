@@ -70,8 +70,9 @@ def sharded(docs: DataFrame, shards: int = 16, fine: int = FINE, id_col: str = "
     The law is ``bytes``: shard sizes are near equal, as far as whole groups of equal
     texts allow. ``size`` is the UTF-8 length plus 1 (null: 1, with no checksum; all
     null texts are one group). Slots count from 0 without gaps inside each shard, in
-    an order fixed by doc_id. Repeated rows and null ids each get a slot; other
-    columns are not looked at; an empty table gives no rows.
+    an order fixed by what a row holds. Repeated rows and null ids each get a slot; very
+    long texts count whole; ties in size keep the order of the items; other columns are
+    not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
     t = F.col(text_col)
@@ -96,7 +97,7 @@ def sharded(docs: DataFrame, shards: int = 16, fine: int = FINE, id_col: str = "
     by_item = spark.createDataFrame([(i, s) for (_, i, _), s in zip(items, of) if i is not None], "item long, bundle int")
     # Both tables are bounded by the item count, whatever the input.
     placed = rows.withColumn("item", item).join(F.broadcast(by_key), "key", "left").join(F.broadcast(by_item), "item", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("giant", "bundle").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).alias("run"))
+    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("giant", "bundle").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(RUNS)).alias("run"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # shards * RUNS rows

@@ -87,6 +87,35 @@ def test_differencing_balances():
     assert max(np.bincount(shards.differencing([900] + [10] * 90, 4), [900] + [10] * 90, 4)) == 900
 
 
+def test_differencing_against_a_naive_version():
+    """Partial partitions as plain lists of item lists; the two with the largest spread are combined, first met first."""
+
+    def naive(sizes, shards):
+        parts = [[[i]] + [[] for _ in range(shards - 1)] for i in range(len(sizes))]
+        weigh = lambda items: sum(sizes[i] for i in items)
+        made, age = len(sizes), dict(enumerate(range(len(sizes))))
+        live = list(range(len(sizes)))
+        while len(live) > 1:
+            live.sort(key=lambda k: (weigh(parts[k][-1]) - weigh(parts[k][0]), age[k]))
+            a, b = parts[live[0]], parts[live[1]]
+            both = sorted((x + y for x, y in zip(a, reversed(b))), key=lambda p: -weigh(p))
+            parts.append(both)
+            age[len(parts) - 1] = made
+            made += 1
+            live = [*live[2:], len(parts) - 1]
+        return sorted(weigh(p) for p in parts[live[0]])
+
+    rnd = random.Random(21)
+    for n, shards in ((1, 3), (5, 2), (17, 4), (60, 7)):
+        sizes = [rnd.randint(1, 10**6) for _ in range(n)]
+        got = shards_of(sizes, shards)
+        assert sorted(np.bincount(got, sizes, shards).astype(int).tolist()) == naive(sizes, shards)
+
+
+def shards_of(sizes, n):
+    return shards.differencing(sizes, n)
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
