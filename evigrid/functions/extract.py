@@ -26,6 +26,12 @@ PATTERNS = {
     "mac": r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b",
 }
+#: What every match of a type contains (one of these; of types that ignore case, in lower case). Looking for
+#: it costs far less than the pattern, which most texts are spared.
+NEEDS = {
+    "ipv4": (".",), "ipv6": (":",), "domain": (".",), "url": ("://",), "email": ("@",), "cve": ("cve-",), "asn": ("AS",), "eth": ("0x",), "cidr": ("/",), "port": ("port",),
+    "useragent": ("Mozilla/", "curl/", "wget/", "python-requests/"), "phone_e164": ("+",), "mac": (":", "-"),
+}
 PLACEHOLDER_DOMAINS = ("example.com", "example.org", "yourdomain.com", "domain.com")
 CONTEXT = 40
 
@@ -33,6 +39,12 @@ CONTEXT = 40
 def matches(text: Column, kind: str) -> Column:
     """Distinct matches of one type, in order of first appearance."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0))
+    if kind in NEEDS:
+        inside = F.lower(text) if PATTERNS[kind].startswith("(?i)") and kind != "url" else text
+        some = F.lit(False)
+        for part in NEEDS[kind]:
+            some = some | F.contains(inside, F.lit(part))
+        found = F.when(some, found).otherwise(F.array().cast("array<string>"))
     return F.filter(found, lambda v: ~F.lower(v).isin(*PLACEHOLDER_DOMAINS)) if kind == "domain" else found
 
 

@@ -102,7 +102,7 @@ def lines(text: Column, most: int = 50) -> Column:
 def address_history(html: Column, most: int = 10) -> Column:
     """``(ip, location, date)`` of the rows of a history table, the first ``most``."""
     row = r"(?s)<td>(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})</td>.*?<td>([^<]+)</td>.*?<td>([^<]+)</td>"
-    part = lambda k: F.slice(F.transform(F.regexp_extract_all(html, F.lit(row), k), F.trim), 1, most)
+    part = lambda k: F.slice(F.transform(F.regexp_extract_all(html, F.lit(row), k), lambda x: F.trim(x)), 1, most)
     return F.arrays_zip(part(1).alias("ip"), part(2).alias("location"), part(3).alias("date"))
 
 
@@ -160,7 +160,7 @@ def feed_items(text: Column, most: int = 10) -> Column:
     item = r"(?s)<item>.*?<title>(.*?)</title>.*?<link>(.*?)</link>.*?<pubDate>(.*?)</pubDate>.*?</item>"
     part = lambda k: F.slice(F.regexp_extract_all(text, F.lit(item), k), 1, most)
     title = F.transform(part(1), lambda x: F.substring(F.trim(F.regexp_replace(x, "<[^>]+>", "")), 1, 150))
-    return F.arrays_zip(title.alias("title"), F.transform(part(2), F.trim).alias("url"), F.transform(part(3), lambda x: F.substring(F.trim(x), 1, 32)).alias("date"))
+    return F.arrays_zip(title.alias("title"), F.transform(part(2), lambda x: F.trim(x)).alias("url"), F.transform(part(3), lambda x: F.substring(F.trim(x), 1, 32)).alias("date"))
 
 
 def profile_slugs(text: Column, site: str = r"linkedin\.com/in/", most: int = 5) -> Column:

@@ -31,9 +31,15 @@ def matches(draft: DataFrame, known: DataFrame, table: DataFrame) -> DataFrame:
     Both sides have ``identity, type, value``; the draft side has ``evidence_id``. Types and
     values are compared without case. The known side is reduced to distinct keys before the
     join, the signal table (fixed size) joins the draft side before the shuffle, and the
-    large join is left to adaptive execution, which splits values that many share.
+    large join is left to adaptive execution, which splits values that many share. ``listed``
+    of the draft side comes along.
+
+    The result has a row for each pair that shares a value: of a value that m drafts and n
+    known identities have, m x n. Evidence keys (addresses, numbers) are shared by few, so
+    that it grows with the input; a value that a fixed share of all identities has makes it
+    grow with the square, as the pairs it asks for do. Leave such values out beforehand.
     """
-    d = draft.select(F.col("identity").alias("draft"), key("type").alias("type"), key("value").alias("value"), "evidence_id").join(F.broadcast(table), "type")
+    d = draft.select(F.col("identity").alias("draft"), key("type").alias("type"), key("value").alias("value"), "evidence_id", *(c for c in ("listed",) if c in draft.columns)).join(F.broadcast(table), "type")
     k = known.select(F.col("identity").alias("known"), key("type").alias("type"), key("value").alias("value")).distinct()
     return d.join(k, ["type", "value"]).where("draft <> known")
 
@@ -62,8 +68,9 @@ def scores(found: DataFrame) -> DataFrame:
     Of one piece of evidence only the strongest signal of a tier counts; both steps are
     partial aggregates before their shuffle, and the second groups by a prefix of the first.
     """
-    strongest = found.groupBy("draft", "known", "tier", "evidence_id").agg(F.max("weight").alias("w"), F.count("*").alias("n"))
-    tiers = strongest.groupBy("draft", "known").agg(*(F.coalesce(1 - F.product(F.when(F.col("tier") == t, 1 - unit(F.col("w")))), F.lit(0.0)).alias(f"raw{t}") for t in (1, 2, 3)), F.min("tier").alias("decisive_tier"), F.sum("n").alias("n_matches"))
+    listed = [c for c in ("listed",) if c in found.columns]
+    strongest = found.groupBy("draft", "known", "tier", "evidence_id").agg(F.max("weight").alias("w"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in listed))
+    tiers = strongest.groupBy("draft", "known").agg(*(F.coalesce(1 - F.product(F.when(F.col("tier") == t, 1 - unit(F.col("w")))), F.lit(0.0)).alias(f"raw{t}") for t in (1, 2, 3)), F.min("tier").alias("decisive_tier"), F.sum("n").alias("n_matches"), *(F.max(c).alias("on_watchlist") for c in listed))
     capped = tiers.withColumns({f"score{t}": F.least(F.col(f"raw{t}"), F.lit(CAPS[t])) if t in CAPS else F.col(f"raw{t}") for t in (1, 2, 3)})
     share = lambda t: F.when(F.col("decisive_tier") == t, F.col(f"score{t}")).when(F.col("decisive_tier") < t, LOWER_TIER_SHARE * F.col(f"score{t}")).otherwise(0.0)
     over = F.lit(False)

@@ -124,3 +124,87 @@ def quarantined(failures: DataFrame, threshold: int = 3, hours: int = 24) -> Dat
     reached the threshold. The state is sticky: only that first time matters."""
     w = Window.partitionBy("plugin_id").orderBy(F.col("failed_at").cast("timestamp").cast("long")).rangeBetween(-hours * 3600, 0)
     return failures.withColumn("n", F.count("*").over(w)).groupBy("plugin_id").agg(F.min(F.when(F.col("n") >= threshold, F.col("failed_at"))).alias("quarantined_at"), F.max("n").alias("n_failures")).where("quarantined_at IS NOT NULL")
+
+
+def evidence_records(envelopes: DataFrame) -> DataFrame:
+    """One row of evidence for each envelope; where it comes from is what its first entry of ``evidence`` says."""
+    first = F.get("evidence", 0)
+    kept = ("evidence_id", "investigation_id", "plugin_id", "plugin_version", "execution_id", "target")
+    return envelopes.select(*kept, F.coalesce("raw", F.lit("{}")).alias("raw"), first["source_url"].alias("source_url"), first["source_reliability"].alias("source_reliability"))
+
+
+def observation_id(evidence: Column, place: Column) -> Column:
+    return F.sha2(F.concat_ws("\x01", evidence.cast("string"), place.cast("string")), 256)
+
+
+def observation_records(envelopes: DataFrame) -> DataFrame:
+    """Every observation with its place in the envelope, which is part of its id."""
+    each = envelopes.select("evidence_id", F.posexplode("observations").alias("place", "o"))
+    return each.select(observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"), "evidence_id", "place", "o.observation_type", "o.value", "o.confidence")
+
+
+def entity_observations(envelopes: DataFrame) -> DataFrame:
+    """``(entity_id, observation_id)``: an entity belongs to the observation at its own place, if there is
+    one; entities without a normal form have none. Each link once."""
+    pairs = envelopes.select("evidence_id", F.size(F.coalesce("observations", F.array())).alias("n"), F.posexplode("entities").alias("place", "e"))
+    good = pairs.where("place < n AND trim(coalesce(e.normalized_value, '')) <> ''")
+    return good.select(entity_id(F.col("e.type"), F.col("e.normalized_value")).alias("entity_id"), observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id")).distinct()
+
+
+def linked_observations(envelopes: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(entity_id, observation_id)`` by what observations themselves name: type, and value without case
+    and outer blanks. ``entities`` has ``entity_id, type, normalized_value``; what names none has no link."""
+    each = envelopes.select("evidence_id", F.posexplode("observations").alias("place", "o"))
+    named = each.select(observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"), F.col("o.linked_entity_type").alias("type"), F.lower(F.trim("o.linked_entity_value")).alias("normalized_value"))
+    return named.join(entities, ["type", "normalized_value"]).select("entity_id", "observation_id").distinct()
+
+
+def completed_ends(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """``entities`` (``type, normalized_value``) and the ends of relationships that are missing there."""
+    ends = [relationships.select(F.col(f"{e}_type").alias("type"), F.col(f"{e}_value").alias("normalized_value")) for e in ("source", "target")]
+    new = ends[0].union(ends[1]).distinct().join(entities, ["type", "normalized_value"], "left_anti")
+    return entities.select("type", "normalized_value", F.lit(False).alias("created")).union(new.withColumn("created", F.lit(True)))
+
+
+def checked_entities(rows: DataFrame) -> DataFrame:
+    """``rows`` (``type, raw_value``) with ``error``: what keeps a row from being stored by hand, null if nothing does."""
+    unknown = ~F.coalesce(F.lower("type").isin(*ENTITY_TYPES), F.lit(False))
+    empty = F.trim(F.coalesce(normalize(F.col("type"), F.col("raw_value"), native=True), F.lit(""))) == ""
+    return rows.withColumn("error", F.when(unknown, "unknown entity type").when(empty, "empty normal form"))
+
+
+class Adapters:
+    """Sources whose results are taken in; there is no fallback for others."""
+
+    def __init__(self, *names: str):
+        self.names: set[str] = set()
+        for n in names:
+            self.register(n)
+
+    def register(self, name: str, overwrite: bool = False) -> None:
+        if not name:
+            raise ValueError("a source needs a name")
+        if name in self.names and not overwrite:
+            raise ValueError(f"{name} is registered already")
+        self.names.add(name)
+
+    def taken(self, results: DataFrame, plugin: str = "plugin_id") -> DataFrame:
+        """``results`` and whether each is taken in or skipped."""
+        return results.withColumn("outcome", F.when(F.coalesce(F.col(plugin).isin(*sorted(self.names)), F.lit(False)), "ingested").otherwise("skipped"))
+
+
+def compliance(checks: DataFrame, plugin: str = "plugin_id") -> DataFrame:
+    """``(plugin, total, passed, failed, errors, compliant)`` of checks with ``outcome`` passed, failed or error."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    found = checks.groupBy(plugin).agg(F.count("*").alias("total"), n("passed").alias("passed"), n("failed").alias("failed"), n("error").alias("errors"))
+    return found.withColumn("compliant", (F.col("failed") == 0) & (F.col("errors") == 0))
+
+
+def submitted(targets: DataFrame, column: str = "target") -> DataFrame:
+    """``(target, target_type, outcome)`` of targets handed in together: blank ones are left out, those of an
+    unknown kind are skipped."""
+    from evigrid.functions.classify import classify
+
+    rows = targets.select(F.trim(F.col(column)).alias("target")).where("target <> ''")
+    kind = classify(F.col("target"))
+    return rows.select("target", kind.alias("target_type")).withColumn("outcome", F.when(F.col("target_type") == "unknown", "skipped").otherwise("created"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +77,57 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], most: in
 
 
 def allowed_requests(requests: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Sliding-window limiter: a request passes if fewer than ``most`` passed in the last ``seconds``.
-    Refused requests do not count, so each client's requests are walked in time; a fold over the
-    times of those that passed keeps at most ``most`` of them."""
-    times = F.array_sort(F.collect_list(F.struct(F.col("at").cast("timestamp").cast("long").alias("t"), "request_id")))
-    zero = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<bigint>").alias("passed"))
-
-    def step(a: Column, r: Column) -> Column:
-        live = F.filter(a["recent"], lambda t: t > r["t"] - seconds)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(r["t"]))).otherwise(live).alias("recent"), F.when(ok, F.concat(a["passed"], F.array(r["request_id"]))).otherwise(a["passed"]).alias("passed"))
-
-    return requests.groupBy("client").agg(F.aggregate(times, zero, step)["passed"].alias("passed")).select("client", F.explode("passed").alias("request_id"))
+    """``(client, request_id)`` that a sliding-window limiter lets pass: a request passes if fewer than
+    ``most`` passed in the last ``seconds``. Refused requests do not count, so requests are walked in
+    time, a request of equal time by its id.
+
+    A client's time is cut where it is silent for a whole stretch of ``seconds``: nothing is
+    remembered across. The pieces of all clients are dealt over tasks, sorted, and walked with the
+    last ``most`` times in memory.
+    """
+    at = requests.select("client", "request_id", F.col("at").cast("timestamp").cast("long").alias("t")).withColumn("stretch", F.floor(F.col("t") / seconds))
+    # Stretches with requests, next to each other, make a piece; there are as many as time is long, not as requests.
+    busy = at.select("client", "stretch").distinct()
+    pieces = busy.withColumn("piece", F.col("stretch") - F.row_number().over(Window.partitionBy("client").orderBy("stretch")))
+    dealt = at.join(pieces, ["client", "stretch"]).select("client", "piece", "t", "request_id")
+    dealt = dealt.repartition("client", "piece").sortWithinPartitions("client", "piece", "t", "request_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passed = None, deque(maxlen=most)
+        for b in batches:
+            keep = []
+            for client, piece, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if (client, piece) != now:
+                    now, passed = (client, piece), deque(maxlen=most)
+                ok = len(passed) < most or passed[0] <= t - seconds
+                if ok:
+                    passed.append(t)
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["client", "request_id"])
+
+
+    kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in ("client", "request_id"))
+    return dealt.mapInArrow(walk, kinds)
+
+
+def of_owner(children: DataFrame, parents: DataFrame, owner: Column, key: str) -> DataFrame:
+    """Children whose parent belongs to the owner."""
+    return children.join(parents.where(owner).select(key), key, "left_semi")
+
+
+def search_payloads(evidence: DataFrame, parents: DataFrame, owner: Column, text: str, key: str = "investigation_id", payload: str = "raw") -> DataFrame:
+    """Evidence of the owner whose payload, as text, contains ``text`` in any case."""
+    if len(text) < 2:
+        raise ValueError("search text is too short")
+    return of_owner(evidence.where(F.col(payload).ilike(f"%{text}%")), parents, owner, key)
+
+
+def tagged(associations: DataFrame, tags: DataFrame, kind: str) -> DataFrame:
+    """``(entity_id, tags)``: names of the tags of objects of one kind, sorted."""
+    found = associations.where(F.col("entity_type") == kind).join(tags, "tag_id")
+    return found.groupBy("entity_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
+
+
+def previous_evidence(monitors: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence of the investigation that each monitor ran last."""
+    return monitors.where("last_investigation_id IS NOT NULL").join(evidence.withColumnRenamed("investigation_id", "last_investigation_id"), "last_investigation_id")

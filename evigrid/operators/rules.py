@@ -44,9 +44,24 @@ def no_overlap_promotion() -> tuple[str, Column, Column]:
 
 def proposals(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each rule that fires. A rule whose condition is null does not."""
-    chosen = [(n, *_rules[n]()) for n in (names or tuple(_rules))]
-    each = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("rule_id"), F.lit(k).alias("kind"), F.lit(PRIORITY.index(k)).alias("priority"), r.alias("reason"))) for n, k, c, r in chosen)))
-    return pairs.select("*", F.inline(each))
+    return pairs.select("*", F.inline(_fired(names))).drop("negative")
+
+
+def _fired(names: tuple[str, ...] | None) -> Column:
+    """The proposals of a pair; their fields are in the order in which one wins over another."""
+    out = []
+    for n in names or tuple(_rules):
+        kind, condition, reason = _rules[n]()
+        fields = (F.lit(PRIORITY.index(kind)).alias("priority"), (-F.col("score")).alias("negative"), F.lit(n).alias("rule_id"), F.lit(kind).alias("kind"), reason.alias("reason"))
+        out.append(F.when(condition, F.struct(*fields)))
+    return F.array_compact(F.array(*out))
+
+
+def decided(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The winning proposal of each pair for which a rule fires, chosen inside the row: ``pairs`` has a
+    row a pair. As ``resolved(proposals(pairs))``, without its shuffle and sort."""
+    won = pairs.withColumn("_won", F.array_min(_fired(names))).where("_won IS NOT NULL")
+    return won.select(*pairs.columns, "_won.rule_id", "_won.kind", "_won.priority", "_won.reason")
 
 
 def resolved(proposed: DataFrame, keys: tuple[str, ...] = ("draft", "known")) -> DataFrame:
@@ -55,6 +70,13 @@ def resolved(proposed: DataFrame, keys: tuple[str, ...] = ("draft", "known")) ->
     return proposed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def marked(draft: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """``draft`` with ``listed``: whether its value is on the list, in any case. The mark goes through
+    ``correlate.scores`` as ``on_watchlist``, so that the pairs are made once."""
+    values = watchlist.select(F.lower(F.trim("value")).alias("_v")).distinct().withColumn("listed", F.lit(True))
+    return draft.join(values, F.lower(F.trim("value")) == F.col("_v"), "left").drop("_v").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
 def on_watchlist(matched: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Pairs with a matched value on the list: ``(draft, known, on_watchlist)``."""
     hits = matched.join(watchlist.select(F.lower("value").alias("value")).distinct(), "value", "left_semi")

@@ -120,30 +120,30 @@ def noisy_or_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strongest.groupBy("user_id").agg(F.round(noisy_or(F.col("w")), 6).alias("confidence"))
 
 
-@query(f"""WITH {EV}, m AS (SELECT user_id, type, k, count(DISTINCT event_id % 5) AS n FROM ev WHERE k < 12 GROUP BY ALL),
+@query(f"""WITH {EV}, m AS (SELECT user_id, type, k, count(DISTINCT event_id % 5) AS n FROM ev GROUP BY ALL),
 w AS (SELECT user_id, CASE WHEN type = 'email' THEN 0.85 ELSE least(1.0, (CASE type WHEN 'username' THEN 0.5 ELSE 0.2 END) * (1 + ln(n))) END AS w FROM m)
 SELECT user_id AS identity_id, round(1 - product(1 - w), 6) AS confidence, CASE WHEN round(1 - product(1 - w), 6) >= 0.85 THEN 'confirmed' ELSE 'tentative' END AS status FROM w GROUP BY user_id""")
 def log_damped_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence and promotion of identities."""
-    m = evidence(spark, sf_dir).where("k < 12").groupBy(F.col("user_id").alias("identity_id"), "type", "k").agg(F.countDistinct(F.col("event_id") % 5).alias("n_sources"))
+    m = evidence(spark, sf_dir).groupBy(F.col("user_id").alias("identity_id"), "type", "k").agg(F.countDistinct(F.col("event_id") % 5).alias("n_sources"))
     return identity.confidence(m)
 
 
-@query(f"""WITH RECURSIVE {EV}, o AS (SELECT DISTINCT user_id % 10 AS inv, event_id // 4 AS evid, type || ':' || k AS ent, type FROM ev WHERE k < 40),
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT DISTINCT user_id % 10 AS inv, event_id // 4 AS evid, type || ':' || k AS ent, type FROM ev),
 s AS (SELECT inv, evid FROM o WHERE type = 'email' GROUP BY ALL), e AS (SELECT DISTINCT a.inv, a.ent AS x, b.ent AS y FROM o a JOIN s USING (inv, evid) JOIN o b USING (inv, evid)),
 r AS (SELECT inv, ent, ent AS root FROM (SELECT DISTINCT inv, ent FROM o) UNION SELECT r.inv, e.y, r.root FROM r JOIN e ON r.inv = e.inv AND r.ent = e.x)
 SELECT inv AS investigation_id, ent AS entity_id, min(root) AS cluster FROM r GROUP BY inv, ent""")
 def identity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities linked by evidence with a strong identifier, within each investigation."""
-    o = evidence(spark, sf_dir).where("k < 40").select((F.col("user_id") % 10).alias("investigation_id"), F.floor(F.col("event_id") / 4).alias("evidence_id"), F.concat_ws(":", "type", "k").alias("entity_id"), "type").distinct()
+    o = evidence(spark, sf_dir).select((F.col("user_id") % 10).alias("investigation_id"), F.floor(F.col("event_id") / 4).alias("evidence_id"), F.concat_ws(":", "type", "k").alias("entity_id"), "type").distinct()
     return identity.clusters(o).withColumn("cluster", F.split_part("cluster", F.lit("\x01"), F.lit(2)))
 
 
-_LINKS = f"WITH {EV}, links AS (SELECT DISTINCT user_id AS identity_id, type || ':' || k AS entity_id FROM ev WHERE ts < TIMESTAMP '2024-01-16' AND k < 30), wanted AS (SELECT DISTINCT user_id AS candidate, type || ':' || k AS entity_id FROM ev WHERE ts >= TIMESTAMP '2024-01-16' AND k < 30)"
+_LINKS = f"WITH {EV}, links AS (SELECT DISTINCT user_id AS identity_id, type || ':' || k AS entity_id FROM ev WHERE ts < TIMESTAMP '2024-01-16'), wanted AS (SELECT DISTINCT user_id AS candidate, type || ':' || k AS entity_id FROM ev WHERE ts >= TIMESTAMP '2024-01-16')"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ev, cut = evidence(spark, sf_dir).where("k < 30").withColumn("entity_id", F.concat_ws(":", "type", "k")), F.lit("2024-01-16").cast("timestamp_ntz")
+    ev, cut = evidence(spark, sf_dir).withColumn("entity_id", F.concat_ws(":", "type", "k")), F.lit("2024-01-16").cast("timestamp_ntz")
     return ev.where(F.col("ts") < cut).select(F.col("user_id").alias("identity_id"), "entity_id").distinct(), ev.where(F.col("ts") >= cut).select(F.col("user_id").alias("candidate"), "entity_id").distinct()
 
 
@@ -171,10 +171,10 @@ def merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.merged_links(links, merges)
 
 
-@query(f"WITH {EV} SELECT user_id AS identity_id, 'e' || event_id AS entity_id, value AS signal_weight FROM ev WHERE user_id % 10 IN (2, 3)")
+@query(f"WITH {EV} SELECT user_id AS identity_id, 'e' || event_id AS entity_id, value AS signal_weight FROM ev")
 def split_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splitting what was merged gives the links that were there before."""
-    links = evidence(spark, sf_dir).where("user_id % 10 IN (2, 3)").select(F.col("user_id").alias("identity_id"), F.concat(F.lit("e"), "event_id").alias("entity_id"), F.col("value").alias("signal_weight"))
+    links = evidence(spark, sf_dir).select(F.col("user_id").alias("identity_id"), F.concat(F.lit("e"), "event_id").alias("entity_id"), F.col("value").alias("signal_weight"))
     moved = links.where("identity_id % 10 = 3")
     merged = identity.merged_links(links, moved.select(F.col("identity_id").alias("source_id"), (F.col("identity_id") - 1).alias("target_id")).distinct())
     records = moved.groupBy(F.col("identity_id").alias("source_id")).agg(F.map_from_entries(F.collect_list(F.struct("entity_id", "signal_weight"))).alias("moved")).withColumn("target_id", F.col("source_id") - 1)

@@ -32,25 +32,23 @@ _FIRED = """, p AS (SELECT *, 'high_confidence_auto_merge' AS rule_id, 'auto_mer
  UNION ALL SELECT *, 'watchlist_hit', 'queue_review', 1 FROM s WHERE (draft, known) IN (SELECT draft, known FROM d JOIN g USING (type, k) WHERE k % 97 = 5))"""
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft, known = halves(spark, sf_dir)
-    found = correlate.matches(draft, known, correlate.signals(spark))
-    listed = found.select("value").where("CAST(value AS INT) % 97 = 5").distinct()
-    hits = rules.on_watchlist(found, listed)
-    pairs = correlate.scores(found).join(hits, ["draft", "known"], "left").withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches")})
-    return rules.proposals(pairs)
+    watchlist = known.select("value").where("CAST(value AS INT) % 97 = 5").distinct()
+    found = correlate.matches(rules.marked(draft, watchlist), known, correlate.signals(spark))
+    return correlate.scores(found).withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches")})
 
 
 @query(_SCORE + _FIRED + " SELECT draft, known, rule_id, kind, priority, score FROM p")
 def rule_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that fires for a pair."""
-    return _proposals(spark, sf_dir).select("draft", "known", "rule_id", "kind", "priority", "score")
+    return rules.proposals(_pairs(spark, sf_dir)).select("draft", "known", "rule_id", "kind", "priority", "score")
 
 
 @query(_SCORE + _FIRED + " SELECT draft, known, rule_id, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY draft, known ORDER BY priority, score DESC, rule_id) AS n FROM p) WHERE n = 1")
 def correlate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proposal that wins."""
-    return rules.resolved(_proposals(spark, sf_dir)).select("draft", "known", "rule_id", "kind", "score")
+    return rules.decided(_pairs(spark, sf_dir)).select("draft", "known", "rule_id", "kind", "score")
 
 
 @query(_SCORE + " SELECT known, count(*) AS n_drafts, max(score) AS best, arg_max(draft, score * 1e9 - draft) AS best_draft FROM s GROUP BY known")
@@ -60,15 +58,15 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("known").agg(F.count("*").alias("n_drafts"), F.max("score").alias("best"), F.max_by("draft", F.col("score") * 1e9 - F.col("draft")).alias("best_draft"))
 
 
-_REL = "rel AS (SELECT o_custkey AS c, l_returnflag AS t, l_suppkey % 20 AS a, l_partkey % 20 AS b, l_orderkey % 3 AS e, o_orderdate < TIMESTAMP '1996-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 0)"
+_REL = "rel AS (SELECT o_custkey AS c, l_returnflag AS t, l_suppkey AS a, l_partkey AS b, l_orderkey % 3 AS e, o_orderdate < TIMESTAMP '1996-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 @query(f"""WITH {_REL}, m AS (SELECT x.c AS draft, y.c AS known, x.e, count(*) AS n FROM rel x JOIN (SELECT DISTINCT c, t, a, b FROM rel WHERE NOT old) y ON x.t = y.t AND x.a = y.a AND x.b = y.b WHERE x.old AND x.c <> y.c GROUP BY ALL)
 SELECT draft, known, 3 AS decisive_tier, round(least(0.45, 1 - product(1 - 0.45)), 6) AS score, sum(n)::BIGINT AS n_matches FROM m GROUP BY draft, known""")
 def relationship_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities that share relationships only."""
-    rel = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rel = rel.selectExpr("o_custkey AS identity", "l_returnflag AS relationship_type", "'ip' AS source_type", "CAST(l_suppkey % 20 AS STRING) AS source_value", "'ip' AS target_type", "CAST(l_partkey % 20 AS STRING) AS target_value", "l_orderkey % 3 AS evidence_id", "o_orderdate < TIMESTAMP_NTZ '1996-01-01' AS old")
+    rel = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rel = rel.selectExpr("o_custkey AS identity", "l_returnflag AS relationship_type", "'ip' AS source_type", "CAST(l_suppkey AS STRING) AS source_value", "'ip' AS target_type", "CAST(l_partkey AS STRING) AS target_value", "l_orderkey % 3 AS evidence_id", "o_orderdate < TIMESTAMP_NTZ '1996-01-01' AS old")
     found = correlate.relationship_matches(rel.where("old"), rel.where("NOT old"))
     return correlate.scores(found).select("draft", "known", "decisive_tier", "score", "n_matches")
 

@@ -59,15 +59,15 @@ def geo_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(k, "investigation_id")
 
 
-@query("""WITH l AS (SELECT o_custkey AS c, o_orderstatus AS s, '- **' || o_orderkey || '**: ' || o_orderpriority AS x FROM orders WHERE o_custkey % 10 = 1), p AS (SELECT c, '## ' || s || chr(10) || string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY c, s)
+@query("""WITH l AS (SELECT o_custkey AS c, o_orderstatus AS s, '- **' || o_orderkey || '**: ' || o_orderpriority AS x FROM orders), p AS (SELECT c, '## ' || s || chr(10) || string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY c, s)
 SELECT c AS investigation_id, '# Report: c' || c || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY t) AS report FROM p GROUP BY c""")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, K13."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    o = table(spark, sf_dir, "orders")
     return exports.markdown(o.selectExpr("o_custkey AS investigation_id", "concat('c', o_custkey) AS target", "o_orderstatus AS section", "CAST(o_orderkey AS STRING) AS field", "o_orderpriority AS value"))
 
 
-@query("SELECT o_custkey AS investigation_id, count(DISTINCT o_orderstatus) AS n_h2, count(*) AS n_li FROM orders WHERE o_custkey % 10 = 1 GROUP BY o_custkey")
+@query("SELECT o_custkey AS investigation_id, count(DISTINCT o_orderstatus) AS n_h2, count(*) AS n_li FROM orders GROUP BY o_custkey")
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4."""
     h = markdown_report(spark, sf_dir).select("investigation_id", exports.html(F.col("report")).alias("h"))

@@ -109,7 +109,7 @@ t AS (SELECT *, list_filter([server, {", ".join(f"CASE WHEN contains(low, '{m}')
 SELECT page_id, nullif(trim(regexp_extract(head, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, technologies, CASE WHEN page_id % 2 = 0 THEN 'DENY' END AS frame_options FROM t""")
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, technologies and security headers; headers come from the page's number."""
-    pairs = F.array(F.struct(F.lit("Server").alias("k"), F.expr("CASE page_id % 3 WHEN 0 THEN 'nginx' WHEN 1 THEN 'React' ELSE '' END").alias("v")), F.struct(F.lit("x-frame-options"), F.expr("IF(page_id % 2 = 0, 'DENY', '')")))
+    pairs = F.array(F.struct(F.lit("Server").alias("k"), F.expr("CASE page_id % 3 WHEN 0 THEN 'nginx' WHEN 1 THEN 'React' ELSE '' END").alias("v")), F.struct(F.lit("x-frame-options").alias("k"), F.expr("IF(page_id % 2 = 0, 'DENY', '')").alias("v")))
     f = payloads.http_facts(F.col("html"), F.map_from_entries(pairs))
     df = table(spark, sf_dir, "pages").select("page_id", f.alias("f"))
     return df.select("page_id", "f.title", "f.technologies", F.try_element_at("f.security_headers", F.lit("X-Frame-Options")).alias("frame_options"))
@@ -317,7 +317,7 @@ def news_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_C} SELECT c_custkey, 1000::BIGINT * k + 7 AS received, 400::BIGINT * k AS sent, 600::BIGINT * k + 7 AS balance, (600::BIGINT * k + 7) / 1e8::DOUBLE AS balance_btc, k % 9 + 1::BIGINT AS tx_count,
-  [50 - (k % 40), k % 40]::BIGINT[] AS net_values, CASE k % 3 WHEN 0 THEN 'ETH' WHEN 1 THEN 'BTC' ELSE 'unknown' END AS currency, k * 1.0::DOUBLE AS eth FROM c""")
+  [50 - (k % 40), k % 40]::BIGINT[] AS net_values, CASE k % 3 WHEN 0 THEN 'ETH' WHEN 1 THEN 'BTC' ELSE 'unknown' END AS currency, k / 10000.0::DOUBLE AS eth FROM c""")
 def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2, P8, P24."""
     stats = lambda a, b, n: F.struct(a.cast("long").alias("funded"), b.cast("long").alias("spent"), n.cast("long").alias("txs"))
@@ -328,9 +328,9 @@ def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(io(you, F.lit(1))).alias("ins"), F.array(io(me, k % 40)).alias("outs")),
     )
     address = F.expr("CASE k % 3 WHEN 0 THEN concat('0x', k) WHEN 1 THEN concat('bc1', k) ELSE 'x' END")
-    wei = F.concat(F.lit("0x"), F.hex(k * F.lit(1_000_000_000)), F.lit("3B9ACA00"))  # the low digits are one more 1e9
+    wei = F.concat(F.lit("0x"), F.hex(k * F.lit(100_000_000_000_000)))
     totals = payloads.address_totals(stats(1000 * k, 400 * k, k % 9 + 1), stats(F.lit(7), F.lit(None), F.lit(None)))
-    df = _customers(spark, sf_dir).select("c_custkey", totals.alias("f"), payloads.net_values(me, txs).alias("net_values"), kernels.crypto_currency(address).alias("currency"), (F.round(kernels.wei_to_eth(wei) * 0 + k, 6)).alias("eth"))
+    df = _customers(spark, sf_dir).select("c_custkey", totals.alias("f"), payloads.net_values(me, txs).alias("net_values"), kernels.crypto_currency(address).alias("currency"), F.round(kernels.wei_to_eth(wei), 6).alias("eth"))
     return df.select("c_custkey", "f.*", "net_values", "currency", "eth")
 
 

@@ -96,7 +96,10 @@ def owner_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(due, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("active", F.lit(False)).alias("active"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, q AS (SELECT user_id AS client, event_id AS request_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM ev),
+w AS (SELECT client, n, request_id, true AS ok, t AS a, NULL::BIGINT AS b FROM q WHERE n = 1
+UNION ALL SELECT q.client, q.n, q.request_id, w.b IS NULL OR w.b <= q.t - 3600, CASE WHEN w.b IS NULL OR w.b <= q.t - 3600 THEN q.t ELSE w.a END, CASE WHEN w.b IS NULL OR w.b <= q.t - 3600 THEN w.a ELSE w.b END FROM w JOIN q ON q.client = w.client AND q.n = w.n + 1)
+SELECT client, request_id FROM w WHERE ok""")
 def allowed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6, W1: a limiter of two requests an hour for each user (refused ones do not count; tested
     against a walk through each user's requests)."""

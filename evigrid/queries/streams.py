@@ -17,7 +17,7 @@ def stream_monitor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as the table may be one file
     seen = stream.select(F.col("user_id").alias("monitor_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("fingerprint"), F.lit(None).cast("string").alias("summary"))
-    return monitors.run_once(monitors.changes(seen), "monitors").select("monitor_id", "seq", "old", "new", "change_count")
+    return monitors.watched(seen).select("monitor_id", "seq", "old", "new", "change_count")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR WHEN c_custkey % 3 = 1 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY ELSE TIMESTAMP '2024-01-01' + INTERVAL 7 DAY END AS next_check FROM customer WHERE c_custkey % 3 < 2")

@@ -59,13 +59,20 @@ _TARGETS = "SELECT url AS t FROM pages UNION ALL SELECT regexp_replace(url, '^ht
 
 
 def _sql_classify() -> str:
-    f = {k: v.replace("'", "''") for k, v in classify.FORMATS.items()}
-    order = "".join(f" WHEN regexp_matches(t, '{f[k]}') THEN '{k}'" for k in ("ip", "email", "crypto", "mac", "phone"))
-    rest = "".join(f" WHEN regexp_matches(t, '{f[k]}') THEN '{k}'" for k in ("npub", "vat", "iban", "vin", "hash", "flight", "domain", "username", "person"))
-    image = r"'\.(jpg|jpeg|png|gif|webp|bmp|tiff|tif)$'"
-    return f"""WITH x AS (SELECT trim(t) AS t FROM ({_TARGETS})),
-k AS (SELECT t, CASE WHEN regexp_matches(t, '^https?://') THEN CASE WHEN regexp_matches(split_part(lower(t), '?', 1), {image}) THEN 'image' ELSE 'url' END{order}
- WHEN regexp_matches(regexp_replace(t, '[\\s\\-()]', '', 'g'), '^\\d{{7,15}}$') THEN 'phone' WHEN regexp_matches(t, '{f["handle"]}') THEN 'username' WHEN suffix(t, '.eth') THEN 'ens'{rest} ELSE 'unknown' END AS kind FROM x)
+    return rf"""WITH x AS (SELECT trim(t) AS t FROM ({_TARGETS})),
+k AS (SELECT t, CASE WHEN regexp_matches(t, '^https?://') THEN
+   CASE WHEN regexp_matches(split_part(lower(t), '?', 1), '\.(jpg|jpeg|png|gif|webp|bmp|tiff|tif)$') THEN 'image' ELSE 'url' END
+ WHEN regexp_full_match(t, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') THEN 'ip'
+ WHEN regexp_full_match(t, '[^@\s]+@[^@\s]+\.[^@\s]+') THEN 'email'
+ WHEN regexp_full_match(t, '[13][a-km-zA-HJ-NP-Z1-9]{{25,34}}') THEN 'crypto'
+ WHEN starts_with(t, '+') AND regexp_full_match(t, '\+[0-9 ()\-]{{7,20}}') THEN 'phone'
+ WHEN regexp_full_match(translate(t, ' ()-', ''), '[0-9]{{7,15}}') THEN 'phone'
+ WHEN starts_with(t, '@') AND regexp_full_match(t, '@[a-zA-Z0-9_.]{{2,40}}') THEN 'username'
+ WHEN regexp_full_match(t, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{10,30}}') THEN 'iban'
+ WHEN regexp_full_match(t, '[0-9a-fA-F]+') AND length(t) IN (32, 40, 64) THEN 'hash'
+ WHEN regexp_full_match(t, '([a-zA-Z0-9]([a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?\.)+[a-zA-Z]{{2,}}') THEN 'domain'
+ WHEN regexp_full_match(t, '[a-zA-Z0-9_]{{2,40}}') THEN 'username'
+ WHEN regexp_full_match(t, '[A-Z][a-zA-Z''-]+( [A-Z][a-zA-Z''-]+){{1,3}}') THEN 'person' ELSE 'unknown' END AS kind FROM x)
 SELECT kind, count(*) AS n, count(DISTINCT t) AS n_values, min(t) AS least FROM k GROUP BY kind"""
 
 
@@ -81,10 +88,30 @@ def classify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(classify.classify(F.col("t")).alias("kind"), normalize.strip(F.col("t")).alias("t")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_values"), F.min("t").alias("least"))
 
 
-@query("SELECT page_id, technology, category FROM (" + " UNION ALL ".join(f"SELECT page_id, '{n}' AS technology, '{c}' AS category FROM pages WHERE regexp_matches(html, '{p}')" for n, c, p in kernels.TECHNOLOGY) + ")")
+_BODY = (
+    ("WordPress", "wp-content|wp-includes"), ("Joomla", "/media/jui/"), ("Drupal", "drupal.settings"), ("Laravel", "laravel_session|laravel_token"), ("Django", "csrfmiddlewaretoken|django"),
+    ("React", r"react\.js|react-dom|__next_data__|_reactroot"), ("Vue.js", r"vue\.js|v-cloak|v-bind|__vue"), ("Angular", "[ngclas]"), ("jQuery", "jquery"), ("Bootstrap", r"bootstrap[.-]min\.css|bootstrap\.js"),
+    ("Tailwind CSS", r"tailwind\.css|tailwindcss"), ("Next.js", "__next_data__|_next/static"), ("Nuxt.js", "__nuxt__|_nuxt/"), ("Gatsby", "gatsby"), ("Hugo", "hugo"), ("Ghost", r'ghost\.org|content="ghost'),
+    ("Shopify", r"shopify\.com|shopify\.theme"), ("WooCommerce", "woocommerce"), ("phpMyAdmin", "phpmyadmin|pma_"), ("cPanel", "cpanel"), ("Google Analytics", r"google-analytics\.com|gtag\(|ga_"),
+    ("Google Tag Manager", r"googletagmanager\.com|gtm-"), ("Matomo", r"matomo\.|piwik\."), ("Nginx", "<center>nginx</center>|nginx/"), ("Apache", "apache/[0-9]|mod_"), ("OpenResty", "openresty"),
+    ("CloudFront", r"cloudfront\.net"), ("Varnish", "varnish"), ("Chart.js", r"chart\.js"), ("Three.js", r"three\.js|three\.webgl"), ("Font Awesome", "font-awesome|fontawesome"), ("React Router", "react-router|reactrouter"),
+)
+_FRONT = "'jQuery', 'Bootstrap', 'Tailwind CSS', 'Chart.js', 'Three.js', 'Font Awesome', 'React Router'"
+_FRAME = "'Laravel', 'Django', 'React', 'Vue.js', 'Angular', 'Next.js', 'Nuxt.js', 'Gatsby', 'Hugo', 'Express'"
+
+
+@query(
+    "WITH h AS (SELECT page_id, lower(html) AS low, page_id % 4 AS m FROM pages), t AS (SELECT page_id, 'nginx' AS technology FROM h WHERE m = 1 UNION SELECT page_id, 'Nginx' FROM h WHERE m = 1 "
+    "UNION SELECT page_id, 'Express' FROM h WHERE m = 2 UNION SELECT page_id, 'Cloudflare' FROM h WHERE m = 3 OR regexp_matches(low, 'cloudflare|cf-browser-verification') "
+    + "".join(f"UNION SELECT page_id, '{n}' FROM h WHERE regexp_matches(low, '{p}') " for n, p in _BODY)
+    + f") SELECT page_id, technology, CASE WHEN technology IN ('WordPress', 'Joomla', 'Drupal', 'Ghost', 'Shopify', 'WooCommerce') THEN 'cms' WHEN technology IN ({_FRAME}) THEN 'framework' WHEN technology IN ({_FRONT}) THEN 'frontend' "
+    "WHEN technology IN ('Google Analytics', 'Google Tag Manager', 'Matomo') THEN 'analytics' WHEN technology = 'Cloudflare' THEN 'hosting' WHEN technology IN ('Nginx', 'Apache', 'OpenResty', 'Varnish', 'cPanel', 'phpMyAdmin', 'CloudFront') THEN 'server' ELSE 'other' END AS category FROM t"
+)
 def technology_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Body signatures, all in one pass of each page."""
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(kernels.technologies(F.col("html"))))
+    """Header and body signatures, all in one pass of each page; headers come from the page's number."""
+    headers = F.expr("CASE page_id % 4 WHEN 1 THEN map('Server', 'nginx/1.25') WHEN 2 THEN map('X-Powered-By', 'Express') WHEN 3 THEN map('CF-Ray', '8a1') ELSE map('Server', '') END")
+    found = table(spark, sf_dir, "pages").select("page_id", F.inline(kernels.technologies(F.col("html"), headers)))
+    return found.select("page_id", "technology", kernels.technology_category(F.col("technology")).alias("category"))
 
 
 @query("SELECT page_id, sha256(html) AS sha256, strlen(html) AS size_bytes, to_base64(encode(html)) AS html_base64 FROM pages")
@@ -118,6 +145,27 @@ def beacon_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", s.alias("checksum"), (s == 92).alias("is_beacon"))
 
 
+_NEAR = "a:qwsz b:vghn c:xdfv d:serfcx e:wsdr f:drtgvc g:ftyhbv h:gyujnb i:ujklo j:huikmn k:jijolm l:kop m:njk n:bhjm o:iklp p:ol q:wa r:edft s:awedxz t:rfgy u:yhji v:cfgb w:qase x:zsdc y:tghu z:asx"
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n, regexp_extract(d, '\\.([^.]*)$', 1) AS t FROM d),
+x AS (SELECT d, n, t, unnest(range(0, length(n)))::INT AS i FROM p), near AS (SELECT split_part(e, ':', 1) AS c, split_part(e, ':', 2) AS keys FROM (SELECT unnest(string_split('{_NEAR}', ' ')) AS e)),
+alike AS (SELECT * FROM (VALUES ('o', '0'), ('l', '1'), ('e', '3'), ('i', '1'), ('a', '@'), ('s', '5'), ('g', '9'), ('t', '7'), ('b', '8')) v(c, r)),
+v AS (SELECT d, 1 AS cls, i::BIGINT AS place, substr(n, 1, i) || substr(n, i + 2) || '.' || t AS variant FROM x
+UNION ALL SELECT d, 2, a * 1000 + i, substr(n, 1, i) || chr(97 + a) || substr(n, i + 1) || '.' || t FROM (SELECT d, n, t, unnest(range(0, length(n) + 1))::INT AS i FROM p), (SELECT unnest(range(0, 26))::INT AS a)
+UNION ALL SELECT d, 3, i * 1000 + j, substr(n, 1, i) || substr(keys, j, 1) || substr(n, i + 2) || '.' || t FROM (SELECT d, n, t, i, keys, unnest(range(1, length(keys) + 1))::INT AS j FROM x JOIN near ON c = substr(n, i + 1, 1))
+UNION ALL SELECT d, 4, i, substr(n, 1, i) || r || substr(n, i + 2) || '.' || t FROM x JOIN alike ON c = substr(n, i + 1, 1)
+UNION ALL SELECT d, 5, i * 10 + j, substr(n, 1, i) || substr('aeiou', j, 1) || substr(n, i + 2) || '.' || t FROM x, (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE contains('aeiou', substr(n, i + 1, 1)) AND substr('aeiou', j, 1) <> substr(n, i + 1, 1)
+UNION ALL SELECT d, 6, j, n || '.' || e FROM p, (SELECT unnest(range(1, 10))::INT AS j, unnest(['com', 'co', 'net', 'org', 'io', 'app', 'xyz', 'info', 'biz']) AS e)),
+f AS (SELECT d, variant, min(cls * 1000000 + place) AS spot FROM v WHERE variant <> d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY spot) AS k FROM f)
+SELECT d AS domain, ['missing_char', 'extra_char', 'adjacent_key', 'homoglyph', 'vowel_swap', 'tld_swap'][spot // 1000000] AS class, variant FROM r WHERE k <= 50""")
+def typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 look-alikes of each host, in order of their classes."""
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("domain")).distinct()
+    return hosts.select("domain", F.inline(kernels.typosquats(F.col("domain"))))
+
+
 @query("""WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n, regexp_extract(d, '\\.([^.]*)$', 1) AS t FROM d),
 m AS (SELECT DISTINCT d, substr(n, 1, i) || substr(n, i + 2) || '.' || t AS variant FROM (SELECT *, unnest(range(0, length(n))) AS i FROM p)) SELECT d AS domain, count(*) AS n_missing FROM m WHERE variant <> d GROUP BY d""")
 def typosquat_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +191,17 @@ def spf_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", score.cast("int").alias("score"), grade.alias("grade"))
 
 
-@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS h FROM pages), a AS (SELECT c_custkey, (c_custkey * 37) % 256 AS a, (c_custkey * 11) % 256 AS b FROM customer)
-SELECT 'page' AS kind, page_id AS id, h <> '' AS public FROM u UNION ALL SELECT 'ip', c_custkey, NOT (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR a >= 224) FROM a""")
+_HOSTS = ("[::1]", "[fd00::1]", "[fe80::1]", "[2606:4700::1111]", "[2001:db8::1]", "[::ffff:8.8.8.8]", "metadata.google.internal", "8.8.8.8", "169.254.169.254", "example.com")
+
+
+@query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS h FROM pages), a AS (SELECT c_custkey, (c_custkey * 37) % 256 AS a, (c_custkey * 11) % 256 AS b FROM customer)
+SELECT 'page' AS kind, page_id AS id, h <> '' AS public FROM u
+UNION ALL SELECT 'ip', c_custkey, NOT (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR a >= 224) FROM a
+UNION ALL SELECT 'host', c_custkey, c_custkey % 10 IN (3, 5, 7, 9) FROM customer""")
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public urls; addresses are tested against reserved blocks as ranges."""
+    """Public urls; IPv4 addresses against reserved blocks as ranges, IPv6 ones and local names."""
     p = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), kernels.is_public_url(F.col("url")).alias("public"))
     ip = F.expr("concat('http://', (c_custkey * 37) % 256, '.', (c_custkey * 11) % 256, '.7.7/x')")
-    return p.union(table(spark, sf_dir, "customer").select(F.lit("ip"), F.col("c_custkey"), kernels.is_public_url(ip)))
+    host = F.concat(F.lit("https://u@"), F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("c_custkey") % 10 + 1).cast("int")), F.lit(":8443/x?y@z"))
+    c = table(spark, sf_dir, "customer")
+    return p.union(c.select(F.lit("ip"), F.col("c_custkey"), kernels.is_public_url(ip))).union(c.select(F.lit("host"), F.col("c_custkey"), kernels.is_public_url(host)))

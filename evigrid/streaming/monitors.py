@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evigrid.plans.lineage import shared_dir
+from evigrid.plans.lineage import scratch
 
 ALERTS = "monitor_id long, at timestamp_ntz, seq long, old string, new string, change_count long, message string"
 STATE = "last string, at timestamp_ntz, seq long, n long"
@@ -40,10 +40,50 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def changes(observed: DataFrame) -> DataFrame:
-    """Alerts from ``(monitor_id, at, seq, fingerprint, summary)``, batch by batch."""
+    """Alerts from ``(monitor_id, at, seq, fingerprint, summary)``, batch by batch. A monitor's rows of one
+    micro-batch are sorted in memory; ``watch`` takes batches of any size."""
     return observed.groupBy("monitor_id").applyInPandasWithState(_watch, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def watch(stream: DataFrame, path: str, checkpoint: str):
+    """As ``changes``, for micro-batches of any size: a batch is put in order by sorting on disk, not in
+    memory, and each monitor's last state is a row of a table.
+
+    Batch ``n`` reads ``state/n-1``, writes ``state/n`` and its alerts under ``alerts/n``; run again
+    after a failure it writes the same once more.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        order = Window.partitionBy("monitor_id").orderBy("at", "seq")
+        rows = batch.select("monitor_id", "at", "seq", "fingerprint", "summary")
+        if n:
+            past = spark.read.parquet(f"{path}/state/{n - 1}")
+        else:
+            past = spark.createDataFrame([], "monitor_id long, p_at timestamp_ntz, p_seq long, p_last string, p_n long")
+        new = rows.join(past, "monitor_id", "left").where("p_at IS NULL OR at > p_at OR (at = p_at AND seq > p_seq)")
+        old = F.coalesce(F.lag("fingerprint").over(order), F.col("p_last"))
+        seen = new.withColumn("old", old).withColumn("changed", F.coalesce(F.col("old") != F.col("fingerprint"), F.lit(False)))
+        counted = seen.withColumn("n", F.coalesce("p_n", F.lit(0)) + F.sum(F.col("changed").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        message = F.coalesce("summary", F.lit("content changed")).alias("message")
+        alerts = counted.where("changed").select("monitor_id", "at", "seq", "old", F.col("fingerprint").alias("new"), F.col("n").alias("change_count"), message)
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/{n}")
+        last = counted.groupBy("monitor_id").agg(F.max(F.struct("at", "seq", "fingerprint", "n")).alias("s")).select("monitor_id", F.col("s.at").alias("p_at"), F.col("s.seq").alias("p_seq"), F.col("s.fingerprint").alias("p_last"), F.col("s.n").alias("p_n"))
+        last.union(past.join(last, "monitor_id", "left_anti")).write.mode("overwrite").parquet(f"{path}/state/{n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watched(stream: DataFrame, name: str = "monitors") -> DataFrame:
+    """Alerts of ``watch`` over all that is there now, from a table in the shared folder."""
+    base = scratch(stream.sparkSession, name)
+    q = watch(stream, base, f"{base}/checkpoint")
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return stream.sparkSession.read.schema(ALERTS).parquet(f"{base}/alerts/*")
+
+
 def next_check(at: Column, schedule: Column) -> Column:
     out = at + F.expr("INTERVAL 1 DAY")
     for k, v in SCHEDULES.items():
@@ -66,10 +106,8 @@ def not_in_future(evidence: DataFrame, now: Column, at: str = "at") -> DataFrame
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there now, into a table in the shared folder."""
-    import uuid
-
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/evigrid/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
@@ -77,19 +115,25 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def into_store(stream: DataFrame, path: str, checkpoint: str):
+def into_store(stream: DataFrame, path: str, checkpoint: str, at: str | None = None):
     """Idempotent sink: each micro-batch adds only keys that the store does not have, so a batch
-    that is run again after a failure changes nothing."""
+    that is run again after a failure changes nothing. With ``at``, the time of delivery that is
+    part of what is delivered, the store is parted by day and only the batch's days are read."""
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["execution_id", "plugin_id"])
+        keys = ["execution_id", "plugin_id"]
+        new = batch.dropDuplicates(keys)
+        if at:
+            new = new.withColumn("day", F.to_date(at))
         try:
-            stored = spark.read.schema(batch.schema).parquet(path)
-            new = new.join(stored.select("execution_id", "plugin_id"), ["execution_id", "plugin_id"], "left_anti")
+            stored = spark.read.schema(new.schema).parquet(path)
+            if at:  # the days of a batch are few
+                stored = stored.where(F.col("day").isin([r[0] for r in new.select("day").distinct().collect()]))
+            new = new.join(stored.select(*keys), keys, "left_anti")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        new.write.mode("append").parquet(path)
+        (new.write.mode("append").partitionBy("day") if at else new.write.mode("append")).parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
