@@ -157,7 +157,10 @@ def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[
         yield [(r[0], r[1], bytes(r[2])) for r in pieces.where(part == k).select("item", "width", "piece").toLocalIterator()]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def occurrences(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES,
+    text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
     """Where windows of benchmark items occur in every text.
 
     Gives ``(*keep, text, n_words, starts array<int>, ends array<int>, items array<string>)``
@@ -209,7 +212,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_by
                         ends.append(edges[1::2])
                         found.append(sorted(names_found))
                     ints = pa.list_(pa.int32())
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(k + 1)), pa.array(n_words, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(found, pa.list_(pa.string()))], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(c).slice(i, j - i) for c in range(k + 1)), pa.array(n_words, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(found, pa.list_(pa.string()))],
+                        names=names,
+                    )
 
         out = out.mapInArrow(run, schema)
     return out

@@ -47,7 +47,9 @@ WORDS = frozenset(
 #: An open element that ends where one of these starts.
 CLOSES = {"li": {"li"}, "p": BLOCK, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Parts of a class name that say nothing by themselves: ``comment-list`` and ``site-footer`` are furniture, ``with-sidebar`` is not.
-NEUTRAL = frozenset("area bar block box container content global inner item items left list outer page panel right section site slot sticky the top unit wrap wrapper".split())
+NEUTRAL = frozenset(
+    "area bar block box container content global inner item items left list outer page panel right section site slot sticky the top unit wrap wrapper".split()
+)
 PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 OPEN, MAIN, CHROME, NESTED = 0, 1, 2, 3
 

@@ -113,7 +113,10 @@ def fitted(docs: DataFrame, ratings: DataFrame, grades: int = 3, most_rated: int
             for i, j, data, offs in blocks(b.column(1)):
                 text, feature = features(data, offs)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=j - i))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["doc_id", "grade", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))],
+                    names=["doc_id", "grade", "features"],
+                )
 
     # The chosen ids are at most most_rated rows of 12 bytes.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
@@ -142,7 +145,10 @@ def scored(docs: DataFrame, model: Model, target: int = 2, cutoff: float = 0.4)
                 text, feature = features(data, offs)
                 above = m.above(np.bincount(text, m.weights[feature], j - i))
                 tail = above[:, target - 1]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.round(above.sum(axis=1), 6)), pa.array(np.round(tail, 6)), pa.array(tail >= cutoff)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(np.round(above.sum(axis=1), 6)), pa.array(np.round(tail, 6)), pa.array(tail >= cutoff)],
+                    names=["doc_id", "expected_grade", "tail_probability", "kept"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")

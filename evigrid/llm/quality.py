@@ -65,7 +65,10 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.select("*", F.explode(F.array(F.array_remove(F.split(whole, BLANK + "+"), ""))).alias("_words"))
     w = F.col("_words")
     ends = F.size(w) - WINDOW + 1
-    hashes = F.when(ends > 1, F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(
+        ends > 1,
+        F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW))),
+    ).otherwise(F.array().cast("array<bigint>"))
     df = df.select("*", F.explode(F.array(hashes)).alias("_hashes"))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return df.select(

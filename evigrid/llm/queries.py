@@ -59,7 +59,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op6_html_text, op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {
+        f.__name__: f for f in (
+            op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op6_html_text,
+            op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -97,7 +97,10 @@ def sharded(docs: DataFrame, shards: int = 16, fine: int = FINE, id_col: str = "
     by_item = spark.createDataFrame([(i, s) for (_, i, _), s in zip(items, of) if i is not None], "item long, bundle int")
     # Both tables are bounded by the item count, whatever the input.
     placed = rows.withColumn("item", item).join(F.broadcast(by_key), "key", "left").join(F.broadcast(by_item), "item", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("giant", "bundle").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(RUNS)).alias("run"))
+    placed = placed.select(
+        "doc_id", "size", "text_crc32", F.coalesce("giant", "bundle").alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(RUNS)).alias("run"),
+    )
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # shards * RUNS rows
@@ -105,5 +108,9 @@ def sharded(docs: DataFrame, shards: int = 16, fine: int = FINE, id_col: str = "
     return (
         placed.withColumn("place", F.row_number().over(inside) - 1)
         .join(F.broadcast(offsets), ["shard", "run"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select(
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+            (F.col("offset") + F.col("place")).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
     )

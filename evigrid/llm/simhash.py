@@ -159,7 +159,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                     rows.append(fp[off])
                 key = np.concatenate(keys) | U(low << 32)
                 for i in range(0, len(key), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(np.concatenate(rows)[i : i + (1 << 18)].view(np.int64))], names=["k", "fp"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(np.concatenate(rows)[i : i + (1 << 18)].view(np.int64))],
+                        names=["k", "fp"],
+                    )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, U), np.zeros(0, U)
@@ -200,7 +203,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     each = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
     fps = each.groupBy("fp").agg(F.min(id_col).alias("least"))
     stars = connected_components(links(fps.select("fp"), radius))
-    rooted = fps.join(stars.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(
+        stars.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left",
+    ).select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = each.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

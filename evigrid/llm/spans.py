@@ -149,7 +149,10 @@ def bitmap(slots: DataFrame, bits: int = FILTER_BITS) -> Filter:
             for k, at in split_by(which, int(which.max()) + 1 if len(which) else 0):
                 maps.setdefault(k, np.zeros(chunk, bool))[slot[at] % chunk] = True
         if maps:
-            yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()], pa.binary())], names=["k", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(maps), pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()], pa.binary())],
+                names=["k", "bits"],
+            )
 
     full = np.zeros((1 << bits) // 8, np.uint8)
     low_bits = slots.select(F.col("slot").bitwiseAND((1 << bits) - 1).alias("slot"))
@@ -288,7 +291,10 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
             for i in range(0, len(first), 10_000):
                 f, e = first[i : i + 10_000], ends[i : i + 10_000]
                 starts = [pairs[x:y].tobytes() for x, y in zip(f.tolist(), e.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array(tag[f], pa.int64()), pa.array(starts, pa.binary())], names=["doc_id", "tag", "starts"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[f], pa.int64()), pa.array(tag[f], pa.int64()), pa.array(starts, pa.binary())],
+                    names=["doc_id", "tag", "starts"],
+                )
 
     flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k int, blob binary")
     return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(gather, "doc_id long, tag long, starts binary")

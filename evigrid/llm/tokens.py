@@ -163,7 +163,10 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, id_co
                 base = np.concatenate([[0], run])[ends[:-1]]
                 sums = np.concatenate([[0], np.cumsum(counts[run - np.repeat(base, per_text)] * times)])
                 tokens = sums[ends[1:]] - sums[ends[:-1]]
-                yield pa.RecordBatch.from_arrays([b.column("ids")[r].values, b.column("n_bytes")[r].values, pa.array(tokens), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("ids")[r].values, b.column("n_bytes")[r].values, pa.array(tokens), pa.array(tokens > limit)],
+                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                )
 
     rows = written(docs.select(id_col, text_col).mapInArrow(cut, f"block long, bucket int, blob binary, ids array<{kind}>, n_bytes array<long>"), "frequencies")
     pieces = rows.where("bucket >= 0").select("block", "bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -220,7 +223,10 @@ def round_trips(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
                 raw, cut = memoryview(ids.astype("<u4").tobytes()), (ends * 4).tolist()
                 a = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut, cut[1:])]
                 d = [hashlib.sha256(x).hexdigest() for x in v.decode(ids, ends)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(a, pa.string()), pa.array(d, pa.string())],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     schema = f"`{id_col}` {_ids_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, text_col).mapInArrow(_named(run, id_col), schema)
