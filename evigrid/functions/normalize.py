@@ -65,7 +65,9 @@ def phone(c: Column) -> Column:
     digits = F.regexp_replace(s, r"[^\d+]", "")
     bare = F.regexp_replace(digits, r"\+", "")
     north = s.rlike(r"^\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}$")
-    out = F.when(digits.startswith("+"), digits).when(north, F.concat(F.lit("+1"), bare)).when(digits.startswith("00"), F.concat(F.lit("+"), F.substr(digits, F.lit(3)))).when(digits != "", F.concat(F.lit("+"), digits)).otherwise(s)
+    out = F.when(digits.startswith("+"), digits).when(north, F.concat(F.lit("+1"), bare)).when(
+        digits.startswith("00"), F.concat(F.lit("+"), F.substr(digits, F.lit(3))),
+    ).when(digits != "", F.concat(F.lit("+"), digits)).otherwise(s)
     return _or_empty(out)
 
 

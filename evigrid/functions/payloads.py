@@ -55,7 +55,9 @@ RECORD_TYPES = ("A", "AAAA", "MX", "NS", "TXT", "CNAME")
 def dns_records(rows: DataFrame, key: str) -> DataFrame:
     """``(key, records, primary_ip)`` of ``(key, rtype, value, pos)``: values of each type in their
     order; names without any record are left out."""
-    of_type = rows.where(F.col("rtype").isin(*RECORD_TYPES) & F.col("value").isNotNull()).groupBy(key, "rtype").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    of_type = rows.where(F.col("rtype").isin(*RECORD_TYPES) & F.col("value").isNotNull()).groupBy(key, "rtype").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")
+    )
     pairs = of_type.select(key, "rtype", F.transform("v", lambda x: x["value"]).alias("v"))
     found = pairs.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rtype", "v")))).alias("records"))
     return found.withColumn("primary_ip", F.get(F.try_element_at("records", F.lit("A")), 0))
@@ -137,7 +139,10 @@ def http_facts(body: Column, headers: Column) -> Column:
     """Title, description, technologies (servers first, then page marks, ten at most) and the security
     headers of a page. Header names are met as written or in lower case."""
     head, low = F.substring(body, 1, 5000), F.lower(F.substring(body, 1, 20000))
-    header = lambda h: F.coalesce(F.nullif(F.try_element_at(headers, F.lit(h)), F.lit("")), F.nullif(F.try_element_at(headers, F.lit(h.lower())), F.lit("")))
+    header = lambda h: F.coalesce(
+        F.nullif(F.try_element_at(headers, F.lit(h)), F.lit("")),
+        F.nullif(F.try_element_at(headers, F.lit(h.lower())), F.lit("")),
+    )
     strip = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
     marks = [F.when(F.contains(low, F.lit(mark)), name) for name, mark in PAGE_MARKS.items()]
     techs = F.array_distinct(F.array_compact(F.array(header("Server"), header("X-Powered-By"), *marks)))
@@ -160,7 +165,10 @@ def feed_items(text: Column, most: int = 10) -> Column:
     item = r"(?s)<item>.*?<title>(.*?)</title>.*?<link>(.*?)</link>.*?<pubDate>(.*?)</pubDate>.*?</item>"
     part = lambda k: F.slice(F.regexp_extract_all(text, F.lit(item), k), 1, most)
     title = F.transform(part(1), lambda x: F.substring(F.trim(F.regexp_replace(x, "<[^>]+>", "")), 1, 150))
-    return F.arrays_zip(title.alias("title"), F.transform(part(2), lambda x: F.trim(x)).alias("url"), F.transform(part(3), lambda x: F.substring(F.trim(x), 1, 32)).alias("date"))
+    return F.arrays_zip(
+        title.alias("title"), F.transform(part(2), lambda x: F.trim(x)).alias("url"),
+        F.transform(part(3), lambda x: F.substring(F.trim(x), 1, 32)).alias("date"),
+    )
 
 
 def profile_slugs(text: Column, site: str = r"linkedin\.com/in/", most: int = 5) -> Column:
@@ -239,7 +247,9 @@ def disposable(listed: Column, no_mx: Column, age_days: Column) -> Column:
     return F.struct(
         (_flag(listed) | both).alias("disposable"),
         F.when(both, "medium").otherwise("high").alias("confidence"),
-        F.array_compact(F.array(F.when(_flag(listed), "domain_in_disposable_list"), F.when(_flag(no_mx), "no_mx_records"), F.when(young, "domain_age_under_30_days"))).alias("signals"),
+        F.array_compact(
+            F.array(F.when(_flag(listed), "domain_in_disposable_list"), F.when(_flag(no_mx), "no_mx_records"), F.when(young, "domain_age_under_30_days"))
+        ).alias("signals"),
     )
 
 
@@ -268,7 +278,10 @@ def addresses_at(text: Column, domain: Column) -> Column:
 
 
 def mail_risks(blacklisted: Column, leaked: Column, breached: Column, malicious: Column, spam: Column, throwaway: Column) -> Column:
-    table = ((blacklisted, "blacklisted"), (_flag(leaked) | _flag(breached), "credentials leaked"), (malicious, "malicious activity"), (spam, "spam sender"), (throwaway, "disposable email"))
+    table = (
+        (blacklisted, "blacklisted"), (_flag(leaked) | _flag(breached), "credentials leaked"),
+        (malicious, "malicious activity"), (spam, "spam sender"), (throwaway, "disposable email"),
+    )
     return F.array_compact(F.array(*(F.when(_flag(c), name) for c, name in table)))
 
 
@@ -280,7 +293,10 @@ def mail_digests(address: Column) -> Column:
 def breach_risk(listed: Column, breached: Column, leaked: Column, suspicious: Column) -> Column:
     """``(breach_found, risk_level)`` from what several sources say of an address."""
     found = _flag(listed) | _flag(breached) | _flag(leaked)
-    return F.struct(found.alias("breach_found"), F.when(_flag(leaked), "Critical").when(found, "High").when(_flag(suspicious), "Medium").otherwise("Low").alias("risk_level"))
+    return F.struct(
+        found.alias("breach_found"),
+        F.when(_flag(leaked), "Critical").when(found, "High").when(_flag(suspicious), "Medium").otherwise("Low").alias("risk_level"),
+    )
 
 
 def exposure_band(n: Column) -> Column:
@@ -295,7 +311,9 @@ def spf_mechanisms(record: Column) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.split_part(word(p), F.lit(":"), F.lit(1)).alias("mechanism"), qualifier(p).alias("qualifier"), F.when(F.contains(p, F.lit(":")), F.regexp_replace(p, "^[^:]*:", "")).alias("value")
+            F.split_part(word(p), F.lit(":"), F.lit(1)).alias("mechanism"), qualifier(p).alias("qualifier"), F.when(
+                F.contains(p, F.lit(":")), F.regexp_replace(p, "^[^:]*:", ""),
+            ).alias("value")
         ),
     )
 
@@ -358,7 +376,10 @@ PLATFORM_CATEGORIES = {
     "Creative": ("DeviantArt", "Behance", "Dribbble", "ArtStation", "Flickr", "SoundCloud", "Spotify", "Bandcamp", "Mixcloud"),
     "Gaming": ("Steam", "Xbox", "PSN", "Roblox"),
     "Commerce": ("Etsy", "Patreon", "Fiverr", "Upwork"),
-    "Social Media": ("Twitter/X", "Instagram", "Reddit", "TikTok", "YouTube", "Twitch", "Pinterest", "Tumblr", "Medium", "Quora", "LinkedIn", "Snapchat", "Telegram", "VK", "Ask.fm", "Wattpad"),
+    "Social Media": (
+        "Twitter/X", "Instagram", "Reddit", "TikTok", "YouTube", "Twitch", "Pinterest", "Tumblr", "Medium",
+        "Quora", "LinkedIn", "Snapchat", "Telegram", "VK", "Ask.fm", "Wattpad",
+    ),
 }
 
 
@@ -390,7 +411,10 @@ def cross_platform(profiles: DataFrame, key: str) -> DataFrame:
 def posts(reddit: Column, github: Column, hackernews: Column) -> Column:
     """Total of posts and the platforms that know the user; each argument has ``found`` and ``n``."""
     each = (("reddit", reddit), ("github", github), ("hackernews", hackernews))
-    return F.struct(sum_of(*(c["n"] for _, c in each)).alias("total_posts"), F.array_compact(F.array(*(F.when(_flag(c["found"]), name) for name, c in each))).alias("platforms_found"))
+    return F.struct(
+        sum_of(*(c["n"] for _, c in each)).alias("total_posts"),
+        F.array_compact(F.array(*(F.when(_flag(c["found"]), name) for name, c in each))).alias("platforms_found"),
+    )
 
 
 def registered(sites: Column) -> Column:
@@ -422,7 +446,12 @@ def engine_summary(malicious: Column, harmless: Column, suspicious: Column, unde
     """``(total, summary)`` of scan engines' verdicts."""
     total = sum_of(malicious, harmless, suspicious, undetected)
     bad = F.coalesce(malicious, F.lit(0))
-    return F.struct(total.alias("total"), F.when(total == 0, "no analysis available").when(bad > 0, F.format_string("%d/%d flagged malicious", bad, total)).otherwise(F.format_string("0/%d malicious", total)).alias("summary"))
+    return F.struct(
+        total.alias("total"),
+        F.when(total == 0, "no analysis available").when(
+            bad > 0, F.format_string("%d/%d flagged malicious", bad, total),
+        ).otherwise(F.format_string("0/%d malicious", total)).alias("summary"),
+    )
 
 
 def scans(rows: DataFrame, key: str) -> DataFrame:
@@ -446,7 +475,10 @@ def news_rollup(articles: DataFrame, key: str, most: int = 5) -> DataFrame:
     """``(key, total, languages, top_domains)`` of ``(key, domain, language, pos)``: articles by language, and the
     domains with most articles, of equal ones that met first."""
     a = articles.withColumn("language", F.lower(F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("unknown"))))
-    by_language = a.groupBy(key, "language").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
+    by_language = a.groupBy(key, "language").agg(F.count("*").alias("n")).groupBy(key).agg(
+        F.sum("n").alias("total"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"),
+    )
     by_domain = a.where("domain <> ''").groupBy(key, "domain").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     ranked = by_domain.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "domain", "n"))), 1, most).alias("r"))
     tops = ranked.select(key, F.transform("r", lambda x: F.struct(x["domain"].alias("domain"), x["n"].alias("count"))).alias("top_domains"))
@@ -460,10 +492,16 @@ def address_totals(chain: Column, pending: Column) -> Column:
     """Satoshis received, sent and left, and transactions; both arguments have ``funded``, ``spent``, ``txs``."""
     total = lambda f: sum_of(chain[f], pending[f])
     left = total("funded") - total("spent")
-    return F.struct(total("funded").alias("received"), total("spent").alias("sent"), left.alias("balance"), (left / 1e8).alias("balance_btc"), total("txs").alias("tx_count"))
+    return F.struct(
+        total("funded").alias("received"), total("spent").alias("sent"), left.alias("balance"),
+        (left / 1e8).alias("balance_btc"), total("txs").alias("tx_count"),
+    )
 
 
 def net_values(address: Column, txs: Column, most: int = 5) -> Column:
     """What each of the first transactions (``ins`` and ``outs`` of ``address``, ``value``) brought the address."""
-    of = lambda side: F.aggregate(F.filter(_array(side), lambda x: x["address"] == address), F.lit(0).cast("long"), lambda s, x: s + x["value"].cast("long"))
+    of = lambda side: F.aggregate(
+        F.filter(_array(side), lambda x: x["address"] == address), F.lit(0).cast("long"), lambda s,
+        x: s + x["value"].cast("long"),
+    )
     return F.transform(F.slice(_array(txs), 1, most), lambda t: of(t["outs"]) - of(t["ins"]))

@@ -24,7 +24,10 @@ def breach_timeline(df: DataFrame, key: str) -> DataFrame:
     """``(key, dates, worst, kinds)`` of ``(key, date, severity, kinds)``: undated breaches come first."""
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
     at = F.coalesce("date", F.lit("0000-00-00"))
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("dates"), F.max_by("severity", rank).alias("worst"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    return df.groupBy(key).agg(
+        F.array_sort(F.collect_list(at)).alias("dates"), F.max_by("severity", rank).alias("worst"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
+    )
 
 
 def subdomains(found: DataFrame, root: str, name: str, most: int = 200) -> DataFrame:
@@ -46,7 +49,10 @@ def robots(body: Column) -> Column:
     """Disallowed, allowed and sitemap lines of a robots file (first 50, 50 and 10) and their counts."""
     lines = lambda k: F.regexp_extract_all(body, F.lit(rf"(?im)^{k}:[ \t]*(\S+)"), 1)
     d, a, s = lines("Disallow"), lines("Allow"), lines("Sitemap")
-    return F.struct(F.slice(d, 1, 50).alias("disallow"), F.slice(a, 1, 50).alias("allow"), F.slice(s, 1, 10).alias("sitemaps"), F.size(d).alias("n_disallow"), F.size(a).alias("n_allow"))
+    return F.struct(
+        F.slice(d, 1, 50).alias("disallow"), F.slice(a, 1, 50).alias("allow"),
+        F.slice(s, 1, 10).alias("sitemaps"), F.size(d).alias("n_disallow"), F.size(a).alias("n_allow"),
+    )
 
 
 def certificates(names: Column) -> Column:
@@ -63,7 +69,10 @@ def tls(not_after: Column, now: Column) -> Column:
 def adapter_observations(df: DataFrame, key: str, payload: str, most: int = 512) -> DataFrame:
     """``(key, observation_type, value)``: one observation for each scalar top-level field; nested ones are left out."""
     each = df.select(key, F.explode(F.from_json(payload, "map<string,string>")).alias("k", "value"))
-    return each.where("value IS NOT NULL AND NOT (value LIKE '{%' OR value LIKE '[%')").select(key, F.concat(F.lit("field:"), "k").alias("observation_type"), F.substring("value", 1, most).alias("value"))
+    return each.where("value IS NOT NULL AND NOT (value LIKE '{%' OR value LIKE '[%')").select(
+        key, F.concat(F.lit("field:"), "k").alias("observation_type"),
+        F.substring("value", 1, most).alias("value"),
+    )
 
 
 def followups(found: DataFrame, key: str, limits: dict[str, int], confidence: int = 70) -> DataFrame:

@@ -39,7 +39,10 @@ def matches(draft: DataFrame, known: DataFrame, table: DataFrame) -> DataFrame:
     that it grows with the input; a value that a fixed share of all identities has makes it
     grow with the square, as the pairs it asks for do. Leave such values out beforehand.
     """
-    d = draft.select(F.col("identity").alias("draft"), key("type").alias("type"), key("value").alias("value"), "evidence_id", *(c for c in ("listed",) if c in draft.columns)).join(F.broadcast(table), "type")
+    d = draft.select(
+        F.col("identity").alias("draft"), key("type").alias("type"), key("value").alias("value"),
+        "evidence_id", *(c for c in ("listed",) if c in draft.columns),
+    ).join(F.broadcast(table), "type")
     k = known.select(F.col("identity").alias("known"), key("type").alias("type"), key("value").alias("value")).distinct()
     return d.join(k, ["type", "value"]).where("draft <> known")
 
@@ -50,7 +53,12 @@ def relationship_matches(draft: DataFrame, known: DataFrame) -> DataFrame:
     side = lambda df, name, *more: df.select(F.col("identity").alias(name), *(key(c).alias(c) for c in ends), *more)
     k = side(known, "known").distinct()
     joined = side(draft, "draft", "evidence_id").join(k, ends).where("draft <> known")
-    return joined.select("draft", "known", F.col("relationship_type").alias("type"), F.concat_ws("->", "source_value", "target_value").alias("value"), "evidence_id", F.lit("relationship").alias("signal"), F.lit(RELATIONSHIP_TIER).alias("tier"), F.lit(RELATIONSHIP_WEIGHT).alias("weight"))
+    return joined.select(
+        "draft", "known", F.col("relationship_type").alias("type"),
+        F.concat_ws("->", "source_value", "target_value").alias("value"), "evidence_id",
+        F.lit("relationship").alias("signal"), F.lit(RELATIONSHIP_TIER).alias("tier"),
+        F.lit(RELATIONSHIP_WEIGHT).alias("weight"),
+    )
 
 
 def unit(c: Column) -> Column:
@@ -70,9 +78,15 @@ def scores(found: DataFrame) -> DataFrame:
     """
     listed = [c for c in ("listed",) if c in found.columns]
     strongest = found.groupBy("draft", "known", "tier", "evidence_id").agg(F.max("weight").alias("w"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in listed))
-    tiers = strongest.groupBy("draft", "known").agg(*(F.coalesce(1 - F.product(F.when(F.col("tier") == t, 1 - unit(F.col("w")))), F.lit(0.0)).alias(f"raw{t}") for t in (1, 2, 3)), F.min("tier").alias("decisive_tier"), F.sum("n").alias("n_matches"), *(F.max(c).alias("on_watchlist") for c in listed))
+    tiers = strongest.groupBy("draft", "known").agg(
+        *(F.coalesce(1 - F.product(F.when(F.col("tier") == t, 1 - unit(F.col("w")))), F.lit(0.0)).alias(f"raw{t}") for t in (1, 2, 3)),
+        F.min("tier").alias("decisive_tier"), F.sum("n").alias("n_matches"),
+        *(F.max(c).alias("on_watchlist") for c in listed),
+    )
     capped = tiers.withColumns({f"score{t}": F.least(F.col(f"raw{t}"), F.lit(CAPS[t])) if t in CAPS else F.col(f"raw{t}") for t in (1, 2, 3)})
-    share = lambda t: F.when(F.col("decisive_tier") == t, F.col(f"score{t}")).when(F.col("decisive_tier") < t, LOWER_TIER_SHARE * F.col(f"score{t}")).otherwise(0.0)
+    share = lambda t: F.when(F.col("decisive_tier") == t, F.col(f"score{t}")).when(
+        F.col("decisive_tier") < t, LOWER_TIER_SHARE * F.col(f"score{t}"),
+    ).otherwise(0.0)
     over = F.lit(False)
     for t, cap in CAPS.items():
         over = over | (F.col(f"raw{t}") > cap)
@@ -81,6 +95,9 @@ def scores(found: DataFrame) -> DataFrame:
 
 def explained(scored: DataFrame, found: DataFrame) -> DataFrame:
     """Scores with the matched entities and a sentence for each pair."""
-    why = found.groupBy("draft", "known").agg(F.array_sort(F.collect_set(F.struct("tier", "signal", "type", "value"))).alias("matched"), F.array_sort(F.collect_set("evidence_id")).alias("evidence"))
+    why = found.groupBy("draft", "known").agg(
+        F.array_sort(F.collect_set(F.struct("tier", "signal", "type", "value"))).alias("matched"),
+        F.array_sort(F.collect_set("evidence_id")).alias("evidence"),
+    )
     text = F.format_string("tier %d decides: score %.6f from %d signals in %d pieces of evidence", "decisive_tier", "score", F.size("matched"), F.size("evidence"))
     return scored.join(why, ["draft", "known"]).withColumn("reasoning", text)

@@ -57,7 +57,9 @@ def state_differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-3) -> Da
     """Identities that are in one snapshot only, or differ in status or confidence."""
     x, y = (df.select("identity_id", F.col("status").alias(f"status_{n}"), F.col("confidence").alias(f"confidence_{n}")) for n, df in (("a", a), ("b", b)))
     joined = x.join(y, "identity_id", "full_outer")
-    kind = F.when(F.col("status_b").isNull(), "only_a").when(F.col("status_a").isNull(), "only_b").when(F.col("status_a") != F.col("status_b"), "status").when(F.abs(F.col("confidence_a") - F.col("confidence_b")) > tolerance, "confidence")
+    kind = F.when(F.col("status_b").isNull(), "only_a").when(F.col("status_a").isNull(), "only_b").when(F.col("status_a") != F.col("status_b"), "status").when(
+        F.abs(F.col("confidence_a") - F.col("confidence_b")) > tolerance, "confidence",
+    )
     return joined.withColumn("difference", kind).where("difference IS NOT NULL")
 
 
@@ -73,7 +75,9 @@ def latest(changes: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fi
 def merge_records(merges: DataFrame, links: DataFrame) -> DataFrame:
     """``(decision_id, source_id, target_id, moved)`` of automatic merges: ``moved`` maps the entities that the
     source has then to their weights, for a later split."""
-    own = links.groupBy(F.col("identity_id").alias("source_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_id", "signal_weight")))).alias("moved"))
+    own = links.groupBy(F.col("identity_id").alias("source_id")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_id", "signal_weight")))).alias("moved")
+    )
     empty = F.create_map().cast("map<string,double>")
     return merges.join(own, "source_id", "left").select("decision_id", "source_id", "target_id", F.coalesce("moved", empty).alias("moved"))
 
@@ -115,7 +119,10 @@ def replayed_links(log: DataFrame) -> DataFrame:
     the given ones back. Identities that merges and splits connect are folded together, a group a
     task at a time; all others need no fold.
     """
-    rows = log.select("at", "log", "seq", F.col("identity_id").cast("string").alias("identity_id"), "action", F.col("target_id").cast("string").alias("target_id"), "entities")
+    rows = log.select(
+        "at", "log", "seq", F.col("identity_id").cast("string").alias("identity_id"), "action",
+        F.col("target_id").cast("string").alias("target_id"), "entities",
+    )
     tied = rows.where("action IN ('merged', 'split') AND target_id IS NOT NULL")
     groups = connected_components(tied, "identity_id", "target_id").withColumnsRenamed({"node": "identity_id", "component": "part"})
     first = rows.join(groups, "identity_id", "left_anti").groupBy("identity_id").agg(F.min_by(F.struct("action", "entities"), F.struct("at", "log", "seq")).alias("f"))

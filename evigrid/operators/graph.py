@@ -14,7 +14,10 @@ def evidence_graph(evidence: DataFrame, entities: DataFrame) -> tuple[DataFrame,
     plugins, and what each plugin extracted. Repeated plugin rows repeat edges, not nodes."""
     node = lambda df, expr, kind: df.select("graph_id", F.expr(expr).alias("node_id"), F.lit(kind).alias("kind"))
     target, plugin, entity = "concat('target:', target)", "concat('plugin:', plugin)", "concat('entity:', type, ':', value)"
-    found = entities.join(evidence.select("graph_id", F.col("plugin").alias("p")).distinct(), (F.col("p") == F.col("source_plugin")) & (entities.graph_id == evidence.graph_id), "left_semi")
+    found = entities.join(
+        evidence.select("graph_id", F.col("plugin").alias("p")).distinct(),
+        (F.col("p") == F.col("source_plugin")) & (entities.graph_id == evidence.graph_id), "left_semi",
+    )
     nodes = node(evidence, target, "target").union(node(evidence, plugin, "plugin")).union(node(found, entity, "entity")).distinct()
     edge = lambda df, a, b, label: df.select("graph_id", F.expr(a).alias("source"), F.expr(b).alias("target"), F.lit(label).alias("label"))
     return nodes, edge(evidence, target, plugin, "collected_by").union(edge(found, "concat('plugin:', source_plugin)", entity, "extracted"))
@@ -58,12 +61,24 @@ def distances(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
 def redirect_chain(hops: DataFrame, most: int = 20) -> DataFrame:
     """``(start, n_hops, final, loop)`` of following ``(source, target)``; one target a source."""
     hop = written(hops.groupBy("source").agg(F.min("target").alias("next")), "hops")
-    walk = hop.select(F.col("source").alias("start"), F.array("source").alias("path"), F.col("source").alias("at"), F.lit(False).alias("loop"), F.lit(False).alias("ended"))
+    walk = hop.select(
+        F.col("source").alias("start"), F.array("source").alias("path"), F.col("source").alias("at"),
+        F.lit(False).alias("loop"), F.lit(False).alias("ended"),
+    )
     for _ in range(most):
         step = walk.join(hop, walk.at == hop.source, "left")
         seen = F.array_contains("path", F.col("next"))
         go = ~F.col("ended") & F.col("next").isNotNull()
-        walk = written(step.select("start", F.when(go & ~seen, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.when(go & ~seen, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("loop") | F.coalesce(go & seen, F.lit(False))).alias("loop"), (F.col("ended") | F.col("next").isNull() | F.coalesce(seen, F.lit(False))).alias("ended")), "walk")
+        walk = written(
+            step.select(
+                "start",
+                F.when(go & ~seen, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
+                F.when(go & ~seen, F.col("next")).otherwise(F.col("at")).alias("at"),
+                (F.col("loop") | F.coalesce(go & seen, F.lit(False))).alias("loop"),
+                (F.col("ended") | F.col("next").isNull() | F.coalesce(seen, F.lit(False))).alias("ended"),
+            ),
+            "walk",
+        )
         if walk.where("NOT ended").isEmpty():
             break
     return walk.select("start", (F.size("path") - 1).alias("n_hops"), F.col("at").alias("final"), "loop")
@@ -75,7 +90,9 @@ def betweenness(edges: DataFrame, most_nodes: int = 100) -> DataFrame:
     lesser neighbour. Graphs are small by that bound, so each is one group."""
     import pandas as pd
 
-    ends = edges.select("graph_id", F.explode(F.array("source", "target")).alias("n")).groupBy("graph_id").agg(F.countDistinct("n").alias("size")).where(F.col("size") <= most_nodes)
+    ends = edges.select(
+        "graph_id", F.explode(F.array("source", "target")).alias("n"),
+    ).groupBy("graph_id").agg(F.countDistinct("n").alias("size")).where(F.col("size") <= most_nodes)
     simple = edges.join(ends, "graph_id", "left_semi").select("graph_id", "source", "target").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -71,7 +71,9 @@ def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shar
     both = wanted.join(links, "entity_id").groupBy("candidate", "identity_id").agg(F.countDistinct("entity_id").alias("n_shared"))
     tried = both.join(size, "identity_id").withColumn("share", F.col("n_shared") / F.col("n_total"))
     w = Window.partitionBy("candidate").orderBy(F.desc("n_shared"), F.desc("share"), "identity_id")
-    return tried.where((F.col("share") >= overlap) | (F.col("n_shared") >= shared)).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("candidate", "identity_id", "n_shared", "share")
+    return tried.where(
+        (F.col("share") >= overlap) | (F.col("n_shared") >= shared)
+    ).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("candidate", "identity_id", "n_shared", "share")
 
 
 def contained_in(links: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -85,7 +87,9 @@ def contained_in(links: DataFrame, wanted: DataFrame) -> DataFrame:
 def merged_links(links: DataFrame, merges: DataFrame) -> DataFrame:
     """Links after merges ``(source_id, target_id)``: moved to the target, the higher weight kept."""
     moved = links.join(merges.where("source_id <> target_id"), links.identity_id == merges.source_id, "left")
-    return moved.select(F.coalesce("target_id", "identity_id").alias("identity_id"), "entity_id", "signal_weight").groupBy("identity_id", "entity_id").agg(F.max("signal_weight").alias("signal_weight"))
+    return moved.select(
+        F.coalesce("target_id", "identity_id").alias("identity_id"), "entity_id", "signal_weight",
+    ).groupBy("identity_id", "entity_id").agg(F.max("signal_weight").alias("signal_weight"))
 
 
 def split_links(links: DataFrame, records: DataFrame) -> DataFrame:

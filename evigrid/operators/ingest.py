@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from evigrid.functions.normalize import normalize
 
 # The vocabularies of entity and relationship types.
-ENTITY_TYPES = ("email", "username", "phone", "domain", "ip", "ipv4", "ipv6", "url", "wallet", "btc", "eth", "hash", "md5", "sha1", "sha256", "cve", "asn", "mac", "iban", "vat", "user_agent", "certificate", "person", "company", "image")
-RELATIONSHIP_TYPES = ("owns", "uses", "same_person", "hosted_on", "resolves_to", "registered_by", "links_to", "mentions", "verified_by", "compromised_in", "found_alongside", "rotates_to", "redirects_to", "same_as", "member_of", "employed_at", "located_in")
+ENTITY_TYPES = (
+    "email", "username", "phone", "domain", "ip", "ipv4", "ipv6", "url", "wallet", "btc", "eth", "hash",
+    "md5", "sha1", "sha256", "cve", "asn", "mac", "iban", "vat", "user_agent", "certificate", "person",
+    "company", "image",
+)
+RELATIONSHIP_TYPES = (
+    "owns", "uses", "same_person", "hosted_on", "resolves_to", "registered_by", "links_to", "mentions",
+    "verified_by", "compromised_in", "found_alongside", "rotates_to", "redirects_to", "same_as", "member_of",
+    "employed_at", "located_in",
+)
 MAX_ENTITIES, MAX_OBSERVATIONS, MAX_RELATIONSHIPS = 500, 1000, 200
 FUTURE_SKEW = "INTERVAL 5 MINUTES"
 
@@ -63,7 +71,10 @@ def validated(envelopes: DataFrame, now: Column) -> DataFrame:
         _when(_out_of_range(F.col("confidence")), "confidence", "confidence is not in 0..1", "range"),
         *(_when(F.size(c) > n, c, f"more than {n}", "cap") for c, n in (("entities", MAX_ENTITIES), ("observations", MAX_OBSERVATIONS), ("relationships", MAX_RELATIONSHIPS))),
     ]
-    errors = F.concat(F.array_compact(F.array(*top)), _each(F.col("entities"), entity), _each(F.col("relationships"), relation), _each(F.col("observations"), observation))
+    errors = F.concat(
+        F.array_compact(F.array(*top)), _each(F.col("entities"), entity),
+        _each(F.col("relationships"), relation), _each(F.col("observations"), observation),
+    )
     linked = lambda o, i: [_when(o["linked_entity_value"].isNotNull() & ~F.exists(F.coalesce(F.col("entities"), F.array()), lambda e: (F.lower(e["type"]) == F.lower(o["linked_entity_type"])) & (F.lower(e["raw_value"]) == F.lower(o["linked_entity_value"]))), F.format_string("observations[%d].linked_entity_value", i), "no such entity", "unlinked")]
     return envelopes.withColumn("errors", errors).withColumn("warnings", _each(F.col("observations"), linked)).withColumn("is_valid", F.size("errors") == 0)
 
@@ -92,26 +103,42 @@ def upserted_entities(seen: DataFrame, stored: DataFrame | None = None) -> DataF
     ``seen`` has ``type, normalized_value, raw_value, seen_at, investigation_id, seq``. With
     ``stored``, counts add up and the range of times grows; the stored raw value stays.
     """
-    now = seen.groupBy("type", "normalized_value").agg(F.min_by("raw_value", "seq").alias("raw_value"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("source_count"), F.countDistinct("investigation_id").alias("investigation_count"))
+    now = seen.groupBy("type", "normalized_value").agg(
+        F.min_by("raw_value", "seq").alias("raw_value"), F.min("seen_at").alias("first_seen"),
+        F.max("seen_at").alias("last_seen"), F.count("*").alias("source_count"),
+        F.countDistinct("investigation_id").alias("investigation_count"),
+    )
     if stored is None:
         return now
     both = stored.select(*now.columns, F.lit(0).alias("age")).unionByName(now.withColumn("age", F.lit(1)))
-    return both.groupBy("type", "normalized_value").agg(F.min_by("raw_value", "age").alias("raw_value"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("source_count").alias("source_count"), F.sum("investigation_count").alias("investigation_count"))
+    return both.groupBy("type", "normalized_value").agg(
+        F.min_by("raw_value", "age").alias("raw_value"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.sum("source_count").alias("source_count"),
+        F.sum("investigation_count").alias("investigation_count"),
+    )
 
 
 def upserted_relationships(seen: DataFrame) -> DataFrame:
     """One row per (source, target, type): the highest confidence, the range of times."""
-    return seen.groupBy("source_id", "target_id", "relationship_type").agg(F.max("confidence").alias("confidence"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count("*").alias("n_seen"))
+    return seen.groupBy("source_id", "target_id", "relationship_type").agg(
+        F.max("confidence").alias("confidence"), F.min("observed_at").alias("first_seen"),
+        F.max("observed_at").alias("last_seen"), F.count("*").alias("n_seen"),
+    )
 
 
 def provenance(seen: DataFrame) -> DataFrame:
     """One row per (relationship, evidence), with the first observation that has an id."""
-    return seen.groupBy("relationship_id", "evidence_id").agg(F.min_by("observation_id", F.when(F.col("observation_id").isNotNull(), F.col("seq"))).alias("observation_id"))
+    return seen.groupBy("relationship_id", "evidence_id").agg(
+        F.min_by("observation_id", F.when(F.col("observation_id").isNotNull(), F.col("seq"))).alias("observation_id")
+    )
 
 
 # Failures that no retry mends, and those that one may.
 STRUCTURAL = ("AdapterError", "ValidationError", "KeyError", "AttributeError", "TypeError", "ValueError")
-TRANSIENT = ("TimeoutError", "asyncio.TimeoutError", "ClientConnectorError", "ClientResponseError", "ClientError", "ConnectionError", "OSError", "ServerDisconnectedError")
+TRANSIENT = (
+    "TimeoutError", "asyncio.TimeoutError", "ClientConnectorError", "ClientResponseError", "ClientError",
+    "ConnectionError", "OSError", "ServerDisconnectedError",
+)
 TRANSIENT_STATUS = (429, 500, 502, 503, 504)
 
 
@@ -123,14 +150,20 @@ def quarantined(failures: DataFrame, threshold: int = 3, hours: int = 24) -> Dat
     """``(plugin_id, quarantined_at, n_failures)``: when structural failures within the window first
     reached the threshold. The state is sticky: only that first time matters."""
     w = Window.partitionBy("plugin_id").orderBy(F.col("failed_at").cast("timestamp").cast("long")).rangeBetween(-hours * 3600, 0)
-    return failures.withColumn("n", F.count("*").over(w)).groupBy("plugin_id").agg(F.min(F.when(F.col("n") >= threshold, F.col("failed_at"))).alias("quarantined_at"), F.max("n").alias("n_failures")).where("quarantined_at IS NOT NULL")
+    return failures.withColumn("n", F.count("*").over(w)).groupBy("plugin_id").agg(
+        F.min(F.when(F.col("n") >= threshold, F.col("failed_at"))).alias("quarantined_at"),
+        F.max("n").alias("n_failures"),
+    ).where("quarantined_at IS NOT NULL")
 
 
 def evidence_records(envelopes: DataFrame) -> DataFrame:
     """One row of evidence for each envelope; where it comes from is what its first entry of ``evidence`` says."""
     first = F.get("evidence", 0)
     kept = ("evidence_id", "investigation_id", "plugin_id", "plugin_version", "execution_id", "target")
-    return envelopes.select(*kept, F.coalesce("raw", F.lit("{}")).alias("raw"), first["source_url"].alias("source_url"), first["source_reliability"].alias("source_reliability"))
+    return envelopes.select(
+        *kept, F.coalesce("raw", F.lit("{}")).alias("raw"), first["source_url"].alias("source_url"),
+        first["source_reliability"].alias("source_reliability"),
+    )
 
 
 def observation_id(evidence: Column, place: Column) -> Column:
@@ -140,7 +173,10 @@ def observation_id(evidence: Column, place: Column) -> Column:
 def observation_records(envelopes: DataFrame) -> DataFrame:
     """Every observation with its place in the envelope, which is part of its id."""
     each = envelopes.select("evidence_id", F.posexplode("observations").alias("place", "o"))
-    return each.select(observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"), "evidence_id", "place", "o.observation_type", "o.value", "o.confidence")
+    return each.select(
+        observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"), "evidence_id", "place",
+        "o.observation_type", "o.value", "o.confidence",
+    )
 
 
 def entity_observations(envelopes: DataFrame) -> DataFrame:
@@ -148,14 +184,21 @@ def entity_observations(envelopes: DataFrame) -> DataFrame:
     one; entities without a normal form have none. Each link once."""
     pairs = envelopes.select("evidence_id", F.size(F.coalesce("observations", F.array())).alias("n"), F.posexplode("entities").alias("place", "e"))
     good = pairs.where("place < n AND trim(coalesce(e.normalized_value, '')) <> ''")
-    return good.select(entity_id(F.col("e.type"), F.col("e.normalized_value")).alias("entity_id"), observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id")).distinct()
+    return good.select(
+        entity_id(F.col("e.type"), F.col("e.normalized_value")).alias("entity_id"),
+        observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"),
+    ).distinct()
 
 
 def linked_observations(envelopes: DataFrame, entities: DataFrame) -> DataFrame:
     """``(entity_id, observation_id)`` by what observations themselves name: type, and value without case
     and outer blanks. ``entities`` has ``entity_id, type, normalized_value``; what names none has no link."""
     each = envelopes.select("evidence_id", F.posexplode("observations").alias("place", "o"))
-    named = each.select(observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"), F.col("o.linked_entity_type").alias("type"), F.lower(F.trim("o.linked_entity_value")).alias("normalized_value"))
+    named = each.select(
+        observation_id(F.col("evidence_id"), F.col("place")).alias("observation_id"),
+        F.col("o.linked_entity_type").alias("type"),
+        F.lower(F.trim("o.linked_entity_value")).alias("normalized_value"),
+    )
     return named.join(entities, ["type", "normalized_value"]).select("entity_id", "observation_id").distinct()
 
 

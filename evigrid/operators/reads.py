@@ -36,7 +36,10 @@ def search(branches: list[tuple[str, DataFrame, str, list[str]]], text: str, per
     out = None
     for n, (name, df, key, cols) in enumerate(branches):
         hit = reduce(Column.__or__, (F.col(c).ilike(f"%{text}%") for c in cols))
-        got = df.where(hit).select(F.lit(n).alias("branch_no"), F.lit(name).alias("branch"), F.col(key).cast("long").alias("id"), F.substring(cols[0], 1, 80).alias("title")).orderBy("id").limit(per_branch)
+        got = df.where(hit).select(
+            F.lit(n).alias("branch_no"), F.lit(name).alias("branch"), F.col(key).cast("long").alias("id"),
+            F.substring(cols[0], 1, 80).alias("title"),
+        ).orderBy("id").limit(per_branch)
         out = got if out is None else out.unionByName(got)
     return out.orderBy("branch_no", "id").limit(most).drop("branch_no")
 

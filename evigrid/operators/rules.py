@@ -52,7 +52,10 @@ def _fired(names: tuple[str, ...] | None) -> Column:
     out = []
     for n in names or tuple(_rules):
         kind, condition, reason = _rules[n]()
-        fields = (F.lit(PRIORITY.index(kind)).alias("priority"), (-F.col("score")).alias("negative"), F.lit(n).alias("rule_id"), F.lit(kind).alias("kind"), reason.alias("reason"))
+        fields = (
+            F.lit(PRIORITY.index(kind)).alias("priority"), (-F.col("score")).alias("negative"),
+            F.lit(n).alias("rule_id"), F.lit(kind).alias("kind"), reason.alias("reason"),
+        )
         out.append(F.when(condition, F.struct(*fields)))
     return F.array_compact(F.array(*out))
 

@@ -56,11 +56,22 @@ def threat_scores(payloads: DataFrame) -> DataFrame:
     score = F.least(sum((F.col(f"p_{k}") for k in points), F.lit(0)), F.lit(100))
     threats, leaked = F.size(items("reputation.threats")) > 0, flag("breach.credentials_leaked")
     sub = F.coalesce(get("subdomains.total_found", "int"), F.size(items("subdomains.subdomains")))
-    stages = F.array_compact(F.array(F.when(sub > 0, "Reconnaissance"), F.when((F.col("p_vulnerabilities") > 0) | (F.col("p_exposure") > 0), "Weaponization"), F.when(flag("email.malicious_activity") | threats, "Delivery"), F.when(leaked, "Exploitation"), F.when(flag("reputation.is_tor_exit") | flag("ip_geo.is_proxy"), "Command and Control")))
+    stages = F.array_compact(
+        F.array(
+            F.when(sub > 0, "Reconnaissance"),
+            F.when((F.col("p_vulnerabilities") > 0) | (F.col("p_exposure") > 0), "Weaponization"),
+            F.when(flag("email.malicious_activity") | threats, "Delivery"), F.when(leaked, "Exploitation"),
+            F.when(flag("reputation.is_tor_exit") | flag("ip_geo.is_proxy"), "Command and Control"),
+        )
+    )
     out = df.withColumn("score", score).withColumn("stages", F.when(F.size(stages) == 0, F.array(F.lit("Reconnaissance"))).otherwise(stages))
     level = F.when(F.col("score") >= 75, "CRITICAL").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 25, "MEDIUM").otherwise("LOW")
     tlp = F.when(F.col("score") >= 75, "RED").when(F.col("score") >= 25, "AMBER").otherwise("GREEN")
-    return out.select("investigation_id", "score", level.alias("level"), tlp.alias("tlp"), F.array_compact(F.array(*(F.when(F.col(f"p_{k}") > 0, k) for k in points))).alias("categories"), "stages")
+    return out.select(
+        "investigation_id", "score", level.alias("level"), tlp.alias("tlp"),
+        F.array_compact(F.array(*(F.when(F.col(f"p_{k}") > 0, k) for k in points))).alias("categories"),
+        "stages",
+    )
 
 
 def threat_levels(evidence: DataFrame) -> DataFrame:
@@ -68,15 +79,21 @@ def threat_levels(evidence: DataFrame) -> DataFrame:
     at = lambda p, c: F.when((F.col("plugin_name") == p) & F.col("success"), c).otherwise(0)
     yes = lambda path, w: F.when(F.coalesce(F.try_variant_get("data", f"$.{path}", "boolean"), F.lit(False)), w).otherwise(0)
     n = lambda path: F.coalesce(F.least(F.size(F.try_variant_get("data", f"$.{path}", "array<string>")), F.lit(3)), F.lit(0))
-    points = at("reputation", F.greatest(n("threats"), F.lit(0)) + yes("is_tor_exit", 2)) + at("shodan", F.greatest(n("all_vulns"), F.lit(0))) + at("breach", yes("breach_found", 1) + yes("credentials_leaked", 2)) + at("ip_geo", yes("is_proxy", 2)) + at("email", yes("disposable", 1) + yes("blacklisted", 2))
+    points = at(
+        "reputation", F.greatest(n("threats"), F.lit(0)) + yes("is_tor_exit", 2),
+    ) + at("shodan", F.greatest(n("all_vulns"), F.lit(0))) + at("breach", yes("breach_found", 1) + yes("credentials_leaked", 2)) + at("ip_geo", yes("is_proxy", 2)) + at("email", yes("disposable", 1) + yes("blacklisted", 2))
     total = evidence.groupBy("investigation_id").agg(F.sum(points).alias("points"))
     return total.withColumn("level", F.when(F.col("points") >= 5, "CRITICAL").when(F.col("points") >= 3, "HIGH").when(F.col("points") >= 1, "MEDIUM").otherwise("LOW"))
 
 
 # Techniques (id, name, tactic) that the rules below can find.
 TECHNIQUES = (
-    ("T1090.003", "Tor Routing", "Command and Control"), ("T1090", "Proxy", "Command and Control"), ("T1046", "Network Service Discovery", "Discovery"), ("T1071.001", "Web Protocols", "Command and Control"), ("T1071.004", "DNS", "Command and Control"), ("T1133", "External Remote Services", "Initial Access, Persistence"),
-    ("T1190", "Exploit Public-Facing Application", "Initial Access"), ("T1566.002", "Spearphishing Link", "Initial Access"), ("T1583.001", "Domains", "Resource Development"), ("T1078", "Valid Accounts", "Defense Evasion, Persistence, Privilege Escalation, Initial Access"), ("T1592.002", "Software", "Reconnaissance"), ("T1595.001", "Scanning IP Blocks", "Reconnaissance"),
+    ("T1090.003", "Tor Routing", "Command and Control"), ("T1090", "Proxy", "Command and Control"), ("T1046", "Network Service Discovery", "Discovery"), ("T1071.001", "Web Protocols", "Command and Control"), ("T1071.004", "DNS", "Command and Control"), (
+        "T1133", "External Remote Services", "Initial Access, Persistence",
+    ),
+    ("T1190", "Exploit Public-Facing Application", "Initial Access"), ("T1566.002", "Spearphishing Link", "Initial Access"), ("T1583.001", "Domains", "Resource Development"), (
+        "T1078", "Valid Accounts", "Defense Evasion, Persistence, Privilege Escalation, Initial Access",
+    ), ("T1592.002", "Software", "Reconnaissance"), ("T1595.001", "Scanning IP Blocks", "Reconnaissance"),
 )
 
 
@@ -88,7 +105,9 @@ def techniques(payloads: DataFrame) -> DataFrame:
     title = F.lower(F.coalesce(get("http.title", "string"), F.lit("")))
     rules = (
         ("T1090.003", "reputation", flag("reputation.is_tor_exit")), ("T1090", "reputation", threat("proxy") | threat("vpn")), ("T1046", "shodan", F.size(ports) > 0), ("T1071.001", "shodan", any_port(80, 443, 8080)), ("T1071.004", "shodan", any_port(53)), ("T1133", "shodan", any_port(22, 3389)),
-        ("T1190", "shodan", F.size(items("shodan.all_vulns")) > 0), ("T1566.002", "http", title.rlike("login|verify|secure|account")), ("T1583.001", "subdomains", F.size(items("subdomains.subdomains")) > 5), ("T1078", "breach", flag("breach.credentials_leaked")), ("T1592.002", "technology", present("technology.technologies")), ("T1595.001", "certs", F.coalesce(get("certs.total_certs", "int") > 50, F.lit(False))),
+        ("T1190", "shodan", F.size(items("shodan.all_vulns")) > 0), ("T1566.002", "http", title.rlike("login|verify|secure|account")), ("T1583.001", "subdomains", F.size(items("subdomains.subdomains")) > 5), ("T1078", "breach", flag("breach.credentials_leaked")), ("T1592.002", "technology", present("technology.technologies")), (
+            "T1595.001", "certs", F.coalesce(get("certs.total_certs", "int") > 50, F.lit(False)),
+        ),
     )
     known = {t: (n, k) for t, n, k in TECHNIQUES}
     each = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(t).alias("technique_id"), F.lit(known[t][0]).alias("name"), F.lit(known[t][1]).alias("tactic"), F.lit(s).alias("source"))) for t, s, c in rules)))
@@ -109,8 +128,14 @@ def tags(payloads: DataFrame) -> DataFrame:
     threats = F.lower(F.array_join(items("reputation.threats"), ","))
     rules = (
         ("tor", present("reputation.is_tor_exit")), ("proxy", present("ip_geo.is_proxy")), ("vpn", F.contains(threats, F.lit("vpn"))), ("breached", present("breach.breach_found")), ("credentials-leaked", present("breach.credentials_leaked")), ("disposable-email", present("email.disposable")), ("blacklisted", present("email.blacklisted")),
-        ("vulnerable", present("shodan.all_vulns")), ("exposed-ports", present("shodan.all_open_ports")), ("subdomain-sprawl", F.size(items("subdomains.subdomains")) > 20), ("cdn-hosted", present("ip_geo.is_hosting")), ("new-domain", F.contains(F.substr(F.coalesce(get("whois.creation_date", "string"), F.lit("")), F.lit(1), F.lit(5)), F.lit("202"))), ("sanctions-hit", present("opensanctions.matches")), ("threatfox-listed", present("threatfox.matches")),
-        ("otx-flagged", present("otx.indicators")), ("malware-associated", present("malwarebazaar.samples")), ("phishing-suspected", F.contains(threats, F.lit("phish")) | title.rlike("login|verify|account|secure")), ("c2-suspected", present("cobaltstrike.detected") | present("jarm.c2_match")), ("ssl-misconfigured", present("ssl_analysis.issues")), ("has-cve", present("shodan.all_vulns")), ("high-entropy", present("secret_scanner.secrets_found")), ("ico-or-sto", present("cryptoscamdb.matches")),
+        ("vulnerable", present("shodan.all_vulns")), ("exposed-ports", present("shodan.all_open_ports")), ("subdomain-sprawl", F.size(items("subdomains.subdomains")) > 20), ("cdn-hosted", present("ip_geo.is_hosting")), (
+            "new-domain",
+            F.contains(F.substr(F.coalesce(get("whois.creation_date", "string"), F.lit("")), F.lit(1), F.lit(5)), F.lit("202")),
+        ), ("sanctions-hit", present("opensanctions.matches")), ("threatfox-listed", present("threatfox.matches")),
+        ("otx-flagged", present("otx.indicators")), ("malware-associated", present("malwarebazaar.samples")), (
+            "phishing-suspected",
+            F.contains(threats, F.lit("phish")) | title.rlike("login|verify|account|secure"),
+        ), ("c2-suspected", present("cobaltstrike.detected") | present("jarm.c2_match")), ("ssl-misconfigured", present("ssl_analysis.issues")), ("has-cve", present("shodan.all_vulns")), ("high-entropy", present("secret_scanner.secrets_found")), ("ico-or-sto", present("cryptoscamdb.matches")),
     )
     return payloads.select("investigation_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in rules)))).alias("tag"))
 
@@ -133,4 +158,6 @@ def fingerprint(metrics: DataFrame, keys: list[str], metric: str = "metric", val
 def integrity_drift(evidence: DataFrame, custody: DataFrame) -> DataFrame:
     """Evidence whose digest is not the latest recorded one: ``(evidence_id, recorded, now, intact)``."""
     last = custody.groupBy("evidence_id").agg(F.max_by("sha256", F.struct("recorded_at", "sha256")).alias("recorded"))
-    return evidence.select("evidence_id", F.sha2("payload", 256).alias("now")).join(last, "evidence_id", "left").withColumn("intact", F.coalesce(F.col("recorded") == F.col("now"), F.lit(False)))
+    return evidence.select("evidence_id", F.sha2("payload", 256).alias("now")).join(last, "evidence_id", "left").withColumn(
+        "intact", F.coalesce(F.col("recorded") == F.col("now"), F.lit(False)),
+    )

@@ -15,25 +15,45 @@ NOW = "2024-02-01T00:00:00Z"
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_nationkey AS investigation_id", "concat('nation-', c_nationkey) AS target", "IF(c_custkey % 2 = 0, 'email', 'ipv4') AS type", "IF(c_custkey % 2 = 0, concat('u', c_custkey, '@x.org'), concat('10.0.0.', c_custkey)) AS value", "CAST(c_custkey % 100 AS INT) AS confidence")
-
-
-@query("SELECT c_nationkey AS investigation_id, 'nation-' || c_nationkey AS name, count(*) + 2 AS n_objects, count(*) AS n_refs, min(CASE WHEN c_custkey % 2 = 0 THEN '[email-addr:value = ''u' || c_custkey || '@x.org'']' ELSE '[ipv4-addr:value = ''10.0.0.' || c_custkey || ''']' END) AS least_pattern FROM customer GROUP BY c_nationkey")
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS investigation_id", "concat('nation-', c_nationkey) AS target",
+        "IF(c_custkey % 2 = 0, 'email', 'ipv4') AS type",
+        "IF(c_custkey % 2 = 0, concat('u', c_custkey, '@x.org'), concat('10.0.0.', c_custkey)) AS value",
+        "CAST(c_custkey % 100 AS INT) AS confidence",
+    )
+
+
+@query(
+    "SELECT c_nationkey AS investigation_id, 'nation-' || c_nationkey AS name, count(*) + 2 AS n_objects, count(*) AS n_refs, min(CASE"
+    " WHEN c_custkey % 2 = 0 THEN '[email-addr:value = ''u' || c_custkey || '@x.org'']' ELSE '[ipv4-addr:value = ''10.0.0.' || c_custkey || ''']' END)"
+    " AS least_pattern FROM customer GROUP BY c_nationkey"
+)
 def stix_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: bundles, read back from their JSON."""
     b = exports.stix(_entities(spark, sf_dir), NOW)
     kind = "struct<type:string,objects:array<struct<type:string,id:string,name:string,pattern:string,object_refs:array<string>>>>"
     o = F.from_json("bundle", kind)["objects"]
-    return b.select("investigation_id", o[0]["name"].alias("name"), F.size(o).cast("long").alias("n_objects"), F.size(F.element_at(o, -1)["object_refs"]).cast("long").alias("n_refs"), F.array_min(F.transform(F.filter(o, lambda x: x["pattern"].isNotNull()), lambda x: x["pattern"])).alias("least_pattern"))
+    return b.select(
+        "investigation_id", o[0]["name"].alias("name"), F.size(o).cast("long").alias("n_objects"),
+        F.size(F.element_at(o, -1)["object_refs"]).cast("long").alias("n_refs"),
+        F.array_min(F.transform(F.filter(o, lambda x: x["pattern"].isNotNull()), lambda x: x["pattern"])).alias("least_pattern"),
+    )
 
 
-@query("SELECT c_nationkey AS investigation_id, count(*) AS n_attributes, count(*) FILTER (c_custkey % 100 >= 80) AS n_to_ids, count(*) FILTER (c_custkey % 2 = 0) AS n_email FROM customer GROUP BY c_nationkey")
+@query(
+    "SELECT c_nationkey AS investigation_id, count(*) AS n_attributes, count(*) FILTER (c_custkey % 100 >= 80) AS n_to_ids, count(*) FILTER (c_custkey % 2 = 0)"
+    " AS n_email FROM customer GROUP BY c_nationkey"
+)
 def misp_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2."""
     t = scoring.techniques(_payloads(spark, sf_dir))
     m = exports.misp(_entities(spark, sf_dir), t, "2024-02-01")
     a = F.from_json("event", "struct<Event:struct<Attribute:array<struct<type:string,to_ids:boolean>>>>")["Event"]["Attribute"]
-    return m.select("investigation_id", F.size(a).cast("long").alias("n_attributes"), F.size(F.filter(a, lambda x: x["to_ids"])).cast("long").alias("n_to_ids"), F.size(F.filter(a, lambda x: x["type"] == "email-src")).cast("long").alias("n_email"))
+    return m.select(
+        "investigation_id", F.size(a).cast("long").alias("n_attributes"),
+        F.size(F.filter(a, lambda x: x["to_ids"])).cast("long").alias("n_to_ids"),
+        F.size(F.filter(a, lambda x: x["type"] == "email-src")).cast("long").alias("n_email"),
+    )
 
 
 @query(_P + _T + f" SELECT {len(scoring.TECHNIQUES)}::BIGINT AS n, (count(DISTINCT technique_id) * 100)::BIGINT AS score FROM t")
@@ -46,48 +66,83 @@ def navigator_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS investigation_id", "s_name AS name", "IF(s_suppkey % 3 = 0, NULL, CAST(s_suppkey % 90 AS DOUBLE)) AS lat", "CAST(s_suppkey % 180 AS DOUBLE) AS lon")
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_nationkey AS investigation_id", "s_name AS name",
+        "IF(s_suppkey % 3 = 0, NULL, CAST(s_suppkey % 90 AS DOUBLE)) AS lat",
+        "CAST(s_suppkey % 180 AS DOUBLE) AS lon",
+    )
 
 
-@query("SELECT s_nationkey AS investigation_id, count(*) AS n, sum(s_suppkey % 90)::DOUBLE AS lat, count(*) AS n_kml FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY s_nationkey")
+@query(
+    "SELECT s_nationkey AS investigation_id, count(*) AS n, sum(s_suppkey % 90)::DOUBLE AS lat, count(*) AS n_kml FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY s_nationkey"
+)
 def geo_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: GeoJSON and KML of the same points."""
     p = _points(spark, sf_dir)
     f = F.from_json("geojson", "struct<features:array<struct<geometry:struct<coordinates:array<double>>>>>")["features"]
-    g = exports.geojson(p).select("investigation_id", F.size(f).cast("long").alias("n"), F.aggregate(f, F.lit(0.0), lambda a, x: a + x["geometry"]["coordinates"][1]).alias("lat"))
+    g = exports.geojson(p).select(
+        "investigation_id", F.size(f).cast("long").alias("n"),
+        F.aggregate(f, F.lit(0.0), lambda a, x: a + x["geometry"]["coordinates"][1]).alias("lat"),
+    )
     k = exports.kml(p).select("investigation_id", F.size(F.regexp_extract_all("kml", F.lit("<Placemark>"), 0)).cast("long").alias("n_kml"))
     return g.join(k, "investigation_id")
 
 
-@query("""WITH l AS (SELECT o_custkey AS c, o_orderstatus AS s, '- **' || o_orderkey || '**: ' || o_orderpriority AS x FROM orders), p AS (SELECT c, '## ' || s || chr(10) || string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY c, s)
+@query("""WITH l AS (SELECT o_custkey AS c, o_orderstatus AS s, '- **' || o_orderkey || '**: ' || o_orderpriority AS x FROM orders), p AS (SELECT c,
+  '## ' || s || chr(10) || string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY c, s)
 SELECT c AS investigation_id, '# Report: c' || c || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY t) AS report FROM p GROUP BY c""")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, K13."""
     o = table(spark, sf_dir, "orders")
-    return exports.markdown(o.selectExpr("o_custkey AS investigation_id", "concat('c', o_custkey) AS target", "o_orderstatus AS section", "CAST(o_orderkey AS STRING) AS field", "o_orderpriority AS value"))
+    return exports.markdown(
+        o.selectExpr(
+            "o_custkey AS investigation_id", "concat('c', o_custkey) AS target", "o_orderstatus AS section",
+            "CAST(o_orderkey AS STRING) AS field", "o_orderpriority AS value",
+        )
+    )
 
 
 @query("SELECT o_custkey AS investigation_id, count(DISTINCT o_orderstatus) AS n_h2, count(*) AS n_li FROM orders GROUP BY o_custkey")
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4."""
     h = markdown_report(spark, sf_dir).select("investigation_id", exports.html(F.col("report")).alias("h"))
-    return h.select("investigation_id", F.size(F.regexp_extract_all("h", F.lit("<h2>"), 0)).cast("long").alias("n_h2"), F.size(F.regexp_extract_all("h", F.lit("<li>"), 0)).cast("long").alias("n_li"))
+    return h.select(
+        "investigation_id", F.size(F.regexp_extract_all("h", F.lit("<h2>"), 0)).cast("long").alias("n_h2"),
+        F.size(F.regexp_extract_all("h", F.lit("<li>"), 0)).cast("long").alias("n_li"),
+    )
 
 
-@query("SELECT '<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>Orders</title>' || string_agg('<item><title>[' || o_orderstatus || '] c' || o_custkey || '</title><guid>' || o_orderkey || '</guid><pubDate>' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '</pubDate><description>' || o_orderpriority || '</description></item>', '' ORDER BY o_orderdate DESC, o_orderkey DESC) || '</channel></rss>' AS feed FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20)")
+@query(
+    "SELECT '<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>Orders</title>' || string_agg('<item><title>[' || o_orderstatus || '] c' || o_custkey || '</title><guid>' || o_orderkey || '</guid><pubDate>' || strftime(o_orderdate,"
+    " '%Y-%m-%dT%H:%M:%SZ') || '</pubDate><description>' || o_orderpriority || '</description></item>', '' ORDER BY o_orderdate DESC,"
+    " o_orderkey DESC) || '</channel></rss>' AS feed FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20)"
+)
 def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8, O4."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "concat('c', o_custkey) AS target", "o_orderstatus AS status", "o_orderpriority AS summary", "o_orderdate AS created_at")
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "concat('c', o_custkey) AS target", "o_orderstatus AS status",
+        "o_orderpriority AS summary", "o_orderdate AS created_at",
+    )
     return exports.rss(o, "Orders")
 
 
-@query("SELECT 'investigations_total ' || count(*) AS line FROM orders UNION ALL SELECT 'investigations_by_status{status=\"' || o_orderstatus || '\"} ' || count(*) FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'plugin_executions{plugin=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type")
+@query(
+    "SELECT 'investigations_total ' || count(*) AS line FROM orders UNION ALL SELECT 'investigations_by_status{status=\"' || o_orderstatus || '\"} ' || count(*)"
+    " FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'plugin_executions{plugin=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type"
+)
 def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9, A18."""
     o, e = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    total = o.agg(F.lit("investigations_total").alias("metric"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("label_value"), F.count("*").alias("value"))
-    by = lambda df, m, label, c: df.groupBy(c).agg(F.count("*").alias("value")).select(F.lit(m).alias("metric"), F.lit(label).alias("label"), F.col(c).alias("label_value"), "value")
-    return exports.metrics(total.unionByName(by(o, "investigations_by_status", "status", "o_orderstatus")).unionByName(by(e, "plugin_executions", "plugin", "event_type")))
+    total = o.agg(
+        F.lit("investigations_total").alias("metric"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("string").alias("label_value"), F.count("*").alias("value"),
+    )
+    by = lambda df, m, label, c: df.groupBy(c).agg(F.count("*").alias("value")).select(
+        F.lit(m).alias("metric"), F.lit(label).alias("label"), F.col(c).alias("label_value"), "value",
+    )
+    return exports.metrics(
+        total.unionByName(by(o, "investigations_by_status", "status", "o_orderstatus")).unionByName(by(e, "plugin_executions", "plugin", "event_type"))
+    )
 
 
 @query("SELECT o_custkey AS monitor_id, count(*) AS change_count FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey")

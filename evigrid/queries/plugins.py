@@ -11,7 +11,9 @@ from evigrid.session import table
 from evigrid.sources.canonical import EV, evidence
 
 
-@query("SELECT user_id, min(strftime(ts, '%Y%m%d%H%M%S')) AS first, max(strftime(ts, '%Y%m%d%H%M%S')) AS last, count(DISTINCT strftime(ts, '%Y%m')) AS n_months FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id, min(strftime(ts, '%Y%m%d%H%M%S')) AS first, max(strftime(ts, '%Y%m%d%H%M%S')) AS last, count(DISTINCT strftime(ts, '%Y%m')) AS n_months FROM events GROUP BY user_id"
+)
 def wayback_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P72."""
     return plugins.snapshots_by_month(evidence(spark, sf_dir).select("user_id", F.date_format("ts", "yyyyMMddHHmmss").alias("s")), "user_id", "s")
@@ -24,10 +26,16 @@ def earliest_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plugins.earliest_signal(rows, "user_id")
 
 
-@query(f"""WITH {EV} SELECT user_id, list_sort(list(CASE WHEN k % 9 = 0 THEN '0000-00-00' ELSE strftime(ts, '%Y-%m-%d') END)) AS dates, CASE WHEN bool_or(k = 7) THEN 'critical' WHEN bool_or(k % 2 = 0) THEN 'high' ELSE 'medium' END AS worst, list_sort(list(DISTINCT 'kind' || (k % 5))) AS kinds FROM ev WHERE event_type = 'error' GROUP BY user_id""")
+@query(f"""WITH {EV} SELECT user_id, list_sort(list(CASE WHEN k % 9 = 0 THEN '0000-00-00' ELSE strftime(ts, '%Y-%m-%d') END)) AS dates, CASE
+  WHEN bool_or(k = 7) THEN 'critical' WHEN bool_or(k % 2 = 0) THEN 'high' ELSE 'medium' END AS worst, list_sort(list(DISTINCT 'kind' || (k % 5))) AS kinds FROM ev
+  WHERE event_type = 'error' GROUP BY user_id""")
 def breach_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12."""
-    rows = evidence(spark, sf_dir).where("event_type = 'error'").select("user_id", F.when(F.col("k") % 9 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("date"), F.expr("CASE WHEN k = 7 THEN 'critical' WHEN k % 2 = 0 THEN 'high' ELSE 'medium' END").alias("severity"), F.array(F.concat(F.lit("kind"), F.col("k") % 5)).alias("kinds"))
+    rows = evidence(spark, sf_dir).where("event_type = 'error'").select(
+        "user_id", F.when(F.col("k") % 9 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("date"),
+        F.expr("CASE WHEN k = 7 THEN 'critical' WHEN k % 2 = 0 THEN 'high' ELSE 'medium' END").alias("severity"),
+        F.array(F.concat(F.lit("kind"), F.col("k") % 5)).alias("kinds"),
+    )
     return plugins.breach_timeline(rows, "user_id")
 
 
@@ -42,7 +50,10 @@ def subdomain_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plugins.subdomains(rows, "root", "n")
 
 
-@query(f"WITH {EV}, p AS (SELECT user_id, list_sort(list(DISTINCT k)) AS ports FROM ev GROUP BY user_id) SELECT user_id, ports, list_filter(ports, lambda x: x IN (21, 22, 23, 25)) AS risky FROM p")
+@query(
+    f"WITH {EV}, p AS (SELECT user_id, list_sort(list(DISTINCT k)) AS ports FROM ev GROUP BY user_id) SELECT user_id, ports, list_filter(ports, lambda x: x IN (21,"
+    f" 22, 23, 25)) AS risky FROM p"
+)
 def port_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P50, P57."""
     return plugins.ports(evidence(spark, sf_dir).select("user_id", F.col("k").cast("int").alias("k")), "user_id", "k")

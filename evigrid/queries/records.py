@@ -34,16 +34,21 @@ def plugin_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT c_custkey, ['email', 'domain', 'ip', 'vat'][c_custkey % 4 + 1] AS t FROM customer)
 SELECT c_custkey, 'email_intel' AS template, unnest(CASE t WHEN 'email' THEN ['email', 'breach', 'social_email'] WHEN 'domain' THEN ['dns'] ELSE [] END) AS plugin FROM c
-UNION ALL SELECT c_custkey, 'quick', unnest(CASE t WHEN 'email' THEN ['email', 'breach', 'reputation'] WHEN 'domain' THEN ['dns', 'whois', 'ip_geo', 'http', 'reputation'] WHEN 'ip' THEN ['ip_geo', 'dns', 'reputation'] ELSE [] END) FROM c
+UNION ALL SELECT c_custkey, 'quick', unnest(CASE t WHEN 'email' THEN ['email', 'breach', 'reputation'] WHEN 'domain' THEN ['dns', 'whois', 'ip_geo', 'http', 'reputation']
+  WHEN 'ip' THEN ['ip_geo', 'dns', 'reputation'] ELSE [] END) FROM c
 UNION ALL SELECT c_custkey, 'no such', unnest(['vies']) FROM c WHERE t = 'vat'""")
 def template_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources that templates name; for a template that does not exist those of the type."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr("element_at(array('email', 'domain', 'ip', 'vat'), CAST(c_custkey % 4 + 1 AS INT))").alias("target_type"))
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.expr("element_at(array('email', 'domain', 'ip', 'vat'), CAST(c_custkey % 4 + 1 AS INT))").alias("target_type"),
+    )
     of = lambda df, name: routing.routed(df, name).select("c_custkey", F.lit(name).alias("template"), "plugin")
     return of(c, "email_intel").union(of(c, "quick")).union(of(c.where("target_type = 'vat'"), "no such"))
 
 
-@query("""SELECT * FROM (VALUES ('full', 9, 46), ('quick', 9, 21), ('email_intel', 5, 9), ('brand', 3, 15), ('person', 4, 15), ('brand_protection', 4, 30), ('darkweb', 5, 31), ('pep_sanctions', 4, 19), ('due_diligence', 5, 26), ('c2_hunt', 3, 28)) t(template, n_types, n_plugins)""")
+@query("""SELECT * FROM (VALUES ('full', 9, 46), ('quick', 9, 21), ('email_intel', 5, 9), ('brand', 3, 15), ('person', 4, 15), ('brand_protection', 4, 30), ('darkweb', 5,
+  31), ('pep_sanctions', 4, 19), ('due_diligence', 5, 26), ('c2_hunt', 3, 28)) t(template, n_types, n_plugins)""")
 def template_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types and numbers of sources of each template (a fixed table)."""
     c = routing.catalogue(spark)
@@ -66,12 +71,14 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = "named_struct('observation_type', event_type, 'value', CAST(k AS STRING), 'confidence', 0.5D, 'linked_entity_type', type, 'linked_entity_value', IF(k % 3 = 0, NULL, concat(' ', k, ' ')))"
     return evidence(spark, sf_dir).selectExpr(
         "event_id AS evidence_id", "user_id AS investigation_id", "event_type AS plugin_id", "'1' AS plugin_version", "concat('x', event_id) AS execution_id", "CAST(k AS STRING) AS target", "IF(k % 2 = 0, '{}', NULL) AS raw",
-        "IF(k % 4 = 0, array(), array(named_struct('source_url', concat('http://s/', k), 'source_reliability', 0.5D), named_struct('source_url', 'other', 'source_reliability', 0.1D))) AS evidence",
+        "IF(k % 4 = 0, array(), array(named_struct('source_url', concat('http://s/', k), 'source_reliability', 0.5D), named_struct('source_url', 'other',"
+        " 'source_reliability', 0.1D))) AS evidence",
         f"array({one}, {two}) AS entities", f"IF(event_id % 2 = 0, array({seen}), array({seen}, {seen})) AS observations", "type", "k",
     )
 
 
-@query(f"""WITH {EV} SELECT event_id AS evidence_id, user_id AS investigation_id, event_type AS plugin_id, '1' AS plugin_version, 'x' || event_id AS execution_id, k::VARCHAR AS target, '{{}}' AS raw,
+@query(f"""WITH {EV} SELECT event_id AS evidence_id, user_id AS investigation_id, event_type AS plugin_id, '1' AS plugin_version, 'x' || event_id AS execution_id,
+  k::VARCHAR AS target, '{{}}' AS raw,
   CASE WHEN k % 4 > 0 THEN 'http://s/' || k END AS source_url, CASE WHEN k % 4 > 0 THEN 0.5::DOUBLE END AS source_reliability FROM ev""")
 def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where evidence comes from is what its first entry says."""
@@ -85,7 +92,8 @@ def observation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.observation_records(_envelopes(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, e AS (SELECT event_id, 0 AS place, type, k::VARCHAR AS v FROM ev WHERE k % 10 > 0 UNION ALL SELECT event_id, 1, 'domain', 'd' || (k % 7) || '.org' FROM ev WHERE event_id % 2 = 1)
+@query(f"""WITH {EV}, e AS (SELECT event_id, 0 AS place, type, k::VARCHAR AS v FROM ev WHERE k % 10 > 0 UNION ALL SELECT event_id, 1, 'domain', 'd' || (k % 7) || '.org'
+  FROM ev WHERE event_id % 2 = 1)
 SELECT sha256(type || chr(1) || v) AS entity_id, sha256(event_id || chr(1) || place) AS observation_id FROM e""")
 def entity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and observations by their place."""
@@ -105,7 +113,10 @@ def linked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT type, v AS normalized_value, NOT (type = 'supplier' AND v::BIGINT % 2 = 0) AS created FROM e""")
 def completed_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I16: ends of relationships that no entity stands for are made (here all but every second supplier)."""
-    li = table(spark, sf_dir, "lineitem").selectExpr("'supplier' AS source_type", "CAST(l_suppkey AS STRING) AS source_value", "'part' AS target_type", "CAST(l_partkey AS STRING) AS target_value")
+    li = table(spark, sf_dir, "lineitem").selectExpr(
+        "'supplier' AS source_type", "CAST(l_suppkey AS STRING) AS source_value", "'part' AS target_type",
+        "CAST(l_partkey AS STRING) AS target_value",
+    )
     known = li.select(F.col("source_type").alias("type"), F.col("source_value").alias("normalized_value")).distinct().where("CAST(normalized_value AS BIGINT) % 2 = 0")
     return ingest.completed_ends(li, known)
 
@@ -113,7 +124,10 @@ def completed_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unknown entity type' WHEN c_custkey % 4 = 1 THEN 'empty normal form' END AS error FROM customer")
 def checked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows stored by hand."""
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "IF(c_custkey % 4 = 0, 'planet', 'username') AS type", "IF(c_custkey % 4 = 1, ' @ ', c_name) AS raw_value")
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "IF(c_custkey % 4 = 0, 'planet', 'username') AS type",
+        "IF(c_custkey % 4 = 1, ' @ ', c_name) AS raw_value",
+    )
     return ingest.checked_entities(rows).select("c_custkey", "error")
 
 
@@ -123,10 +137,15 @@ def adapter_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.Adapters("purchase", "click").taken(table(spark, sf_dir, "events"), "event_type").select("event_id", "outcome")
 
 
-@query("SELECT event_type AS plugin_id, count(*) AS total, count(*) FILTER (event_id % 3 = 0) AS passed, count(*) FILTER (event_id % 3 = 1) AS failed, count(*) FILTER (event_id % 3 = 2) AS errors, count(*) FILTER (event_id % 3 > 0) = 0 AS compliant FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type AS plugin_id, count(*) AS total, count(*) FILTER (event_id % 3 = 0) AS passed, count(*) FILTER (event_id % 3 = 1) AS failed,"
+    " count(*) FILTER (event_id % 3 = 2) AS errors, count(*) FILTER (event_id % 3 > 0) = 0 AS compliant FROM events GROUP BY event_type"
+)
 def adapter_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report on adapters."""
-    return ingest.compliance(table(spark, sf_dir, "events").selectExpr("event_type AS plugin_id", "element_at(array('passed', 'failed', 'error'), CAST(event_id % 3 + 1 AS INT)) AS outcome"))
+    return ingest.compliance(
+        table(spark, sf_dir, "events").selectExpr("event_type AS plugin_id", "element_at(array('passed', 'failed', 'error'), CAST(event_id % 3 + 1 AS INT)) AS outcome")
+    )
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_custkey % 5 AS q FROM orders)
@@ -142,11 +161,14 @@ def fixture_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.compared(o.select("k", want.alias("expected"), got.alias("actual")), "k")
 
 
-@query("""SELECT CASE c_custkey % 4 WHEN 0 THEN 'h' || c_custkey || '.example.org' WHEN 1 THEN 'u' || c_custkey || '@x.org' ELSE '?!' || c_custkey END AS target, CASE c_custkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'email' ELSE 'unknown' END AS target_type,
+@query("""SELECT CASE c_custkey % 4 WHEN 0 THEN 'h' || c_custkey || '.example.org' WHEN 1 THEN 'u' || c_custkey || '@x.org' ELSE '?!' || c_custkey END AS target,
+  CASE c_custkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'email' ELSE 'unknown' END AS target_type,
   CASE WHEN c_custkey % 4 < 2 THEN 'created' ELSE 'skipped' END AS outcome FROM customer WHERE c_custkey % 4 < 3""")
 def submitted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: targets handed in together; blank ones are left out."""
-    t = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat(' h', c_custkey, '.example.org') WHEN 1 THEN concat('u', c_custkey, '@x.org ') WHEN 2 THEN concat('?!', c_custkey) ELSE '  ' END")
+    t = F.expr(
+        "CASE c_custkey % 4 WHEN 0 THEN concat(' h', c_custkey, '.example.org') WHEN 1 THEN concat('u', c_custkey, '@x.org ') WHEN 2 THEN concat('?!', c_custkey) ELSE '  ' END"
+    )
     return ingest.submitted(table(spark, sf_dir, "customer").select(t.alias("target")))
 
 
@@ -154,10 +176,14 @@ def submitted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: snapshots as evidence, without their body."""
     got = appends.snapshot_evidence(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "investigation_id"))
-    return got.select("investigation_id", "plugin_name", F.get_json_object("raw", "$.sha256").alias("sha256"), F.get_json_object("raw", "$.size_bytes").cast("long").alias("size_bytes"))
+    return got.select(
+        "investigation_id", "plugin_name", F.get_json_object("raw", "$.sha256").alias("sha256"),
+        F.get_json_object("raw", "$.size_bytes").cast("long").alias("size_bytes"),
+    )
 
 
-@query("""SELECT 'evidence' AS kind, event_id AS id, NULL AS detail FROM events WHERE ts >= TIMESTAMP '2024-01-10' UNION ALL SELECT 'log', event_id, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warn' END FROM events
+@query("""SELECT 'evidence' AS kind, event_id AS id, NULL AS detail FROM events WHERE ts >= TIMESTAMP '2024-01-10' UNION ALL SELECT 'log', event_id, CASE
+  WHEN event_id % 2 = 0 THEN 'info' ELSE 'warn' END FROM events
 UNION ALL SELECT 'entity', doc_id, length(substr(text, 1, 500))::VARCHAR FROM documents""")
 def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends each; of the evidence only late days are read."""
@@ -195,8 +221,13 @@ def previous_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'd' || s AS decision_id, s AS source_id, s - 1 AS target_id, string_agg(e || '=' || round(w, 2), ';' ORDER BY e) AS moved FROM d JOIN l ON i = s GROUP BY s""")
 def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an automatic merge moves, kept for a split."""
-    links = evidence(spark, sf_dir).groupBy(F.col("user_id").alias("identity_id"), F.concat_ws(":", "type", "k").alias("entity_id")).agg(F.max("value").alias("signal_weight"))
-    merges = links.where("identity_id % 10 = 3").select(F.concat(F.lit("d"), "identity_id").alias("decision_id"), F.col("identity_id").alias("source_id"), (F.col("identity_id") - 1).alias("target_id")).distinct()
+    links = evidence(spark, sf_dir).groupBy(
+        F.col("user_id").alias("identity_id"), F.concat_ws(":", "type", "k").alias("entity_id"),
+    ).agg(F.max("value").alias("signal_weight"))
+    merges = links.where("identity_id % 10 = 3").select(
+        F.concat(F.lit("d"), "identity_id").alias("decision_id"), F.col("identity_id").alias("source_id"),
+        (F.col("identity_id") - 1).alias("target_id"),
+    ).distinct()
     text = F.array_join(F.transform(F.map_entries("moved"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 2))), ";")
     return events.merge_records(merges, links).withColumn("moved", text)
 
@@ -204,10 +235,18 @@ def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an identity log: made with an entity, merged into the neighbour below, split from it again."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), "value")
-    action = F.expr("CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'split' END")
+    action = F.expr(
+        "CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'split' END"
+    )
     target = F.expr("IF(event_type IN ('click', 'view') AND user_id % 4 > 0, user_id - 1, NULL)")
-    entities = F.expr("CASE WHEN event_type = 'signup' THEN map(concat('e', k), value, concat('u', user_id), 1.0D) WHEN event_type = 'view' THEN map(concat('e', k), value) END")
-    return ev.select(F.col("ts").alias("at"), F.lit(0).alias("log"), F.col("event_id").alias("seq"), F.col("user_id").alias("identity_id"), action.alias("action"), target.alias("target_id"), entities.alias("entities"))
+    entities = F.expr(
+        "CASE WHEN event_type = 'signup' THEN map(concat('e', k), value, concat('u', user_id), 1.0D) WHEN event_type = 'view' THEN map(concat('e', k), value) END"
+    )
+    return ev.select(
+        F.col("ts").alias("at"), F.lit(0).alias("log"), F.col("event_id").alias("seq"),
+        F.col("user_id").alias("identity_id"), action.alias("action"), target.alias("target_id"),
+        entities.alias("entities"),
+    )
 
 
 @query()
@@ -220,12 +259,20 @@ def replayed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'item' || d AS item_id, d AS decision_id, row_number() OVER (PARTITION BY d ORDER BY moment, seq)::INT AS place, event FROM l""")
 def audit_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of the decisions behind review items, in their order."""
-    items = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("item"), "o_orderkey").alias("item_id"), F.col("o_orderkey").alias("decision_id"))
-    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("event"))
+    items = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        F.concat(F.lit("item"), "o_orderkey").alias("item_id"), F.col("o_orderkey").alias("decision_id"),
+    )
+    log = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("decision_id"), F.col("l_shipdate").alias("at"),
+        F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("event"),
+    )
     return events.audit_trail(items, log)
 
 
-@query("SELECT o_orderkey AS item_id, o_orderdate AS created_at, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 10")
+@query(
+    "SELECT o_orderkey AS item_id, o_orderdate AS created_at, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM orders WHERE o_orderstatus = 'P'"
+    " ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 10"
+)
 def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of pending items, the newest first, and how many there are."""
     items = reads.filtered(table(spark, sf_dir, "orders"), o_orderstatus="P").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").alias("created_at"))
@@ -233,25 +280,38 @@ def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.page(items, "created_at", True, "item_id", 10, 50).crossJoin(total)  # a page and one row
 
 
-@query("""WITH u AS (SELECT ts AS moment, 0 AS log, event_id AS seq, user_id AS identity_id, event_type AS action FROM events UNION ALL SELECT TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 60), 1, o_orderkey, o_custkey, o_orderstatus FROM orders)
+@query("""WITH u AS (SELECT ts AS moment, 0 AS log, event_id AS seq, user_id AS identity_id, event_type AS action FROM events UNION ALL
+  SELECT TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 60), 1, o_orderkey, o_custkey, o_orderstatus FROM orders)
 SELECT moment AS "at", log, seq, identity_id, action FROM u""")
 def merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two logs as one, in time."""
     a = table(spark, sf_dir, "events").selectExpr("ts AS at", "event_id AS seq", "user_id AS identity_id", "event_type AS action")
     at = F.expr("timestampadd(SECOND, o_orderkey * 60, TIMESTAMP_NTZ '2024-01-01 00:00:00')").cast("timestamp_ntz")
-    return events.merged_log(a, table(spark, sf_dir, "orders").select(at.alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("identity_id"), F.col("o_orderstatus").alias("action")))
-
-
-@query(f"""WITH {EV}, w(type, tier, signal) AS (VALUES ('email', 1, 'email_exact'), ('username', 2, 'username_exact'), ('domain', 2, 'domain_owner'), ('display_name', 3, 'display_name'), ('language', 3, 'language')),
-d AS (SELECT user_id AS draft, type, k, event_id % 7 AS evid FROM ev WHERE ts < TIMESTAMP '2024-01-16'), g AS (SELECT DISTINCT user_id AS known, type, k FROM ev WHERE ts >= TIMESTAMP '2024-01-16')
-SELECT draft, known, count(DISTINCT (tier, signal, type, k)) AS n_matched, count(DISTINCT evid) AS n_evidence, min(tier) AS tier FROM d JOIN g USING (type, k) JOIN w USING (type) WHERE draft <> known GROUP BY draft, known""")
+    return events.merged_log(
+        a,
+        table(spark, sf_dir, "orders").select(
+            at.alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("identity_id"),
+            F.col("o_orderstatus").alias("action"),
+        ),
+    )
+
+
+@query(f"""WITH {EV}, w(type, tier, signal) AS (VALUES ('email', 1, 'email_exact'), ('username', 2, 'username_exact'), ('domain', 2, 'domain_owner'), ('display_name', 3,
+  'display_name'), ('language', 3, 'language')),
+d AS (SELECT user_id AS draft, type, k, event_id % 7 AS evid FROM ev WHERE ts < TIMESTAMP '2024-01-16'), g AS (SELECT DISTINCT user_id AS known, type, k FROM ev
+  WHERE ts >= TIMESTAMP '2024-01-16')
+SELECT draft, known, count(DISTINCT (tier, signal, type, k)) AS n_matched, count(DISTINCT evid) AS n_evidence, min(tier) AS tier FROM d JOIN g USING (type, k)
+  JOIN w USING (type) WHERE draft <> known GROUP BY draft, known""")
 def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies behind each score; the sentence is made of the same numbers."""
     draft, known = halves(spark, sf_dir)
     found = correlate.matches(draft, known, correlate.signals(spark))
     why = correlate.explained(correlate.scores(found), found)
     said = lambda p: F.regexp_extract("reasoning", p, 1).cast("long")
-    return why.select("draft", "known", said(r"from (\d+) signals").alias("n_matched"), said(r"in (\d+) pieces").alias("n_evidence"), said(r"^tier (\d+)").cast("int").alias("tier"))
+    return why.select(
+        "draft", "known", said(r"from (\d+) signals").alias("n_matched"),
+        said(r"in (\d+) pieces").alias("n_evidence"), said(r"^tier (\d+)").cast("int").alias("tier"),
+    )
 
 
 @query("SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:05:00'")
@@ -260,9 +320,17 @@ def not_in_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.not_in_future(table(spark, sf_dir, "events"), F.lit("2024-01-20").cast("timestamp_ntz"), "ts").select("event_id")
 
 
-@query("SELECT identity_id, status FROM (SELECT user_id AS identity_id, CASE arg_max(event_type, (epoch_us(ts), event_id)) WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'tentative' END AS status FROM events GROUP BY user_id) WHERE status <> 'merged'")
+@query(
+    "SELECT identity_id, status FROM (SELECT user_id AS identity_id, CASE arg_max(event_type, (epoch_us(ts), event_id)) WHEN 'purchase' THEN 'confirmed'"
+    " WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'tentative' END AS status FROM events GROUP BY user_id) WHERE status <> 'merged'"
+)
 def active_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identities that were not merged into others."""
-    action = F.expr("CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'split' END")
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("identity_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), action.alias("action"), F.lit(0).alias("log"))
+    action = F.expr(
+        "CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'split' END"
+    )
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("identity_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"),
+        action.alias("action"), F.lit(0).alias("log"),
+    )
     return events.active(events.status_fold(log)).select("identity_id", "status")

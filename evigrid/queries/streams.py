@@ -11,18 +11,30 @@ from evigrid.streaming import monitors
 
 
 @query("""WITH o AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events)
-SELECT user_id AS monitor_id, event_id AS seq, old, event_type AS new, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_count FROM o WHERE old IS NOT NULL AND old <> event_type""")
+SELECT user_id AS monitor_id, event_id AS seq, old, event_type AS new, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_count FROM o
+  WHERE old IS NOT NULL AND old <> event_type""")
 def stream_monitor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1-ST3: a user's event type as the fingerprint that is watched."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as the table may be one file
-    seen = stream.select(F.col("user_id").alias("monitor_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("fingerprint"), F.lit(None).cast("string").alias("summary"))
+    seen = stream.select(
+        F.col("user_id").alias("monitor_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        F.col("event_type").alias("fingerprint"), F.lit(None).cast("string").alias("summary"),
+    )
     return monitors.watched(seen).select("monitor_id", "seq", "old", "new", "change_count")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR WHEN c_custkey % 3 = 1 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY ELSE TIMESTAMP '2024-01-01' + INTERVAL 7 DAY END AS next_check FROM customer WHERE c_custkey % 3 < 2")
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR"
+    " WHEN c_custkey % 3 = 1 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY ELSE TIMESTAMP '2024-01-01' + INTERVAL 7 DAY END AS next_check FROM customer"
+    " WHERE c_custkey % 3 < 2"
+)
 def due_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4, S3, M6: monitors that are due two days on."""
     at = F.lit("2024-01-01").cast("timestamp_ntz")
-    m = table(spark, sf_dir, "customer").select("c_custkey", monitors.next_check(at, F.expr("element_at(array('hourly', 'daily', 'weekly'), CAST(1 + c_custkey % 3 AS INT))")).alias("next_check"), F.lit(True).alias("active"))
+    m = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        monitors.next_check(at, F.expr("element_at(array('hourly', 'daily', 'weekly'), CAST(1 + c_custkey % 3 AS INT))")).alias("next_check"),
+        F.lit(True).alias("active"),
+    )
     return monitors.due(m, F.lit("2024-01-03").cast("timestamp_ntz")).select("c_custkey", "next_check")

@@ -29,7 +29,11 @@ def extract_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.entities(table(spark, sf_dir, "documents"), "text", ["doc_id"], ("domain",), context=False).select("doc_id", "type", "value")
 
 
-@query("SELECT type, count(*) AS n_entities, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM (" + " UNION ALL ".join(map(_sql_extract, ("email", "ipv4", "url", "md5", "sha1", "sha256"))) + ") GROUP BY type")
+@query(
+    "SELECT type, count(*) AS n_entities, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM (" + " UNION ALL ".join(
+        map(_sql_extract, ("email", "ipv4", "url", "md5", "sha1", "sha256"))
+    ) + ") GROUP BY type"
+)
 def extract_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-wins entities per document, counted by type."""
     found = extract.entities(table(spark, sf_dir, "documents"), "text", ["doc_id"], ("email", "ipv4", "url", "md5", "sha1", "sha256"), context=False)
@@ -37,7 +41,8 @@ def extract_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,
+WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(trim(url),
+  '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,
  regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) AS q FROM pages)
 SELECT page_id, s || '://' || h || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END || q AS url_normal, regexp_replace(h, '^www\.', '') AS domain_normal FROM p""")
 def normalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +53,20 @@ def normalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = "concat(' @', c_name, ' ')"
 
 
-@query("SELECT c_custkey, lower(replace(c_name, ' ', '')) AS username, lower(c_name) || '@mail.example.com' AS email, upper(regexp_replace(lower(sha256(c_name)), '[^a-f0-9]', '', 'g')) AS hash_value, 'AS' || c_custkey AS asn, 'CVE-2024-' || lpad(c_custkey::VARCHAR, 5, '0') AS cve FROM customer")
+@query(
+    "SELECT c_custkey, lower(replace(c_name, ' ', '')) AS username, lower(c_name) || '@mail.example.com' AS email, upper(regexp_replace(lower(sha256(c_name)),"
+    " '[^a-f0-9]', '', 'g')) AS hash_value, 'AS' || c_custkey AS asn, 'CVE-2024-' || lpad(c_custkey::VARCHAR, 5, '0') AS cve FROM customer"
+)
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N1, N4, N5, N9, N10 over values derived from customers."""
     c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", normalize.username(F.expr(_NAMES)).alias("username"), normalize.email(F.expr("concat(' MAILTO:', c_name, '@Mail.Example.com')")).alias("email"), normalize.hash_value(F.expr("concat('sha256:', sha2(c_name, 256))")).alias("hash_value"), normalize.asn(F.expr("concat('as00', c_custkey)")).alias("asn"), normalize.cve(F.expr("concat('cve2024-', lpad(c_custkey, 5, '0'))")).alias("cve"))
+    return c.select(
+        "c_custkey", normalize.username(F.expr(_NAMES)).alias("username"),
+        normalize.email(F.expr("concat(' MAILTO:', c_name, '@Mail.Example.com')")).alias("email"),
+        normalize.hash_value(F.expr("concat('sha256:', sha2(c_name, 256))")).alias("hash_value"),
+        normalize.asn(F.expr("concat('as00', c_custkey)")).alias("asn"),
+        normalize.cve(F.expr("concat('cve2024-', lpad(c_custkey, 5, '0'))")).alias("cve"),
+    )
 
 
 _TARGETS = "SELECT url AS t FROM pages UNION ALL SELECT regexp_replace(url, '^https?://([^/?#]*).*$', '\\1') FROM pages UNION ALL SELECT c_name FROM customer UNION ALL SELECT '10.0.' || (c_custkey % 256) || '.' || c_nationkey FROM customer UNION ALL SELECT 'u' || c_custkey || '@x.org' FROM customer UNION ALL SELECT '+49 30 ' || (1000000 + c_custkey) FROM customer UNION ALL SELECT upper(md5(c_name)) FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT '@' || replace(c_mktsegment, ' ', '_') FROM customer"
@@ -85,7 +99,9 @@ def classify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = ts[0]
     for t in ts[1:]:
         both = both.union(t)
-    return both.select(classify.classify(F.col("t")).alias("kind"), normalize.strip(F.col("t")).alias("t")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_values"), F.min("t").alias("least"))
+    return both.select(classify.classify(F.col("t")).alias("kind"), normalize.strip(F.col("t")).alias("t")).groupBy("kind").agg(
+        F.count("*").alias("n"), F.countDistinct("t").alias("n_values"), F.min("t").alias("least"),
+    )
 
 
 _BODY = (
@@ -101,15 +117,19 @@ _FRAME = "'Laravel', 'Django', 'React', 'Vue.js', 'Angular', 'Next.js', 'Nuxt.js
 
 
 @query(
-    "WITH h AS (SELECT page_id, lower(html) AS low, page_id % 4 AS m FROM pages), t AS (SELECT page_id, 'nginx' AS technology FROM h WHERE m = 1 UNION SELECT page_id, 'Nginx' FROM h WHERE m = 1 "
+    "WITH h AS (SELECT page_id, lower(html) AS low, page_id % 4 AS m FROM pages), t AS (SELECT page_id, 'nginx' AS technology FROM h WHERE m = 1 UNION"
+    " SELECT page_id, 'Nginx' FROM h WHERE m = 1 "
     "UNION SELECT page_id, 'Express' FROM h WHERE m = 2 UNION SELECT page_id, 'Cloudflare' FROM h WHERE m = 3 OR regexp_matches(low, 'cloudflare|cf-browser-verification') "
     + "".join(f"UNION SELECT page_id, '{n}' FROM h WHERE regexp_matches(low, '{p}') " for n, p in _BODY)
     + f") SELECT page_id, technology, CASE WHEN technology IN ('WordPress', 'Joomla', 'Drupal', 'Ghost', 'Shopify', 'WooCommerce') THEN 'cms' WHEN technology IN ({_FRAME}) THEN 'framework' WHEN technology IN ({_FRONT}) THEN 'frontend' "
-    "WHEN technology IN ('Google Analytics', 'Google Tag Manager', 'Matomo') THEN 'analytics' WHEN technology = 'Cloudflare' THEN 'hosting' WHEN technology IN ('Nginx', 'Apache', 'OpenResty', 'Varnish', 'cPanel', 'phpMyAdmin', 'CloudFront') THEN 'server' ELSE 'other' END AS category FROM t"
+    "WHEN technology IN ('Google Analytics', 'Google Tag Manager', 'Matomo') THEN 'analytics' WHEN technology = 'Cloudflare' THEN 'hosting'"
+    " WHEN technology IN ('Nginx', 'Apache', 'OpenResty', 'Varnish', 'cPanel', 'phpMyAdmin', 'CloudFront') THEN 'server' ELSE 'other' END AS category FROM t"
 )
 def technology_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header and body signatures, all in one pass of each page; headers come from the page's number."""
-    headers = F.expr("CASE page_id % 4 WHEN 1 THEN map('Server', 'nginx/1.25') WHEN 2 THEN map('X-Powered-By', 'Express') WHEN 3 THEN map('CF-Ray', '8a1') ELSE map('Server', '') END")
+    headers = F.expr(
+        "CASE page_id % 4 WHEN 1 THEN map('Server', 'nginx/1.25') WHEN 2 THEN map('X-Powered-By', 'Express') WHEN 3 THEN map('CF-Ray', '8a1') ELSE map('Server', '') END"
+    )
     found = table(spark, sf_dir, "pages").select("page_id", F.inline(kernels.technologies(F.col("html"), headers)))
     return found.select("page_id", "technology", kernels.technology_category(F.col("technology")).alias("category"))
 
@@ -125,20 +145,28 @@ def html_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def custody_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7, M9: digest and size of the stored payload, and the record's sanity check."""
     sha = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), (F.length(sha) == 64).alias("sane"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", sha.alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"),
+        (F.length(sha) == 64).alias("sane"),
+    )
 
 
 _IBAN = "'DE' || lpad(((c_custkey * 7) % 97)::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 18, '0')"
 
 
-@query(f"SELECT c_custkey, iban, (CAST(substr(iban, 5) || '1314' || substr(iban, 3, 2) AS HUGEINT) % 97) = 1 AS valid FROM (SELECT c_custkey, {_IBAN} AS iban FROM customer)")
+@query(
+    f"SELECT c_custkey, iban, (CAST(substr(iban, 5) || '1314' || substr(iban, 3, 2) AS HUGEINT) % 97) = 1 AS valid FROM (SELECT c_custkey, {_IBAN} AS iban FROM customer)"
+)
 def iban_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mod-97 over generated numbers, of which some are valid."""
     iban = F.expr("concat('DE', lpad((c_custkey * 7) % 97, 2, '0'), lpad(c_custkey, 18, '0'))")
     return table(spark, sf_dir, "customer").select("c_custkey", iban.alias("iban"), kernels.iban_valid(iban).alias("valid"))
 
 
-@query("SELECT page_id, list_sum(list_transform(string_split(regexp_replace(url, '^https?://[^/]*', ''), ''), lambda c: ascii(c)))::BIGINT % 256 AS checksum, list_sum(list_transform(string_split(regexp_replace(url, '^https?://[^/]*', ''), ''), lambda c: ascii(c)))::BIGINT % 256 = 92 AS is_beacon FROM pages")
+@query(
+    "SELECT page_id, list_sum(list_transform(string_split(regexp_replace(url, '^https?://[^/]*', ''), ''), lambda c: ascii(c)))::BIGINT % 256 AS checksum,"
+    " list_sum(list_transform(string_split(regexp_replace(url, '^https?://[^/]*', ''), ''), lambda c: ascii(c)))::BIGINT % 256 = 92 AS is_beacon FROM pages"
+)
 def beacon_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """checksum8 of the path and query of page urls."""
     s = kernels.checksum8(F.regexp_replace("url", "^https?://[^/]*", "")).cast("long")
@@ -149,14 +177,19 @@ _NEAR = "a:qwsz b:vghn c:xdfv d:serfcx e:wsdr f:drtgvc g:ftyhbv h:gyujnb i:ujklo
 
 
 @query(f"""
-WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n, regexp_extract(d, '\\.([^.]*)$', 1) AS t FROM d),
-x AS (SELECT d, n, t, unnest(range(0, length(n)))::INT AS i FROM p), near AS (SELECT split_part(e, ':', 1) AS c, split_part(e, ':', 2) AS keys FROM (SELECT unnest(string_split('{_NEAR}', ' ')) AS e)),
+WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n, regexp_extract(d,
+  '\\.([^.]*)$', 1) AS t FROM d),
+x AS (SELECT d, n, t, unnest(range(0, length(n)))::INT AS i FROM p), near AS (SELECT split_part(e, ':', 1) AS c, split_part(e, ':', 2) AS keys
+  FROM (SELECT unnest(string_split('{_NEAR}', ' ')) AS e)),
 alike AS (SELECT * FROM (VALUES ('o', '0'), ('l', '1'), ('e', '3'), ('i', '1'), ('a', '@'), ('s', '5'), ('g', '9'), ('t', '7'), ('b', '8')) v(c, r)),
 v AS (SELECT d, 1 AS cls, i::BIGINT AS place, substr(n, 1, i) || substr(n, i + 2) || '.' || t AS variant FROM x
-UNION ALL SELECT d, 2, a * 1000 + i, substr(n, 1, i) || chr(97 + a) || substr(n, i + 1) || '.' || t FROM (SELECT d, n, t, unnest(range(0, length(n) + 1))::INT AS i FROM p), (SELECT unnest(range(0, 26))::INT AS a)
-UNION ALL SELECT d, 3, i * 1000 + j, substr(n, 1, i) || substr(keys, j, 1) || substr(n, i + 2) || '.' || t FROM (SELECT d, n, t, i, keys, unnest(range(1, length(keys) + 1))::INT AS j FROM x JOIN near ON c = substr(n, i + 1, 1))
+UNION ALL SELECT d, 2, a * 1000 + i, substr(n, 1, i) || chr(97 + a) || substr(n, i + 1) || '.' || t FROM (SELECT d, n, t, unnest(range(0, length(n) + 1))::INT AS i
+  FROM p), (SELECT unnest(range(0, 26))::INT AS a)
+UNION ALL SELECT d, 3, i * 1000 + j, substr(n, 1, i) || substr(keys, j, 1) || substr(n, i + 2) || '.' || t FROM (SELECT d, n, t, i, keys, unnest(range(1,
+  length(keys) + 1))::INT AS j FROM x JOIN near ON c = substr(n, i + 1, 1))
 UNION ALL SELECT d, 4, i, substr(n, 1, i) || r || substr(n, i + 2) || '.' || t FROM x JOIN alike ON c = substr(n, i + 1, 1)
-UNION ALL SELECT d, 5, i * 10 + j, substr(n, 1, i) || substr('aeiou', j, 1) || substr(n, i + 2) || '.' || t FROM x, (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE contains('aeiou', substr(n, i + 1, 1)) AND substr('aeiou', j, 1) <> substr(n, i + 1, 1)
+UNION ALL SELECT d, 5, i * 10 + j, substr(n, 1, i) || substr('aeiou', j, 1) || substr(n, i + 2) || '.' || t FROM x, (SELECT unnest([1, 2, 3, 4, 5]) AS j)
+  WHERE contains('aeiou', substr(n, i + 1, 1)) AND substr('aeiou', j, 1) <> substr(n, i + 1, 1)
 UNION ALL SELECT d, 6, j, n || '.' || e FROM p, (SELECT unnest(range(1, 10))::INT AS j, unnest(['com', 'co', 'net', 'org', 'io', 'app', 'xyz', 'info', 'biz']) AS e)),
 f AS (SELECT d, variant, min(cls * 1000000 + place) AS spot FROM v WHERE variant <> d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY spot) AS k FROM f)
 SELECT d AS domain, ['missing_char', 'extra_char', 'adjacent_key', 'homoglyph', 'vowel_swap', 'tld_swap'][spot // 1000000] AS class, variant FROM r WHERE k <= 50""")
@@ -166,8 +199,10 @@ def typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("domain", F.inline(kernels.typosquats(F.col("domain"))))
 
 
-@query("""WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n, regexp_extract(d, '\\.([^.]*)$', 1) AS t FROM d),
-m AS (SELECT DISTINCT d, substr(n, 1, i) || substr(n, i + 2) || '.' || t AS variant FROM (SELECT *, unnest(range(0, length(n))) AS i FROM p)) SELECT d AS domain, count(*) AS n_missing FROM m WHERE variant <> d GROUP BY d""")
+@query("""WITH d AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS d FROM pages), p AS (SELECT d, regexp_extract(d, '^(.*)\\.[^.]*$', 1) AS n,
+  regexp_extract(d, '\\.([^.]*)$', 1) AS t FROM d),
+m AS (SELECT DISTINCT d, substr(n, 1, i) || substr(n, i + 2) || '.' || t AS variant FROM (SELECT *, unnest(range(0, length(n))) AS i FROM p)) SELECT d AS domain, count(*)
+  AS n_missing FROM m WHERE variant <> d GROUP BY d""")
 def typosquat_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many look-alikes of each host lack a letter."""
     hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("domain")).distinct()
@@ -175,14 +210,18 @@ def typosquat_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("class = 'missing_char'").groupBy("domain").agg(F.count("*").alias("n_missing"))
 
 
-@query("SELECT c_custkey, variant FROM (SELECT c_custkey, unnest(list_distinct([n || '.' || k, n || k, n || '_' || k, k || n, k || '_' || n, n || '.', n])) AS variant FROM (SELECT c_custkey, 'cust' AS n, c_custkey::VARCHAR AS k FROM customer)) WHERE length(variant) BETWEEN 2 AND 39")
+@query(
+    "SELECT c_custkey, variant FROM (SELECT c_custkey, unnest(list_distinct([n || '.' || k, n || k, n || '_' || k, k || n, k || '_' || n, n || '.', n])) AS variant"
+    " FROM (SELECT c_custkey, 'cust' AS n, c_custkey::VARCHAR AS k FROM customer)) WHERE length(variant) BETWEEN 2 AND 39"
+)
 def username_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20 over mailbox names ``cust.<key>``."""
     return table(spark, sf_dir, "customer").select("c_custkey", F.explode(kernels.username_variants(F.expr("concat('Cust.', c_custkey)"))).alias("variant"))
 
 
 @query("""SELECT s_suppkey, score, CASE WHEN score >= 7.2 THEN 'A' WHEN score >= 6 THEN 'B' WHEN score >= 4 THEN 'C' WHEN score >= 2 THEN 'D' ELSE 'F' END AS grade
-FROM (SELECT s_suppkey, (CASE s_suppkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE s_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END)::INT AS score FROM supplier)""")
+FROM (SELECT s_suppkey, (CASE s_suppkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE s_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1
+  ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END)::INT AS score FROM supplier)""")
 def spf_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P60 over records made from supplier keys."""
     spf = F.expr("CASE s_suppkey % 5 WHEN 0 THEN 'v=spf1 mx -all' WHEN 1 THEN 'v=spf1 mx ~all' WHEN 2 THEN 'v=spf1 ?all' WHEN 3 THEN 'v=spf1 mx' END")
@@ -191,12 +230,17 @@ def spf_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", score.cast("int").alias("score"), grade.alias("grade"))
 
 
-_HOSTS = ("[::1]", "[fd00::1]", "[fe80::1]", "[2606:4700::1111]", "[2001:db8::1]", "[::ffff:8.8.8.8]", "metadata.google.internal", "8.8.8.8", "169.254.169.254", "example.com")
+_HOSTS = (
+    "[::1]", "[fd00::1]", "[fe80::1]", "[2606:4700::1111]", "[2001:db8::1]", "[::ffff:8.8.8.8]",
+    "metadata.google.internal", "8.8.8.8", "169.254.169.254", "example.com",
+)
 
 
-@query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS h FROM pages), a AS (SELECT c_custkey, (c_custkey * 37) % 256 AS a, (c_custkey * 11) % 256 AS b FROM customer)
+@query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS h FROM pages), a AS (SELECT c_custkey, (c_custkey * 37) % 256 AS a,
+  (c_custkey * 11) % 256 AS b FROM customer)
 SELECT 'page' AS kind, page_id AS id, h <> '' AS public FROM u
-UNION ALL SELECT 'ip', c_custkey, NOT (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR a >= 224) FROM a
+UNION ALL SELECT 'ip', c_custkey, NOT (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192
+  AND b = 168) OR (a = 198 AND b IN (18, 19)) OR a >= 224) FROM a
 UNION ALL SELECT 'host', c_custkey, c_custkey % 10 IN (3, 5, 7, 9) FROM customer""")
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public urls; IPv4 addresses against reserved blocks as ranges, IPv6 ones and local names."""

@@ -28,10 +28,16 @@ def as_type(c: Column) -> Column:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, ts, user_id, event_type, k, value, type)``."""
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), "value", as_type(F.col("event_type")).alias("type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"),
+        "value", as_type(F.col("event_type")).alias("type"),
+    )
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Drafts (with their evidence, in seven independent groups) and known identities."""
-    ev = evidence(spark, sf_dir).select(F.col("user_id").alias("identity"), "type", F.col("k").cast("string").alias("value"), (F.col("event_id") % 7).alias("evidence_id"), "ts")
+    ev = evidence(spark, sf_dir).select(
+        F.col("user_id").alias("identity"), "type", F.col("k").cast("string").alias("value"),
+        (F.col("event_id") % 7).alias("evidence_id"), "ts",
+    )
     return ev.where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")), ev.where(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))

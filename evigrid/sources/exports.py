@@ -10,8 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How entity types are named in STIX patterns and in MISP attributes.
-STIX_PATH = {"ipv4": "ipv4-addr:value", "ipv6": "ipv6-addr:value", "domain": "domain-name:value", "url": "url:value", "email": "email-addr:value", "md5": "file:hashes.MD5", "sha1": "file:hashes.SHA-1", "sha256": "file:hashes.SHA-256", "cve": "vulnerability:name", "btc": "x-cryptocurrency-transaction:value"}
-MISP_TYPE = {"ipv4": ("ip-src", "Network activity"), "ipv6": ("ip-src", "Network activity"), "domain": ("domain", "Network activity"), "url": ("url", "Network activity"), "email": ("email-src", "Payload delivery"), "md5": ("md5", "Payload delivery"), "sha1": ("sha1", "Payload delivery"), "sha256": ("sha256", "Payload delivery"), "cve": ("vulnerability", "External analysis"), "btc": ("btc", "Financial fraud"), "eth": ("text", "Financial fraud"), "asn": ("AS", "Network activity"), "user": ("text", "Social network")}
+STIX_PATH = {
+    "ipv4": "ipv4-addr:value", "ipv6": "ipv6-addr:value", "domain": "domain-name:value", "url": "url:value",
+    "email": "email-addr:value", "md5": "file:hashes.MD5", "sha1": "file:hashes.SHA-1",
+    "sha256": "file:hashes.SHA-256", "cve": "vulnerability:name", "btc": "x-cryptocurrency-transaction:value",
+}
+MISP_TYPE = {
+    "ipv4": ("ip-src", "Network activity"), "ipv6": ("ip-src", "Network activity"),
+    "domain": ("domain", "Network activity"), "url": ("url", "Network activity"),
+    "email": ("email-src", "Payload delivery"), "md5": ("md5", "Payload delivery"),
+    "sha1": ("sha1", "Payload delivery"), "sha256": ("sha256", "Payload delivery"),
+    "cve": ("vulnerability", "External analysis"), "btc": ("btc", "Financial fraud"),
+    "eth": ("text", "Financial fraud"), "asn": ("AS", "Network activity"), "user": ("text", "Social network"),
+}
 #: Namespace of ids made from names (RFC 4122, URL).
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -31,36 +42,88 @@ def lookup(table: dict[str, str], c: Column, default: str) -> Column:
 def stix(entities: DataFrame, now: str) -> DataFrame:
     """``(investigation_id, bundle)``: an identity, an indicator for each entity, and a report on them."""
     name = lambda kind, n: F.concat(F.lit(kind + "--"), uuid5(n))
-    ind = entities.select("investigation_id", "target", name("indicator", F.concat_ws("-", "type", "value")).alias("id"), F.concat(F.lit("["), lookup(STIX_PATH, F.col("type"), "x-ioc:value"), F.lit(" = '"), F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']")).alias("pattern"), F.col("value").alias("name"))
-    obj = F.struct(F.lit("indicator").alias("type"), "id", F.lit(now).alias("created"), F.lit(now).alias("modified"), "name", "pattern", F.lit("stix").alias("pattern_type"), F.lit(now).alias("valid_from"), F.array(F.lit("malicious-activity")).alias("labels"))
+    ind = entities.select(
+        "investigation_id", "target", name("indicator", F.concat_ws("-", "type", "value")).alias("id"),
+        F.concat(
+            F.lit("["), lookup(STIX_PATH, F.col("type"), "x-ioc:value"), F.lit(" = '"),
+            F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"),
+        ).alias("pattern"),
+        F.col("value").alias("name"),
+    )
+    obj = F.struct(
+        F.lit("indicator").alias("type"), "id", F.lit(now).alias("created"), F.lit(now).alias("modified"),
+        "name", "pattern", F.lit("stix").alias("pattern_type"), F.lit(now).alias("valid_from"),
+        F.array(F.lit("malicious-activity")).alias("labels"),
+    )
     per = ind.groupBy("investigation_id", "target").agg(F.array_sort(F.collect_list(F.to_json(obj))).alias("objects"), F.array_sort(F.collect_list("id")).alias("refs"))
-    who = F.to_json(F.struct(F.lit("identity").alias("type"), name("identity", F.col("target")).alias("id"), F.col("target").alias("name"), F.lit("unknown").alias("identity_class"), F.lit(now).alias("created"), F.lit(now).alias("modified")))
-    report = F.to_json(F.struct(F.lit("report").alias("type"), name("report", F.col("investigation_id").cast("string")).alias("id"), F.concat(F.lit("Report on "), "target").alias("name"), F.lit(now).alias("published"), F.lit(now).alias("created"), F.lit(now).alias("modified"), F.col("refs").alias("object_refs")))
+    who = F.to_json(
+        F.struct(
+            F.lit("identity").alias("type"), name("identity", F.col("target")).alias("id"),
+            F.col("target").alias("name"), F.lit("unknown").alias("identity_class"),
+            F.lit(now).alias("created"), F.lit(now).alias("modified"),
+        )
+    )
+    report = F.to_json(
+        F.struct(
+            F.lit("report").alias("type"),
+            name("report", F.col("investigation_id").cast("string")).alias("id"),
+            F.concat(F.lit("Report on "), "target").alias("name"), F.lit(now).alias("published"),
+            F.lit(now).alias("created"), F.lit(now).alias("modified"), F.col("refs").alias("object_refs"),
+        )
+    )
     all_ = F.array_join(F.concat(F.array(who), F.col("objects"), F.array(report)), ",")
-    return per.select("investigation_id", F.concat(F.lit('{"type":"bundle","id":"'), name("bundle", F.col("investigation_id").cast("string")), F.lit('","objects":['), all_, F.lit("]}")).alias("bundle"))
+    return per.select(
+        "investigation_id",
+        F.concat(F.lit('{"type":"bundle","id":"'), name("bundle", F.col("investigation_id").cast("string")), F.lit('","objects":['), all_, F.lit("]}")).alias("bundle"),
+    )
 
 
 def misp(entities: DataFrame, techniques: DataFrame, date: str) -> DataFrame:
     """``(investigation_id, event)`` with an attribute for each entity and a tag for each technique."""
-    attr = F.struct(lookup({k: v[0] for k, v in MISP_TYPE.items()}, F.col("type"), "text").alias("type"), lookup({k: v[1] for k, v in MISP_TYPE.items()}, F.col("type"), "Other").alias("category"), "value", (F.col("confidence") >= 80).alias("to_ids"))
+    attr = F.struct(
+        lookup({k: v[0] for k, v in MISP_TYPE.items()}, F.col("type"), "text").alias("type"),
+        lookup({k: v[1] for k, v in MISP_TYPE.items()}, F.col("type"), "Other").alias("category"), "value",
+        (F.col("confidence") >= 80).alias("to_ids"),
+    )
     a = entities.groupBy("investigation_id", "target").agg(F.array_sort(F.collect_list(attr)).alias("Attribute"))
-    t = techniques.groupBy("investigation_id").agg(F.array_sort(F.collect_set(F.struct(F.concat(F.lit('misp-galaxy:mitre-attack-pattern="'), "name", F.lit(" - "), "technique_id", F.lit('"')).alias("name")))).alias("Tag"))
-    event = F.to_json(F.struct(F.struct(F.concat(F.lit("Investigation of "), "target").alias("info"), F.lit(date).alias("date"), F.lit("2").alias("threat_level_id"), F.lit("1").alias("analysis"), "Attribute", "Tag").alias("Event")))
+    t = techniques.groupBy("investigation_id").agg(
+        F.array_sort(
+            F.collect_set(F.struct(F.concat(F.lit('misp-galaxy:mitre-attack-pattern="'), "name", F.lit(" - "), "technique_id", F.lit('"')).alias("name")))
+        ).alias("Tag")
+    )
+    event = F.to_json(
+        F.struct(
+            F.struct(
+                F.concat(F.lit("Investigation of "), "target").alias("info"), F.lit(date).alias("date"),
+                F.lit("2").alias("threat_level_id"), F.lit("1").alias("analysis"), "Attribute", "Tag",
+            ).alias("Event")
+        )
+    )
     return a.join(t, "investigation_id", "left").select("investigation_id", event.alias("event"))
 
 
 def navigator(found: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:
     """One ATT&CK layer: found techniques score 100, the rest of the catalogue 0."""
     hit = found.select("technique_id").distinct()
-    rows = hit.withColumn("score", F.lit(100)).unionByName(catalogue.select("technique_id").distinct().join(hit, "technique_id", "left_anti").withColumn("score", F.lit(0)))
+    rows = hit.withColumn("score", F.lit(100)).unionByName(
+        catalogue.select("technique_id").distinct().join(hit, "technique_id", "left_anti").withColumn("score", F.lit(0))
+    )
     each = F.struct(F.col("technique_id").alias("techniqueID"), "score", (F.col("score") > 0).alias("enabled"))
-    return rows.agg(F.to_json(F.struct(F.lit(name).alias("name"), F.lit("enterprise-attack").alias("domain"), F.array_sort(F.collect_list(each)).alias("techniques"))).alias("layer"))
+    return rows.agg(
+        F.to_json(F.struct(F.lit(name).alias("name"), F.lit("enterprise-attack").alias("domain"), F.array_sort(F.collect_list(each)).alias("techniques"))).alias("layer")
+    )
 
 
 def geojson(points: DataFrame) -> DataFrame:
     """``(investigation_id, geojson)`` of ``(investigation_id, name, lat, lon)``; points without a place are left out."""
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("name").alias("properties"))
-    per = points.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("investigation_id").agg(F.array_join(F.array_sort(F.collect_list(F.to_json(feature))), ",").alias("f"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        F.struct("name").alias("properties"),
+    )
+    per = points.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("investigation_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.to_json(feature))), ",").alias("f")
+    )
     return per.select("investigation_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("geojson"))
 
 
@@ -71,9 +134,16 @@ def escape(c: Column) -> Column:
 
 
 def kml(points: DataFrame) -> DataFrame:
-    mark = F.concat(F.lit("<Placemark><name>"), escape(F.col("name")), F.lit("</name><Point><coordinates>"), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit(",0</coordinates></Point></Placemark>"))
+    mark = F.concat(
+        F.lit("<Placemark><name>"), escape(F.col("name")), F.lit("</name><Point><coordinates>"),
+        F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"),
+        F.lit(",0</coordinates></Point></Placemark>"),
+    )
     per = points.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("investigation_id").agg(F.array_join(F.array_sort(F.collect_list(mark)), "").alias("m"))
-    return per.select("investigation_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), "m", F.lit("</Document></kml>")).alias("kml"))
+    return per.select(
+        "investigation_id",
+        F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), "m", F.lit("</Document></kml>")).alias("kml"),
+    )
 
 
 def markdown(evidence: DataFrame) -> DataFrame:
@@ -81,12 +151,18 @@ def markdown(evidence: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- **"), "field", F.lit("**: "), F.substr("value", F.lit(1), F.lit(200)))
     parts = evidence.groupBy("investigation_id", "target", "section").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     text = F.concat(F.lit("## "), "section", F.lit("\n"), "body")
-    return parts.groupBy("investigation_id", "target").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n\n").alias("t")).select("investigation_id", F.concat(F.lit("# Report: "), "target", F.lit("\n\n"), "t").alias("report"))
+    return parts.groupBy("investigation_id", "target").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n\n").alias("t")).select(
+        "investigation_id", F.concat(F.lit("# Report: "), "target", F.lit("\n\n"), "t").alias("report"),
+    )
 
 
 def html(report: Column) -> Column:
     c = escape(report)
-    for pattern, to in ((r"(?m)^### (.*)$", "<h3>$1</h3>"), (r"(?m)^## (.*)$", "<h2>$1</h2>"), (r"(?m)^# (.*)$", "<h1>$1</h1>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"(?m)^- (.*)$", "<li>$1</li>")):
+    for pattern, to in (
+        (r"(?m)^### (.*)$", "<h3>$1</h3>"), (r"(?m)^## (.*)$", "<h2>$1</h2>"),
+        (r"(?m)^# (.*)$", "<h1>$1</h1>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"),
+        (r"(?m)^- (.*)$", "<li>$1</li>"),
+    ):
         c = F.regexp_replace(c, pattern, to)
     return F.concat(F.lit("<html><body>"), c, F.lit("</body></html>"))
 
@@ -94,9 +170,19 @@ def html(report: Column) -> Column:
 def rss(investigations: DataFrame, title: str, most: int = 20) -> DataFrame:
     """One feed of the newest ``most`` rows of ``(id, target, status, summary, created_at)``."""
     top = investigations.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
-    item = F.concat(F.lit("<item><title>"), escape(F.concat(F.lit("["), F.upper("status"), F.lit("] "), "target")), F.lit("</title><guid>"), F.col("id").cast("string"), F.lit("</guid><pubDate>"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate><description>"), escape(F.substr("summary", F.lit(1), F.lit(300))), F.lit("</description></item>"))
+    item = F.concat(
+        F.lit("<item><title>"), escape(F.concat(F.lit("["), F.upper("status"), F.lit("] "), "target")),
+        F.lit("</title><guid>"), F.col("id").cast("string"), F.lit("</guid><pubDate>"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate><description>"),
+        escape(F.substr("summary", F.lit(1), F.lit(300))), F.lit("</description></item>"),
+    )
     ordered = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("a"), (-F.col("id")).alias("b"), item.alias("item"))))
-    return top.agg(F.concat(F.lit(f'<?xml version="1.0"?><rss version="2.0"><channel><title>{title}</title>'), F.array_join(F.transform(ordered, lambda x: x["item"]), ""), F.lit("</channel></rss>")).alias("feed"))
+    return top.agg(
+        F.concat(
+            F.lit(f'<?xml version="1.0"?><rss version="2.0"><channel><title>{title}</title>'),
+            F.array_join(F.transform(ordered, lambda x: x["item"]), ""), F.lit("</channel></rss>"),
+        ).alias("feed")
+    )
 
 
 def metrics(counts: DataFrame) -> DataFrame:
@@ -108,7 +194,12 @@ def metrics(counts: DataFrame) -> DataFrame:
 def alerts(changes: DataFrame, most: int = 4000) -> DataFrame:
     """``(monitor_id, payload)``: one webhook body for each monitor with changes."""
     per = changes.groupBy("monitor_id").agg(F.array_sort(F.collect_list("change")).alias("changes"))
-    body = F.to_json(F.struct(F.lit("monitor.changed").alias("event"), "changes", F.size("changes").alias("change_count"), F.substr(F.array_join("changes", "\n"), F.lit(1), F.lit(most)).alias("message")))
+    body = F.to_json(
+        F.struct(
+            F.lit("monitor.changed").alias("event"), "changes", F.size("changes").alias("change_count"),
+            F.substr(F.array_join("changes", "\n"), F.lit(1), F.lit(most)).alias("message"),
+        )
+    )
     return per.select("monitor_id", body.alias("payload"))
 
 

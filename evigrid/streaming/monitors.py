@@ -68,7 +68,10 @@ def watch(stream: DataFrame, path: str, checkpoint: str):
         message = F.coalesce("summary", F.lit("content changed")).alias("message")
         alerts = counted.where("changed").select("monitor_id", "at", "seq", "old", F.col("fingerprint").alias("new"), F.col("n").alias("change_count"), message)
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/{n}")
-        last = counted.groupBy("monitor_id").agg(F.max(F.struct("at", "seq", "fingerprint", "n")).alias("s")).select("monitor_id", F.col("s.at").alias("p_at"), F.col("s.seq").alias("p_seq"), F.col("s.fingerprint").alias("p_last"), F.col("s.n").alias("p_n"))
+        last = counted.groupBy("monitor_id").agg(F.max(F.struct("at", "seq", "fingerprint", "n")).alias("s")).select(
+            "monitor_id", F.col("s.at").alias("p_at"), F.col("s.seq").alias("p_seq"),
+            F.col("s.fingerprint").alias("p_last"), F.col("s.n").alias("p_n"),
+        )
         last.union(past.join(last, "monitor_id", "left_anti")).write.mode("overwrite").parquet(f"{path}/state/{n}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
