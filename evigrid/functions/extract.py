@@ -65,3 +65,22 @@ def first_by_value(found: DataFrame, key: list[str]) -> DataFrame:
     """Keeps, per key, the first entity of each (type, value) whatever its case."""
     w = Window.partitionBy(*key, "type", F.lower("value")).orderBy("rank", "pos", "value")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: Kinds of targets that are entities themselves.
+TARGETS = ("domain", "url", "ip", "email", "username", "phone", "mac", "crypto")
+
+
+def with_target(found: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """``(*key, type, value, source, confidence)``: the first entity of each (type, value) whatever its case, at
+    75, and the investigation's target at 100, which takes the place of an equal entity.
+
+    ``targets`` has the key, ``target`` and ``target_type``; a crypto target counts as an address of that
+    kind, and targets of kinds that have no pattern (but user names) are not added.
+    """
+    kind = F.when(F.col("target_type") == "crypto", "btc").otherwise(F.col("target_type"))
+    own = targets.where(F.col("target_type").isin(*TARGETS)).select(*key, kind.alias("type"), F.col("target").alias("value")).where(F.col("type").isin(*PATTERNS, "username"))
+    rows = first_by_value(found, key).select(*key, "type", "value", F.lit("regex").alias("source"), F.lit(75).alias("confidence"))
+    both = rows.union(own.select(*key, "type", "value", F.lit("target"), F.lit(100)))
+    best = F.max_by(F.struct("value", "source", "confidence"), "confidence").alias("b")
+    return both.groupBy(*key, "type", F.lower("value").alias("_v")).agg(best).select(*key, "type", "b.*")

@@ -40,6 +40,21 @@ def stix_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT c_nationkey AS investigation_id, count(*) + 2 + 1 + count(DISTINCT c_mktsegment) AS n_objects, count(*) + 1 + count(DISTINCT c_mktsegment) AS n_refs,
+  string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS sources, CASE WHEN c_nationkey % 2 = 0 THEN 'domain-name' ELSE 'x-target' END AS target_kind FROM customer GROUP BY c_nationkey""")
+def stix_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: bundles with the target's object and observed data of each source, read back from their JSON."""
+    c = table(spark, sf_dir, "customer")
+    seen = c.selectExpr("c_nationkey AS investigation_id", "concat('nation-', c_nationkey) AS target", "IF(c_nationkey % 2 = 0, 'domain', 'company') AS target_type", "c_mktsegment AS plugin_name").distinct()
+    kind = "struct<objects:array<struct<type:string,x_source:string,object_refs:array<string>>>>"
+    o = F.from_json("bundle", kind)["objects"]
+    sources = F.array_sort(F.transform(F.filter(o, lambda x: x["type"] == "observed-data"), lambda x: x["x_source"]))
+    return exports.stix(_entities(spark, sf_dir), NOW, seen).select(
+        "investigation_id", F.size(o).cast("long").alias("n_objects"), F.size(F.element_at(o, -1)["object_refs"]).cast("long").alias("n_refs"),
+        F.array_join(sources, ",").alias("sources"), o[1]["type"].alias("target_kind"),
+    )
+
+
 @query(
     "SELECT c_nationkey AS investigation_id, count(*) AS n_attributes, count(*) FILTER (c_custkey % 100 >= 80) AS n_to_ids, count(*) FILTER (c_custkey % 2 = 0)"
     " AS n_email FROM customer GROUP BY c_nationkey"

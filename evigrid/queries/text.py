@@ -40,6 +40,19 @@ def extract_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type").agg(F.count("*").alias("n_entities"), F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query("""WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS k FROM customer)
+SELECT c_custkey, 'email' AS type, 'u' || k || '@x.org' AS value, 'regex' AS source, 75 AS confidence FROM c UNION ALL SELECT c_custkey, 'domain', 'x.org', 'regex', 75 FROM c
+UNION ALL SELECT c_custkey, 'domain', CASE WHEN c_custkey % 2 = 0 THEN 'H' ELSE 'h' END || k || '.example.net', CASE WHEN c_custkey % 2 = 0 THEN 'target' ELSE 'regex' END, CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE 75 END FROM c
+UNION ALL SELECT c_custkey, 'username', 'name' || k, 'target', 100 FROM c WHERE c_custkey % 2 = 1""")
+def extracted_with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a text, each once whatever its case, and the target, which wins over an equal one."""
+    c = table(spark, sf_dir, "customer")
+    text = F.expr("concat('mail u', c_custkey, '@x.org, U', c_custkey, '@X.ORG; host h', c_custkey, '.example.net')")
+    found = extract.entities(c.select("c_custkey", text.alias("t")), "t", ["c_custkey"], ("domain", "email"), context=False)
+    targets = c.selectExpr("c_custkey", "IF(c_custkey % 2 = 0, concat('H', c_custkey, '.example.net'), concat('name', c_custkey)) AS target", "IF(c_custkey % 2 = 0, 'domain', 'username') AS target_type")
+    return extract.with_target(found, targets, ["c_custkey"])
+
+
 @query(r"""
 WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(trim(url),
   '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,

@@ -39,8 +39,30 @@ def lookup(table: dict[str, str], c: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), F.lit(default))
 
 
-def stix(entities: DataFrame, now: str) -> DataFrame:
-    """``(investigation_id, bundle)``: an identity, an indicator for each entity, and a report on them."""
+#: Kind of target -> kind of the object that stands for it.
+TARGET_OBJECTS = {"domain": "domain-name", "url": "url", "ip": "ipv4-addr", "email": "email-addr", "username": "user-account"}
+
+
+def observed(evidence: DataFrame, now: str) -> DataFrame:
+    """``(investigation_id, seen, seen_refs)`` of ``(investigation_id, target, target_type, plugin_name)``: an object for
+    the target and observed data for each result of a source."""
+    kind = lookup(TARGET_OBJECTS, F.col("target_type"), "x-target")
+    target = F.struct(kind.alias("type"), F.concat(kind, F.lit("--"), uuid5(F.col("target"))).alias("id"), F.col("target").alias("value"))
+    who = evidence.groupBy("investigation_id").agg(F.min(F.struct("target", "target_type")).alias("t")).select("investigation_id", "t.*")
+    of_target = who.select("investigation_id", target.alias("o")).select("investigation_id", F.lit(0).alias("n"), F.to_json("o").alias("json"), F.col("o.id").alias("id"))
+    data = F.struct(
+        F.lit("observed-data").alias("type"), F.concat(F.lit("observed-data--"), uuid5(F.concat_ws("-", "target", "plugin_name"))).alias("id"),
+        F.lit(now).alias("first_observed"), F.lit(now).alias("last_observed"), F.lit(1).alias("number_observed"), F.col("plugin_name").alias("x_source"),
+    )
+    of_data = evidence.where("plugin_name <> ''").select("investigation_id", data.alias("o")).select("investigation_id", F.lit(1), F.to_json("o"), "o.id")
+    rows = F.array_sort(F.collect_list(F.struct("n", "id", "json")))
+    both = of_target.union(of_data).groupBy("investigation_id").agg(rows.alias("r"))
+    return both.select("investigation_id", F.transform("r", lambda x: x["json"]).alias("seen"), F.transform("r", lambda x: x["id"]).alias("seen_refs"))
+
+
+def stix(entities: DataFrame, now: str, evidence: DataFrame | None = None) -> DataFrame:
+    """``(investigation_id, bundle)``: an identity, what ``observed`` gives of the evidence if there is any, an
+    indicator for each entity, and a report on them."""
     name = lambda kind, n: F.concat(F.lit(kind + "--"), uuid5(n))
     ind = entities.select(
         "investigation_id", "target", name("indicator", F.concat_ws("-", "type", "value")).alias("id"),
@@ -56,6 +78,11 @@ def stix(entities: DataFrame, now: str) -> DataFrame:
         F.array(F.lit("malicious-activity")).alias("labels"),
     )
     per = ind.groupBy("investigation_id", "target").agg(F.array_sort(F.collect_list(F.to_json(obj))).alias("objects"), F.array_sort(F.collect_list("id")).alias("refs"))
+    none = F.array().cast("array<string>")
+    if evidence is None:
+        per = per.withColumns({"seen": none, "seen_refs": none})
+    else:
+        per = per.join(observed(evidence, now), "investigation_id", "left").withColumns({c: F.coalesce(c, none) for c in ("seen", "seen_refs")})
     who = F.to_json(
         F.struct(
             F.lit("identity").alias("type"), name("identity", F.col("target")).alias("id"),
@@ -68,10 +95,10 @@ def stix(entities: DataFrame, now: str) -> DataFrame:
             F.lit("report").alias("type"),
             name("report", F.col("investigation_id").cast("string")).alias("id"),
             F.concat(F.lit("Report on "), "target").alias("name"), F.lit(now).alias("published"),
-            F.lit(now).alias("created"), F.lit(now).alias("modified"), F.col("refs").alias("object_refs"),
+            F.lit(now).alias("created"), F.lit(now).alias("modified"), F.concat("seen_refs", "refs").alias("object_refs"),
         )
     )
-    all_ = F.array_join(F.concat(F.array(who), F.col("objects"), F.array(report)), ",")
+    all_ = F.array_join(F.concat(F.array(who), F.col("seen"), F.col("objects"), F.array(report)), ",")
     return per.select(
         "investigation_id",
         F.concat(F.lit('{"type":"bundle","id":"'), name("bundle", F.col("investigation_id").cast("string")), F.lit('","objects":['), all_, F.lit("]}")).alias("bundle"),
