@@ -153,7 +153,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTE
     and repeated rows as in ``deduplicated``.
     """
     cols = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), F.struct(*cols).alias("row"))
+    rest = {c: f"c{i}" for i, c in enumerate(cols) if c != "text"}
+    row = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(name) for c, name in rest.items()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), row.alias("row"))
     plain = rows.select("doc_id", "tag", F.coalesce("text", F.lit("")).alias("text"))
     found = spans.with_starts(rows, removable(plain, width, bits))
 
@@ -164,11 +166,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTE
                 ws = (texts[r].as_py() or "").encode().split() if s else []
                 mask = covered(spans.starts_of(s), width, len(ws)).tolist() if s else []
                 kept.append(b" ".join(w for w, m in zip(ws, mask) if not m).decode() if s else None)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([bool(s) for s in starts], pa.bool_()), b.column(2)], names=["kept", "cut", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([bool(s) for s in starts], pa.bool_()), texts, b.column(2)], names=["kept", "cut", "text", "row"])
 
-    ddl = f"kept string, cut boolean, row {rows.schema['row'].dataType.simpleString()}"
+    ddl = f"kept string, cut boolean, text string, row {rows.schema['row'].dataType.simpleString()}"
     done = found.select("text", "starts", "row").mapInArrow(cut, ddl).where("NOT cut OR kept <> ''")
-    new = {"text": F.when(F.col("cut"), F.col("kept")).otherwise(F.col("row.text"))}
+    new = {"text": F.when(F.col("cut"), F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in cols:
-        new["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols))
+        new["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"row.{rest['n_chars']}"))
+    return done.select(*((new[c] if c in new else F.col(f"row.{rest[c]}")).alias(c) for c in cols))
