@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, shards, simhash, sql, substrings, tokens
+from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, shards, simhash, sql, substrings, threads, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,13 +56,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :says), (-1L, 1L, 'assistant', :says) AS t(conv_id, turn, role, text)", {"says": says})
+    return threads.digests(threads.conversations(given.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f for f in (
             op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op6_html_text,
-            op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup,
+            op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup, op11_reply_trees,
         )
     }
 
