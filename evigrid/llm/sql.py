@@ -32,6 +32,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN levels USING (stratum)"""
 
 
+def _repair() -> str:
+    """Least (cost, letters) of each state as text, row by row; states: nothing, system, user, assistant."""
+    add = lambda x, cost, letter: f"lpad((substr({x}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}'"
+    a = [f"a[{i}]" for i in range(1, 5)]
+    gone, more = "x[2] = 'gone'", "(x[3] = 'cut')::INT"
+    reads = lambda i, *ways: ", ".join([add(a[i], 3, "D"), *(f"CASE WHEN NOT {gone} AND {when} THEN {add(a[q], f'({cost} + {more})', letter)} END" for q, letter, cost, when in ways)])
+    kept = lambda q, c: (q, "K", 0, f"x[1] = '{c}'")
+    rerole = lambda q: (q, "R", 2, "true")
+    user = [w for q in (0, 1, 3) for w in (kept(q, "u"), rerole(q))]
+    read = f"[{reads(0)}, least({reads(1, kept(0, 's'))}), least({reads(2, *user)}), least({reads(3, kept(2, 'a'), rerole(2))})]"
+    one = lambda x: add(x, 2, "I")
+    z = [f"z[{i}]" for i in range(1, 5)]
+    filled = f"[z[1], z[2], least(z[3], {one(z[0])}, {one(z[1])}, {one(z[3])}), least(z[4], {one(z[2])}, {one('(' + one(z[0]) + ')')}, {one('(' + one(z[1]) + ')')})]"
+    start = "['000000000', NULL, '000000002I', '000000004II']"
+    return rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS fate
+  FROM conversations, crc),
+h AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fate <> 0),
+r AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[^ 	-]') AS empty,
+  NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE '?' END AS c
+  FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+g AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM r),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (empty) AS blank, count(*) FILTER (NOT empty AND again) AS duplicate,
+  count(*) FILTER (NOT empty AND NOT again AND cut) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal,
+  list([c, CASE WHEN empty OR again THEN 'gone' END, CASE WHEN cut THEN 'cut' END] ORDER BY i) AS rows FROM g GROUP BY conv_id),
+best AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal,
+  list_reduce(rows, lambda a, x: list_transform([{read.replace("x[2] = 'gone'", "coalesce(x[2], '') = 'gone'").replace("(x[3] = 'cut')", "(coalesce(x[3], '') = 'cut')")}], lambda z: {filled})[1], {start}) AS a FROM n),
+e AS (SELECT *, substr(least(a[1], a[4]), 1, 9)::BIGINT AS cost, substr(least(a[1], a[4]), 10) AS audit FROM best),
+l AS (SELECT conv_id, k, substr(audit, k, 1) AS letter, len(replace(substr(audit, 1, k), 'I', '')) AS i, len(replace(substr(audit, 1, k), 'D', '')) AS place FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS k FROM e)),
+o AS (SELECT l.*, r.role, r.text, r.c FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D'),
+s AS (SELECT *, place - max(CASE WHEN place = 1 AND letter = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS nth FROM o),
+p AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM s GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 ORACLE = {
     "op2_quality_rules": _quality(),
     "op3_byte_dedup": """
@@ -77,4 +117,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(12 + length(url_encode(role)) + 1 + length(text) + n + 11)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id""",
+    "op13_conversation_repair": _repair(),
 }
