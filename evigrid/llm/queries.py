@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evigrid.llm import bytedup, decontaminate, html, ordinal, quality, repair, shards, simhash, sql, substrings, threads, tokens
+from evigrid.llm import bytedup, decontaminate, divergence, html, ordinal, quality, repair, shards, simhash, sql, substrings, threads, tokens
 from evigrid.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,10 @@ def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.digests(threads.conversations(given.unionByName(more)))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair.digests(repair.damaged(rows), rows)
@@ -74,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f for f in (
             op1_sharding, op2_quality_rules, op3_byte_dedup, op4_token_counts, op5_simhash, op6_html_text,
-            op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup, op11_reply_trees, op13_conversation_repair,
+            op7_decontamination, op8_ordinal_quality, op9_bpe, op10_substring_dedup, op11_reply_trees, op12_source_divergence, op13_conversation_repair,
         )
     }
 
