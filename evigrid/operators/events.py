@@ -1,12 +1,10 @@
-"""Event logs: decisions as events, state as their fold, replay and comparison."""
+"""Event logs: decisions as events, state as their fold, and comparison."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigrid.operators.components import connected_components
-
 
 def decision_events(decisions: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Events of decisions that were not processed before, in their order.
@@ -82,55 +80,6 @@ def merge_records(merges: DataFrame, links: DataFrame) -> DataFrame:
     return merges.join(own, "source_id", "left").select("decision_id", "source_id", "target_id", F.coalesce("moved", empty).alias("moved"))
 
 
-REPLAYED = "identity_id string, entity_id string, signal_weight double"
-
-
-def _fold(rows):
-    """Links of one group of identities after its events, in order."""
-    import pandas as pd
-
-    weights = lambda pairs: {} if pairs is None else {x["key"]: x["value"] for x in pairs}
-    links: dict[str, dict[str, float]] = {}
-    for r in rows.sort_values(["at", "log", "seq"]).itertuples():
-        if r.action == "created":
-            links.setdefault(r.identity_id, weights(r.entities))
-        elif r.action == "merged" and r.target_id:
-            target = links.setdefault(r.target_id, {})
-            for entity, weight in links.pop(r.identity_id, {}).items():
-                target.setdefault(entity, weight)
-            links[r.identity_id] = {}
-        elif r.action == "split":
-            for entity, weight in weights(r.entities).items() if r.target_id else ():
-                links.get(r.target_id, {}).pop(entity, None)
-                links.setdefault(r.identity_id, {})[entity] = weight
-            links.setdefault(r.identity_id, {})
-        else:
-            links.setdefault(r.identity_id, {})
-    found = [(i, e, w) for i, own in links.items() for e, w in own.items()]
-    return pd.DataFrame(found, columns=["identity_id", "entity_id", "signal_weight"])
-
-
-def replayed_links(log: DataFrame) -> DataFrame:
-    """``(identity_id, entity_id, signal_weight)`` that the log leaves, from nothing.
-
-    ``log`` has ``at, log, seq, identity_id, action, target_id, entities`` (entity to weight: what an
-    identity was created with, or what a split moves back). The first event of an identity makes
-    it; a merge moves its links to the target, which keeps a weight of its own; a split moves
-    the given ones back. Identities that merges and splits connect are folded together, a group a
-    task at a time; all others need no fold.
-    """
-    rows = log.select(
-        "at", "log", "seq", F.col("identity_id").cast("string").alias("identity_id"), "action",
-        F.col("target_id").cast("string").alias("target_id"), "entities",
-    )
-    tied = rows.where("action IN ('merged', 'split') AND target_id IS NOT NULL")
-    groups = connected_components(tied, "identity_id", "target_id").withColumnsRenamed({"node": "identity_id", "component": "part"})
-    first = rows.join(groups, "identity_id", "left_anti").groupBy("identity_id").agg(F.min_by(F.struct("action", "entities"), F.struct("at", "log", "seq")).alias("f"))
-    alone = first.where("f.action = 'created'").select("identity_id", F.explode("f.entities").alias("entity_id", "signal_weight"))
-    folded = rows.join(groups, "identity_id").withColumn("entities", F.map_entries("entities")).groupBy("part").applyInPandas(_fold, REPLAYED)
-    return alone.union(folded)
-
-
 def audit_trail(items: DataFrame, log: DataFrame) -> DataFrame:
     """Events of the decisions behind review items: ``(item_id, decision_id, place, event)`` in their order."""
     joined = items.select("item_id", "decision_id").join(log, "decision_id")

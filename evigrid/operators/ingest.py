@@ -97,27 +97,50 @@ def entity_id(kind: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", kind, value), 256)
 
 
-def upserted_entities(seen: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+LINK = ("type", "normalized_value", "investigation_id")
+
+
+def new_links(seen: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Links of entities to investigations that the link table does not have yet; a null investigation links nothing."""
+    now = seen.where("investigation_id IS NOT NULL").select(*LINK).distinct()
+    return now if links is None else now.join(links.select(*LINK), list(LINK), "left_anti")
+
+
+def upserted_entities(seen: DataFrame, stored: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
     """``(type, normalized_value, raw_value, first_seen, last_seen, source_count, investigation_count)``.
 
-    ``seen`` has ``type, normalized_value, raw_value, seen_at, investigation_id, seq``. With
-    ``stored``, counts add up and the range of times grows; the stored raw value stays.
+    ``seen`` has ``type, normalized_value, raw_value, seen_at, investigation_id, seq``. With ``stored``,
+    sources add up and the range of times grows; the stored raw value stays. An investigation counts
+    only when it is first linked: ``fresh`` are the links that the store's link table did not have
+    (``new_links``), and no others add to its count.
     """
-    now = seen.groupBy("type", "normalized_value").agg(
+    keys = ("type", "normalized_value")
+    now = seen.groupBy(*keys).agg(
         F.min_by("raw_value", "seq").alias("raw_value"), F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"), F.count("*").alias("source_count"),
         F.countDistinct("investigation_id").alias("investigation_count"),
     )
     if stored is None:
         return now
-    both = stored.select(*now.columns, F.lit(0).alias("age")).unionByName(now.withColumn("age", F.lit(1)))
-    return both.groupBy("type", "normalized_value").agg(
-        F.min_by("raw_value", "age").alias("raw_value"), F.min("first_seen").alias("first_seen"),
+    if fresh is None:
+        raise ValueError("a store that has entities has links: give those that are new")
+    none = F.lit(0).cast("long")
+    linked = fresh.groupBy(*keys).agg(F.count("*").alias("investigation_count"))
+    rows = stored.select(*now.columns, F.lit(0).alias("age")).unionByName(now.drop("investigation_count").withColumns({"investigation_count": none, "age": F.lit(1)}))
+    rows = rows.unionByName(linked.withColumn("age", F.lit(2)), allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(
+        F.min_by("raw_value", F.when(F.col("age") < 2, F.col("age"))).alias("raw_value"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"), F.sum("source_count").alias("source_count"),
         F.sum("investigation_count").alias("investigation_count"),
     )
 
 
+def ingested(seen: DataFrame, stored: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The entities and the link table after one more batch; both are to be written before the next one."""
+    fresh = new_links(seen, links)
+    return upserted_entities(seen, stored, fresh), fresh if links is None else links.select(*LINK).unionByName(fresh)
+
+
 def upserted_relationships(seen: DataFrame) -> DataFrame:
     """One row per (source, target, type): the highest confidence, the range of times."""
     return seen.groupBy("source_id", "target_id", "relationship_type").agg(

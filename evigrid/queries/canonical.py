@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrid.operators import identity, ingest
 from evigrid.operators.correlate import noisy_or
+from evigrid.plans.lineage import written
 from evigrid.queries.registry import query
 from evigrid.session import table
 from evigrid.sources.canonical import EV, evidence
@@ -29,13 +30,18 @@ def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upserted_entities(_seen(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, h AS (SELECT type, k, ts < TIMESTAMP '2024-01-16' AS old, min(ts) AS f, max(ts) AS l, count(*) AS n, count(DISTINCT user_id) AS i FROM ev GROUP BY ALL)
-SELECT type, k::VARCHAR AS normalized_value, ' ' || k AS raw_value, min(f) AS first_seen, max(l) AS last_seen, sum(n)::BIGINT AS source_count, sum(i)::BIGINT
-  AS investigation_count FROM h GROUP BY type, k""")
+@query(
+    f"WITH {EV} SELECT type, k::VARCHAR AS normalized_value, ' ' || k AS raw_value, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS source_count,"
+    f" count(DISTINCT user_id) AS investigation_count FROM ev GROUP BY type, k"
+)
 def entity_upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second half of the events onto the store that the first half made."""
-    seen, cut = _seen(spark, sf_dir), F.lit("2024-01-16").cast("timestamp_ntz")
-    return ingest.upserted_entities(seen.where(F.col("seen_at") >= cut), ingest.upserted_entities(seen.where(F.col("seen_at") < cut)))
+    """Three batches of ten days, each onto the entities and links that those before it left."""
+    seen, entities, links = _seen(spark, sf_dir), None, None
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp_ntz")
+    at = F.col("seen_at")
+    for batch in (at < day(11), (at >= day(11)) & (at < day(21)), at >= day(21)):
+        entities, links = (written(df, "store") for df in ingest.ingested(seen.where(batch), entities, links))
+    return entities
 
 
 @query(f"WITH {EV} SELECT DISTINCT sha256(type || chr(1) || k) AS entity_id, user_id AS investigation_id FROM ev")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.functions import routing
-from evigrid.operators import correlate, events, fixtures, ingest, reads
-from evigrid.plans.lineage import scratch
+from evigrid.operators import correlate, events, fixtures, ingest, reads, replay
+from evigrid.plans.lineage import scratch, written
 from evigrid.queries.registry import query
 from evigrid.session import table
 from evigrid.sources import appends
@@ -249,10 +249,61 @@ def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: The walk of every link over the same log, one merge a step, for DuckDB.
+_WALK = """WITH RECURSIVE log AS (SELECT epoch_us(ts)::HUGEINT * 100000000 + event_id AS o, user_id AS i, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'promoted'
+  WHEN 'error' THEN 'disputed' WHEN 'click' THEN 'merged' ELSE 'split' END AS action, CASE WHEN event_type IN ('click', 'view') AND user_id % 4 > 0 THEN user_id - 1 END AS d,
+  'e' || json_extract_string(props, '$.k') AS e, value AS w FROM events),
+outs AS (SELECT * FROM log WHERE action = 'merged' AND d IS NOT NULL), moved AS (SELECT * FROM log WHERE action = 'split' AND d IS NOT NULL),
+named AS (SELECT i, min(o) AS o FROM (SELECT i, o FROM log UNION ALL SELECT d, o FROM outs) GROUP BY i),
+made AS (SELECT log.* FROM log JOIN named USING (i, o) WHERE action = 'created'),
+tokens AS (SELECT i, o, e, w FROM made UNION ALL SELECT i, o, 'u' || i, 1.0 FROM made UNION ALL SELECT i, o, e, w FROM moved),
+takes AS (SELECT i, e, o FROM moved UNION ALL SELECT d, e, o FROM moved),
+steps AS (SELECT DISTINCT p.i, p.o, (SELECT min(m.o) FROM outs m WHERE m.i = p.i AND m.o > p.o) AS leave FROM (SELECT i, o FROM tokens UNION ALL SELECT d, o FROM outs) p),
+r AS (SELECT i, o, e, w, [o] AS way FROM tokens UNION ALL
+  SELECT m.d, m.o, r.e, r.w, list_prepend(m.o, way) FROM r JOIN steps s ON s.i = r.i AND s.o = r.o JOIN outs m ON m.o = s.leave
+  WHERE NOT EXISTS (SELECT 1 FROM takes t WHERE t.i = r.i AND t.e = r.e AND t.o > r.o AND t.o < s.leave)),
+links AS (SELECT i::VARCHAR AS identity_id, e AS entity_id, arg_min(w, way) AS signal_weight FROM r JOIN steps s USING (i, o) WHERE s.leave IS NULL
+  AND NOT EXISTS (SELECT 1 FROM takes t WHERE t.i = r.i AND t.e = r.e AND t.o > r.o) GROUP BY i, e)"""
+
+
+@query(f"{_WALK} SELECT identity_id, entity_id, signal_weight FROM links")
 def replayed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links from a log of creations, merges and splits (ordered; tested against a walk of the whole log)."""
-    return events.replayed_links(replay_log(spark, sf_dir))
+    """Links that a log of creations, merges and splits leaves."""
+    return replay.replayed_links(replay_log(spark, sf_dir))
+
+
+_STATES = f"""{_WALK}, kinds AS (SELECT 'e' || json_extract_string(props, '$.k') AS entity_id, count(DISTINCT user_id % 5) AS n, json_extract_string(props, '$.k')::BIGINT % 5 AS t FROM events GROUP BY ALL),
+score AS (SELECT identity_id, round(1 - product(1 - least(1, greatest(0, CASE WHEN t = 0 OR t IS NULL THEN signal_weight / 1000 ELSE signal_weight / 1000 * (1 + ln(n)) END))), 6) AS c
+  FROM links LEFT JOIN kinds USING (entity_id) GROUP BY identity_id),
+st AS (SELECT i::VARCHAR AS identity_id, coalesce(arg_max(action, o) FILTER (action <> 'created'), 'created') AS last, (arg_max(CASE WHEN action = 'merged' THEN d ELSE -1 END, o) FILTER (action IN ('merged', 'split'))) AS d
+  FROM log WHERE action <> 'merged' OR d IS NOT NULL GROUP BY i),
+s AS (SELECT identity_id, CASE last WHEN 'promoted' THEN 'confirmed' WHEN 'disputed' THEN 'disputed' WHEN 'merged' THEN 'merged' ELSE 'tentative' END AS status, CASE WHEN d >= 0 THEN d::VARCHAR END AS merged_into,
+  CASE WHEN last = 'merged' THEN 0.0 ELSE coalesce(c, 0.0) END::DOUBLE AS confidence FROM st LEFT JOIN score USING (identity_id)),
+states AS (SELECT identity_id, CASE WHEN status = 'tentative' AND confidence >= 0.85 THEN 'confirmed' ELSE status END AS status, merged_into, confidence FROM s)"""
+
+
+def _replayed(spark: SparkSession, log: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ev = evidence(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("email", "username", "domain", "display_name", "language"))), (F.col("k") % 5 + 1).cast("int"))
+    kinds = ev.groupBy(F.concat(F.lit("e"), "k").alias("entity_id"), kind.alias("type")).agg(F.countDistinct(F.col("user_id") % 5).alias("n_sources"))
+    links = written(replay.replayed_links(log), "links").withColumn("signal_weight", F.col("signal_weight") / 1000)
+    return replay.replayed_states(log, links, kinds), links
+
+
+@query(f"{_STATES} SELECT * FROM states")
+def replayed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, merge and confidence of identities after a replay with rescore."""
+    return _replayed(spark, replay_log(spark, sf_dir), sf_dir)[0]
+
+
+@query(f"{_STATES} SELECT identity_id, NULL::VARCHAR AS entity_id, 'missing' AS difference FROM states UNION ALL SELECT identity_id, entity_id, 'missing link' FROM links")
+def replay_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state against the replay of nothing: all of it is missing; against its own replay nothing is."""
+    log = replay_log(spark, sf_dir)
+    states, links = _replayed(spark, log, sf_dir)
+    again = _replayed(spark, log.withColumn("at", F.expr("at + INTERVAL 1 DAY")), sf_dir)
+    none = _replayed(spark, log.where("action = 'unknown'"), sf_dir)
+    return replay.differences(states, again[0], links, again[1]).unionByName(replay.differences(states, none[0], links, none[1]))
 
 
 @query("""WITH l AS (SELECT o_orderkey AS d, l_linenumber AS seq, l_shipdate AS moment, l_returnflag AS event FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P')

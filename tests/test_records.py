@@ -10,38 +10,10 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import kernels, payloads, routing
 from evigrid.operators import events, fixtures, graph, ingest, rules
-from evigrid.queries import records
 
 SF = "/root/testdata/sf0.001"
 
 
-def walk(rows):
-    """Links after a log, one event at a time over everything."""
-    where, known = {}, set()  # (identity, entity) -> weight
-    for r in sorted(rows, key=lambda r: (r["at"], r["log"], r["seq"])):
-        i, t = str(r["identity_id"]), None if r["target_id"] is None else str(r["target_id"])
-        if r["action"] == "created" and i not in known:
-            where |= {(i, e): w for e, w in (r["entities"] or {}).items()}
-        if r["action"] == "merged" and t:
-            for (_, e), w in [x for x in where.items() if x[0][0] == i]:
-                del where[(i, e)]
-                where.setdefault((t, e), w)
-            known.add(t)
-        if r["action"] == "split" and t:
-            for e, w in (r["entities"] or {}).items():
-                where.pop((t, e), None)
-                where[(i, e)] = w
-        known.add(i)
-    return where
-
-
-def test_replayed_links(spark):
-    log = records.replay_log(spark, SF)
-    got = {(r.identity_id, r.entity_id): r.signal_weight for r in events.replayed_links(log).collect()}
-    assert got == walk([r.asDict() for r in log.collect()]) and len(got) > 10
-    assert events.replayed_links(log.limit(0)).count() == 0
-
-
 def test_components_over_all_line_items(spark):
     from evigrid.queries import queries
 
