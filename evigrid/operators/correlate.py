@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrid.operators.heavy import grid_join
+
 # Entity type, the signal it gives, its tier and weight.
 SIGNALS = (
     ("email", "email_exact", 1, 0.90), ("phone", "phone_e164", 1, 0.90), ("btc", "wallet_address", 1, 0.95), ("eth", "wallet_address", 1, 0.95), ("wallet", "wallet_address", 1, 0.95), ("pgp_fingerprint", "pgp_fingerprint", 1, 0.95),
@@ -30,21 +32,19 @@ def matches(draft: DataFrame, known: DataFrame, table: DataFrame) -> DataFrame:
 
     Both sides have ``identity, type, value``; the draft side has ``evidence_id``. Types and
     values are compared without case. The known side is reduced to distinct keys before the
-    join, the signal table (fixed size) joins the draft side before the shuffle, and the
-    large join is left to adaptive execution, which splits values that many share. ``listed``
+    join, the signal table (fixed size) joins the draft side before the shuffle. ``listed``
     of the draft side comes along.
 
     The result has a row for each pair that shares a value: of a value that m drafts and n
-    known identities have, m x n. Evidence keys (addresses, numbers) are shared by few, so
-    that it grows with the input; a value that a fixed share of all identities has makes it
-    grow with the square, as the pairs it asks for do. Leave such values out beforehand.
+    known identities have, m x n. Frequent values are found by sketches and their pairs dealt
+    over a grid of tasks (``heavy.grid_join``), so that no task has more than a cell of them.
     """
     d = draft.select(
         F.col("identity").alias("draft"), key("type").alias("type"), key("value").alias("value"),
         "evidence_id", *(c for c in ("listed",) if c in draft.columns),
     ).join(F.broadcast(table), "type")
     k = known.select(F.col("identity").alias("known"), key("type").alias("type"), key("value").alias("value")).distinct()
-    return d.join(k, ["type", "value"]).where("draft <> known")
+    return grid_join(d, k, ["type", "value"]).where("draft <> known")
 
 
 def relationship_matches(draft: DataFrame, known: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def relationship_matches(draft: DataFrame, known: DataFrame) -> DataFrame:
     ends = ["relationship_type", "source_type", "source_value", "target_type", "target_value"]
     side = lambda df, name, *more: df.select(F.col("identity").alias(name), *(key(c).alias(c) for c in ends), *more)
     k = side(known, "known").distinct()
-    joined = side(draft, "draft", "evidence_id").join(k, ends).where("draft <> known")
+    joined = grid_join(side(draft, "draft", "evidence_id"), k, ends).where("draft <> known")
     return joined.select(
         "draft", "known", F.col("relationship_type").alias("type"),
         F.concat_ws("->", "source_value", "target_value").alias("value"), "evidence_id",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evigrid.operators.components import connected_components
 from evigrid.operators.correlate import noisy_or
+from evigrid.operators.heavy import frequent
+from evigrid.plans.lineage import written
 
 # Tiers of entity types here (a domain is weak), and their weights.
 TIER_TYPES = {1: ("email", "phone", "btc", "eth", "wallet", "pgp_fingerprint"), 2: ("username", "avatar_hash")}
@@ -61,27 +63,80 @@ def old_weight(kind: Column) -> Column:
     return F.coalesce(out, F.lit(OLD_DEFAULT))
 
 
+#: Entities that are told apart by a bit each, at most, and the share of all identities that makes one of them.
+HOT, HOT_SHARE = 63, 0.1
+
+
+def _marked(links: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(identity_id, entity_id, hot, n, bits)`` and ``(candidate, entity_id, hot, bits)``: ``bits`` says which
+    hot entities an owner has, ``n`` how many entities in all. Hot are those that a tenth of all
+    identities have, the 63 most frequent of them at most."""
+    links, wanted = (df.distinct() for df in (links, wanted))
+    owners = links.select("identity_id").distinct().count()
+    top = frequent(links, F.col("entity_id"), HOT).where(F.col("n") > F.lit(HOT_SHARE * owners)).orderBy(F.desc("n"), "key")
+    hot = F.broadcast(written(top.select("key", (F.row_number().over(Window.orderBy(F.desc("n"), "key")) - 1).alias("bit")), "hot"))
+
+    def of(df: DataFrame, owner: str) -> DataFrame:
+        rows = df.withColumn("key", F.xxhash64("entity_id")).join(hot, "key", "left").drop("key")
+        bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")), F.lit(0).cast("long"))
+        own = rows.groupBy(owner).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
+        return rows.select(owner, "entity_id", F.col("bit").isNotNull().alias("hot")).join(own, owner)
+
+    return written(of(links, "identity_id"), "marked"), written(of(wanted, "candidate").drop("n"), "marked")
+
+
 def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shared: int = 2) -> DataFrame:
     """For each candidate set, the stored identity that shares most: ``(candidate, identity_id, n_shared, share)``.
 
     It has to share ``overlap`` of its own entities or ``shared`` entities; ties go to the
-    larger share and then the lesser id.
+    larger share and then the lesser id. Repeated rows count once.
+
+    Only entities that few have make pairs; hot ones are bits, counted by pair. Of the identities with
+    the same hot entities only the smallest, then least, can be the best for what shares hot
+    entities alone, so one of each kind stands for all of them: an entity that everyone has
+    makes as many pairs as there are kinds of candidates and identities.
     """
-    size = links.groupBy("identity_id").agg(F.countDistinct("entity_id").alias("n_total"))
-    both = wanted.join(links, "entity_id").groupBy("candidate", "identity_id").agg(F.countDistinct("entity_id").alias("n_shared"))
-    tried = both.join(size, "identity_id").withColumn("share", F.col("n_shared") / F.col("n_total"))
-    w = Window.partitionBy("candidate").orderBy(F.desc("n_shared"), F.desc("share"), "identity_id")
-    return tried.where(
-        (F.col("share") >= overlap) | (F.col("n_shared") >= shared)
-    ).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("candidate", "identity_id", "n_shared", "share")
+    links, wanted = _marked(links, wanted)
+    both = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
+    few = wanted.where("NOT hot").withColumnRenamed("bits", "t").join(links.where("NOT hot"), "entity_id")
+    few = few.groupBy("candidate", "identity_id", "n", "t", "bits").agg(F.count("*").alias("m"))
+    close = few.select("candidate", "identity_id", "n", (F.col("m") + both("t", "bits")).alias("n_shared"))
+
+    kinds = links.where("hot").groupBy("entity_id", "bits").agg(F.min(F.struct("n", "identity_id")).alias("least"))
+    asked = wanted.where("hot").select("entity_id", F.col("bits").alias("t")).distinct()
+    pairs = asked.join(kinds, "entity_id").select("t", "bits", "least.*").distinct()
+    fit = (F.col("n_shared") / F.col("n") >= overlap) | (F.col("n_shared") >= shared)
+    rank = F.min(F.struct((-F.col("n_shared")).alias("m"), (-F.col("n_shared") / F.col("n")).alias("s"), "identity_id", "n")).alias("best")
+    by_kind = pairs.withColumn("n_shared", both("t", "bits")).where(fit).groupBy("t").agg(rank)
+    owners = wanted.where("hot").select("candidate", F.col("bits").alias("t")).distinct()
+    common = owners.join(by_kind, "t").select("candidate", "best.identity_id", "best.n", (-F.col("best.m")).alias("n_shared"))
+
+    found = close.where(fit).unionByName(common).groupBy("candidate").agg(rank)
+    return found.select("candidate", "best.identity_id", (-F.col("best.m")).cast("long").alias("n_shared"), (-F.col("best.s")).alias("share"))
 
 
 def contained_in(links: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored identities all of whose entities are in a candidate set: ``(candidate, identity_id)``, least id first."""
-    size = links.groupBy("identity_id").agg(F.count("entity_id").alias("n_total"))
-    both = wanted.join(links, "entity_id").groupBy("candidate", "identity_id").agg(F.count("entity_id").alias("n_in"))
-    full = both.join(size, "identity_id").where("n_in = n_total")
-    return full.groupBy("candidate").agg(F.min("identity_id").alias("identity_id"))
+    """Stored identities all of whose entities are in a candidate set: ``(candidate, identity_id)``, least id first.
+
+    A set can only be inside another that has its rarest entity, so identities are looked up by
+    that one alone (the prefix of a full overlap), and the few pairs are checked entity by entity.
+    Identities with hot entities only are compared by their bits, one for each kind. Repeated rows
+    count once.
+    """
+    links, wanted = _marked(links, wanted)
+    often = links.groupBy("entity_id").agg(F.count("*").alias("often"))
+    cool = links.where("NOT hot").join(often, "entity_id").groupBy("identity_id", "n", "bits").agg(F.min_by("entity_id", F.struct("often", "entity_id")).alias("entity_id"))
+    tried = wanted.where("NOT hot").withColumnRenamed("bits", "t").join(cool, "entity_id")
+    tried = tried.where(F.col("bits").bitwiseAND(F.col("t")) == F.col("bits")).select("candidate", "identity_id", "n", "bits")
+    rest = tried.join(links.where("NOT hot").select("identity_id", "entity_id"), "identity_id")
+    held = rest.join(wanted.where("NOT hot").select("candidate", "entity_id"), ["candidate", "entity_id"])
+    whole = held.groupBy("candidate", "identity_id", "n", "bits").agg(F.count("*").alias("m")).where(F.col("m") + F.bit_count("bits") == F.col("n"))
+
+    kinds = links.where("hot AND n = bit_count(bits)").groupBy("bits").agg(F.min("identity_id").alias("identity_id"), F.min("entity_id").alias("entity_id"))
+    asked = wanted.where("hot").select("entity_id", F.col("bits").alias("t")).distinct()
+    inside = asked.join(kinds, "entity_id").where(F.col("bits").bitwiseAND(F.col("t")) == F.col("bits")).groupBy("t").agg(F.min("identity_id").alias("identity_id"))
+    common = wanted.where("hot").select("candidate", F.col("bits").alias("t")).distinct().join(inside, "t").select("candidate", "identity_id")
+    return whole.select("candidate", "identity_id").unionByName(common).groupBy("candidate").agg(F.min("identity_id").alias("identity_id"))
 
 
 def merged_links(links: DataFrame, merges: DataFrame) -> DataFrame:

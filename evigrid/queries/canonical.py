@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.operators import identity, ingest
@@ -213,10 +213,11 @@ def identity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS = f"WITH {EV}, links AS (SELECT DISTINCT user_id AS identity_id, type || ':' || k AS entity_id FROM ev WHERE ts < TIMESTAMP '2024-01-16'), wanted AS (SELECT DISTINCT user_id AS candidate, type || ':' || k AS entity_id FROM ev WHERE ts >= TIMESTAMP '2024-01-16')"
 
 
-def _links(spark: SparkSession, sf_dir: str, entity: str = "k") -> tuple[DataFrame, DataFrame]:
-    ev, cut = evidence(spark, sf_dir).withColumn("entity_id", F.concat_ws(":", "type", F.expr(entity))), F.lit("2024-01-16").cast("timestamp_ntz")
-    side = lambda rows, name: rows.select(F.col("user_id").alias(name), "entity_id").distinct()
-    return side(ev.where(F.col("ts") < cut), "identity_id"), side(ev.where(F.col("ts") >= cut), "candidate")
+def _links(spark: SparkSession, sf_dir: str, owner: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    ev, cut = evidence(spark, sf_dir).withColumn("entity_id", F.concat_ws(":", "type", "k")), F.lit("2024-01-16").cast("timestamp_ntz")
+    user = F.col("user_id")
+    side = lambda rows, of, name: rows.select(of.alias(name), "entity_id").distinct()
+    return side(ev.where(F.col("ts") < cut), user if owner is None else owner, "identity_id"), side(ev.where(F.col("ts") >= cut), user, "candidate")
 
 
 @query(_LINKS + """, s AS (SELECT identity_id, count(*) AS n FROM links GROUP BY ALL), b AS (SELECT candidate, identity_id, count(*) AS n_shared FROM wanted
@@ -229,12 +230,12 @@ def legacy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.best_overlap(wanted, links)
 
 
-@query(_LINKS.replace("|| k", "|| (k % 4)") + """, s AS (SELECT identity_id, count(*) AS n FROM links GROUP BY ALL), b AS (SELECT candidate, identity_id, count(*) AS m FROM wanted
+@query(_LINKS.replace("user_id AS identity_id", "user_id * 100 + day(ts) AS identity_id") + """, s AS (SELECT identity_id, count(*) AS n FROM links GROUP BY ALL), b AS (SELECT candidate, identity_id, count(*) AS m FROM wanted
   JOIN links USING (entity_id) GROUP BY ALL)
 SELECT candidate, min(identity_id) AS identity_id FROM b JOIN s USING (identity_id) WHERE m = n GROUP BY candidate""")
 def contained_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored identities whose entities (four values of each type) are all in a candidate set."""
-    links, wanted = _links(spark, sf_dir, "k % 4")
+    """Stored identities (what one user showed on one day) whose entities are all in a candidate set."""
+    links, wanted = _links(spark, sf_dir, F.col("user_id") * 100 + F.dayofmonth("ts"))
     return identity.contained_in(links, wanted)
 
 
