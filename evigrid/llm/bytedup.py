@@ -164,7 +164,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
     are treated whole, in a block of their own. Rows with a null doc_id lose nothing and
     take nothing. Repeated rows are treated alike and do not count against each other; rows
     that repeat a doc_id with another text are told apart by a 64-bit hash of the text. An
-    empty table gives no rows. Other columns are not looked at.
+    empty table gives no rows. Ids may be of any type that has an order (see ``spans.numbered``).
+    Other columns are not looked at.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +184,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
                 )
 
+    docs, named = spans.numbered(docs.select("doc_id", "text"))
     rows = spans.keyed(docs)
     found = spans.with_starts(rows, removable(rows, width, bits)).select("doc_id", "text", "starts")
-    return found.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return named(found.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))

@@ -39,6 +39,24 @@ FLUSH = 2_000_000
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with whole numbers for ids, and how to get the ids back into ``doc_id`` of a result.
+
+    Whole numbers stand for themselves. Other ids (text, decimals, dates) are numbered in their order,
+    by a sort over ranges of all distinct ones; null stays null.
+    """
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return docs, lambda df: df
+    own = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    ids = written(own.repartitionByRange(partitions(docs.sparkSession), "_id").sortWithinPartitions("_id").select("_id", F.monotonically_increasing_id().alias("_n")), "ids")
+    def exchanged(df: DataFrame, old: str, new: str) -> DataFrame:
+        mine = ids.select(F.col(old).alias("__old_id"), F.col(new).alias("__new_id"))
+        both = df.join(mine, F.col(f"`{id_col}`") == F.col("__old_id"), "left")
+        return both.select(*(F.col("__new_id").alias(c) if c == id_col else F.col(f"`{c}`") for c in df.columns))
+
+    return exchanged(docs, "_id", "_n"), lambda df: exchanged(df, "_n", "_id")
+
+
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(doc_id, tag, text)``; the tag tells rows that repeat a doc_id with another text apart."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

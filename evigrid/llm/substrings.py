@@ -1,9 +1,9 @@
 """Substring dedup over words with difference-cover anchors.
 
-Short windows are hashed at cover positions only, modulo a period. Any two equal long windows
-hold an aligned pair of such anchors, equal ones. Where an anchor is shared by two documents it
-is extended to all long windows around it, and these are settled: only they are hashed whole
-and moved. They are dealt by their own hash and not by the anchor's, so that an anchor that
+Anchors are short windows at cover positions, modulo a period. Any two equal long windows hold an
+aligned pair of such anchors, equal ones. Hashes roll over a whole block at once; of them only
+those at cover positions are looked up, and where an anchor is shared by two documents it is
+extended to all long windows around it, which alone are moved and settled. They are dealt by their own hash and not by the anchor's, so that an anchor that
 stands in a third of all rows, each time in other surroundings, fills no task.
 """
 
@@ -104,6 +104,11 @@ def _judge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[again], tag[again], start[again]
 
 
+def _as_text(found: list[bytes | None]) -> pa.Array:
+    """Strings of these bytes, which need not be UTF-8."""
+    return pa.array(found, pa.binary()).cast(pa.string(), safe=False)
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text, kept_sha256)`` of every row.
 
@@ -113,8 +118,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
     a null doc_id come before no other and after none: they lose nothing and take
     nothing. Repeated rows are treated alike and do not count against each other; rows
     that repeat a doc_id with another text are told apart by a 64-bit hash of the text.
-    Very long texts are treated whole; an empty table gives no rows. Other columns are
-    not looked at.
+    Very long texts are treated whole; an empty table gives no rows. Ids may be of any type
+    that has an order (see ``spans.numbered``); bytes that are no UTF-8 are kept as they are.
+    Other columns are not looked at.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +141,14 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
                     gone.append(len(ws) - len(kept))
                     texts.append(b" ".join(kept))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in texts], pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+                    [b.column(0).slice(i, j - i), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), _as_text(texts), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
+    docs, named = spans.numbered(docs.select("doc_id", "text"))
     rows = spans.keyed(docs)
     found = spans.with_starts(rows, removable(rows, width, bits)).select("doc_id", "text", "starts")
-    return found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return named(found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS) -> DataFrame:
@@ -153,20 +160,22 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTE
     and repeated rows as in ``deduplicated``.
     """
     cols = docs.columns
+    number, _ = spans.numbered(docs.select(*cols, F.col("doc_id").alias("_number")), "_number")
     rest = {c: f"c{i}" for i, c in enumerate(cols) if c != "text"}
     row = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(name) for c, name in rest.items()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), row.alias("row"))
+    rows = number.select(F.col("_number").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), row.alias("row"))
     plain = rows.select("doc_id", "tag", F.coalesce("text", F.lit("")).alias("text"))
     found = spans.with_starts(rows, removable(plain, width, bits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, starts, kept = b.column(0), b.column(1).to_pylist(), []
+            raw = texts.cast(pa.binary())
             for r, s in enumerate(starts):
-                ws = (texts[r].as_py() or "").encode().split() if s else []
+                ws = (raw[r].as_py() or b"").split() if s else []
                 mask = covered(spans.starts_of(s), width, len(ws)).tolist() if s else []
-                kept.append(b" ".join(w for w, m in zip(ws, mask) if not m).decode() if s else None)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([bool(s) for s in starts], pa.bool_()), texts, b.column(2)], names=["kept", "cut", "text", "row"])
+                kept.append(b" ".join(w for w, m in zip(ws, mask) if not m) if s else None)
+            yield pa.RecordBatch.from_arrays([_as_text(kept), pa.array([bool(s) for s in starts], pa.bool_()), texts, b.column(2)], names=["kept", "cut", "text", "row"])
 
     ddl = f"kept string, cut boolean, text string, row {rows.schema['row'].dataType.simpleString()}"
     done = found.select("text", "starts", "row").mapInArrow(cut, ddl).where("NOT cut OR kept <> ''")

@@ -12,7 +12,7 @@ from test_llm_operators import bag, brute_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evigrid.llm import bytedup, decontaminate, html, quality, shards, simhash, substrings, tokens
+from evigrid.llm import bytedup, decontaminate, html, nearcopies, quality, shards, simhash, substrings, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -223,3 +223,32 @@ def test_repeated_runs_of_a_host(spark, bits):
     want = brute_runs(pages, html.RUN, html.PAGES)
     assert bag(html.main_texts(df, bits=bits), "page_id", "text") == want
     assert any(t != html.stream(h) for (_, t), (_, _, h) in zip(want, pages))
+
+
+def test_ids_of_other_types(spark):
+    """Text, decimal and null ids keep their order and their type."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", "x " + words), ("a10", words), ("a9", words + " y"), (None, words), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    numbers = {"a10": 1, "a9": 2, "b": 3, "c": 4, None: None}
+    plain = [(numbers[i], t) for i, t in rows]
+    back = {v: k for k, v in numbers.items()}
+    assert bag(bytedup.deduplicated(docs), *BYTES) == collections.Counter((back[k[0]], *k[1:]) for k in _bytes(plain).elements())
+    assert bag(substrings.deduplicated(docs), *WORDS) == collections.Counter((back[k[0]], *k[1:]) for k in _words(plain).elements())
+    kept = substrings.without_repeats(docs.selectExpr("CAST(NULL AS DECIMAL(5,1)) AS d", "doc_id", "text", "map(1, 2) AS _n")).collect()
+    assert {r.doc_id: r.text for r in kept} == {"a10": words, "b": "x", "a9": "y", None: words, "c": None} and kept[0]._n == {1: 2}
+
+
+def test_columns_without_order(spark):
+    rows = [(2, "one two three four five six", {"k": 1}), (1, "one two three four five six", {"k": 2}), (3, None, None), (3, "", {"a": 1}), (9, "quite another text it is", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    got = {(r.doc_id, r.text or "", tuple((r.m or {}).items())) for r in nearcopies.one_of_each(docs).collect()}
+    assert (1, "one two three four five six", (("k", 2),)) in got and (9, "quite another text it is", ()) in got and len(got) == 3
+
+
+def test_bytes_that_are_no_text(spark):
+    end = b" ".join(b"v%d\xff" % i for i in range(20))
+    df = spark.createDataFrame([(1, end), (2, b"\xfe " + end)], "doc_id long, raw binary").selectExpr("doc_id", "CAST(raw AS STRING) AS text")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substrings.deduplicated(df).drop("kept_text").collect()}
+    assert got == {1: (0, sha(end)), 2: (20, sha(b"\xfe"))}
+    assert {r.doc_id: bytes(r.b) for r in substrings.without_repeats(df).selectExpr("doc_id", "CAST(text AS BINARY) AS b").collect()} == {1: end, 2: b"\xfe"}
