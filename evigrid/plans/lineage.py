@@ -17,10 +17,13 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage: ``spark.checkpoint.dir``, or the one that was given to the
-    context; only where there is neither (tests, notebooks) a temporary one of our own."""
+    context. Only a local master may have neither: then a temporary one of our own will do, which on
+    a cluster every executor would have for itself."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="evigrid-")
