@@ -32,8 +32,10 @@ RUN, PAGES, ANCHOR = 8, 3, 4
 
 # HTML element names and the words sites use for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video select textarea button option datalist math".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video select textarea button option datalist".split())
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
+#: Of these, what may stand around a whole page; likewise the roles.
+AROUND, AROUND_ROLES = frozenset("form dialog menu".split()), frozenset("dialog form".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -63,24 +65,29 @@ def _by_name(attrs: dict[str, str | None]) -> bool:
     return False
 
 
-def _is_furniture(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_main):
-        return True
-    if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-        return True
-    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower()))
+def _furniture(tag: str, attrs: dict[str, str | None], in_main: bool) -> int:
+    """1: furniture whatever it holds; 2: furniture but for an article inside; 0: none."""
+    role = (attrs.get("role") or "").lower()
+    if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower()):
+        return 1
+    if (tag in FURNITURE and tag not in AROUND) or (tag == "header" and not in_main) or (role in ROLES and role not in AROUND_ROLES):
+        return 1
+    if tag in AROUND or role in AROUND_ROLES:
+        return 2
+    return 2 if tag not in ("html", "body", "main") and _by_name(attrs) else 0
 
 
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, silent, furniture (2: by its name alone), main
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, silent, furniture, region (MAIN, NESTED: inside furniture)
         self.out: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.kind = OPEN
+        self.titles: set[int] = set()  # the kinds of text that have a heading of the first rank
 
-    def _state(self) -> tuple[bool, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, False)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, OPEN)
 
     def _end(self) -> None:
         line = " ".join("".join(self.text).split())
@@ -104,14 +111,16 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        silent, chrome, main = self._state()
+        silent, chrome, region = self._state()
         found = dict(attrs)
         is_main = tag in ("article", "main") or (found.get("role") or "").lower() in ("main", "article")
-        if chrome != 1 and _is_furniture(tag, found, main):
-            chrome = 1
-        elif not chrome and tag not in ("html", "body", "main") and _by_name(found):
-            chrome = 2
-        self.stack.append((tag, silent or tag in SILENT, chrome, main or (is_main and chrome != 1)))
+        own = _furniture(tag, found, region != OPEN)
+        if is_main and region == OPEN and 1 not in (chrome, own):
+            # An article that is, or is inside, what only may be furniture counts where the page has no other.
+            region, chrome = NESTED if chrome or own else MAIN, 0
+        elif chrome != 1 and own:
+            chrome = min(chrome or own, own)
+        self.stack.append((tag, silent or tag in SILENT, chrome, region))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -122,19 +131,20 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        silent, chrome, main = self._state()
+        silent, chrome, region = self._state()
         if silent:
             return
-        # An article inside what only its name makes furniture counts where the page has no other.
-        kind = (NESTED if main and chrome == 2 else CHROME) if chrome else MAIN if main else OPEN
+        kind = CHROME if chrome else region
         if kind != self.kind:
             self._end()
             self.kind = kind
+        if data.strip() and any(x[0] == "h1" for x in self.stack):
+            self.titles.add(kind)
         self.text.append(data)
 
 
-def page_blocks(html: str | None) -> list[tuple[int, str]]:
-    """``(kind, text)`` of the blocks of a page, in page order."""
+def page_blocks(html: str | None) -> tuple[list[tuple[int, str]], set[int]]:
+    """``(kind, text)`` of the blocks of a page, in page order; and the kinds that have its title."""
     p, html = _Blocks(), html or ""
     last = html.rfind("<")
     if last >= 0 and ">" not in html[last:] and re.match(r"<[A-Za-z/!]", html[last:]):
@@ -145,15 +155,18 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
     except AssertionError:  # a broken declaration; what was read stands
         pass
     p._end()
-    return p.out
+    return p.out, p.titles
 
 
 def stream(html: str | None) -> str:
-    """The blocks of a page that may be its main text, a line each."""
-    found = page_blocks(html)
+    """The blocks of a page that may be its main text, a line each: those of its articles, of a page
+    without one the open ones. Where the title stands outside the articles the open blocks count too."""
+    found, titles = page_blocks(html)
     size = {k: sum(len(t) for x, t in found if x == k) for k in (MAIN, NESTED, OPEN)}
-    kind = MAIN if size[MAIN] else NESTED if size[NESTED] > size[OPEN] else OPEN
-    return "\n".join(t for k, t in found if k == kind)
+    kinds = {MAIN} if size[MAIN] else {NESTED} if size[NESTED] > size[OPEN] else {OPEN}
+    if OPEN in titles and not titles & kinds:
+        kinds.add(OPEN)
+    return "\n".join(t for k, t in found if k in kinds)
 
 
 def _suffixes(data: np.ndarray, offs: np.ndarray, run: int) -> tuple[np.ndarray, ...]:

@@ -252,3 +252,19 @@ def test_bytes_that_are_no_text(spark):
     got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substrings.deduplicated(df).drop("kept_text").collect()}
     assert got == {1: (0, sha(end)), 2: (20, sha(b"\xfe"))}
     assert {r.doc_id: bytes(r.b) for r in substrings.without_repeats(df).selectExpr("doc_id", "CAST(text AS BINARY) AS b").collect()} == {1: end, 2: b"\xfe"}
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<form id="aspnetForm"><div>menu</div><main><h1>T</h1><p>story here</p><div class="newsletter">join</div><form>x</form></main></form>', "T\nstory here"),
+    ("<form><article><p>tale</p></article></form>", "tale"),
+    ("<dialog><article><p>in dialog</p></article></dialog>", "in dialog"),
+    ("<div><h1>T</h1><p>story outside</p></div><article><p>teaser</p></article>", "T\nstory outside\nteaser"),
+    ('<div class="comments"><article><p>reader says</p></article></div><article><p>story</p></article>', "story"),
+    ('<article><p>a</p><form>sign up</form><p>b</p><div class="comments"><article>no</article></div></article>', "a\nb"),
+    ("<article><header><h1>x</h1></header><p>a <math><mi>y</mi></math></p></article>", "x\na y"),
+    ("<aside><article>no</article></aside><p>yes</p>", "yes"),
+    ('<article class="notice"><p>all there is</p></article>', "all there is"),
+    ("<form><p>only a form</p></form><p>text</p>", "text"),
+])
+def test_articles_wherever_they_stand(page, text):
+    assert html.stream(page) == text
