@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.functions import plugins
+from evigrid.operators import levels
 from evigrid.queries.registry import query
 from evigrid.session import table
 from evigrid.sources.canonical import EV, evidence
@@ -71,3 +74,16 @@ def followup_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3, E4."""
     rows = evidence(spark, sf_dir).select("user_id", "type", F.col("k").cast("string").alias("value"), F.col("event_id").alias("pos"))
     return plugins.followups(rows, "user_id", {"domain": 5, "email": 3})
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 4 AS needs FROM part WHERE p_partkey >= 4 UNION SELECT p_partkey, p_partkey // 7 FROM part WHERE p_partkey >= 7
+  UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 97 = 0 AND p_partkey > 0 UNION SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey % 97 = 0 AND p_partkey > 0),
+a AS (SELECT node FROM e UNION SELECT needs FROM e UNION SELECT p_partkey FROM part),
+r AS (SELECT node, 0 AS level FROM a WHERE node NOT IN (SELECT node FROM e) UNION SELECT e.node, r.level + 1 FROM r JOIN e ON e.needs = r.node WHERE r.level < 60)
+SELECT node, CASE WHEN max(level) < 40 THEN max(level) END AS level FROM r GROUP BY node""")
+def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: levels of parts that need two others each, with pairs that need each other."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    pair = part.where("node % 97 = 0 AND node > 0")
+    edges = [part.where("node >= 4").selectExpr("node", "node div 4 AS needs"), part.where("node >= 7").selectExpr("node", "node div 7 AS needs"), pair.selectExpr("node", "node + 1 AS needs"), pair.selectExpr("node + 1 AS node", "node AS needs")]
+    return levels.levels(reduce(DataFrame.unionByName, edges), part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.operators import reads
+from evigrid.operators import reads, trigrams
 from evigrid.queries.registry import query
 from evigrid.session import table
 from evigrid.sources import files
@@ -141,3 +141,13 @@ def allowed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         evidence(spark, sf_dir).select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), F.col("ts").alias("at")),
         2, 3600,
     )
+
+
+@query("""WITH t AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN substr(text, 3, 2) ELSE upper(substr(text, 10, 14)) END AS term FROM benchmark)
+SELECT item_id AS term_id, doc_id AS id FROM t JOIN documents d ON contains(lower(d.text), lower(term)) WHERE term <> ''""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of benchmark items in all documents, whatever the case, by trigram postings."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    term = F.expr("IF(CAST(item_id AS BIGINT) % 10 = 0, substr(text, 3, 2), upper(substr(text, 10, 14)))")
+    terms = items.select(F.col("item_id").alias("term_id"), term.alias("term"))
+    return trigrams.search(docs, "doc_id", "text", trigrams.index(docs, "doc_id", "text"), terms)
