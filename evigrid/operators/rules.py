@@ -42,6 +42,14 @@ def no_overlap_promotion() -> tuple[str, Column, Column]:
     return "promote", (F.col("n_entities") == 0) & (F.col("n_evidence") > 0), F.lit("evidence without a shared entity")
 
 
+def with_unmatched(pairs: DataFrame, draft: DataFrame) -> DataFrame:
+    """``pairs`` and a row for each draft identity that is in none: no known identity, no entity, a score of
+    0 and its pieces of evidence. ``draft`` has ``identity`` and ``evidence_id``."""
+    own = draft.groupBy(F.col("identity").alias("draft")).agg(F.countDistinct("evidence_id").alias("n_evidence"))
+    alone = own.join(pairs.select("draft"), "draft", "left_anti").withColumns({"score": F.lit(0.0), "n_entities": F.lit(0).cast("long")})
+    return pairs.unionByName(alone, allowMissingColumns=True)
+
+
 def proposals(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each rule that fires. A rule whose condition is null does not."""
     return pairs.select("*", F.inline(_fired(names))).drop("negative")

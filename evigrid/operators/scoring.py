@@ -74,6 +74,38 @@ def threat_scores(payloads: DataFrame) -> DataFrame:
     )
 
 
+#: What to do about what a score is made of, in this order; ``none`` if nothing else applies.
+ADVICE = {
+    "isolate": "Cut the target off from production and call in incident response.",
+    "patch": "Patch or shield the vulnerable services.",
+    "close_ports": "Close the risky ports or restrict who reaches them.",
+    "reset_passwords": "Reset the passwords of affected accounts and require a second factor.",
+    "block_disposable": "Refuse disposable mail domains at registration.",
+    "audit_subdomains": "Look for forgotten subdomains and remove those that are not used.",
+    "watch_traffic": "Watch for traffic from proxies and Tor.",
+    "none": "Nothing urgent; keep monitoring.",
+}
+
+
+def recommendations(payloads: DataFrame) -> DataFrame:
+    """``(investigation_id, place, advice, text, about)``: a row for each recommendation in its order; ``about``
+    names up to five vulnerabilities, or the risky ports."""
+    scored = threat_scores(payloads).select("investigation_id", "level")
+    vulns, ports = items("shodan.all_vulns"), F.filter(items("shodan.all_open_ports", "int"), lambda p: p.isin(*RISKY_PORTS))
+    sub = F.coalesce(get("subdomains.total_found", "int"), F.size(items("subdomains.subdomains")), F.lit(0))
+    none = F.lit(None).cast("string")
+    rules = (
+        ("isolate", F.col("level") == "CRITICAL", none), ("patch", F.size(vulns) > 0, F.array_join(F.slice(vulns, 1, 5), ", ")),
+        ("close_ports", F.size(ports) > 0, F.array_join(ports.cast("array<string>"), ", ")), ("reset_passwords", flag("breach.credentials_leaked"), none),
+        ("block_disposable", flag("email.disposable"), none), ("audit_subdomains", sub > 50, none), ("watch_traffic", flag("reputation.is_tor_exit") | flag("ip_geo.is_proxy"), none),
+    )
+    row = lambda k, about: F.struct(F.lit(k).alias("advice"), F.lit(ADVICE[k]).alias("text"), about.alias("about"))
+    some = F.array_compact(F.array(*(F.when(c, row(k, about)) for k, c, about in rules)))
+    given = payloads.join(scored, "investigation_id").select("investigation_id", F.explode(F.array(some)).alias("all"))
+    every = F.when(F.size("all") == 0, F.array(row("none", none))).otherwise(F.col("all"))
+    return given.select("investigation_id", F.posexplode(every).alias("place", "r")).select("investigation_id", "place", "r.*")
+
+
 def threat_levels(evidence: DataFrame) -> DataFrame:
     """The other scale: ``(investigation_id, points, level)`` from one row a plugin with ``success`` and ``data``."""
     at = lambda p, c: F.when((F.col("plugin_name") == p) & F.col("success"), c).otherwise(0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigrid.operators import correlate, events, rules
 from evigrid.queries.registry import query
 from evigrid.session import table
-from evigrid.sources.canonical import EV, halves
+from evigrid.sources.canonical import EV, SPLIT, evidence, halves
 
 _W = "w(type, tier, wt) AS (VALUES ('email', 1, 0.90::DOUBLE), ('username', 2, 0.55), ('domain', 2, 0.45), ('display_name', 3, 0.20), ('language', 3, 0.10))"
 _SCORE = f"""WITH {EV}, {_W}, d AS (SELECT user_id AS draft, type, k, event_id % 7 AS evid FROM ev WHERE ts < TIMESTAMP '2024-01-16'), g AS (SELECT DISTINCT user_id
@@ -57,6 +57,24 @@ def correlate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decided(_pairs(spark, sf_dir)).select("draft", "known", "rule_id", "kind", "score")
 
 
+_RARE = "k * 1000 + user_id % 50 * 10 + event_id % 3"
+
+
+@query(f"""WITH {EV}, {_W}, d AS (SELECT user_id AS draft, type, {_RARE} AS v, event_id % 7 AS evid FROM ev WHERE ts < TIMESTAMP '2024-01-16' AND type = 'email'),
+g AS (SELECT DISTINCT user_id AS known, type, {_RARE} AS v FROM ev WHERE ts >= TIMESTAMP '2024-01-16'), m AS (SELECT DISTINCT draft FROM d JOIN g USING (type, v) WHERE draft <> known)
+SELECT draft, count(DISTINCT evid) AS n_evidence, 'no_overlap_promotion' AS rule_id, 'promote' AS kind FROM d WHERE draft NOT IN (SELECT draft FROM m) GROUP BY draft""")
+def promotion_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities whose e-mail addresses (of many digits, so that few are shared) no known identity has."""
+    value = F.expr(f"CAST({_RARE} AS STRING)")
+    ev = evidence(spark, sf_dir).select(F.col("user_id").alias("identity"), "type", value.alias("value"), (F.col("event_id") % 7).alias("evidence_id"), "ts")
+    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    draft, known = ev.where((F.col("ts") < cut) & (F.col("type") == "email")), ev.where(F.col("ts") >= cut)
+    found = correlate.scores(correlate.matches(draft, known, correlate.signals(spark)))
+    pairs = found.withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches"), "on_watchlist": F.lit(False)})
+    fired = rules.proposals(rules.with_unmatched(pairs, draft), ("no_overlap_promotion",))
+    return fired.select("draft", "n_evidence", "rule_id", "kind")
+
+
 @query(_SCORE + " SELECT known, count(*) AS n_drafts, max(score) AS best, arg_max(draft, score * 1e9 - draft) AS best_draft FROM s GROUP BY known")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best draft of each known identity."""

@@ -55,20 +55,35 @@ def stix_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "SELECT c_nationkey AS investigation_id, count(*) AS n_attributes, count(*) FILTER (c_custkey % 100 >= 80) AS n_to_ids, count(*) FILTER (c_custkey % 2 = 0)"
-    " AS n_email FROM customer GROUP BY c_nationkey"
-)
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS i, 0 AS p, 'text' AS t, 'nation-' || c_nationkey AS v, false AS s FROM customer
+  UNION ALL SELECT c_nationkey, 1, CASE WHEN c_custkey % 2 = 0 THEN 'email-src' ELSE 'ip-src' END, CASE WHEN c_custkey % 2 = 0 THEN 'u' || c_custkey || '@x.org' ELSE '10.0.0.' || c_custkey END, c_custkey % 100 >= 80 FROM customer
+  UNION ALL SELECT s_nationkey, 2, 'text', '[supplier] ' || substr(s_name || repeat('.', 300), 1, 280), false FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer)),
+l AS (SELECT s_nationkey AS i, CASE WHEN count(*) > 5 THEN 'CRITICAL' WHEN count(*) > 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM supplier GROUP BY s_nationkey)
+SELECT i AS investigation_id, string_agg(t || '=' || v || CASE WHEN s THEN '!' ELSE '' END, chr(10) ORDER BY p, t, v) AS attributes, CASE WHEN any_value(level) = 'CRITICAL' THEN '1' ELSE '3' END AS threat_level,
+  'type:OSINT,tlp:amber' || coalesce(',threat-level:' || lower(any_value(level)), '') AS tags FROM a LEFT JOIN l USING (i) GROUP BY i""")
 def misp_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2."""
-    t = scoring.techniques(_payloads(spark, sf_dir))
-    m = exports.misp(_entities(spark, sf_dir), t, "2024-02-01")
-    a = F.from_json("event", "struct<Event:struct<Attribute:array<struct<type:string,to_ids:boolean>>>>")["Event"]["Attribute"]
-    return m.select(
-        "investigation_id", F.size(a).cast("long").alias("n_attributes"),
-        F.size(F.filter(a, lambda x: x["to_ids"])).cast("long").alias("n_to_ids"),
-        F.size(F.filter(a, lambda x: x["type"] == "email-src")).cast("long").alias("n_email"),
-    )
+    """K2: events with target, entities, results of sources and threat level, read back from their JSON."""
+    given = _entities(spark, sf_dir).selectExpr("*", "'company' AS target_type", "'regex' AS source", "CAST(NULL AS STRING) AS context")
+    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "investigation_id")
+    results = s.selectExpr("investigation_id", "'supplier' AS plugin_name", "concat(s_name, repeat('.', 300)) AS data")
+    n = F.count("*")
+    levels = s.groupBy("investigation_id").agg(F.when(n > 5, "CRITICAL").when(n > 1, "MEDIUM").otherwise("LOW").alias("level"))
+    none = scoring.techniques(_payloads(spark, sf_dir)).where("false").withColumn("investigation_id", F.col("investigation_id").cast("int"))
+    m = exports.misp(given, none, "2024-02-01", results, levels)
+    e = F.from_json("event", "struct<Event:struct<threat_level_id:string,Attribute:array<struct<type:string,value:string,to_ids:boolean>>,Tag:array<struct<name:string>>>>")["Event"]
+    line = F.transform(e["Attribute"], lambda x: F.concat(x["type"], F.lit("="), x["value"], F.when(x["to_ids"], "!").otherwise("")))
+    return m.select("investigation_id", F.array_join(line, "\n").alias("attributes"), e["threat_level_id"].alias("threat_level"), F.array_join(e["Tag"]["name"], ",").alias("tags"))
+
+
+@query(_P + _T + " SELECT user_id AS investigation_id, string_agg(DISTINCT technique_id, ',' ORDER BY technique_id) AS techniques FROM t GROUP BY user_id")
+def misp_galaxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the techniques that tag an event, read back from it."""
+    p = _payloads(spark, sf_dir)
+    named = p.selectExpr("investigation_id", "concat('user-', investigation_id) AS target", "'user' AS target_type", "'user' AS type", "CAST(investigation_id AS STRING) AS value", "1 AS confidence", "'log' AS source", "'' AS context")
+    e = F.from_json("event", "struct<Event:struct<Tag:array<struct<name:string>>>>")["Event"]["Tag"]["name"]
+    found = F.filter(F.transform(e, lambda t: F.regexp_extract(t, '"(T[0-9.]+) - ', 1)), lambda t: t != "")
+    m = exports.misp(named, scoring.techniques(p), "2024-02-01").select("investigation_id", F.array_join(F.array_sort(found), ",").alias("techniques"))
+    return m.where("techniques <> ''")
 
 
 @query(_P + _T + f" SELECT {len(scoring.TECHNIQUES)}::BIGINT AS n, (count(DISTINCT technique_id) * 100)::BIGINT AS score FROM t")

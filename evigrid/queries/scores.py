@@ -54,6 +54,19 @@ def threat_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.threat_scores(_payloads(spark, sf_dir)).drop("categories")
 
 
+@query(_P + """, v AS (SELECT user_id, coalesce(vulns, []) AS vulns FROM p), s AS (SELECT q.*, vulns, least(100, least(n_t, 3) * 8 + CASE WHEN tor THEN 15 ELSE 0 END + least(n_v, 3) * 10 + risky * 5 + CASE WHEN leaked THEN 20 ELSE 0 END
+  + CASE WHEN disposable THEN 6 ELSE 0 END + CASE WHEN proxy THEN 10 ELSE 0 END + CASE WHEN subs > 50 THEN 8 ELSE 0 END) AS score FROM q JOIN v USING (user_id)),
+r AS (SELECT user_id, list_filter([CASE WHEN score >= 75 THEN ('isolate', '') END, CASE WHEN n_v > 0 THEN ('patch', array_to_string(list_transform(vulns[1:5], lambda x: 'CVE-2024-' || x), ', ')) END,
+  CASE WHEN risky > 0 THEN ('close_ports', array_to_string(list_filter(ports, lambda x: x IN (22, 23)), ', ')) END, CASE WHEN leaked THEN ('reset_passwords', '') END, CASE WHEN disposable THEN ('block_disposable', '') END,
+  CASE WHEN subs > 50 THEN ('audit_subdomains', '') END, CASE WHEN tor OR proxy THEN ('watch_traffic', '') END], lambda x: x IS NOT NULL) AS l FROM s),
+e AS (SELECT user_id, CASE WHEN len(l) = 0 THEN [('none', '')] ELSE l END AS l FROM r)
+SELECT user_id AS investigation_id, (i - 1)::INT AS place, l[i][1] AS advice, l[i][2] AS about FROM (SELECT user_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)""")
+def threat_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do about each score."""
+    found = scoring.recommendations(_payloads(spark, sf_dir))
+    return found.select("investigation_id", "place", "advice", F.coalesce("about", F.lit("")).alias("about"))
+
+
 @query(_P + """, s AS (SELECT user_id, (least(n_t, 3) + CASE WHEN tor THEN 2 ELSE 0 END + least(n_v, 3) + CASE WHEN leaked THEN 2 ELSE 0 END + CASE WHEN proxy THEN 2
   ELSE 0 END + CASE WHEN disposable THEN 1 ELSE 0 END)::BIGINT AS points FROM q)
 SELECT user_id AS investigation_id, points, CASE WHEN points >= 5 THEN 'CRITICAL' WHEN points >= 3 THEN 'HIGH' WHEN points >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s""")

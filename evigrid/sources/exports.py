@@ -105,28 +105,51 @@ def stix(entities: DataFrame, now: str, evidence: DataFrame | None = None) -> Da
     )
 
 
-def misp(entities: DataFrame, techniques: DataFrame, date: str) -> DataFrame:
-    """``(investigation_id, event)`` with an attribute for each entity and a tag for each technique."""
-    attr = F.struct(
-        lookup({k: v[0] for k, v in MISP_TYPE.items()}, F.col("type"), "text").alias("type"),
-        lookup({k: v[1] for k, v in MISP_TYPE.items()}, F.col("type"), "Other").alias("category"), "value",
-        (F.col("confidence") >= 80).alias("to_ids"),
-    )
-    a = entities.groupBy("investigation_id", "target").agg(F.array_sort(F.collect_list(attr)).alias("Attribute"))
-    t = techniques.groupBy("investigation_id").agg(
-        F.array_sort(
-            F.collect_set(F.struct(F.concat(F.lit('misp-galaxy:mitre-attack-pattern="'), "name", F.lit(" - "), "technique_id", F.lit('"')).alias("name")))
-        ).alias("Tag")
-    )
-    event = F.to_json(
-        F.struct(
-            F.struct(
-                F.concat(F.lit("Investigation of "), "target").alias("info"), F.lit(date).alias("date"),
-                F.lit("2").alias("threat_level_id"), F.lit("1").alias("analysis"), "Attribute", "Tag",
-            ).alias("Event")
-        )
-    )
-    return a.join(t, "investigation_id", "left").select("investigation_id", event.alias("event"))
+# Tags of every event, and the colours of tags.
+MISP_TAGS, PLAIN, ALARM, NOTE = ("type:OSINT", "tlp:amber"), "#0088cc", "#FF0000", "#FFBF00"
+
+
+def misp(entities: DataFrame, techniques: DataFrame, date: str, results: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """``(investigation_id, event)``: attributes of the target, of each entity and of each source's result,
+    in this order; tags of the event, its threat level and each technique.
+
+    ``entities`` has ``investigation_id, target, target_type, type, value, confidence, source, context``;
+    ``results`` ``(investigation_id, plugin_name, data)``; ``levels`` ``(investigation_id, level)``. High and
+    critical threats are of level 1, all others of 3. An investigation without entities has no event.
+    """
+    kind = lambda c: lookup({k: v[0] for k, v in MISP_TYPE.items()}, c, "text")
+    area = lambda c: lookup({k: v[1] for k, v in MISP_TYPE.items()}, c, "Other")
+    own = F.when(F.col("target_type") == "ip", "ipv4").otherwise(F.col("target_type"))
+    said = F.concat(F.lit("Extracted by "), F.coalesce("source", F.lit("regex")), F.lit(" - "), F.substring(F.coalesce("context", F.lit("")), 1, 200))
+
+    def attribute(place: int, kind: Column, area: Column, value: Column, sure: Column, comment: Column) -> Column:
+        named = {"place": F.lit(place), "type": kind, "category": area, "value": value, "to_ids": sure, "comment": comment, "distribution": F.lit("0")}
+        return F.struct(*(c.alias(n) for n, c in named.items())).alias("a")
+
+    text, no = F.lit("text"), F.lit(False)
+    rows = entities.select("investigation_id", attribute(0, kind(own), area(own), F.col("target"), no, F.lit("Investigation target"))).distinct()
+    sure = F.coalesce(F.col("confidence"), F.lit(50)) >= 80
+    rows = rows.unionByName(entities.select("investigation_id", attribute(1, kind(F.col("type")), area(F.col("type")), F.col("value"), sure, said)))
+    if results is not None:
+        value = F.concat(F.lit("["), "plugin_name", F.lit("] "), F.substring("data", 1, 280))
+        found = results.where("plugin_name <> ''").select("investigation_id", attribute(2, text, F.lit("External analysis"), value, no, F.concat(F.lit("Plugin: "), "plugin_name")))
+        rows = rows.unionByName(found.join(entities.select("investigation_id").distinct(), "investigation_id", "left_semi"))
+    held = rows.groupBy("investigation_id").agg(F.array_sort(F.collect_list("a")).alias("a"), F.max(F.when(F.col("a.place") == 0, F.col("a.value"))).alias("target"))
+
+    tag = lambda name, colour: F.struct(name.alias("name"), colour.alias("colour"))
+    galaxy = F.concat(F.lit('misp-galaxy:mitre-attack-pattern="'), "technique_id", F.lit(" - "), "name", F.lit('"'))
+    found = techniques.groupBy("investigation_id").agg(F.array_sort(F.collect_set(tag(galaxy, F.lit(PLAIN)))).alias("galaxies"))
+    held = held.join(found, "investigation_id", "left")
+    held = held.join(levels.select("investigation_id", "level"), "investigation_id", "left") if levels is not None else held.withColumn("level", F.lit(None).cast("string"))
+    grave = F.coalesce(F.col("level").isin("HIGH", "CRITICAL"), no)
+    level = F.when(F.col("level").isNotNull(), tag(F.concat(F.lit("threat-level:"), F.lower("level")), F.when(grave, ALARM).otherwise(NOTE)))
+    tags = F.concat(F.array(*(tag(F.lit(t), F.lit(NOTE if "tlp" in t else PLAIN)) for t in MISP_TAGS)), F.array_compact(F.array(level)), F.coalesce("galaxies", F.array()))
+    fields = {
+        "info": F.concat(F.lit("Investigation of "), "target"), "date": F.lit(date), "threat_level_id": F.when(grave, "1").otherwise("3"), "analysis": F.lit("2"),
+        "distribution": F.lit("0"), "published": no, "Attribute": F.transform("a", lambda x: x.dropFields("place")), "Tag": tags,
+    }
+    event = F.to_json(F.struct(F.struct(*(c.alias(n) for n, c in fields.items())).alias("Event")))
+    return held.select("investigation_id", event.alias("event"))
 
 
 def navigator(found: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:
