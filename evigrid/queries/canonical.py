@@ -97,12 +97,12 @@ def provenance_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT DISTINCT o_custkey AS investigation_id, o_orderkey AS evidence_id, l_suppkey AS entity_id, o_orderdate AS collected_at FROM orders"
-    " JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'F'"
+    " JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey"
 )
 def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, its observations and their entities, once each."""
     o, li, s = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "supplier"))
-    joined = o.where("o_orderstatus = 'F'").join(li, o.o_orderkey == li.l_orderkey).join(s, li.l_suppkey == s.s_suppkey)
+    joined = o.join(li, o.o_orderkey == li.l_orderkey).join(s, li.l_suppkey == s.s_suppkey)
     return joined.selectExpr("o_custkey AS investigation_id", "o_orderkey AS evidence_id", "l_suppkey AS entity_id", "o_orderdate AS collected_at").distinct()
 
 

@@ -209,10 +209,10 @@ def tagged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.tagged(links, tags, "case")
 
 
-@query("SELECT c_custkey AS monitor_id, o_orderkey AS evidence_id FROM customer JOIN orders ON o_custkey = (c_custkey * 7) % 100 WHERE c_custkey % 3 > 0")
+@query("SELECT c_custkey AS monitor_id, o_orderkey AS evidence_id FROM customer JOIN orders ON o_custkey = c_custkey + 1 WHERE c_custkey % 3 > 0")
 def previous_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of the last run of each monitor."""
-    m = table(spark, sf_dir, "customer").selectExpr("c_custkey AS monitor_id", "IF(c_custkey % 3 > 0, (c_custkey * 7) % 100, NULL) AS last_investigation_id")
+    m = table(spark, sf_dir, "customer").selectExpr("c_custkey AS monitor_id", "IF(c_custkey % 3 > 0, c_custkey + 1, NULL) AS last_investigation_id")
     ev = table(spark, sf_dir, "orders").selectExpr("o_custkey AS investigation_id", "o_orderkey AS evidence_id")
     return reads.previous_evidence(m, ev).select("monitor_id", "evidence_id")
 

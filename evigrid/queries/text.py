@@ -31,12 +31,12 @@ def extract_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT type, count(*) AS n_entities, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM (" + " UNION ALL ".join(
-        map(_sql_extract, ("email", "ipv4", "url", "md5", "sha1", "sha256"))
+        map(_sql_extract, _KINDS)
     ) + ") GROUP BY type"
 )
 def extract_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-wins entities per document, counted by type."""
-    found = extract.entities(table(spark, sf_dir, "documents"), "text", ["doc_id"], ("email", "ipv4", "url", "md5", "sha1", "sha256"), context=False)
+    found = extract.entities(table(spark, sf_dir, "documents"), "text", ["doc_id"], _KINDS, context=False)
     return found.groupBy("type").agg(F.count("*").alias("n_entities"), F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("n_docs"))
 
 
