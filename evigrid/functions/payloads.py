@@ -48,7 +48,7 @@ def bgp(peers: Column, upstreams: Column, exchanges: Column, asn_abuse: Column,
     )
 
 
-#: Record types that are asked for.
+#: Record types that are asked for (fixed values).
 RECORD_TYPES = ("A", "AAAA", "MX", "NS", "TXT", "CNAME")
 
 
@@ -505,3 +505,33 @@ def net_values(address: Column, txs: Column, most: int = 5) -> Column:
         x: s + x["value"].cast("long"),
     )
     return F.transform(F.slice(_array(txs), 1, most), lambda t: of(t["outs"]) - of(t["ins"]))
+
+
+# --- flights
+
+#: Place of each field in a state vector (fixed values).
+STATE_FIELDS = {"icao24": 0, "callsign": 1, "origin_country": 2, "last_contact": 4, "longitude": 5, "latitude": 6, "baro_altitude": 7, "on_ground": 8, "velocity": 9, "geo_altitude": 13}
+
+
+def callsign(target: Column) -> Column:
+    """The call sign that a target names, with or without a prefix; null if it is none."""
+    code = F.regexp_replace(F.upper(F.replace(F.trim(target), F.lit(" "), F.lit(""))), "^(FLIGHT|CALLSIGN):", "")
+    return F.when(code.rlike(r"^[A-Z]{2}\d{1,5}$"), code)
+
+
+def flight_states(targets: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """``(key, callsign, icao24, origin_country, longitude, latitude, altitude, velocity, on_ground, last_seen)``
+    of the targets that fly: the first state vector with the call sign.
+
+    ``targets`` has the key and ``target``; ``states`` ``(pos, vector array<string>)``. Altitude is the
+    barometric one, or else the geometric one. Vectors are reduced to one a call sign before the join.
+    """
+    at = lambda name, kind="string": F.get("v", F.lit(STATE_FIELDS[name])).try_cast(kind)
+    named = states.select("pos", F.col("vector").alias("v"), F.upper(F.trim(F.get("vector", F.lit(1)))).alias("callsign")).where("callsign <> ''")
+    first = named.groupBy("callsign").agg(F.min_by("v", "pos").alias("v"))
+    found = targets.select(key, callsign(F.col("target")).alias("callsign")).join(first, "callsign")
+    return found.select(
+        key, "callsign", at("icao24").alias("icao24"), at("origin_country").alias("origin_country"), at("longitude", "double").alias("longitude"), at("latitude", "double").alias("latitude"),
+        F.coalesce(at("baro_altitude", "double"), at("geo_altitude", "double")).alias("altitude"), at("velocity", "double").alias("velocity"),
+        F.coalesce(at("on_ground", "boolean"), F.lit(False)).alias("on_ground"), at("last_contact", "long").alias("last_seen"),
+    )

@@ -429,3 +429,23 @@ def hardware_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", oui.alias("oui"), local.alias("local"), multicast.alias("multicast"),
         payloads.phone_risks(kind, F.col("k") % 4 != 2).alias("phone_flags"),
     )
+
+
+@query(f"""WITH {EV}, st AS (SELECT event_id AS pos, 'CA' || k AS cs, user_id::VARCHAR AS icao, event_type AS country, floor(epoch(ts))::BIGINT AS seen, k * 1.5 AS lon, k * 0.5 AS lat, CASE WHEN event_id % 3 > 0 THEN value END AS baro,
+  event_id % 4 = 0 AS ground, value / 2 AS speed, value + 1 AS geo FROM ev),
+f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY cs ORDER BY pos) = 1),
+t AS (SELECT c_custkey, 'CA' || c_custkey % 150 AS cs FROM customer WHERE c_custkey % 4 < 3)
+SELECT c_custkey, cs AS callsign, icao AS icao24, country AS origin_country, lon::DOUBLE AS longitude, lat::DOUBLE AS latitude, round(coalesce(baro, geo), 6) AS altitude, round(speed, 6) AS velocity, ground AS on_ground, seen AS last_seen FROM t JOIN f USING (cs)""")
+def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: customers as flights, events as state vectors."""
+    text = lambda c: c.cast("string")
+    none = F.lit(None).cast("string")
+    v, k = F.col("value"), F.col("k")
+    vector = F.array(
+        text(F.col("user_id")), F.concat(F.lit(" ca"), k, F.lit(" ")), F.col("event_type"), none, text(F.col("ts").cast("timestamp").cast("long")), text(k * 1.5), text(k * 0.5),
+        text(F.when(F.col("event_id") % 3 > 0, v)), text(F.col("event_id") % 4 == 0), text(v / 2), none, none, none, text(v + 1),
+    )
+    states = evidence(spark, sf_dir).select(F.col("event_id").alias("pos"), vector.alias("vector"))
+    target = F.expr("concat(element_at(array('flight: ca', ' CALLSIGN:Ca', 'ca ', 'boat'), CAST(c_custkey % 4 + 1 AS INT)), c_custkey % 150)")
+    found = payloads.flight_states(table(spark, sf_dir, "customer").select("c_custkey", target.alias("target")), states, "c_custkey")
+    return found.withColumns({c: F.round(c, 6) for c in ("altitude", "velocity")})
