@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.operators import scoring
 from evigrid.queries.registry import query
 from evigrid.queries.scores import _P, _T, _payloads
 from evigrid.session import table
-from evigrid.sources import exports
+from evigrid.sources import exports, images
 
 NOW = "2024-02-01T00:00:00Z"
 
@@ -180,3 +180,37 @@ def webhook_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K10."""
     c = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr("o_custkey AS monitor_id", "concat('order ', o_orderkey) AS change")
     return exports.alerts(c).select("monitor_id", F.get_json_object("payload", "$.change_count").cast("long").alias("change_count"))
+
+
+def _photographs(df: DataFrame, n: str, little: Column) -> DataFrame:
+    """JPEG bytes with a camera and a place for each row, in either byte order."""
+
+    def num(value: Column | int, size: int, turn: bool = True) -> Column:
+        big = F.lpad(F.hex(value if isinstance(value, Column) else F.lit(value)), 2 * size, "0")
+        return F.when(little & F.lit(turn), F.array_join(F.reverse(F.regexp_extract_all(big, F.lit(".."), 0)), "")).otherwise(big)
+
+    def entry(tag: int, kind: int, count: int, value: Column) -> Column:
+        return F.concat(num(tag, 2), num(kind, 2), num(count, 4), value)
+
+    k = F.col(n)
+    text = lambda c, size: F.rpad(F.hex(F.encode(c, "UTF-8")), 2 * size, "0")
+    angle = lambda deg, minute, sec: F.concat(num(deg, 4), num(1, 4), num(minute, 4), num(1, 4), num(sec, 4), num(100, 4))
+    tiff = F.concat(
+        F.when(little, "4949").otherwise("4D4D"), num(42, 2), num(8, 4),
+        num(2, 2), entry(0x0110, 2, 20, num(38, 4)), entry(0x8825, 4, 1, num(58, 4)), num(0, 4), text(F.concat(F.lit("Cam "), k), 20),
+        num(4, 2), entry(1, 2, 2, text(F.when(k % 2 == 0, "N").otherwise("S"), 4)), entry(2, 5, 3, num(112, 4)),
+        entry(3, 2, 2, text(F.when(k % 3 == 0, "E").otherwise("W"), 4)), entry(4, 5, 3, num(136, 4)), num(0, 4),
+        angle(k % 90, k % 60, k * 7 % 6000), angle(k * 3 % 180, k * 5 % 60, k * 11 % 6000),
+    )
+    frame = F.concat(F.lit("FFC0001108"), num(k % 4000 + 1, 2, False), num(k % 3000 + 1, 2, False), F.lit("03" + "00" * 9))
+    return df.select(n, F.unhex(F.concat(F.lit("FFD8FFE100A8457869660000"), tiff, frame, F.lit("FFD9"))).alias("content"))
+
+
+@query("""SELECT c_custkey, 'jpeg' AS format, (c_custkey % 3000 + 1)::INT AS width, (c_custkey % 4000 + 1)::INT AS height, 'Cam ' || c_custkey AS model,
+  round(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END * (c_custkey % 90 + c_custkey % 60 / 60 + c_custkey * 7 % 6000 / 360000), 6) AS latitude,
+  round(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE -1 END * (c_custkey * 3 % 180 + c_custkey * 5 % 60 / 60 + c_custkey * 11 % 6000 / 360000), 6) AS longitude FROM customer""")
+def image_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera, size and place read from images that are packed from customers, in both byte orders."""
+    made = _photographs(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", F.col("c_custkey") % 5 < 2)
+    found = images.metadata(made, "c_custkey")
+    return found.select("c_custkey", "format", "width", "height", "model", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
