@@ -81,6 +81,7 @@ def whois(registrars: Column, created: Column, expires: Column, servers: Column,
 
 
 #: Field of an address lookup -> column here.
+# Fixed values.
 IP_FIELDS = {
     "query": "ip", "country": "country", "countryCode": "country_code", "regionName": "region", "city": "city", "lat": "latitude", "lon": "longitude", "timezone": "timezone", "isp": "isp",
     "org": "org", "as": "asn", "asname": "asn_name", "reverse": "reverse_dns", "mobile": "is_mobile", "proxy": "is_proxy", "hosting": "is_hosting", "continent": "continent",
@@ -120,6 +121,7 @@ def onion(host: Column, status: Column, answers: Column) -> Column:
 # --- pages
 
 #: Technology -> what of it stands in the lower-cased page.
+# Fixed values.
 PAGE_MARKS = {
     "WordPress": "wp-content",
     "Drupal": "drupal.settings",

@@ -7,6 +7,7 @@ import graphlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ports that count as risky.
 RISKY_PORTS = (21, 22, 23, 25, 445, 1433, 3306, 3389, 5432, 5900, 6379, 9200, 27017)
 
 

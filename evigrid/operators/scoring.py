@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Ports that count as risky.
 RISKY_PORTS = (22, 23, 445, 3389, 5900, 6379, 27017, 9200)
 INTEL = ("threatfox", "otx", "malwarebazaar", "urlscan", "virustotal", "opensanctions", "greynoise")
 
