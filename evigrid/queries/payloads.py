@@ -386,7 +386,8 @@ def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(io(you, F.lit(1))).alias("ins"), F.array(io(me, k % 40)).alias("outs")),
     )
     address = F.expr("CASE k % 3 WHEN 0 THEN concat('0x', k) WHEN 1 THEN concat('bc1', k) ELSE 'x' END")
-    wei = F.concat(F.lit("0x"), F.hex(k * F.lit(100_000_000_000_000)))
+    # 10^14 k in hexadecimal: 4 * 5^14 k, a number of 64 bits, and three digits more.
+    wei = F.concat(F.lit("0x"), F.hex(k * F.lit(4 * 5**14)), F.lit("000"))
     totals = payloads.address_totals(stats(1000 * k, 400 * k, k % 9 + 1), stats(F.lit(7), F.lit(None), F.lit(None)))
     df = _customers(spark, sf_dir).select(
         "c_custkey", totals.alias("f"), payloads.net_values(me, txs).alias("net_values"),

@@ -74,3 +74,13 @@ def test_plugin_kernels(spark):
     r = one(spark, "2024-01-20", lambda c: plugins.tls(c.cast("date"), F.lit("2024-01-01").cast("date")))
     assert (r.days_remaining, r.expired, r.expires_soon) == (19, False, True)
     assert plugins.levels({"dns": set(), "bgp": {"dns"}, "geo": {"bgp", "dns"}}) == {"dns": 0, "bgp": 1, "geo": 2}
+
+
+@pytest.mark.parametrize("wei", [0, 7, 10**18, 900_000 * 10**14, 2**64 + 5, 123456789 * 10**24, 2**256 - 1])
+def test_wei_of_256_bits(spark, wei):
+    assert one(spark, hex(wei), kernels.wei_to_eth) == pytest.approx(wei / 1e18, rel=1e-15)
+
+
+@pytest.mark.parametrize("text", [None, "", "0x", "0xg", "0x" + 65 * "1"])
+def test_wei_of_no_number(spark, text):
+    assert one(spark, text, kernels.wei_to_eth) is None
