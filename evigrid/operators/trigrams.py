@@ -12,6 +12,19 @@ from evigrid.plans.lineage import written
 PROBES = 6
 
 
+def lower_each(text: Column) -> Column:
+    """Lower case character by character: as many characters as before, whatever their neighbours.
+
+    Whole-text rules make two characters of a dotted capital I and tell the sigma that ends a word.
+    """
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case character by character; what has no capital of one character (ß gives SS) stays."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def grams(text: Column, sizes: tuple[int, ...] = (3,)) -> Column:
     """Distinct grams of these sizes of a text in lower case, by characters."""
 
@@ -22,7 +35,7 @@ def grams(text: Column, sizes: tuple[int, ...] = (3,)) -> Column:
     def of(c: Column) -> Column:
         return F.array_distinct(F.concat(*(of_size(c, k) for k in sizes)))
 
-    return let(F.split(F.lower(text), ""), of)
+    return let(F.split(lower_each(text), ""), of)
 
 
 def index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,7 +50,7 @@ def candidates(postings: DataFrame, terms: DataFrame) -> DataFrame:
     Only the rarest ``PROBES`` grams of a term are intersected, so that the postings read follow the
     rare ones; a gram that no text has ends its term. Counting is a partial aggregate.
     """
-    own = F.when(F.length("term") >= 3, grams(F.col("term"))).otherwise(F.array(F.lower("term")))
+    own = F.when(F.length("term") >= 3, grams(F.col("term"))).otherwise(F.array(lower_each(F.col("term"))))
     asked = terms.select("term_id", F.explode(own).alias("gram"))
     known = asked.select("gram").distinct()
     often = postings.join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
@@ -54,6 +67,6 @@ def search(texts: DataFrame, id_col: str, text_col: str, postings: DataFrame, te
 
     What the index finds is verified on the text. Null texts and terms, and empty terms, match nothing.
     """
-    one = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
-    given = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
+    one = texts.select(F.col(id_col).alias("id"), lower_each(F.col(text_col)).alias("text"))
+    given = terms.select("term_id", lower_each(F.col("term")).alias("term")).where("term <> ''")
     return candidates(postings, given).join(given, "term_id").join(one, "id").where(F.contains("text", F.col("term"))).select("term_id", "id")

@@ -37,3 +37,12 @@ def test_levels_of_random_graphs(spark, seed):
                 level[n], changed = 1 + max(level[b] for b in needs), True
     got = levels.levels(spark.createDataFrame(edges, "node long, needs long"), spark.createDataFrame([(777,), (None,)], "node long")).collect()
     assert {r.node: r.level for r in got} == {n: level.get(n) for n in nodes} and len(got) == len(nodes)
+
+
+def test_search_by_characters_of_either_case(spark):
+    """Case goes character by character: a capital of two characters or a last sigma hides no text."""
+    texts = [(1, "chver ßkeit de"), (2, "ΟΔΟΣ"), (3, "οδοσα"), (4, "İstanbul"), (5, "strasse")]
+    a, up = spark.createDataFrame(texts, "doc long, body string"), trigrams.upper_each(F.col("t"))
+    b = spark.createDataFrame([(1, "ver ßkei"), (2, "οδοσ"), (3, "istan"), (4, "ß")], "term_id long, t string").select("term_id", up.alias("term"))
+    got = trigrams.search(a, "doc", "body", trigrams.index(a, "doc", "body"), b)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (2, 3), (3, 4), (4, 1)]
