@@ -80,8 +80,12 @@ def merge_records(merges: DataFrame, links: DataFrame) -> DataFrame:
     return merges.join(own, "source_id", "left").select("decision_id", "source_id", "target_id", F.coalesce("moved", empty).alias("moved"))
 
 
-def audit_trail(items: DataFrame, log: DataFrame) -> DataFrame:
-    """Events of the decisions behind review items: ``(item_id, decision_id, place, event)`` in their order."""
+def audit_trail(items: DataFrame, log: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the decisions behind review items: ``(item_id, decision_id, place, event)`` in their order.
+
+    Events of one moment and number go by the columns ``ties`` of the log, then by name, so
+    that the places do not depend on how the log is dealt to tasks.
+    """
     joined = items.select("item_id", "decision_id").join(log, "decision_id")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy("at", "seq"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("at", "seq", *ties, "event"))
     return joined.select("item_id", "decision_id", place.alias("place"), "event")

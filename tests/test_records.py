@@ -175,3 +175,13 @@ def test_payload_kernels_on_missing_fields(spark):
     ).first()
     assert r.bgp.peer_count == 0 and not r.dnssec.enabled and r.lines.n == 0 and r.threats == [] and r.total == 0 and r.handle is None and r.refs == []
     assert r.engine.summary == "no analysis available" and (r.mail.score, r.mail.grade) == (10, "F") and r.risk.risk_level == "Low" and not r.disposable.disposable
+
+
+def test_audit_trail_of_one_moment(spark):
+    """Events that time and number leave open stand as in the log, however it is dealt."""
+    rows = [(d, 5, 1, "NARAN"[(d + i) % 5], i) for d in range(40) for i in range(5)]
+    items = spark.createDataFrame([(f"item{d}", d) for d in range(40)], "item_id string, decision_id long")
+    log = spark.createDataFrame(rows[::-1], "decision_id long, at long, seq long, event string, row long")
+    for parts in (1, 7):
+        got = {(r.decision_id, r.place): r.event for r in events.audit_trail(items, log.repartition(parts, "row"), ("row",)).collect()}
+        assert got == {(d, 1 + i): e for d, _, _, e, i in rows}
