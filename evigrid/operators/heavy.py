@@ -1,7 +1,12 @@
-"""Values that very many rows share: found by sketches, joined over grids of tasks."""
+"""Values that very many rows share: found by sketches, joined over grids of tasks, matched in cells of owners."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from evigrid.plans.lineage import partitions, written
 
 #: Rows of one side of a value that a task joins, at most about.
 CELL = 4096
+#: Matches of a cell of owners, about.
+MATCHES = 1 << 21
 
 
 def frequent(df: DataFrame, key: Column, most: int) -> DataFrame:
@@ -41,3 +48,80 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], cell: int = CE
         return placed.select(*df.columns, place.alias(f"_{own}"), copies.alias(f"_{other}"))
 
     return dealt(left, "lines", "columns").join(dealt(right, "columns", "lines"), [*keys, "_lines", "_columns"]).drop("_lines", "_columns")
+
+
+def _codes(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], pa.Array]:
+    """Numbers that tell the values of some columns apart, and the values by number."""
+    found = pa.chunked_array([c for col in columns for c in col.chunks], columns[0].type).combine_chunks().dictionary_encode("encode")
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    return np.split(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(c) for c in columns])[:-1]), found.dictionary
+
+
+def _matched(lk: np.ndarray, rk: np.ndarray, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows ``i`` and ``j`` that have one key, and the matches ``(x, y)``, in parts of about ``MATCHES``
+    that hold a pair of owners ``(a, b)`` whole: owners are halved until a part is small enough."""
+    by = j[np.argsort(rk[j], kind="stable")]
+    low = np.searchsorted(rk[by], lk[i])
+    many = np.searchsorted(rk[by], lk[i], "right") - low
+    size = int(many.sum())
+    if size + len(x) > 2 * MATCHES:
+        for of, s, t in sorted(((a, i, x), (b, j, y)), key=lambda v: -len(np.unique(v[0][np.concatenate(v[1:])]))):
+            own = np.unique(of[np.concatenate([s, t])])
+            if len(own) > 1:
+                mid = own[len(own) // 2]
+                for half in (lambda v: v < mid, lambda v: v >= mid):
+                    light = half(of[t])
+                    yield from _matched(lk, rk, a, b, i[half(of[i])] if of is a else i, j[half(of[j])] if of is b else j, x[light], y[light])
+                return
+    at = np.arange(size) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    yield np.concatenate([np.repeat(i, many), x]), np.concatenate([by[at], y])
+
+
+def in_cells(left: DataFrame, right: DataFrame, keys: list[str], own: str, other: str, kernel: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """What ``kernel`` makes of the matches on ``keys`` of every pair of owners ``(own, other)``.
+
+    Owners of both sides are dealt into blocks by hash, pairs of blocks are cells, and a cell is
+    one call, in a task: no match is shuffled. A row whose key is frequent is copied to the cells of its
+    block, which is less than its matches; matches of other keys are joined and sent to their
+    cell. The number of blocks keeps a cell at about ``MATCHES`` matches, larger ones are worked off in parts.
+
+    ``kernel(l, r, i, j, a, b, names)`` gets the rows ``l`` and ``r`` of a cell, its matches as row numbers
+    ``i`` and ``j``, and the owners of all rows as numbers, ``names`` by number; an owner of both sides has
+    one number (so both have one type). Null owners and keys match nothing.
+    """
+    l_cols, r_cols = ([c for c in df.columns if c not in keys] for df in (left, right))
+    whole = lambda df, c: written(df.where(F.col(c).isNotNull()), "side")
+    left, right = whole(left, own), whole(right, other)
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    shared = written(count(left, "_m").join(count(right, "_n"), keys), "shared")
+    pairs = F.col("_m").cast("double") * F.col("_n")
+    total = shared.agg(F.sum(pairs)).first()[0] or 0.0
+    side = math.ceil(math.sqrt(max(1, total / MATCHES, min(3 * partitions(left.sparkSession), total / (1 << 16)))))
+    many = pairs > (F.col("_m") + F.col("_n")) * side
+    side = max(side, math.ceil(math.sqrt((shared.where(~many).agg(F.sum(pairs)).first()[0] or 0.0) / MATCHES)))
+    marks = shared.select(*keys, many.alias("_many"))
+    l, r = left.join(marks, keys), right.join(marks, keys)  # noqa: E741
+    block, each = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    cell = (F.col("_line") * side + F.col("_column")).alias("_cell")
+    few = l.where("NOT _many").drop("_many").join(r.where("NOT _many").drop("_many"), keys).withColumns({"_line": block(own), "_column": block(other)})
+    lines = l.where("_many").select("*", block(own).alias("_line"), each.alias("_column"))
+    columns = r.where("_many").select("*", each.alias("_line"), block(other).alias("_column"))
+    none = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in r_cols]
+    a_side = lines.select(cell, *keys, *l_cols, *none, F.lit(False).alias("_few")).unionByName(few.select(cell, *keys, *l_cols, *r_cols, F.lit(True).alias("_few")))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        light = x.column("_few").to_numpy()
+        rows = pa.concat_tables([y.select(r_cols + keys), x.filter(pa.array(light)).select(r_cols + keys)])
+        lk, rk = np.zeros(x.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
+        for c in keys:
+            (p, q), values = _codes(x.column(c), rows.column(c))
+            _, both = np.unique(np.concatenate([lk * len(values) + p, rk * len(values) + q]), return_inverse=True)
+            lk, rk = both[: len(lk)], both[len(lk) :]
+        (a, b), names = _codes(x.column(own), rows.column(other))
+        parts = _matched(lk, rk, a, b, np.flatnonzero(~light), np.arange(y.num_rows), np.flatnonzero(light), np.arange(y.num_rows, rows.num_rows))
+        return pa.concat_tables([kernel(x, rows, i, j, a, b, names) for i, j in parts])
+
+    # Cells are small before they are matched: a given number of tasks is not coalesced by their size.
+    tasks = min(side * side, 4 * partitions(left.sparkSession))
+    a_side, b_side = (df.repartition(tasks, "_cell").groupBy("_cell") for df in (a_side, columns.select(cell, *keys, *r_cols)))
+    return a_side.cogroup(b_side).applyInArrow(run, schema)

@@ -22,7 +22,7 @@ s AS (SELECT draft, known, decisive_tier, n_matches, r2 > 0.75 OR r3 > 0.45 AS c
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft, known = halves(spark, sf_dir)
-    return correlate.scores(correlate.matches(draft, known, correlate.signals(spark)))
+    return correlate.pair_scores(draft, known, correlate.signals(spark))
 
 
 @query(_SCORE + " SELECT * FROM s")
@@ -39,8 +39,8 @@ _FIRED = """, p AS (SELECT *, 'high_confidence_auto_merge' AS rule_id, 'auto_mer
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft, known = halves(spark, sf_dir)
     watchlist = known.select("value").where("CAST(value AS INT) % 97 = 5").distinct()
-    found = correlate.matches(rules.marked(draft, watchlist), known, correlate.signals(spark))
-    return correlate.scores(found).withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches")})
+    found = correlate.pair_scores(rules.marked(draft, watchlist), known, correlate.signals(spark))
+    return found.withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches")})
 
 
 @query(_SCORE + _FIRED + " SELECT draft, known, rule_id, kind, priority, score FROM p")
@@ -69,7 +69,7 @@ def promotion_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = evidence(spark, sf_dir).select(F.col("user_id").alias("identity"), "type", value.alias("value"), (F.col("event_id") % 7).alias("evidence_id"), "ts")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
     draft, known = ev.where((F.col("ts") < cut) & (F.col("type") == "email")), ev.where(F.col("ts") >= cut)
-    found = correlate.scores(correlate.matches(draft, known, correlate.signals(spark)))
+    found = correlate.pair_scores(draft, known, correlate.signals(spark))
     pairs = found.withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches"), "on_watchlist": F.lit(False)})
     fired = rules.proposals(rules.with_unmatched(pairs, draft), ("no_overlap_promotion",))
     return fired.select("draft", "n_evidence", "rule_id", "kind")

@@ -86,3 +86,36 @@ def test_scores_do_not_depend_on_the_grid(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(heavy.grid_join, "__defaults__", (7,))
     assert run() == one and len(one) > 300
+
+
+@pytest.mark.parametrize("size", [heavy.MATCHES, 50])
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_pairs_of_cells_are_those_of_matches(spark, monkeypatch, size, kind):
+    """Values of very many and of few owners, in one cell's parts or many cells: the scores of all matches."""
+    monkeypatch.setattr(heavy, "MATCHES", size)
+    rnd = random.Random(5)
+    fields = f"identity {kind}, type string, value string, evidence_id string"
+    who = lambda: rnd.randrange(40) if kind == "long" else f"u{rnd.randrange(40)}"
+    value = lambda: rnd.choice(["Hot", "hot ", f"v{rnd.randrange(9)}", f"x{rnd.randrange(900)}", None])
+    some = lambda: [(None if k == 7 else who(), rnd.choice(["email", "domain", "City", "none"]), value(), rnd.choice(["1", "2", None])) for k in range(300)]
+    d, k = (spark.createDataFrame(some(), fields) for _ in range(2))
+    d, table = d.withColumn("listed", F.col("value") == "v3"), correlate.signals(spark)
+    d = d.withColumn("listed", F.coalesce("listed", F.lit(False)))
+    found = correlate.matches(d, k, table)
+    want = correlate.explained(correlate.scores(found), found).drop("matched", "evidence")
+    got = correlate.pair_scores(d, k, table, reasons=True)
+    plain = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*want.columns).collect()}
+    known_evidence = lambda df: df.where("draft IS NOT NULL")
+    assert plain(known_evidence(got).drop("reasoning").withColumn("reasoning", F.lit(0))) == plain(want.withColumn("reasoning", F.lit(0))) != set()
+    whole = d.where("evidence_id IS NOT NULL")
+    found = correlate.matches(whole, k, table)
+    assert plain(correlate.pair_scores(whole, k, table, reasons=True)) == plain(correlate.explained(correlate.scores(found), found).drop("matched", "evidence"))
+    none = correlate.pair_scores(d.where("identity IS NULL"), k, table)
+    assert none.count() == 0
+
+
+def test_an_identity_that_never_comes_first_is_not_looked_up(spark):
+    """Sets that hold a single entity of a lesser identity take no part, however many hold it."""
+    links = spark.createDataFrame([(1, "a"), *((i, e) for i in range(2, 300) for e in ("a", f"b{i}")), (400, "c"), (401, "c"), (0, "a"), (0, "d")], "identity_id long, entity_id string")
+    wanted = spark.createDataFrame([(5, "a"), (5, "b9"), (6, "c"), (7, "d"), (7, "a"), (8, "b9")], "candidate long, entity_id string")
+    assert {tuple(r) for r in identity.contained_in(links, wanted).collect()} == {(5, 1), (6, 400), (7, 0)}
