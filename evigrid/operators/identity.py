@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.operators.components import connected_components
 from evigrid.operators.correlate import noisy_or
-from evigrid.operators.heavy import frequent
+from evigrid.operators.heavy import frequent, in_cells
 from evigrid.plans.lineage import written
 
 # Tiers of entity types here (a domain is weak), and their weights.
@@ -91,16 +94,36 @@ def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shar
     It has to share ``overlap`` of its own entities or ``shared`` entities; ties go to the
     larger share and then the lesser id. Repeated rows count once.
 
-    Only entities that few have make pairs; hot ones are bits, counted by pair. Of the identities with
+    Only entities that few have make pairs, which are compared in cells of candidates and identities
+    (``heavy.in_cells``, so both have ids of one type); hot ones are bits, counted by pair. Of the identities with
     the same hot entities only the smallest, then least, can be the best for what shares hot
     entities alone, so one of each kind stands for all of them: an entity that everyone has
     makes as many pairs as there are kinds of candidates and identities.
     """
     links, wanted = _marked(links, wanted)
     both = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
-    few = wanted.where("NOT hot").withColumnRenamed("bits", "t").join(links.where("NOT hot"), "entity_id")
-    few = few.groupBy("candidate", "identity_id", "n", "t", "bits").agg(F.count("*").alias("m"))
-    close = few.select("candidate", "identity_id", "n", (F.col("m") + both("t", "bits")).alias("n_shared"))
+
+    def nearest(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, names: pa.Array) -> pa.Table:  # noqa: E741
+        """The best identity of each candidate among the matches of a cell."""
+        t, bits, n = (np.zeros(len(names), np.int64) for _ in range(3))
+        t[a], bits[b], n[b] = l.column("t").to_numpy(), r.column("bits").to_numpy(), r.column("n").to_numpy()
+        pair, m = np.unique(a[i] * len(names) + b[j], return_counts=True)
+        c, o = pair // max(1, len(names)), pair % max(1, len(names))
+        m = m + np.bitwise_count(t[c] & bits[o])
+        fits = (m / n[o] >= overlap) | (m >= shared)
+        c, o, m = c[fits], o[fits], m[fits]
+        place = np.zeros(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        by = np.lexsort((place[o], -(m / n[o]), -m, c))
+        by = by[np.append(True, c[by][1:] != c[by][:-1])[: len(by)]]
+        c, o, m = c[by], o[by], m[by]
+        return pa.table([names.take(pa.array(c)), names.take(pa.array(o)), pa.array(n[o]), pa.array(m.astype(np.int64))], names=["candidate", "identity_id", "n", "n_shared"])
+
+    kind = links.schema["identity_id"].dataType
+    asking = wanted.where("NOT hot").select(F.col("candidate").cast(kind).alias("candidate"), "entity_id", F.col("bits").alias("t"))
+    stored = links.where("NOT hot").select("identity_id", "entity_id", "n", "bits")
+    of = kind.simpleString()
+    close = in_cells(asking, stored, ["entity_id"], "candidate", "identity_id", nearest, f"candidate {of}, identity_id {of}, n long, n_shared long")
 
     kinds = links.where("hot").groupBy("entity_id", "bits").agg(F.min(F.struct("n", "identity_id")).alias("least"))
     asked = wanted.where("hot").select("entity_id", F.col("bits").alias("t")).distinct()
