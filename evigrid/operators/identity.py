@@ -134,21 +134,26 @@ def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shar
     owners = wanted.where("hot").select("candidate", F.col("bits").alias("t")).distinct()
     common = owners.join(by_kind, "t").select("candidate", "best.identity_id", "best.n", (-F.col("best.m")).alias("n_shared"))
 
-    found = close.where(fit).unionByName(common).groupBy("candidate").agg(rank)
+    found = close.unionByName(common).groupBy("candidate").agg(rank)
     return found.select("candidate", "best.identity_id", (-F.col("best.m")).cast("long").alias("n_shared"), (-F.col("best.s")).alias("share"))
 
 
 def contained_in(links: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored identities all of whose entities are in a candidate set: ``(candidate, identity_id)``, least id first.
 
-    A set can only be inside another that has its rarest entity, so identities are looked up by
-    that one alone (the prefix of a full overlap), and the few pairs are checked entity by entity.
-    Identities with hot entities only are compared by their bits, one for each kind. Repeated rows
-    count once.
+    An identity never comes first if one of its entities is all that an identity with a lesser id has:
+    a set that holds the former holds the latter, so it is left out.
+    A set can only be inside another that has its rarest entity (among candidates), so identities are
+    looked up by that one alone (the prefix of a full overlap), and the few pairs are checked entity by
+    entity. Identities with hot entities only are compared by their bits, one for each kind. Repeated
+    rows count once.
     """
     links, wanted = _marked(links, wanted)
-    often = links.groupBy("entity_id").agg(F.count("*").alias("often"))
-    cool = links.where("NOT hot").join(often, "entity_id").groupBy("identity_id", "n", "bits").agg(F.min_by("entity_id", F.struct("often", "entity_id")).alias("entity_id"))
+    single = links.where("n = 1").groupBy("entity_id").agg(F.min("identity_id").alias("single"))
+    first = links.join(single, "entity_id", "left").groupBy("identity_id").agg(F.min("single").alias("single")).where("single IS NULL OR single >= identity_id")
+    links = written(links.join(first.select("identity_id"), "identity_id"), "first")
+    often = wanted.groupBy("entity_id").agg(F.count("*").alias("often"))
+    cool = links.where("NOT hot").join(often, "entity_id", "left").na.fill(0, ["often"]).groupBy("identity_id", "n", "bits").agg(F.min_by("entity_id", F.struct("often", "entity_id")).alias("entity_id"))
     tried = wanted.where("NOT hot").withColumnRenamed("bits", "t").join(cool, "entity_id")
     tried = tried.where(F.col("bits").bitwiseAND(F.col("t")) == F.col("bits")).select("candidate", "identity_id", "n", "bits")
     rest = tried.join(links.where("NOT hot").select("identity_id", "entity_id"), "identity_id")
