@@ -46,3 +46,17 @@ def test_search_by_characters_of_either_case(spark):
     b = spark.createDataFrame([(1, "ver ßkei"), (2, "οδοσ"), (3, "istan"), (4, "ß")], "term_id long, t string").select("term_id", up.alias("term"))
     got = trigrams.search(a, "doc", "body", trigrams.index(a, "doc", "body"), b)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (2, 3), (3, 4), (4, 1)]
+
+
+def test_levels_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, written = [], levels.written
+
+    def kept(df, name):
+        out = written(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(levels, "written", kept)
+    edges = spark.createDataFrame([(i, i // 3) for i in range(3, 200)], "node long, needs long")
+    assert levels.levels(edges).where("level IS NULL").count() == 0
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
