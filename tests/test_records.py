@@ -185,3 +185,13 @@ def test_audit_trail_of_one_moment(spark):
     for parts in (1, 7):
         got = {(r.decision_id, r.place): r.event for r in events.audit_trail(items, log.repartition(parts, "row"), ("row",)).collect()}
         assert got == {(d, 1 + i): e for d, _, _, e, i in rows}
+
+
+def test_ends_of_routes_are_not_shuffled(spark):
+    """The routes' ends without a copy of a target for each source."""
+    t = spark.range(60).selectExpr("id", "element_at(array('domain', 'url', 'none', 'vat'), CAST(id % 4 + 1 AS INT)) AS target_type")
+    got = routing.route_ends(t)
+    each = routing.routed(t).groupBy("id", "target_type").agg(F.count("*").alias("n_plugins"), F.min_by("plugin", "place").alias("first"), F.max_by("plugin", "place").alias("last"))
+    cols = ["id", "target_type", "n_plugins", "first", "last"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, each.select(cols).collect())) != []
+    assert "hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
