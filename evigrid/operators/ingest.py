@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.functions.normalize import normalize
+from evigrid.plans.lineage import partitions
 
 # The vocabularies of entity and relationship types.
 ENTITY_TYPES = (
@@ -274,3 +277,19 @@ def submitted(targets: DataFrame, column: str = "target") -> DataFrame:
     rows = targets.select(F.trim(F.col(column)).alias("target")).where("target <> ''")
     kind = classify(F.col("target"))
     return rows.select("target", kind.alias("target_type")).withColumn("outcome", F.when(F.col("target_type") == "unknown", "skipped").otherwise("created"))
+
+
+#: Observations that a task of ``evidence_chain`` holds, about.
+OBSERVED = 1 << 20
+
+
+def evidence_chain(evidence: DataFrame, observed: DataFrame, entities: DataFrame) -> DataFrame:
+    """The columns of ``evidence`` with ``entity_id`` of what was observed, once each, of known ``entities``.
+
+    Both sides are distinct before they meet, so their join is: it needs no table of all its rows. The number
+    of tasks follows the observations (``OBSERVED`` a task), so that a task holds no more of a larger table.
+    """
+    tasks = max(partitions(evidence.sparkSession), math.ceil(observed.count() / OBSERVED))
+    once = lambda df: df.repartition(tasks, "evidence_id").distinct()
+    known = observed.select("evidence_id", "entity_id").join(entities.select("entity_id"), "entity_id", "left_semi")
+    return once(evidence).join(once(known.select("evidence_id", "entity_id")), "evidence_id")

@@ -102,8 +102,10 @@ def provenance_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, its observations and their entities, once each."""
     o, li, s = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "supplier"))
-    joined = o.join(li, o.o_orderkey == li.l_orderkey).join(s, li.l_suppkey == s.s_suppkey)
-    return joined.selectExpr("o_custkey AS investigation_id", "o_orderkey AS evidence_id", "l_suppkey AS entity_id", "o_orderdate AS collected_at").distinct()
+    return ingest.evidence_chain(
+        o.selectExpr("o_custkey AS investigation_id", "o_orderkey AS evidence_id", "o_orderdate AS collected_at"),
+        li.selectExpr("l_orderkey AS evidence_id", "l_suppkey AS entity_id"), s.selectExpr("s_suppkey AS entity_id"),
+    ).select("investigation_id", "evidence_id", "entity_id", "collected_at")
 
 
 @query(

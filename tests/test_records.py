@@ -195,3 +195,15 @@ def test_ends_of_routes_are_not_shuffled(spark):
     cols = ["id", "target_type", "n_plugins", "first", "last"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, each.select(cols).collect())) != []
     assert "hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_chain_deals_tasks_by_its_rows(spark, monkeypatch):
+    """Repeated and unknown rows on all sides; more observations take more tasks, not larger ones."""
+    monkeypatch.setattr(ingest, "OBSERVED", 100)
+    e = spark.createDataFrame([(i % 7, i % 50, "x") for i in range(90)] + [(1, None, "x")], "investigation_id long, evidence_id long, at string")
+    o = spark.createDataFrame([(i % 60, i % 11) for i in range(1000)] + [(None, 1), (1, None)], "evidence_id long, entity_id long")
+    got = ingest.evidence_chain(e, o, spark.createDataFrame([(k,) for k in (1, 2, 2, 3, None)], "entity_id long"))
+    want = {(i % 7, i % 50, k % 11) for i in range(90) for k in range(1000) if k % 60 == i % 50 and k % 11 in (1, 2, 3)}
+    rows = [(r.investigation_id, r.evidence_id, r.entity_id) for r in got.collect()]
+    assert sorted(rows) == sorted(want)
+    assert "hashpartitioning(evidence_id" in got._jdf.queryExecution().executedPlan().toString() and ", 11)" in got._jdf.queryExecution().executedPlan().toString()
