@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.operators.components import connected_components
-from evigrid.plans.lineage import written
+from evigrid.plans.lineage import tasks, written
 
 
 def evidence_graph(evidence: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +45,11 @@ def cluster_sizes(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
     """``(node, distance)`` from the start nodes by breadth-first frontiers; each round joins the
-    frontier only and drops what was reached before."""
-    both = written(edges.select("source", "target").union(edges.select("target", "source")).distinct(), "both")
+    frontier only and drops what was reached before. Tasks follow the number of edges, so that one holds
+    no more of a larger graph."""
+    one = written(edges.select("source", "target"), "edges")
+    both = one.union(one.select("target", "source"))
+    both = written(both.repartition(tasks(both), "source", "target").distinct(), "both")
     reached = written(start.select(F.col("node"), F.lit(0).alias("distance")).distinct(), "reached")
     frontier = reached
     for d in range(1, most + 1):

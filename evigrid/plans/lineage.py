@@ -7,6 +7,7 @@ Parquet below the shared checkpoint folder, in one folder for each application.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -57,3 +58,13 @@ def clear(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions; sized by whoever knows the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that a task gets of a table that is dealt by its size, about.
+ROWS = 1 << 20
+
+
+def tasks(df: DataFrame) -> int:
+    """The number of tasks that a table's rows want, at least that of shuffle partitions; for tables whose
+    count is read from their files. Dealt over a given number, small-looking parts are not coalesced."""
+    return max(partitions(df.sparkSession), math.ceil(df.count() / ROWS))

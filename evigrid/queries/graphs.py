@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.operators import graph
+from evigrid.plans.lineage import tasks
 from evigrid.queries.registry import query
 from evigrid.session import table
 from evigrid.sources.canonical import EV, evidence
@@ -43,9 +44,10 @@ _EDGES = "e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_partkey AS b FROM or
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"),
-    ).distinct()
+    n = tasks(li)
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), li.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey")
+    edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"))
+    return edges.repartition(n, "source", "target").distinct()
 
 
 @query()

@@ -207,3 +207,14 @@ def test_evidence_chain_deals_tasks_by_its_rows(spark, monkeypatch):
     rows = [(r.investigation_id, r.evidence_id, r.entity_id) for r in got.collect()]
     assert sorted(rows) == sorted(want)
     assert "hashpartitioning(evidence_id" in got._jdf.queryExecution().executedPlan().toString() and ", 11)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_deal_tasks_by_edges(spark, monkeypatch):
+    from evigrid.plans import lineage
+
+    monkeypatch.setattr(lineage, "ROWS", 10)
+    seen = []
+    monkeypatch.setattr(graph, "tasks", lambda df: seen.append(lineage.tasks(df)) or seen[-1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "source long, target long")
+    got = graph.distances(edges, spark.createDataFrame([(0,)], "node long"), 5)
+    assert {tuple(r) for r in got.collect()} == {(i, i) for i in range(6)} and seen == [6]
