@@ -79,6 +79,19 @@ def blocks(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def giving_back(run):
+    """``run`` over the batches of a task, after which Arrow's pool returns what it holds: workers outlive
+    their tasks, and those that wait count as memory of the executor like those that work."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return out
+
+
 def table_of(pattern_bytes: bytes) -> np.ndarray:
     """True for the bytes that belong to a word."""
     out = np.zeros(256, bool)

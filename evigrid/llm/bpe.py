@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Encodings that a worker keeps from block to block, and the longest pre-token kept; beyond it starts afresh.
-MEMORY, KEPT = 1_000_000, 64
+#: Encodings that a task keeps from block to block, and the longest pre-token kept; beyond it starts afresh.
+MEMORY, KEPT = 250_000, 64
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 9
 #: Ranges in which this module's character classes are known to be the library's; texts with
 #: other characters are cut by the library's own pre-tokenizer.
@@ -101,6 +101,11 @@ class Vocabulary:
         """An ordinary pre-token never has the bytes of a special string: those are cut out before."""
         return {content.encode(): array("I", [i]).tobytes() for content, i in self.special.items()}
 
+    def forget(self) -> None:
+        """Gives up what blocks left, so that a worker that waits for its next task holds the vocabulary only."""
+        self.known = self._specials()
+        self.fits.clear()
+
     def _apart(self, a: int, b: int, before: int = 1 << 40) -> bool:
         """Whether tokens ``a`` and ``b`` stay side by side: no merge across their border comes
         before the merges that make them (and before step ``before``). Undoes the latest merge

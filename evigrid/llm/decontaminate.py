@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.arrays import blocks
+from evigrid.llm.arrays import blocks, giving_back
 from evigrid.plans.lineage import written
 
 #: Lower-cases A-Z and blanks everything but digits, letters and non-ASCII bytes.
@@ -140,7 +140,7 @@ def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item", "width", "piece", "built"])
 
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    return items.mapInArrow(run, "item string, width int, piece binary, built long").distinct()
+    return items.mapInArrow(giving_back(run), "item string, width int, piece binary, built long").distinct()
 
 
 def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str, int, bytes]]]:
@@ -217,7 +217,7 @@ def occurrences(
                         names=names,
                     )
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(giving_back(run), schema)
     return out
 
 

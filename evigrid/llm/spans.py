@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.arrays import blocks, mix
+from evigrid.llm.arrays import blocks, giving_back, mix
 from evigrid.plans.lineage import partitions, written
 
 U = np.uint64
@@ -149,8 +149,8 @@ def shared_filter(texts: DataFrame, anchors: Anchors, bits: int = FILTER_BITS, l
             h, count = _fold(parts, least)
             yield pa.RecordBatch.from_arrays([pa.array(h[count >= least].astype(np.int64))], names=["slot"])
 
-    dealt = texts.select("text").mapInArrow(gather, "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return bitmap(written(dealt.mapInArrow(meet, "slot long"), "shared"), bits)
+    dealt = texts.select("text").mapInArrow(giving_back(gather), "bucket int, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    return bitmap(written(dealt.mapInArrow(giving_back(meet), "slot long"), "shared"), bits)
 
 
 def bitmap(slots: DataFrame, bits: int = FILTER_BITS) -> Filter:
@@ -174,7 +174,7 @@ def bitmap(slots: DataFrame, bits: int = FILTER_BITS) -> Filter:
 
     full = np.zeros((1 << bits) // 8, np.uint8)
     low_bits = slots.select(F.col("slot").bitwiseAND((1 << bits) - 1).alias("slot"))
-    packed = low_bits.repartitionByRange(max(1, min(16, partitions(spark))), "slot").mapInArrow(pack, "k long, bits binary")
+    packed = low_bits.repartitionByRange(max(1, min(16, partitions(spark))), "slot").mapInArrow(giving_back(pack), "k long, bits binary")
     for r in packed.toLocalIterator():  # at most 2^bits / 2^16 rows, and a few at the borders of ranges
         full[r[0] * chunk // 8 : (r[0] + 1) * chunk // 8] |= np.frombuffer(r[1], np.uint8)
     return Filter(bits, spark.sparkContext.broadcast(full))
@@ -314,8 +314,8 @@ def settle(rows: DataFrame, judge: Callable[[list[bytes]], tuple[np.ndarray, np.
                     names=["doc_id", "tag", "starts"],
                 )
 
-    flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k int, blob binary")
-    return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(gather, "doc_id long, tag long, starts binary")
+    flagged = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(run), "k int, blob binary")
+    return flagged.repartition(n, "k").sortWithinPartitions("k").mapInArrow(giving_back(gather), "doc_id long, tag long, starts binary")
 
 
 def with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:

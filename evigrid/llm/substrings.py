@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrid.llm import spans
-from evigrid.llm.arrays import blocks, covered, rolling, word_hashes
+from evigrid.llm.arrays import blocks, covered, giving_back, rolling, word_hashes
 
 #: Period and a set of residues such that any two places have a common shift, below the
 #: period, that brings both into the set. A window of ``period - 1`` more words than an
@@ -90,7 +90,7 @@ def removable(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS
         if held:
             yield out()
 
-    return spans.settle(docs.mapInArrow(settle_own, spans.ROWS_DDL), _judge)
+    return spans.settle(docs.mapInArrow(giving_back(settle_own), spans.ROWS_DDL), _judge)
 
 
 def _again(h: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_B
     docs, named = spans.numbered(docs.select("doc_id", "text"))
     rows = spans.keyed(docs)
     found = spans.with_starts(rows, removable(rows, width, bits)).select("doc_id", "text", "starts")
-    return named(found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"))
+    return named(found.mapInArrow(giving_back(apply), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTER_BITS) -> DataFrame:
@@ -178,7 +178,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, bits: int = spans.FILTE
             yield pa.RecordBatch.from_arrays([_as_text(kept), pa.array([bool(s) for s in starts], pa.bool_()), texts, b.column(2)], names=["kept", "cut", "text", "row"])
 
     ddl = f"kept string, cut boolean, text string, row {rows.schema['row'].dataType.simpleString()}"
-    done = found.select("text", "starts", "row").mapInArrow(cut, ddl).where("NOT cut OR kept <> ''")
+    done = found.select("text", "starts", "row").mapInArrow(giving_back(cut), ddl).where("NOT cut OR kept <> ''")
     new = {"text": F.when(F.col("cut"), F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in cols:
         new["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"row.{rest['n_chars']}"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.arrays import blocks
+from evigrid.llm.arrays import blocks, giving_back
 from evigrid.plans.lineage import partitions, written
 
 
@@ -190,19 +190,22 @@ def encoded(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
         from evigrid.llm.bpe import as_ids, vocabulary
 
         v = vocabulary(vocabulary_path)
-        for b in batches:
-            n = b.num_columns - 1
-            for i, j, data, offs in blocks(b.column(n)):
-                ids, ends = as_ids(v, v.cuts(data.tobytes(), offs), j - i)
-                out = [b.column(k).slice(i, j - i) for k in range(n)]
-                out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                if decode:
-                    out.append(pa.array(v.decode(ids, ends), pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:n], "ids", *["decoded"] * decode])
+        try:
+            for b in batches:
+                n = b.num_columns - 1
+                for i, j, data, offs in blocks(b.column(n)):
+                    ids, ends = as_ids(v, v.cuts(data.tobytes(), offs), j - i)
+                    out = [b.column(k).slice(i, j - i) for k in range(n)]
+                    out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    if decode:
+                        out.append(pa.array(v.decode(ids, ends), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:n], "ids", *["decoded"] * decode])
+        finally:
+            v.forget()
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
     schema = kept + "ids array<int>" + ", decoded binary" * decode
-    return docs.select(id_col, *keep, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, *keep, text_col).mapInArrow(giving_back(run), schema)
 
 
 def round_trips(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,19 +220,22 @@ def round_trips(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
         from evigrid.llm.bpe import as_ids, vocabulary
 
         v = vocabulary(vocabulary_path)
-        for b in batches:
-            for i, j, data, offs in blocks(b.column(1)):
-                ids, ends = as_ids(v, v.cuts(data.tobytes(), offs), j - i)
-                raw, cut = memoryview(ids.astype("<u4").tobytes()), (ends * 4).tolist()
-                a = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut, cut[1:])]
-                d = [hashlib.sha256(x).hexdigest() for x in v.decode(ids, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(a, pa.string()), pa.array(d, pa.string())],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        try:
+            for b in batches:
+                for i, j, data, offs in blocks(b.column(1)):
+                    ids, ends = as_ids(v, v.cuts(data.tobytes(), offs), j - i)
+                    raw, cut = memoryview(ids.astype("<u4").tobytes()), (ends * 4).tolist()
+                    a = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut, cut[1:])]
+                    d = [hashlib.sha256(x).hexdigest() for x in v.decode(ids, ends)]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(a, pa.string()), pa.array(d, pa.string())],
+                        names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            v.forget()
 
     schema = f"`{id_col}` {_ids_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(_named(run, id_col), schema)
+    return docs.select(id_col, text_col).mapInArrow(giving_back(_named(run, id_col)), schema)
 
 
 def _named(run, id_col: str):
