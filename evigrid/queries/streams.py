@@ -100,7 +100,7 @@ def stream_typed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: quarantines from failures that come in three micro-batches; the same rows as ``quarantine_24h``."""
     failed = evidence(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("plugin_id"), F.col("ts").alias("failed_at"))
-    found = stateful.over_batches(_thirds(failed, "failed_at"), stateful.quarantines, "quarantine")
+    found = stateful.over_batches(_thirds(failed, "failed_at"), stateful.quarantines(), "quarantine")
     return found.groupBy("plugin_id").agg(F.min("quarantined_at").alias("quarantined_at"), F.max("n_failures").alias("n_failures"))
 
 
@@ -113,4 +113,4 @@ SELECT client, request_id FROM w WHERE ok""")
 def stream_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6: a limiter over requests that come in three micro-batches; the same rows as ``allowed_requests``."""
     asked = evidence(spark, sf_dir).select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
-    return stateful.over_batches(_thirds(asked, "at"), lambda s: stateful.limited(s, 2, 3600), "limiter")
+    return stateful.over_batches(_thirds(asked, "at"), stateful.limited(2, 3600), "limiter")

@@ -1,28 +1,20 @@
-"""Operators over evidence streams whose state is typed: values, lists and maps in the state store.
+"""Operators over evidence streams that keep state by monitor, plugin or client.
 
-State lives in RocksDB and is kept by monitor, plugin or client. Rows of one key in a micro-batch
-are sorted in memory; how many these are is set by how the source is read (files or bytes a
-trigger), not by the stream's length. Rows that are older than what their key has seen are late
-and left out.
+Each takes a micro-batch and the state that the batch before left, and gives what it found and the
+new state: a table with a row for each key, read and written by ``over_batches``. All is joins,
+windows and folds of columns, so that a key costs no call of Python and no round trip to a store.
+Rows that are older than what their key has seen are late and left out.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evigrid.plans.lineage import scratch
 
-# The process beside the driver that sets up typed state has none of what executors are shipped.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Sets of a monitor's findings, whether what goes is told as well as what comes, and whether an
 #: empty set on either side is no change but a run without an answer.
 SETS = {
@@ -31,182 +23,132 @@ SETS = {
 }
 #: New certificates up to this many are no change.
 CERTIFICATES = 5
-CHANGES = "monitor_id long, at timestamp_ntz, seq long, change string, items string, n long"
 RUN = "monitor_id long, at timestamp_ntz, seq long, breach boolean, credentials boolean, tor boolean, ip string, certificates long, sets map<string, array<string>>"
 
 
-def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(by)
-
-
-class Monitor(StatefulProcessor):
-    """Compares each run of a monitor with the one before: facts are a value, findings a map from
-    (set, item) to the run that showed it first. The first run is taken without a change."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getValueState("facts", "at timestamp, seq long, breach boolean, credentials boolean, tor boolean, ip string, certificates long")
-        self.members = handle.getMapState("members", "kind string, item string", "seq long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.facts.get()
-        held: dict[str, dict[str, int]] = {k: {} for k in SETS}
-        for (kind, item), (seq,) in self.members.iterator():
-            held[kind][item] = seq
-        before = {k: dict(v) for k, v in held.items()}
-        out = []
-        for r in _sorted(rows, ["at", "seq"]).itertuples(index=False):
-            if old is not None and (r.at, r.seq) <= (pd.Timestamp(old[0]), old[1]):
-                continue
-            new = (r.at.to_pydatetime(), int(r.seq), bool(r.breach), bool(r.credentials), bool(r.tor), None if pd.isna(r.ip) else r.ip, int(r.certificates))
-            sets = {} if r.sets is None else {k: set(v) for k, v in dict(r.sets).items() if v is not None}
-            if old is not None:
-                out += [(key[0], r.at, r.seq, *c) for c in self._changes(old, new, held, sets)]
-            for kind, mine in held.items():
-                held[kind] = {x: mine.get(x, int(r.seq)) for x in sets.get(kind, ())}
-            old = new
-        self.facts.update(old)
-        for kind, mine in held.items():
-            for x in before[kind].keys() - mine.keys():
-                self.members.removeKey((kind, x))
-            for x, seq in mine.items():
-                if before[kind].get(x) != seq:
-                    self.members.updateValue((kind, x), (seq,))
-        yield pd.DataFrame(out, columns=["monitor_id", "at", "seq", "change", "items", "n"])
-
-    @staticmethod
-    def _changes(old: tuple, new: tuple, held: dict, sets: dict) -> Iterator[tuple[str, str | None, int]]:
-        for kind, (gone_too, both) in SETS.items():
-            was, now = held[kind].keys(), sets.get(kind, set())
-            if both and not (was and now):
-                continue
-            for word, items in (("added", now - was), ("removed", was - now if gone_too else ())):
-                if items:
-                    yield f"{kind} {word}", ",".join(sorted(items)), len(items)
-        for i, word in ((2, "breach"), (3, "credentials leaked"), (4, "tor exit node")):
-            if new[i] and not old[i]:
-                yield word, None, 1
-        if old[4] and not new[4]:
-            yield "no tor exit node", None, 1
-        if old[5] and new[5] and old[5] != new[5]:
-            yield "ip", f"{old[5]},{new[5]}", 1
-        if new[6] > old[6] + CERTIFICATES:
-            yield "certificates", None, new[6] - old[6]
-
-
-def monitor_changes(runs: DataFrame) -> DataFrame:
-    """``(monitor_id, at, seq, change, items, n)`` from a stream of runs (``RUN``): what came and went of
-    each set, transitions of facts, a new address, and more than five new certificates."""
-    return runs.groupBy("monitor_id").transformWithStateInPandas(Monitor(), CHANGES, "Append", "None")
-
-
-class Quarantine(StatefulProcessor):
-    """A plugin's failures of the last hours as a list; a timer clears it once they are all older."""
-
-    def __init__(self, threshold: int, seconds: int) -> None:
-        self.threshold, self.seconds = threshold, seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getListState("times", "t long")
-        self.state = handle.getValueState("state", "most long, last long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.state.get() or (0, -(1 << 62))
-        most, last, out = state[0], state[1], []
-        times = [t for (t,) in self.times.get()]
-        batch = _sorted(rows, ["failed_at"])
-        batch["t"] = (batch["failed_at"].astype("datetime64[us]").astype("int64")) // 1_000_000
-        for t, same in batch[batch["t"] >= last].groupby("t", sort=True):  # failures of one second count together
-            times = [x for x in times if x >= t - self.seconds] + [int(t)] * len(same)
-            if len(times) > most:
-                most = len(times)
-                if most >= self.threshold:
-                    out.append((key[0], same["failed_at"].min(), most))
-            last = int(t)
-        self.times.put([(t,) for t in times]) if times else self.times.clear()
-        self.state.update((most, last))
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer((last + self.seconds + 1) * 1000)
-        yield pd.DataFrame(out, columns=["plugin_id", "quarantined_at", "n_failures"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.times.clear()
-        return iter([])
-
-
-def quarantines(failures: DataFrame, threshold: int = 3, hours: int = 24, delay: str = "1 hour") -> DataFrame:
-    """``(plugin_id, quarantined_at, n_failures)`` from a stream ``(plugin_id, failed_at)``: a row each time a
+def _later(batch: DataFrame, past: DataFrame | None, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The rows of a batch that come after what their key has seen."""
+    if past is None:
+        return batch
+    seen = past.select(key, F.struct(*order).alias("_seen"))
+    return batch.join(seen, key, "left").where(F.col("_seen").isNull() | (F.struct(*order) > F.col("_seen"))).drop("_seen")
+
+
+def _changes(sets: Column) -> list[Column]:
+    """``(change, items, n)`` of a run and the one before, ``o``; null where nothing changed."""
+    told = lambda word, items, n: F.struct(F.lit(word).alias("change"), items.cast("string").alias("items"), n.cast("long").alias("n"))
+    none, one = F.array().cast("array<string>"), F.lit(1)
+    out = []
+    for kind, (gone_too, both) in SETS.items():
+        was, now = (F.coalesce(F.element_at(x, kind), none) for x in (F.col("o.sets"), sets))
+        for word, a, b in (("added", now, was), ("removed", was, now))[: 1 + gone_too]:
+            items = F.array_sort(F.array_except(a, b))
+            asked = (F.size(items) > 0) & (F.size(was) > 0) & (F.size(now) > 0) if both else F.size(items) > 0
+            out.append(F.when(asked, told(f"{kind} {word}", F.array_join(items, ","), F.size(items))))
+    fact = lambda c: F.coalesce(c, F.lit(False))
+    for c, word in (("breach", "breach"), ("credentials", "credentials leaked"), ("tor", "tor exit node")):
+        out.append(F.when(fact(c) & ~fact(f"o.{c}"), told(word, F.lit(None), one)))
+    out.append(F.when(fact("o.tor") & ~fact("tor"), told("no tor exit node", F.lit(None), one)))
+    out.append(F.when((F.col("o.ip") != "") & (F.col("ip") != "") & (F.col("o.ip") != F.col("ip")), told("ip", F.concat("o.ip", F.lit(","), "ip"), one)))
+    more = F.col("certificates") - F.col("o.certificates")
+    return [*out, F.when(more > CERTIFICATES, told("certificates", F.lit(None), more))]
+
+
+def monitor_changes(runs: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``(monitor_id, at, seq, change, items, n)`` from a batch of runs (``RUN``): what came and went of
+    each set, transitions of facts, a new address, and more than five new certificates. The first run
+    of a monitor is taken without a change. The state is each monitor's last run."""
+    fields = [c for c in runs.columns if c != "monitor_id"]
+    rows = _later(runs.dropDuplicates(["monitor_id", "at", "seq"]), past, "monitor_id", ("at", "seq")).withColumn("_new", F.lit(True))
+    if past is not None:
+        rows = rows.unionByName(past.withColumn("_new", F.lit(False)))
+    order = Window.partitionBy("monitor_id").orderBy("at", "seq")
+    pairs = rows.withColumn("o", F.lag(F.struct(*fields)).over(order)).where("_new AND o IS NOT NULL")
+    found = pairs.select("monitor_id", "at", "seq", F.inline(F.array_compact(F.array(*_changes(F.col("sets"))))))
+    last = rows.groupBy("monitor_id").agg(F.max_by(F.struct(*fields), F.struct("at", "seq")).alias("r"))
+    return found, last.select("monitor_id", "r.*")
+
+
+def quarantines(threshold: int = 3, hours: int = 24, delay: int = 3600) -> Callable:
+    """``(plugin_id, quarantined_at, n_failures)`` from batches ``(plugin_id, failed_at)``: a row each time a
     plugin's failures within the window reach a new height from the threshold on, the first of
-    which puts it into quarantine. Failures later than ``delay`` are left out."""
-    kind = failures.schema["plugin_id"].dataType.simpleString()
-    marked = failures.withColumn("mark", F.col("failed_at").cast("timestamp")).withWatermark("mark", delay)
-    out = f"plugin_id {kind}, quarantined_at timestamp_ntz, n_failures long"
-    return marked.groupBy("plugin_id").transformWithStateInPandas(Quarantine(threshold, hours * 3600), out, "Append", "EventTime")
-
-
-class Limiter(StatefulProcessor):
-    """The times of a client's last passed requests as a list, which is dropped where the client is silent."""
-
-    def __init__(self, most: int, seconds: int) -> None:
-        self.most, self.seconds = most, seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getListState("passed", "t long", ttlDurationMs=self.seconds * 1000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed, out = [t for (t,) in self.passed.get()], []
-        batch = pd.concat(list(rows))
-        batch["t"] = (batch["at"].astype("datetime64[us]").astype("int64")) // 1_000_000
-        for r in batch.sort_values(["t", "request_id"]).itertuples(index=False):
-            if len(passed) < self.most or passed[-self.most] <= r.t - self.seconds:
-                passed = [*passed, int(r.t)][-self.most :]
-                out.append((key[0], r.request_id))
-        if passed:
-            self.passed.put([(t,) for t in passed])
-        yield pd.DataFrame(out, columns=["client", "request_id"])
-
-
-def limited(requests: DataFrame, most: int, seconds: int) -> DataFrame:
-    """``(client, request_id)`` that pass, from a stream ``(client, request_id, at)``: those that find fewer than
-    ``most`` passed in the last ``seconds``. Refused requests do not count."""
-    kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in ("client", "request_id"))
-    return requests.groupBy("client").transformWithStateInPandas(Limiter(most, seconds), kinds, "Append", "ProcessingTime")
-
-
-#: Typed state needs this store; with time-to-live a stream would make empty batches without end.
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-}
-
-
-@contextmanager
-def state_store(spark: SparkSession):
-    """The session's settings while a stream with typed state is started and run over what is there."""
-    was = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in was.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def over_batches(batches: list[DataFrame], operator, name: str) -> DataFrame:
-    """Runs a streaming operator over tables that come one after the other, a micro-batch each, into a
-    table in the shared folder."""
+    which puts it into quarantine. Failures of one second count together; those more than ``delay``
+    seconds before the last of all are left out. The state is each plugin's height, its last second,
+    and the failures of its last window, by second."""
+    seconds = hours * 3600
+
+    def step(failures: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        new = failures.select("plugin_id", "failed_at", F.unix_seconds(F.col("failed_at").cast("timestamp")).alias("t"))
+        if past is not None:
+            here = F.col("last").isNull() | (F.col("t") >= F.col("last"))
+            new = new.join(past.select("plugin_id", "last"), "plugin_id", "left").where(here)
+            new = new.crossJoin(F.broadcast(past.agg(F.max("last").alias("top")))).where(F.col("top").isNull() | (F.col("t") >= F.col("top") - delay))  # one row
+        rows = new.groupBy("plugin_id", "t").agg(F.count("*").alias("c"), F.min("failed_at").alias("at"), F.lit(None).cast("long").alias("most"))
+        if past is not None:
+            old = past.select("plugin_id", F.inline("times"), F.lit(None).cast(new.schema["failed_at"].dataType).alias("at"), "most")
+            rows = rows.unionByName(old)
+        order = Window.partitionBy("plugin_id").orderBy("t")
+        ever = Window.partitionBy("plugin_id")
+        counted = rows.withColumn("n", F.when(F.col("at").isNotNull(), F.sum("c").over(order.rangeBetween(-seconds, 0)))).withColumn("most", F.coalesce(F.max("most").over(ever), F.lit(0)))
+        height = F.greatest("most", F.coalesce(F.max("n").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        found = counted.withColumn("height", height).where((F.col("n") >= threshold) & (F.col("n") > F.col("height")))
+        found = found.select("plugin_id", F.col("at").alias("quarantined_at"), F.col("n").alias("n_failures"))
+        state = counted.withColumn("last", F.max("t").over(ever)).where(F.col("t") >= F.col("last") - seconds)
+        whole = counted.groupBy("plugin_id").agg(F.max(F.greatest("most", F.coalesce("n", F.lit(0)))).alias("most"))
+        times = state.groupBy("plugin_id", "last", "t").agg(F.sum("c").alias("c")).groupBy("plugin_id", "last").agg(F.collect_list(F.struct("t", "c")).alias("times"))
+        return found, times.join(whole, "plugin_id")
+
+    return step
+
+
+def limited(most: int, seconds: int) -> Callable:
+    """``(client, request_id)`` that pass, from batches ``(client, request_id, at)``: those that find fewer than
+    ``most`` passed in the last ``seconds``. Refused requests do not count. The state is the times of a
+    client's last passed requests, which is dropped where the client is silent."""
+
+    def step(requests: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        kind = requests.schema["request_id"].dataType.simpleString()
+        row = F.struct(F.unix_seconds(F.col("at").cast("timestamp")).alias("t"), "request_id")
+        asked = requests.groupBy("client").agg(F.array_sort(F.collect_list(row)).alias("asked"))
+        if past is None:
+            both = asked.withColumn("passed", F.lit(None).cast("array<long>")).withColumn("until", F.lit(None).cast("timestamp"))
+        else:
+            both = asked.join(past.where(F.col("until") > F.current_timestamp()), "client", "full")
+        start = F.struct(F.coalesce("passed", F.array().cast("array<long>")).alias("passed"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def take(now: Column, r: Column) -> Column:
+            full = F.size(now.passed) >= most
+            kept = F.concat(F.when(full, F.slice(now.passed, 2, most)).otherwise(now.passed), F.array(r.t))
+            free = ~full | (F.try_element_at(now.passed, F.lit(-most)) <= r.t - seconds)
+            return F.when(free, F.struct(kept.alias("passed"), F.concat(now.out, F.array(r.request_id)).alias("out"))).otherwise(now)
+
+        done = both.withColumn("f", F.aggregate(F.coalesce("asked", F.array()), start, take))
+        until = F.when(F.col("asked").isNull(), F.col("until")).otherwise(F.current_timestamp() + F.make_dt_interval(secs=F.lit(seconds)))
+        state = done.select("client", F.col("f.passed").alias("passed"), until.alias("until"))
+        return done.select("client", F.explode("f.out").alias("request_id")), state
+
+    return step
+
+
+def over_batches(batches: list[DataFrame], step: Callable, name: str) -> DataFrame:
+    """Runs an operator over tables that come one after the other as a stream, into a table in the shared folder.
+
+    Micro-batch ``n`` reads ``state/n-1``, writes ``state/n`` and what it found under ``out/n``; run
+    again after a failure it writes the same once more."""
     spark = batches[0].sparkSession
     base = scratch(spark, name)
+
+    def put(batch: DataFrame, n: int) -> None:
+        past = batch.sparkSession.read.parquet(f"{base}/state/{n - 1}") if n else None
+        found, state = step(batch, past)
+        found.write.mode("overwrite").parquet(f"{base}/out/{n}")
+        state.write.mode("overwrite").parquet(f"{base}/state/{n}")
+
     for b in batches:
         b.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(b.schema).parquet(f"{base}/in")
-        result = operator(stream)
-        with state_store(spark):
-            q = result.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-            q.awaitTermination()
+        q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
         if q.exception():
             raise q.exception()
-    return spark.read.schema(result.schema).parquet(f"{base}/out")
-
+    return spark.read.schema(step(batches[0], None)[0].schema).parquet(f"{base}/out/*")
