@@ -11,36 +11,40 @@ enumerated, by the same pointers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrid.operators.correlate import noisy_or
+from evigrid.operators.heavy import frequent
 from evigrid.operators.identity import PROMOTE_FROM, tier
-from evigrid.plans.lineage import partitions, written
+from evigrid.plans.lineage import ROWS, partitions, tasks, written
 
 
-def following(points: DataFrame, marks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``points`` with ``next``: the first of ``marks`` of the same keys with a later ``o``, as a struct of
-    its columns; null if there is none.
+def following(points: DataFrame, marks: DataFrame, keys: tuple[str, ...], whole: int = ROWS) -> DataFrame:
+    """``points`` with ``next``: the least later ``o`` of ``marks`` of the same keys; null if there is none.
 
-    Rows are dealt by range of (keys, ``o``), so that a key with a third of all rows is cut into
-    pieces; the first mark of each piece is then handed to the pieces before it.
+    Keys of up to ``whole`` rows are read in one piece. If a sketch finds a key of more, rows are dealt
+    by range of (keys, ``o``), so that it is cut into pieces; the first mark of each piece is then handed
+    to the pieces before it. Points and marks are read several times.
     """
-    fields = [F.col(c) for c in marks.columns if c not in keys]
-    kind = F.struct(*fields)
-    a = points.select(*keys, "o", F.lit(0).alias("_mark"), F.struct(*points.columns).alias("_row"))
-    b = marks.select(*keys, "o", F.lit(1).alias("_mark"), kind.alias("_next"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = points.withColumn("_mark", F.lit(0)).unionByName(marks.select(*keys, "o", F.lit(1).alias("_mark")), allowMissingColumns=True)
+    mark = F.when(F.col("_mark") == 1, F.col("o"))
+    # Equal moments do not follow each other: points come first, looking back from the end.
+    back = lambda *by: Window.partitionBy(*keys, *by).orderBy(F.desc("o"), "_mark").rowsBetween(Window.unboundedPreceding, -1)
+    many = math.ceil(both.count() / whole)
+    if many < 2 or frequent(both, F.struct(*keys), many).where(F.col("n") > whole).isEmpty():
+        found = both.withColumn("next", F.last(mark, ignorenulls=True).over(back())).where("_mark = 0")
+        return found.select(*points.columns, "next")
     dealt = both.repartitionByRange(partitions(points.sparkSession), *keys, "o").withColumn("_piece", F.spark_partition_id())
     dealt = written(dealt, "dealt")
-    # Equal moments do not follow each other: points come first, looking back from the end.
-    later = Window.partitionBy(*keys, "_piece").orderBy(F.desc("o"), "_mark").rowsBetween(Window.unboundedPreceding, -1)
-    here = dealt.withColumn("_here", F.last("_next", ignorenulls=True).over(later)).where("_mark = 0")
-    pieces = dealt.groupBy(*keys, "_piece").agg(F.min_by("_next", F.when(F.col("_mark") == 1, F.col("o"))).alias("_first"))
+    here = dealt.withColumn("_here", F.last(mark, ignorenulls=True).over(back("_piece"))).where("_mark = 0")
+    pieces = dealt.groupBy(*keys, "_piece").agg(F.min(mark).alias("_first"))
     beyond = Window.partitionBy(*keys).orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     handed = pieces.select(*keys, "_piece", F.last("_first", ignorenulls=True).over(beyond).alias("_beyond")).where("_beyond IS NOT NULL")
     found = here.join(handed, [*keys, "_piece"], "left")
-    return found.select("_row.*", F.coalesce("_here", "_beyond").alias("next"))
+    return found.select(*points.columns, F.coalesce("_here", "_beyond").alias("next"))
 
 
 def _steps(nodes: DataFrame) -> list[DataFrame]:
@@ -70,9 +74,16 @@ def _chains(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
     return now
 
 
-def _events(log: DataFrame) -> DataFrame:
+def numbered(log: DataFrame) -> DataFrame:
+    """``(o, identity_id, action, target_id, entities)``: the events of a log with their place in its order as
+    one number ``o``, which aggregates in place and sorts as it is. A numbered log stays as it is."""
+    if "o" in log.columns:
+        return log
     text = lambda c: F.col(c).cast("string").alias(c)
-    return log.select(F.struct("at", "log", "seq").alias("o"), text("identity_id"), "action", text("target_id"), "entities")
+    order = ["at", "log", "seq"]
+    rows = log.select(*order, text("identity_id"), "action", text("target_id"), "entities")
+    rows = rows.repartitionByRange(tasks(log), *order).sortWithinPartitions(*order)
+    return written(rows.select(F.monotonically_increasing_id().alias("o"), "identity_id", "action", "target_id", "entities"), "log")
 
 
 def replayed_links(log: DataFrame) -> DataFrame:
@@ -84,37 +95,36 @@ def replayed_links(log: DataFrame) -> DataFrame:
     weight of its own; a merge into itself loses them; a split moves the given ones back. An empty
     log leaves none.
     """
-    rows = _events(log)
+    rows = numbered(log)
+    # A merge is told by its ``o``: the node of a link's chain, and the moment at which the link leaves.
     merges = rows.where("action = 'merged' AND target_id IS NOT NULL").select("o", "identity_id", "target_id")
-    merges = written(merges.withColumn("node", F.monotonically_increasing_id()), "merges")
-    outs = merges.select("identity_id", "o", "node")
-    arrivals = merges.where("identity_id <> target_id").select(F.col("target_id").alias("identity_id"), "o", "node")
-    linked = following(arrivals, outs, ("identity_id",)).select("node", F.col("next.node").alias("up"), F.col("next.o").alias("leave"))
-    nodes = written(merges.join(linked, "node", "left"), "nodes")
+    arrivals = merges.where("identity_id <> target_id").select(F.col("target_id").alias("identity_id"), "o")
 
     named = rows.select("identity_id", "o").unionByName(merges.select(F.col("target_id").alias("identity_id"), "o"))
-    first = named.groupBy("identity_id").agg(F.min("o").alias("first"))
-    made = rows.where("action = 'created'").join(first, "identity_id").where("o = first")
+    first = named.groupBy("identity_id").agg(F.min("o").alias("o"))
+    made = rows.where("action = 'created'").join(first, ["identity_id", "o"], "left_semi")
     split = rows.where("action = 'split' AND target_id IS NOT NULL")
     each = F.explode("entities").alias("entity_id", "signal_weight")
     tokens = made.select("identity_id", "o", each).unionByName(split.select("identity_id", "o", each))
-    tokens = tokens.withColumn("token", F.monotonically_increasing_id())
-    placed = following(written(tokens, "tokens"), outs, ("identity_id",))
-    tokens = written(placed.select("token", "identity_id", "o", "entity_id", "signal_weight", F.col("next.node").alias("start"), F.col("next.o").alias("leave")), "placed")
+    tokens = written(tokens.withColumn("token", F.monotonically_increasing_id()), "tokens")
+    placed = written(following(tokens.unionByName(arrivals, allowMissingColumns=True), merges, ("identity_id",)), "placed")
+    nodes = placed.where("token IS NULL").select(F.col("o").alias("node"), "identity_id", F.col("next").alias("up"))
+    tokens = placed.where("token IS NOT NULL").withColumnRenamed("next", "start")
     moved = split.select("identity_id", "target_id", "o", each)
     takes = written(moved.select("identity_id", "entity_id", "o").unionByName(moved.select(F.col("target_id").alias("identity_id"), "entity_id", "o")), "takes")
 
+    # A chain that ends in a merge into itself ends nowhere: that is no node.
     steps = _steps(nodes)
-    target = nodes.select(F.col("node").alias("last"), F.when(F.col("identity_id") != F.col("target_id"), F.col("target_id")).alias("end"))
-    ends = _ends(nodes, steps).join(target, "last").select(F.col("node").alias("start"), "end")
-    ended = tokens.join(ends, "start", "left").withColumn("final", F.when(F.col("start").isNull(), F.col("identity_id")).otherwise(F.col("end"))).drop("end")
-    ended = written(ended.where("final IS NOT NULL"), "ended")
+    target = nodes.select(F.col("node").alias("last"), F.col("identity_id").alias("final"))
+    ends = _ends(nodes, steps).join(target, "last").select(F.col("node").alias("start"), "final")
+    stay = tokens.where("start IS NULL").withColumn("final", F.col("identity_id"))
+    ended = written(stay.unionByName(tokens.where("start IS NOT NULL").join(ends, "start")), "ended")
 
     # Links of entities that splits take: where they are, from when to when, and whether they are taken there.
     touched = ended.join(takes.select("entity_id").distinct(), "entity_id", "left_semi")
-    begin = touched.select("token", "entity_id", "identity_id", "o", "leave")
-    visits = begin.unionByName(_visits(touched, nodes, steps).select("token", "entity_id", "identity_id", "o", "leave"))
-    hit = following(visits, takes, ("identity_id", "entity_id")).where("next IS NOT NULL AND (leave IS NULL OR next.o < leave)")
+    begin = touched.select("token", "entity_id", "identity_id", "o", F.col("start").alias("leave"))
+    visits = written(begin.unionByName(_visits(touched, nodes, steps)), "visits")
+    hit = following(visits, takes, ("identity_id", "entity_id")).where("next IS NOT NULL AND (leave IS NULL OR next < leave)")
     alive = written(ended.join(hit.select("token").distinct(), "token", "left_anti"), "alive")
 
     # Of several links to one entity the one that was there first stays, at every identity on the way:
@@ -131,7 +141,7 @@ def replayed_links(log: DataFrame) -> DataFrame:
 def _visits(tokens: DataFrame, nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """``(token, entity_id, identity_id, o, leave)``: every identity that links are moved to, and when."""
     starts = tokens.where("start IS NOT NULL").select(F.col("start").alias("node")).distinct()
-    on = _chains(starts, steps).join(nodes.select("node", F.col("target_id").alias("identity_id"), "o", "leave"), "node")
+    on = _chains(starts, steps).join(nodes, "node").select("start", "identity_id", F.col("node").alias("o"), F.col("up").alias("leave"))
     return tokens.select("token", "entity_id", "start").join(on, "start").select("token", "entity_id", "identity_id", "o", "leave")
 
 
@@ -143,7 +153,7 @@ def replayed_states(log: DataFrame, links: DataFrame, entities: DataFrame) -> Da
     are not merged get the noisy-OR of their links' weights, which grow with the logarithm of the
     sources but for strong types; a tentative one with enough is confirmed.
     """
-    rows = _events(log).where("action IN ('created', 'promoted', 'disputed', 'split') OR action = 'merged' AND target_id IS NOT NULL")
+    rows = numbered(log).where("action IN ('created', 'promoted', 'disputed', 'split') OR action = 'merged' AND target_id IS NOT NULL")
     merging, telling = F.col("action").isin("merged", "split"), F.col("action") != "created"
     states = rows.groupBy("identity_id").agg(
         F.max_by("action", F.when(telling, F.col("o"))).alias("last"),
@@ -178,5 +188,7 @@ def differences(before: DataFrame, after: DataFrame, links_before: DataFrame, li
     ))
     states = both.select("identity_id", F.lit(None).cast("string").alias("entity_id"), F.explode(kinds).alias("difference"))
     keys = ["identity_id", "entity_id"]
-    one = lambda a, b, kind: a.select(*keys).join(b.select(*keys), keys, "left_anti").withColumn("difference", F.lit(kind))
-    return states.unionByName(one(links_before, links_after, "missing link")).unionByName(one(links_after, links_before, "extra link"))
+    one = lambda df, n: df.select(*keys, F.lit(True).alias(n))
+    links = one(links_before, "a").join(one(links_after, "b"), keys, "full_outer")
+    kind = F.when(F.col("b").isNull(), "missing link").when(F.col("a").isNull(), "extra link")
+    return states.unionByName(links.select(*keys, kind.alias("difference")).where("difference IS NOT NULL"))

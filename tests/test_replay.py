@@ -108,6 +108,26 @@ def test_a_hub_of_merges(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("whole", [50, 1000])
+def test_following_whole_keys_and_pieces(spark, whole):
+    """The next mark of a key, also of one with more rows than are read in one piece."""
+    rnd = random.Random(whole)
+    points, marks = ([(rnd.choice(["hub", "hub", f"i{rnd.randrange(20)}", None]), rnd.randrange(400)) for _ in range(300)] for _ in range(2))
+    df = lambda rows: spark.createDataFrame(rows, "k string, o long")
+    got = replay.following(df(points), df(marks), ("k",), whole).collect()
+    want = [(k, o, min((m for j, m in marks if j == k and m > o), default=None)) for k, o in points if k]
+    assert sorted(map(str, map(tuple, (r for r in got if r.k)))) == sorted(map(str, want))
+
+
+def test_events_are_numbered_in_their_order(spark):
+    """One number tells the order, so that the first and last event of an identity aggregate without a sort."""
+    rows = [event(k, f"i{k % 5}", "promoted", at=(k * 7) % 11) for k in range(200)]
+    log = replay.numbered(spark.createDataFrame([tuple(r.values()) for r in rows], LOG).withColumn("entities", F.create_map(F.lit("seq"), F.col("seq").cast("double"))).repartition(5))
+    got = [int(r.entities["seq"]) for r in log.orderBy("o").collect()]
+    assert got == [r["seq"] for r in sorted(rows, key=lambda r: (r["at"], r["log"], r["seq"]))]
+    assert replay.numbered(log) is log
+
+
 def test_the_log_of_the_tables_and_none(spark):
     log = records.replay_log(spark, SF)
     got = {(r.identity_id, r.entity_id): r.signal_weight for r in replay.replayed_links(log).collect()}
