@@ -52,6 +52,20 @@ def test_confidence(spark, members, confidence, status):
     assert (r.confidence, r.status) == (pytest.approx(confidence), status)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_many_edges(spark, seed):
+    """Contraction gives what stars alone give: cliques, chains, hubs, repeated edges."""
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(k * 40, k * 40 + 25), rnd.randrange(k * 40, k * 40 + 25)) for k in range(6) for _ in range(120)]
+    edges += [(i, i + 1) for i in range(500, 530)] + [(999, i) for i in range(600, 640)] + [(20 + 40 * rnd.randrange(6), 20 + 40 * rnd.randrange(6))] + [(7, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {tuple(r) for r in components.connected_components(df).collect()}
+    assert {tuple(r) for r in components.connected_components(df, many=0).collect()} == want
+    assert len({c for _, c in want}) > 3
+    named, rest = components._contracted(components._descending(df.where("a <> b")), 60)
+    assert 2 * named.select("component").distinct().count() <= named.count() and rest.count() < 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rnd = random.Random(seed)
