@@ -197,6 +197,21 @@ def test_ends_of_routes_are_not_shuffled(spark):
     assert "hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_route_of_a_target_comes_out(spark):
+    """A row for each source of each target, none left to its number and ends; no target is shuffled."""
+    from evigrid import queries
+
+    got = queries.queries()["plugin_routes"](spark, "/root/testdata/sf0.001")
+    each = {}
+    for r in got.collect():
+        each.setdefault((r.c_custkey, r.target_type, r.n_plugins, r.first, r.last), []).append((r.place, r.plugin))
+    known = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey % 19 < 18")
+    assert sorted(k[0] for k in each) == sorted(r.c_custkey for r in known.collect())
+    for (_, kind, n, first, last), rows in each.items():
+        assert sorted(rows) == list(enumerate(routing.BY_TYPE[kind])) and (n, first, last) == (len(rows), min(rows)[1], max(rows)[1])
+    assert "hashpartitioning(c_custkey" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_evidence_chain_deals_tasks_by_its_rows(spark, monkeypatch):
     """Repeated and unknown rows on all sides; more observations take more tasks, not larger ones."""
     monkeypatch.setattr(ingest, "OBSERVED", 100)
