@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigrid.operators.bitmaps import DEEP, Segments, Sum, holders
 from evigrid.operators.components import connected_components
 from evigrid.operators.correlate import noisy_or
-from evigrid.operators.heavy import frequent, in_cells
+from evigrid.operators.heavy import Cell, frequent, in_cells
 from evigrid.plans.lineage import written
 
 # Tiers of entity types here (a domain is weak), and their weights.
@@ -103,10 +106,11 @@ def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shar
     links, wanted = _marked(links, wanted)
     both = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
 
-    def nearest(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, names: pa.Array) -> pa.Table:  # noqa: E741
+    def nearest(cell: Cell, i: np.ndarray, j: np.ndarray) -> pa.Table:
         """The best identity of each candidate among the matches of a cell."""
+        a, b, names = cell.a, cell.b, cell.names
         t, bits, n = (np.zeros(len(names), np.int64) for _ in range(3))
-        t[a], bits[b], n[b] = l.column("t").to_numpy(), r.column("bits").to_numpy(), r.column("n").to_numpy()
+        t[a], bits[b], n[b] = cell.l.column("t").to_numpy(), cell.r.column("bits").to_numpy(), cell.r.column("n").to_numpy()
         pair, m = np.unique(a[i] * len(names) + b[j], return_counts=True)
         c, o = pair // max(1, len(names)), pair % max(1, len(names))
         m = m + np.bitwise_count(t[c] & bits[o])
@@ -119,11 +123,71 @@ def best_overlap(wanted: DataFrame, links: DataFrame, overlap: float = 0.5, shar
         c, o, m = c[by], o[by], m[by]
         return pa.table([names.take(pa.array(c)), names.take(pa.array(o)), pa.array(n[o]), pa.array(m.astype(np.int64))], names=["candidate", "identity_id", "n", "n_shared"])
 
+    def nearest_by_bits(cell: Cell) -> Iterator[pa.Table]:
+        """``nearest`` of all pairs of a cell, from bitmaps: identities stand in the order of their number of
+        entities and their id, so of those that share most the first is the best."""
+        names = cell.names
+        t, bits, n = (np.zeros(len(names), np.int64) for _ in range(3))
+        t[cell.a], bits[cell.b], n[cell.b] = cell.l.column("t").to_numpy(), cell.r.column("bits").to_numpy(), cell.r.column("n").to_numpy()
+        owners, size = np.unique(cell.a, return_counts=True)
+        stored = np.unique(cell.b)
+        place = np.zeros(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        stored = stored[np.lexsort((place[stored], n[stored]))]
+        # Hot entities are keys after the others.
+        cool = int(cell.lk.max()) + 1
+        hot = lambda of, x: tuple(np.concatenate(v) for v in zip(*((of[(x[of] >> k) & 1 == 1], np.full(int(((x[of] >> k) & 1).sum()), cool + k)) for k in range(HOT))))
+        (more_a, more_lk), (more_b, more_rk) = hot(owners, t), hot(stored, bits)
+        a, lk, b, rk = (np.concatenate(v) for v in ((cell.a, more_a), (cell.lk, more_lk), (cell.b, more_b), (cell.rk, more_rk)))
+        owners = owners[np.argsort(-size, kind="stable")]
+        rank = np.zeros(len(names), np.int64)
+        rank[owners] = np.arange(len(owners))
+        order = np.argsort(rank[a], kind="stable")
+        cuts = np.searchsorted(rank[a][order], np.arange(0, len(owners) + DEEP, DEEP))
+        parts = [(k * DEEP, Segments(np.zeros(e - s, np.int64), rank[a[order[s:e]]] - k * DEEP, lk[order[s:e]], DEEP)) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+        most, best = np.zeros(len(owners), np.int64), np.full(len(owners), -1)
+        for known, keys in holders(rk, b, cool + HOT, stored):
+            words = keys.shape[1]
+            there = np.packbits(np.arange(64 * words) < len(known), bitorder="little").view(np.uint64)
+
+            def first(x: np.ndarray) -> np.ndarray:
+                """The first right owner of each row of bits, which has one."""
+                word = (x != 0).argmax(axis=1)
+                v = x[np.arange(len(x)), word]
+                return 64 * word + np.bitwise_count((v & (~v + np.uint64(1))) - np.uint64(1))
+
+            for s, rows in parts:
+                e = min(s + DEEP, len(owners))
+                total = Sum(e - s, words)
+                total.rows(rows, keys)
+                x, m = np.broadcast_to(there, (e - s, words)), np.zeros(e - s, np.int64)
+                for k in reversed(range(len(total.planes))):
+                    y = x & total.planes[k]
+                    has = y.any(axis=1)
+                    x, m = np.where(has[:, None], y, x), m + (has.astype(np.int64) << k)
+                at = first(x)
+                fits = (m > 0) & ((m / n[known[at]] >= overlap) | (m >= shared))
+                # Fewer may fit where the most do not: these are tried one number after the other.
+                for fewer in range(int(m[~fits].max(initial=0)) - 1, 0, -1):
+                    left = np.flatnonzero(~fits & (m > fewer))
+                    if len(left):
+                        y = np.broadcast_to(there, (len(left), words))
+                        for k, p in enumerate(total.planes):
+                            y = y & (p[left] if fewer >> k & 1 else ~p[left])
+                        f = first(y)
+                        good = y.any(axis=1) & ((fewer / n[known[f]] >= overlap) | (fewer >= shared))
+                        at[left[good]], m[left[good]], fits[left[good]] = f[good], fewer, True
+                better = fits & (m > most[s:e])
+                most[s:e][better], best[s:e][better] = m[better], known[at[better]]
+        c = np.flatnonzero(best >= 0)
+        o = best[c]
+        yield pa.table([names.take(pa.array(owners[c])), names.take(pa.array(o)), pa.array(n[o]), pa.array(most[c])], names=["candidate", "identity_id", "n", "n_shared"])
+
     kind = links.schema["identity_id"].dataType
     asking = wanted.where("NOT hot").select(F.col("candidate").cast(kind).alias("candidate"), "entity_id", F.col("bits").alias("t"))
     stored = links.where("NOT hot").select("identity_id", "entity_id", "n", "bits")
     of = kind.simpleString()
-    close = in_cells(asking, stored, ["entity_id"], "candidate", "identity_id", nearest, f"candidate {of}, identity_id {of}, n long, n_shared long")
+    close = in_cells(asking, stored, ["entity_id"], "candidate", "identity_id", nearest, f"candidate {of}, identity_id {of}, n long, n_shared long", nearest_by_bits)
 
     kinds = links.where("hot").groupBy("entity_id", "bits").agg(F.min(F.struct("n", "identity_id")).alias("least"))
     asked = wanted.where("hot").select("entity_id", F.col("bits").alias("t")).distinct()

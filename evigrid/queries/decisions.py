@@ -20,15 +20,11 @@ s AS (SELECT draft, known, decisive_tier, n_matches, r2 > 0.75 OR r3 > 0.45 AS c
   0.75) + 0.1 * least(r3, 0.45) WHEN 2 THEN least(r2, 0.75) + 0.1 * least(r3, 0.45) ELSE least(r3, 0.45) END)), 6) AS score FROM r)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draft, known = halves(spark, sf_dir)
-    return correlate.pair_scores(draft, known, correlate.signals(spark))
-
-
 @query(_SCORE + " SELECT * FROM s")
 def correlate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draft against every known identity that shares a value."""
-    return _scores(spark, sf_dir).select("draft", "known", "decisive_tier", "n_matches", "capped", "score")
+    draft, known = halves(spark, sf_dir)
+    return correlate.pair_scores(draft, known, correlate.signals(spark), only=("decisive_tier", "n_matches", "capped", "score"))
 
 
 _FIRED = """, p AS (SELECT *, 'high_confidence_auto_merge' AS rule_id, 'auto_merge' AS kind, 3 AS priority FROM s WHERE score >= 0.9 AND decisive_tier = 1 UNION ALL
@@ -39,7 +35,7 @@ _FIRED = """, p AS (SELECT *, 'high_confidence_auto_merge' AS rule_id, 'auto_mer
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft, known = halves(spark, sf_dir)
     watchlist = known.select("value").where("CAST(value AS INT) % 97 = 5").distinct()
-    found = correlate.pair_scores(rules.marked(draft, watchlist), known, correlate.signals(spark))
+    found = correlate.pair_scores(rules.marked(draft, watchlist), known, correlate.signals(spark), only=("decisive_tier", "n_matches", "on_watchlist", "score"))
     return found.withColumns({"n_entities": F.col("n_matches"), "n_evidence": F.col("n_matches")})
 
 
@@ -78,11 +74,7 @@ def promotion_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCORE + " SELECT known, count(*) AS n_drafts, max(score) AS best, arg_max(draft, score * 1e9 - draft) AS best_draft FROM s GROUP BY known")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best draft of each known identity."""
-    s = _scores(spark, sf_dir)
-    return s.groupBy("known").agg(
-        F.count("*").alias("n_drafts"), F.max("score").alias("best"),
-        F.max_by("draft", F.col("score") * 1e9 - F.col("draft")).alias("best_draft"),
-    )
+    return correlate.best_drafts(*halves(spark, sf_dir), correlate.signals(spark))
 
 
 _REL = "rel AS (SELECT o_custkey AS c, l_returnflag AS t, l_suppkey AS a, l_partkey AS b, l_orderkey % 3 AS e, o_orderdate < TIMESTAMP '1996-01-01' AS old FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
