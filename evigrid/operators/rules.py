@@ -52,27 +52,42 @@ def with_unmatched(pairs: DataFrame, draft: DataFrame) -> DataFrame:
 
 def proposals(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each rule that fires. A rule whose condition is null does not."""
-    return pairs.select("*", F.inline(_fired(names))).drop("negative")
+    rules = _ranked(names)
+    fired = F.filter(F.array(*(F.when(hit, F.lit(k)) for k, (_, _, hit, _) in enumerate(rules))), lambda k: k.isNotNull())
+    at = pairs.where(_any(rules)).select("*", F.explode(fired).alias("_rule"))
+    return at.select(*pairs.columns, *_fields(rules, [F.col("_rule") == k for k in range(len(rules))]))
 
 
-def _fired(names: tuple[str, ...] | None) -> Column:
-    """The proposals of a pair; their fields are in the order in which one wins over another."""
-    out = []
-    for n in names or tuple(_rules):
-        kind, condition, reason = _rules[n]()
-        fields = (
-            F.lit(PRIORITY.index(kind)).alias("priority"), (-F.col("score")).alias("negative"),
-            F.lit(n).alias("rule_id"), F.lit(kind).alias("kind"), reason.alias("reason"),
-        )
-        out.append(F.when(condition, F.struct(*fields)))
-    return F.array_compact(F.array(*out))
+def _ranked(names: tuple[str, ...] | None) -> list[tuple[str, str, Column, Column]]:
+    """``(rule_id, kind, condition, reason)`` in the order in which one wins over another: of a pair all have
+    one score, so that is by caution, then name."""
+    found = [(n, *_rules[n]()) for n in names or tuple(_rules)]
+    return sorted(found, key=lambda r: (PRIORITY.index(r[1]), r[0]))
+
+
+def _any(rules: list[tuple[str, str, Column, Column]]) -> Column:
+    """Whether a rule fires."""
+    out = F.lit(False)
+    for _, _, hit, _ in rules:
+        out = out | F.coalesce(hit, F.lit(False))
+    return out
+
+
+def _fields(rules: list[tuple[str, str, Column, Column]], when: list[Column]) -> list[Column]:
+    """``priority, rule_id, kind, reason`` of the first rule whose ``when`` holds."""
+    out = {c: F for c in ("priority", "rule_id", "kind", "reason")}
+    for (name, kind, _, reason), hit in zip(rules, when):
+        for c, v in (("priority", F.lit(PRIORITY.index(kind))), ("rule_id", F.lit(name)), ("kind", F.lit(kind)), ("reason", reason)):
+            out[c] = out[c].when(hit, v)
+    return [v.alias(c) for c, v in out.items()]
 
 
 def decided(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """The winning proposal of each pair for which a rule fires, chosen inside the row: ``pairs`` has a
     row a pair. As ``resolved(proposals(pairs))``, without its shuffle and sort."""
-    won = pairs.withColumn("_won", F.array_min(_fired(names))).where("_won IS NOT NULL")
-    return won.select(*pairs.columns, "_won.rule_id", "_won.kind", "_won.priority", "_won.reason")
+    rules = _ranked(names)
+    won = dict(zip(("priority", "rule_id", "kind", "reason"), _fields(rules, [hit for _, _, hit, _ in rules])))
+    return pairs.where(_any(rules)).select(*pairs.columns, *(won[c] for c in ("rule_id", "kind", "priority", "reason")))
 
 
 def resolved(proposed: DataFrame, keys: tuple[str, ...] = ("draft", "known")) -> DataFrame:
