@@ -53,8 +53,8 @@ def with_unmatched(pairs: DataFrame, draft: DataFrame) -> DataFrame:
 def proposals(pairs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each rule that fires. A rule whose condition is null does not."""
     rules = _ranked(names)
-    fired = F.filter(F.array(*(F.when(hit, F.lit(k)) for k, (_, _, hit, _) in enumerate(rules))), lambda k: k.isNotNull())
-    at = pairs.where(_any(rules)).select("*", F.explode(fired).alias("_rule"))
+    each = pairs.where(_any(rules)).select("*", F.explode(F.array(*map(F.lit, range(len(rules))))).alias("_rule"))
+    at = each.where(_any([(*r[:2], r[2] & (F.col("_rule") == k), r[3]) for k, r in enumerate(rules)]))
     return at.select(*pairs.columns, *_fields(rules, [F.col("_rule") == k for k in range(len(rules))]))
 
 
